@@ -84,7 +84,7 @@ def main():
         except Exception as exc:  # noqa: BLE001 - report and go on
             ok, n, took, note = False, -1, 0.0, f"{type(exc).__name__}: {str(exc)[:600]}"
         bad += not ok
-        print(f"{'ok  ' if ok else 'FAIL'} {name:45s} rows={n:<7d} {took:6.2f}s {note}", flush=True)
+        print(f"\n{'ok  ' if ok else 'FAIL'} {name:45s} rows={n:<7d} {took:6.2f}s {note}", flush=True)
     print(f"{bad} bad")
     spark.stop()
 

@@ -41,7 +41,7 @@ SELECT {_TENANT_E} AS tenant_id,
        CASE WHEN event_type = 'error' THEN NULL ELSE concat('SES-', CAST(user_id AS STRING)) END AS session_id,
        concat('USR-', CAST(10000 + user_id AS STRING)) AS user_id,
        CASE event_type WHEN 'click' THEN concat('/products/PROD-', {_K})
-            WHEN 'view' THEN '/search' WHEN 'purchase' THEN CASE WHEN value < 250 THEN '/checkout' ELSE '/cart' END
+            WHEN 'view' THEN '/search' WHEN 'purchase' THEN CASE WHEN value < 60 THEN '/checkout' ELSE '/cart' END
             WHEN 'signup' THEN '/' ELSE '/other' END AS page_url,
        CASE WHEN event_type = 'click' THEN concat('PROD-', {_K}) ELSE NULL END AS product_id,
        CAST(320 + 20 * CAST({_K} AS INT) AS INT) AS viewport_width,
@@ -92,7 +92,7 @@ FROM {{events}} WHERE event_type = 'error'""",
     # deliveries of purchase events to two subscribers; one of them is unreachable
     "a_deliveries": f"""
 SELECT CASE WHEN user_id % 2 = 0 THEN 'hook-a' ELSE 'hook-b' END AS webhook_id, CAST(event_id AS STRING) AS event_id,
-       {_TENANT_E} AS tenant_id, CASE WHEN value > 400 THEN 'dead' ELSE 'delivered' END AS status,
+       {_TENANT_E} AS tenant_id, CASE WHEN value > 120 THEN 'dead' ELSE 'delivered' END AS status,
        'timeout' AS last_error, ts + INTERVAL 5 MINUTE AS updated_at
 FROM {{events}} WHERE event_type = 'purchase'""",
     "a_hub_order": f"""
