@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,12 @@ def at(value: datetime) -> Column:
 
 def seconds_before(c: Column, seconds: int) -> Column:
     return c - F.expr(f"INTERVAL '{int(seconds)}' SECOND")
+
+
+def settle(df: DataFrame, *columns: Column) -> DataFrame:
+    """Append columns that are evaluated once per row.
+
+    A projection would be inlined into every later filter and column that mentions it; a generator is not,
+    so long chains of rules stay linear in plan size. One row in gives one row out.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*columns))))

@@ -5,12 +5,10 @@ The same expressions judge a table and a stream: nothing here needs more than th
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import at, seconds_between
+from tidemark.functions.columns import seconds_between
 
 # Fixed vocabularies, limits and patterns of the event contract.
 EVENT_TYPES = ("order.created", "order.updated", "order.cancelled", "payment.initiated", "payment.completed",
@@ -20,7 +18,7 @@ CURRENCIES = ("RUB", "USD", "EUR", "GBP")
 PAYMENT_METHODS = ("card", "bank_transfer", "wallet")
 PAYMENT_STATUSES = ("initiated", "completed", "failed", "refunded")
 CDC_SOURCES = ("postgres_cdc", "mysql_cdc")
-CDC_OPERATIONS = ("insert", "update", "delete", "snapshot")
+CDC_OPERATIONS = ("snapshot", "insert", "update", "delete", "ddl")
 CLICK_TYPES = ("click", "page_view", "add_to_cart")
 EVENT_ID = r"^[a-f0-9\-]{36}$"
 ORDER_ID = r"^ORD-\d{8}-\d{4,}$"
@@ -69,12 +67,12 @@ def items_total() -> Column:
             i["quantity"].try_cast("decimal(12,0)") * i["unit_price"].try_cast("decimal(20,6)"), zero)).cast("decimal(38,6)"))
 
 
-def base_rules(as_of: datetime) -> list[Column]:
+def base_rules(now: Column) -> list[Column]:
     ts = event_time()
     return [
         _fails(F.col("event_id").rlike(EVENT_ID), "event_id"),
         _fails(F.col("event_type").isin(*EVENT_TYPES), "event_type"),
-        _fails(ts.isNotNull() & (seconds_between(at(as_of), ts) <= CLOCK_SKEW_SECONDS), "timestamp"),
+        _fails(ts.isNotNull() & (seconds_between(now, ts) <= CLOCK_SKEW_SECONDS), "timestamp"),
         _fails(_length("source", 1, 64), "source"),
     ]
 
@@ -140,10 +138,10 @@ def change_rules() -> list[Column]:
     ]
 
 
-def schema_errors(as_of: datetime) -> Column:
+def schema_errors(now: Column) -> Column:
     """Names of the violated schema rules of a row; empty when it is valid."""
     kind = family()
-    base = base_rules(as_of)
+    base = base_rules(now)
     chosen = (F.when(kind == "cdc", F.array(*change_rules()))
               .when(kind == "order", F.array(*base, *order_rules()))
               .when(kind == "payment", F.array(*base, *payment_rules()))

@@ -162,6 +162,57 @@ SELECT md5(CAST(c_custkey AS STRING)) AS customer_hk,
        CAST('2024-04-01 00:00:00' AS TIMESTAMP) AS last_visit_at,
        CAST('2024-04-02 00:00:00' AS TIMESTAMP) AS load_ts, 0 AS is_deleted
 FROM {customer} WHERE c_mktsegment <> 'HOUSEHOLD'""",
+    # events of every family as text fields, with the defects the rules look for
+    "a_ev_orders": f"""
+SELECT concat(substr(md5(concat('o', CAST(o_orderkey AS STRING))), 1, 8), '-', substr(md5(concat('o', CAST(o_orderkey AS STRING))), 9, 4),
+              '-4000-8000-', substr(md5(concat('o', CAST(o_orderkey AS STRING))), 13, 12)) AS event_id,
+       CASE {_STATUS} WHEN 'cancelled' THEN 'order.cancelled' WHEN 'pending' THEN 'order.created' ELSE 'order.updated' END AS event_type,
+       CAST(o_orderdate AS STRING) AS timestamp, 'shop-web' AS source, {_TENANT_O} AS tenant,
+       CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P' THEN 'ORDER?' ELSE {_ORDER_ID} END AS order_id,
+       concat('USR-', CAST(10000 + o_custkey AS STRING)) AS user_id, {_STATUS} AS status,
+       '1' AS q1, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) - 100 AS STRING) AS p1,
+       CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'P' THEN '0' ELSE '2' END AS q2, '50.00' AS p2,
+       CAST(CAST(o_totalprice AS DECIMAL(18, 2)) + CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS STRING) AS total_amount,
+       CASE WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'O' THEN 'CNY' WHEN o_orderpriority = '2-HIGH' THEN NULL ELSE 'RUB' END AS currency
+FROM {{orders}}""",
+    "a_ev_payments": f"""
+SELECT concat(substr(md5(concat('p', CAST(o_orderkey AS STRING))), 1, 8), '-', substr(md5(concat('p', CAST(o_orderkey AS STRING))), 9, 4),
+              '-4000-8000-', CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 'XYZ'
+                             ELSE substr(md5(concat('p', CAST(o_orderkey AS STRING))), 13, 12) END) AS event_id,
+       CASE o_orderstatus WHEN 'F' THEN 'payment.completed' WHEN 'O' THEN 'payment.initiated' ELSE 'payment.failed' END AS event_type,
+       CAST(o_orderdate + INTERVAL 25 YEAR AS STRING) AS timestamp, 'billing' AS source, {_TENANT_O} AS tenant,
+       concat('PAY-', CAST(o_orderkey AS STRING)) AS payment_id, {_ORDER_ID} AS order_id,
+       CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE concat('USR-', CAST(10000 + o_custkey AS STRING)) END AS user_id,
+       CAST(CAST(o_totalprice AS DECIMAL(18, 2)) - 1050 AS STRING) AS amount, 'RUB' AS currency,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'card' WHEN '2-HIGH' THEN 'wallet' WHEN '5-LOW' THEN 'cash' ELSE 'bank_transfer' END AS method,
+       CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'initiated' ELSE 'failed' END AS status,
+       CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN NULL WHEN o_orderstatus = 'P' THEN 'declined' ELSE NULL END AS failure_reason
+FROM {{orders}}""",
+    "a_ev_clicks": """
+SELECT event_id, event_type, CAST(ts AS STRING) AS timestamp, 'web-sdk' AS source, tenant_id AS tenant, session_id, user_id, page_url,
+       CASE WHEN page_url = '/' THEN NULL ELSE 'Mozilla/5.0' END AS user_agent, CAST(viewport_width AS STRING) AS viewport_width, product_id
+FROM {a_events}""",
+    "a_ev_products": """
+SELECT concat(substr(md5(concat('i', CAST(p_partkey AS STRING))), 1, 8), '-', substr(md5(concat('i', CAST(p_partkey AS STRING))), 9, 4),
+              '-4000-8000-', substr(md5(concat('i', CAST(p_partkey AS STRING))), 13, 12)) AS event_id,
+       'product.updated' AS event_type, '2024-01-15 00:00:00' AS timestamp, 'catalogue' AS source, 'default' AS tenant,
+       concat('PROD-', CAST(p_partkey AS STRING)) AS product_id, CASE WHEN p_size = 7 THEN '' ELSE p_name END AS name, p_type AS category,
+       CAST(CAST(p_retailprice AS DECIMAL(18, 2)) * 110 AS STRING) AS price, 'RUB' AS currency,
+       CASE WHEN p_size < 49 THEN 'true' ELSE 'false' END AS in_stock, CAST(49 - p_size AS STRING) AS stock_quantity
+FROM {part}""",
+    "a_ev_other": """
+SELECT event_id, 'user.signup' AS event_type, CAST(ts AS STRING) AS timestamp, 'web-sdk' AS source, tenant_id AS tenant, user_id
+FROM {a_events} WHERE page_url = '/'""",
+    # captured row changes of orders: snapshot, insert, update and delete from two connectors, some of unmapped tables
+    "a_changes": f"""
+SELECT CASE o_orderstatus WHEN 'P' THEN 'd' WHEN 'F' THEN 'u' ELSE CASE WHEN o_orderpriority = '1-URGENT' THEN 'r' ELSE 'c' END END AS op,
+       CASE WHEN o_orderpriority = '5-LOW' THEN 'mysql' WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P' THEN 'oracle' ELSE 'postgresql' END AS connector,
+       CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'P' THEN 'invoices' ELSE 'orders_v2' END AS tbl,
+       {_ORDER_ID} AS order_id, concat('USR-', CAST(10000 + o_custkey AS STRING)) AS user_id, {_STATUS} AS status,
+       CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING) AS total_amount, o_orderkey AS lsn, o_custkey AS tx_id,
+       CASE WHEN o_orderpriority = '5-LOW' THEN 'cdc.mysql.orders' ELSE concat('cdc.postgres.', CASE WHEN o_custkey % 10 = 0 THEN 'acme' ELSE 'main' END) END AS topic,
+       1600000000000 + o_orderkey * 1000 + 250 AS ts_ms
+FROM {{orders}}""",
     # 13-digit codes: prefix, part number, check digit; the check digit is off by one for the largest parts
     "a_marking_body": """
 SELECT p_partkey, p_size, concat(CASE WHEN p_size > 44 THEN '470' ELSE '460' END,
