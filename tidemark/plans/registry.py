@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.serving import user_profiles
 from tidemark.operators.sessions import sessionize
+from tidemark.operators.vault_business import canonical_orders, customer_master
 from tidemark.session import prepare
 from tidemark.sources.adapters import BASE_TABLES, ORACLE_VIEWS, VIEWS
 from tidemark.sources.tables import latest_instant, read_table
@@ -45,6 +46,15 @@ class Inputs:
     def a_users(self) -> DataFrame:
         return user_profiles(self.a_orders)
 
+    @cached_property
+    def a_canonical(self) -> DataFrame:
+        return canonical_orders(self.a_hub_order, self.a_sat_header, self.a_sat_pricing, self.a_sat_wb,
+                                self.a_lnk_order_customer, self.a_lnk_order_store)
+
+    @cached_property
+    def a_master(self) -> DataFrame:
+        return customer_master(self.a_hub_customer, self.a_sat_personal, self.a_sat_loyalty)
+
     @cached_property
     def orders_as_of(self):
         return latest_instant(self.orders, "o_orderdate")

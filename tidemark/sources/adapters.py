@@ -251,4 +251,27 @@ SELECT tenant_id, user_id, count(*) AS total_orders, sum(total_amount) AS total_
        max(created_at) AS last_order_at
 FROM {a_orders} WHERE status <> 'cancelled' GROUP BY tenant_id, user_id"""
 
-ORACLE_VIEWS = {**VIEWS, "a_sessions": SESSION_SQL, "a_users": USERS_SQL}
+# The canonical order view, customer master and marts, written with ranked rows and left joins.
+CANONICAL_SQL = """
+SELECT o.order_hk, o.order_bk, split_part(o.record_source, '__', 2) AS branch, c.customer_hk, st.store_hk, h.order_date, h.channel,
+       h.order_status, h.total_amount, p.subtotal_amount, p.discount_amount, p.tax_amount, p.shipping_cost, m.wb_status,
+       m.wb_commission, m.wb_return_window_until,
+       CASE WHEN h.order_hk IS NOT NULL THEN h.source || '__' || split_part(o.record_source, '__', 2) END AS header_source,
+       CASE WHEN p.order_hk IS NOT NULL THEN '1c__' || split_part(o.record_source, '__', 2) END AS pricing_source,
+       CASE WHEN m.order_hk IS NOT NULL THEN 'wb__msk' END AS marketplace_source
+FROM {a_hub_order} o
+LEFT JOIN (SELECT * FROM {a_sat_header} WHERE is_deleted = 0 QUALIFY row_number() OVER (PARTITION BY order_hk ORDER BY load_ts DESC, source DESC) = 1) h USING (order_hk)
+LEFT JOIN {a_sat_pricing} p USING (order_hk) LEFT JOIN {a_sat_wb} m USING (order_hk)
+LEFT JOIN {a_lnk_order_customer} c USING (order_hk) LEFT JOIN {a_lnk_order_store} st USING (order_hk)"""
+
+MASTER_SQL = """
+SELECT h.customer_hk, h.customer_bk, split_part(h.record_source, '__', 2) AS branch, p.first_name, p.last_name, p.email, p.phone, p.birth_date,
+       l.loyalty_segment, l.loyalty_points, l.last_visit_at,
+       CASE WHEN p.customer_hk IS NOT NULL THEN '1c__' || split_part(h.record_source, '__', 2) END AS pii_source,
+       CASE WHEN l.customer_hk IS NOT NULL THEN 'bitrix__' || split_part(h.record_source, '__', 2) END AS loyalty_source,
+       greatest(coalesce(p.load_ts, TIMESTAMP '1970-01-01'), coalesce(l.load_ts, TIMESTAMP '1970-01-01')) AS last_seen_at
+FROM {a_hub_customer} h
+LEFT JOIN (SELECT * FROM {a_sat_personal} WHERE is_deleted = 0 QUALIFY row_number() OVER (PARTITION BY customer_hk ORDER BY load_ts DESC) = 1) p USING (customer_hk)
+LEFT JOIN {a_sat_loyalty} l ON l.customer_hk = h.customer_hk AND split_part(h.record_source, '__', 2) IN ('msk', 'spb', 'ekb')"""
+
+ORACLE_VIEWS = {**VIEWS, "a_sessions": SESSION_SQL, "a_users": USERS_SQL, "a_canonical": CANONICAL_SQL, "a_master": MASTER_SQL}
