@@ -98,17 +98,6 @@ def error_rate(t: Inputs):
     return _one_metric(t, "error_rate")
 
 
-def _matrix_part(name, unit, table, ts, now, agg, windows=_WINDOW_ROWS):
-    """Every tenant with a row in the widest window, in every window."""
-    return f"""
-SELECT tenant_id, '{name}' AS metric, '{unit}' AS unit, win AS "window",
-       round_even(CAST(coalesce({agg}, 0) AS DOUBLE), 4) AS value
-FROM (SELECT DISTINCT tenant_id AS tid FROM {table} WHERE {ts} >= {now} - INTERVAL 1 DAY AND {ts} <= {now}) d
-CROSS JOIN {windows} JOIN LATERAL (SELECT * FROM {table} WHERE tenant_id = tid) x ON true
-WHERE {ts} >= {now} - to_seconds(secs) AND {ts} <= {now}
-GROUP BY tenant_id, win"""
-
-
 def _matrix_rows(name, unit, table, ts, now, cells):
     """Conditional aggregates of one table, one output row per (tenant, window)."""
     rows = []
