@@ -14,6 +14,13 @@ ANALYST_COLUMNS = ("customer_hk", "customer_bk", "branch", "loyalty_segment", "l
                    "pii_source", "loyalty_source", "last_seen_at")  # fixed allow list
 PII_COLUMNS = ("first_name", "last_name", "email", "phone", "birth_date")
 SOURCE_RANK = {"bitrix": 2, "1c": 1}
+CANONICAL_COLUMNS = ("order_hk", "order_bk", "branch", "customer_hk", "store_hk", "order_date", "channel", "order_status", "total_amount",
+                     "subtotal_amount", "discount_amount", "tax_amount", "shipping_cost", "wb_status", "wb_commission",
+                     "wb_return_window_until", "header_source", "pricing_source", "marketplace_source")
+# what each mart reads of the canonical orders
+PNL_COLUMNS = ("branch", "order_date", "order_status", "total_amount", "subtotal_amount", "discount_amount", "tax_amount", "shipping_cost")
+CUSTOMER_COLUMNS = ("branch", "customer_hk", "order_date", "order_status", "total_amount")
+VELOCITY_COLUMNS = ("branch", "channel", "order_date", "order_status", "total_amount", "tax_amount")
 
 
 def branch_of(record_source: str | Column) -> Column:
@@ -39,33 +46,38 @@ def current_rows(sat: DataFrame, key: str, columns: Sequence[str], tie: Sequence
 
 def canonical_orders(hub: DataFrame, header: DataFrame, pricing: DataFrame, marketplace: DataFrame,
                      link_customer: DataFrame, link_store: DataFrame, source_priority: bool = False,
-                     respect_deletes: bool = False) -> DataFrame:
+                     respect_deletes: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per order: newest header, pricing and marketplace versions, customer and store, provenance.
 
     All sides are collapsed on the order key, so every join meets an input already partitioned by it.
-    `source_priority` prefers the CRM header over the ERP one whatever their load times.
+    `source_priority` prefers the CRM header over the ERP one whatever their load times. With `columns` only the
+    sides those columns come from are read and joined: each side has one row per order, so leaving one out keeps
+    the rows.
     """
     rank = None
     if source_priority:
         rank = F.coalesce(*[F.when(F.col("source") == s, r) for s, r in SOURCE_RANK.items()], F.lit(0))
-    head = current_rows(header, "order_hk", ["order_date", "channel", "order_status", "total_amount", "source"],
-                        ["source"], respect_deletes, rank)
-    price = current_rows(pricing, "order_hk", ["subtotal_amount", "discount_amount", "tax_amount", "shipping_cost"],
-                         ["subtotal_amount"], respect_deletes).withColumn("_priced", F.lit(True))
-    market = current_rows(marketplace, "order_hk", ["wb_status", "wb_commission", "wb_return_window_until"],
-                          ["wb_status"], respect_deletes).withColumn("_marketed", F.lit(True))
-    customer = latest_version(link_customer, ["order_hk"], ["load_ts", "customer_hk"], ["order_hk", "customer_hk"])
-    store = latest_version(link_store, ["order_hk"], ["load_ts", "store_hk"], ["order_hk", "store_hk"])
-    orders = hub.select("order_hk", "order_bk", branch_of("record_source").alias("branch"))
-    joined = orders
-    for side in (head, price, market, customer, store):
-        joined = joined.join(side, "order_hk", "left")
-    return joined.select(
-        "order_hk", "order_bk", "branch", "customer_hk", "store_hk", "order_date", "channel", "order_status", "total_amount",
-        "subtotal_amount", "discount_amount", "tax_amount", "shipping_cost", "wb_status", "wb_commission", "wb_return_window_until",
-        F.when(F.col("source").isNotNull(), F.concat_ws("__", "source", "branch")).alias("header_source"),
-        F.when(F.col("_priced"), F.concat(F.lit("1c__"), "branch")).alias("pricing_source"),
-        F.when(F.col("_marketed"), F.lit("wb__msk")).alias("marketplace_source"))
+    sides = {
+        ("order_date", "channel", "order_status", "total_amount", "header_source"): lambda: current_rows(
+            header, "order_hk", ["order_date", "channel", "order_status", "total_amount", "source"], ["source"], respect_deletes, rank),
+        ("subtotal_amount", "discount_amount", "tax_amount", "shipping_cost", "pricing_source"): lambda: current_rows(
+            pricing, "order_hk", ["subtotal_amount", "discount_amount", "tax_amount", "shipping_cost"], ["subtotal_amount"],
+            respect_deletes).withColumn("_priced", F.lit(True)),
+        ("wb_status", "wb_commission", "wb_return_window_until", "marketplace_source"): lambda: current_rows(
+            marketplace, "order_hk", ["wb_status", "wb_commission", "wb_return_window_until"], ["wb_status"],
+            respect_deletes).withColumn("_marketed", F.lit(True)),
+        ("customer_hk",): lambda: latest_version(link_customer, ["order_hk"], ["load_ts", "customer_hk"], ["order_hk", "customer_hk"]),
+        ("store_hk",): lambda: latest_version(link_store, ["order_hk"], ["load_ts", "store_hk"], ["order_hk", "store_hk"]),
+    }
+    derived = {"header_source": lambda: F.when(F.col("source").isNotNull(), F.concat_ws("__", "source", "branch")),
+               "pricing_source": lambda: F.when(F.col("_priced"), F.concat(F.lit("1c__"), "branch")),
+               "marketplace_source": lambda: F.when(F.col("_marketed"), F.lit("wb__msk"))}
+    wanted = list(columns or CANONICAL_COLUMNS)
+    joined = hub.select("order_hk", "order_bk", branch_of("record_source").alias("branch"))
+    for gives, build in sides.items():
+        if set(gives) & set(wanted):
+            joined = joined.join(build(), "order_hk", "left")
+    return joined.select(*[derived[c]().alias(c) if c in derived else F.col(c) for c in wanted])
 
 
 def customer_master(hub: DataFrame, personal: DataFrame, loyalty: DataFrame, branch: str | None = None,

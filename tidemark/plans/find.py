@@ -13,6 +13,7 @@ from tidemark.operators import questions as qs
 from tidemark.operators import search as se
 from tidemark.plans.metrics import SERVING_SESSIONS, serving_sessions
 from tidemark.plans.registry import Inputs, dec_round, query, ts_text
+from tidemark.session import cut_lineage
 
 NOW = "(SELECT max(ts) FROM events)"
 ORDERS_NOW = "(SELECT max(created_at) FROM a_orders)"
@@ -113,21 +114,21 @@ ENTITY_QUESTION = "large premium delivered orders with status shipped and revenu
 @query("q05_search_text", _search_sql(_TEXT_DOCS, TEXT_QUESTION, 20))
 def search_text(t: Inputs):
     docs = text_corpus(t)
-    index = se.postings(docs, list(query_tokens(TEXT_QUESTION)))
+    index = cut_lineage(se.postings(docs, list(query_tokens(TEXT_QUESTION))))  # texts are read once
     return se.search(index, docs, TEXT_QUESTION, 20).drop("snippet", "endpoint")
 
 
 @query("q05_search_entities", _search_sql(_DOCS, ENTITY_QUESTION, 25))
 def search_entities(t: Inputs):
     docs = se.keyed(entity_corpus(t))
-    return se.search(se.postings(docs, list(query_tokens(ENTITY_QUESTION))), docs, ENTITY_QUESTION, 25).drop("snippet", "endpoint")
+    return se.search(cut_lineage(se.postings(docs, list(query_tokens(ENTITY_QUESTION)))), docs, ENTITY_QUESTION, 25).drop("snippet", "endpoint")
 
 
 @query("q06_filtered_search", _search_sql(
     _DOCS, ENTITY_QUESTION, 25, "(tenant_id IS NULL OR tenant_id = 'acme') AND (entity_type IS NULL OR entity_type IN ('user', 'product'))"))
 def filtered_search(t: Inputs):
     docs = se.keyed(entity_corpus(t))
-    return se.search(se.postings(docs, list(query_tokens(ENTITY_QUESTION))), docs, ENTITY_QUESTION, 25, tenant="acme",
+    return se.search(cut_lineage(se.postings(docs, list(query_tokens(ENTITY_QUESTION)))), docs, ENTITY_QUESTION, 25, tenant="acme",
                      authorised=["user", "product"]).drop("snippet", "endpoint")
 
 

@@ -46,10 +46,13 @@ class Inputs:
     def a_users(self) -> DataFrame:
         return user_profiles(self.a_orders)
 
+    def canonical(self, columns=None) -> DataFrame:
+        return canonical_orders(self.a_hub_order, self.a_sat_header, self.a_sat_pricing, self.a_sat_wb,
+                                self.a_lnk_order_customer, self.a_lnk_order_store, columns=columns)
+
     @cached_property
     def a_canonical(self) -> DataFrame:
-        return canonical_orders(self.a_hub_order, self.a_sat_header, self.a_sat_pricing, self.a_sat_wb,
-                                self.a_lnk_order_customer, self.a_lnk_order_store)
+        return self.canonical()
 
     @cached_property
     def a_master(self) -> DataFrame:

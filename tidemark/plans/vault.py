@@ -273,7 +273,7 @@ FROM a_canonical WHERE order_date IS NOT NULL AND subtotal_amount IS NOT NULL GR
 
 @query("d12_branch_pnl", f"SELECT * REPLACE ({day_text('month')} AS month) FROM ({_PNL})")
 def pnl(t: Inputs):
-    return _plain(vb.branch_pnl(t.a_canonical))
+    return _plain(vb.branch_pnl(t.canonical(vb.PNL_COLUMNS)))
 
 
 _C360 = """SELECT c.customer_hk, c.customer_bk, c.branch, c.loyalty_segment, c.loyalty_points, c.last_visit_at, c.pii_source, c.loyalty_source,
@@ -287,12 +287,12 @@ FROM a_master c LEFT JOIN (SELECT customer_hk, branch, count(*) AS n, CAST(sum(t
 @query("d13_customer_360", f"""SELECT * REPLACE ({ts_text('last_visit_at')} AS last_visit_at, {ts_text('first_order_dt')} AS first_order_dt, {ts_text('last_order_dt')} AS last_order_dt,
   round(return_rate, 8) AS return_rate) FROM ({_C360})""")
 def c360(t: Inputs):
-    return _plain(vb.customer_360(t.a_master, t.a_canonical)).withColumn("return_rate", F.round("return_rate", 8))
+    return _plain(vb.customer_360(t.a_master, t.canonical(vb.CUSTOMER_COLUMNS))).withColumn("return_rate", F.round("return_rate", 8))
 
 
 @query("j02_two_key_join", f"SELECT customer_hk, branch, order_count FROM ({_C360})")
 def two_key_join(t: Inputs):
-    return vb.customer_360(t.a_master, t.a_canonical).select("customer_hk", "branch", "order_count")
+    return vb.customer_360(t.a_master, t.canonical(vb.CUSTOMER_COLUMNS)).select("customer_hk", "branch", "order_count")
 
 
 _VELOCITY = f"""SELECT branch, channel, CAST(order_date::DATE - to_days(CAST(dayofweek(order_date) AS INT)) AS DATE) AS week, count(*) AS orders,
@@ -305,13 +305,14 @@ FROM a_canonical WHERE order_date IS NOT NULL AND channel IS NOT NULL GROUP BY A
 
 @query("d14_returns_velocity", f"SELECT * REPLACE ({day_text('week')} AS week) FROM ({_VELOCITY})")
 def velocity(t: Inputs):
-    return _plain(vb.returns_velocity(t.a_canonical))
+    return _plain(vb.returns_velocity(t.canonical(vb.VELOCITY_COLUMNS)))
 
 
 @query("d15_pnl_live", f"""SELECT branch, count(*) AS orders, {_s('total_amount')} AS gross_revenue, {_s('tax_amount')} AS tax_collected FROM a_canonical
 WHERE order_date IS NOT NULL GROUP BY branch""")
 def pnl_live(t: Inputs):
-    return t.a_canonical.filter(F.col("order_date").isNotNull()).groupBy("branch").agg(
+    rows = t.canonical(("branch", "order_date", "total_amount", "tax_amount"))
+    return rows.filter(F.col("order_date").isNotNull()).groupBy("branch").agg(
         F.count("*").alias("orders"), money(F.sum("total_amount")).alias("gross_revenue"), money(F.sum("tax_amount")).alias("tax_collected"))
 
 
@@ -338,14 +339,15 @@ def customer_point(t: Inputs):
     keys = hub.select("customer_hk")
     mine = t.a_lnk_order_customer.join(keys, "customer_hk", "left_semi").select("order_hk")
     orders = vb.canonical_orders(*[s.join(mine, "order_hk", "left_semi") for s in (
-        t.a_hub_order, t.a_sat_header, t.a_sat_pricing, t.a_sat_wb, t.a_lnk_order_customer, t.a_lnk_order_store)])
+        t.a_hub_order, t.a_sat_header, t.a_sat_pricing, t.a_sat_wb, t.a_lnk_order_customer, t.a_lnk_order_store)],
+        columns=vb.CUSTOMER_COLUMNS)
     return vb.customer_360(one, orders).select("customer_hk", "branch", "loyalty_segment", "loyalty_points", "order_count")
 
 
 @query("d15_return_rate", f"""SELECT branch, CAST(sum(orders) AS BIGINT) AS total_orders, CAST(sum(returned_orders) AS BIGINT) AS total_returned,
   {dec_round('CAST(sum(returned_orders) AS DOUBLE) / nullif(sum(orders), 0)', 4)} AS return_rate FROM ({_VELOCITY}) GROUP BY branch""")
 def return_rate(t: Inputs):
-    v = vb.returns_velocity(t.a_canonical)
+    v = vb.returns_velocity(t.canonical(vb.VELOCITY_COLUMNS))
     return v.groupBy("branch").agg(F.sum("orders").alias("total_orders"), F.sum("returned_orders").alias("total_returned"),
                                    rounded(ratio(F.sum("returned_orders"), F.sum("orders")), 4).alias("return_rate"))
 
@@ -365,7 +367,7 @@ def facts_with_branch(t: Inputs):
 @query("d15_pnl_mart", f"""SELECT branch, CAST(sum(orders) AS BIGINT) AS orders, round(sum(gross_revenue), 2) AS gross_revenue,
   {dec_round('sum(tax_collected) / nullif(sum(net_revenue), 0)', 4)} AS effective_tax_rate FROM ({_PNL}) GROUP BY branch""")
 def pnl_mart(t: Inputs):
-    m = vb.branch_pnl(t.a_canonical)
+    m = vb.branch_pnl(t.canonical(vb.PNL_COLUMNS))
     return m.groupBy("branch").agg(F.sum("orders").alias("orders"), F.round(F.sum("gross_revenue"), 2).alias("gross_revenue"),
                                    rounded(ratio(F.sum("tax_collected"), F.sum("net_revenue")), 4).alias("effective_tax_rate"))
 
@@ -428,7 +430,7 @@ def marking_status(t: Inputs):
 
 @query("d17_vat_rate", f"""SELECT branch, {dec_round('avg(CAST(tax_amount AS DOUBLE) / nullif(CAST(subtotal_amount AS DOUBLE), 0))', 4)} AS vat_rate FROM a_canonical GROUP BY branch""")
 def vat_rate(t: Inputs):
-    return t.a_canonical.groupBy("branch").agg(rounded(F.avg(ratio("tax_amount", "subtotal_amount")), 4).alias("vat_rate"))
+    return t.canonical(("branch", "tax_amount", "subtotal_amount")).groupBy("branch").agg(rounded(F.avg(ratio("tax_amount", "subtotal_amount")), 4).alias("vat_rate"))
 
 
 # --- checks --------------------------------------------------------------------------------------
@@ -471,9 +473,9 @@ UNION ALL SELECT 'customer_360.customer_hk not_null', count(*) FILTER (WHERE cus
 UNION ALL SELECT 'customer_360.pii_source not_null', count(*) FILTER (WHERE pii_source IS NULL) = 0, count(*) FILTER (WHERE pii_source IS NULL) || ' failing' FROM c""")
 def mart_tests(t: Inputs):
     return vc.stack([
-        vc.data_tests(vb.branch_pnl(t.a_canonical), "branch_pnl", ["branch", "month"], {"branch": vl.BRANCHES}),
-        vc.data_tests(vb.returns_velocity(t.a_canonical), "returns_velocity", ["channel", "return_rate"], {}),
-        vc.data_tests(vb.customer_360(t.a_master, t.a_canonical), "customer_360", ["customer_hk", "pii_source"], {})])
+        vc.data_tests(vb.branch_pnl(t.canonical(vb.PNL_COLUMNS)), "branch_pnl", ["branch", "month"], {"branch": vl.BRANCHES}),
+        vc.data_tests(vb.returns_velocity(t.canonical(vb.VELOCITY_COLUMNS)), "returns_velocity", ["channel", "return_rate"], {}),
+        vc.data_tests(vb.customer_360(t.a_master, t.canonical(vb.CUSTOMER_COLUMNS)), "customer_360", ["customer_hk", "pii_source"], {})])
 
 
 @query("d24_reference_checks", """
