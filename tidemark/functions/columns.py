@@ -58,7 +58,14 @@ def seconds_before(c: Column, seconds: int) -> Column:
 def settle(df: DataFrame, *columns: Column) -> DataFrame:
     """Append columns that are evaluated once per row.
 
-    A projection would be inlined into every later filter and column that mentions it; a generator is not,
-    so long chains of rules stay linear in plan size. One row in gives one row out.
+    A projection would be inlined into every later filter and column that mentions it; a generator is not, so
+    long chains of rules stay linear in plan size. One row in gives one row out. The columns should read top-level
+    columns only: fields of a struct are flattened first, as the optimizer rewrites field access under generators.
     """
     return df.select("*", F.inline_outer(F.array(F.struct(*columns))))
+
+
+def flatten(df: DataFrame, struct: str, names: list[str], prefix: str) -> DataFrame:
+    """Replace a struct by some of its fields, as top-level columns with a prefix."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != struct],
+                     *[F.col(f"`{struct}`.`{n}`").alias(f"{prefix}{n}") for n in names])

@@ -106,8 +106,8 @@ def freshness_sli(journal: DataFrame, threshold_seconds: float, as_of: datetime,
         last, first = F.max(F.when(mine, F.col("last"))), F.min(F.when(mine, F.col("first")))
         tail = F.least(F.greatest(seconds_between(last, at(as_of)), F.lit(0.0)), F.lit(float(threshold_seconds)))
         observed = F.greatest(seconds_between(first, at(as_of)), F.lit(0.0))
-        aggs += [F.when(observed > 0, F.least(between + tail, observed)).otherwise(F.when(observed.isNotNull(), 0.0)).alias(f"good_{name}"),
-                 observed.alias(f"valid_{name}")]
+        aggs += [F.when(observed > 0, F.least(between + tail, observed)).otherwise(F.when(first.isNotNull(), 0.0)).alias(f"good_{name}"),
+                 F.when(first.isNotNull(), observed).alias(f"valid_{name}")]
     return cells.groupBy(*by).agg(*aggs)
 
 
