@@ -402,3 +402,14 @@ SELECT reason, count(*) AS records FROM (
 def servable(t: Inputs):
     events = judged_records(t).withColumn("event_id", F.when(F.coalesce("stage", F.lit("")) != "cdc_normalization", F.col("event_id")))
     return events.groupBy(ingest.servability(events).alias("reason")).agg(F.count("*").alias("records"))
+
+
+@query("s01_event_time", f"""
+SELECT placed, count(*) AS records FROM (SELECT 'event' AS placed FROM {_ALL} UNION ALL SELECT 'event' FROM a_changes UNION ALL SELECT 'event' FROM a_ev_products
+  UNION ALL SELECT 'arrival' FROM a_ev_other) GROUP BY placed""")
+def event_time(t: Inputs):
+    """Records are placed by their own time, broken ones by their arrival."""
+    arrival = F.lit("2030-01-01").cast("timestamp")
+    raw = raw_records(t).withColumn("ingest_ts", arrival)
+    judged = ingest.judge(ingest.to_events(ingest.decode_envelope(raw)), t.events_as_of)
+    return judged.groupBy(F.when(F.col("event_ts") == arrival, "arrival").otherwise("event").alias("placed")).agg(F.count("*").alias("records"))

@@ -168,3 +168,15 @@ def compaction(t: Inputs):
     before, after = lake.compact(t.spark, f"{base}/t", {"part_no": 1}, ["o_orderkey"])
     rows = t.spark.read.parquet(f"{base}/t").agg(F.count("*").alias("row_count"))
     return rows.select("row_count", F.lit(after).alias("files"), F.lit(after < before).alias("fewer"))
+
+
+@query("s02_event_time_stream", f"""
+SELECT tenant_id AS tenant, {ts_text('b')} AS window_start, count(*) AS events FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS b FROM a_events)
+WHERE b + INTERVAL 1 HOUR <= {EVENTS_NOW} - INTERVAL 5 SECOND GROUP BY ALL""")
+def event_time_stream(t: Inputs):
+    """Hours of the event time that the watermark has closed."""
+    base = work_dir(t.spark, "time")
+    stream = ingest.in_event_time(_view_stream(t, "a_events").select(F.col("tenant_id").alias("tenant"), F.col("ts").alias("event_ts")))
+    closed = stream.groupBy("tenant", F.window("event_ts", "1 hour").alias("w")).agg(F.count("*").alias("events"))
+    sinks.run_available(closed.select("tenant", F.col("w.start").alias("window_start"), "events"), f"{base}/checkpoint", path=f"{base}/out")
+    return t.spark.read.parquet(f"{base}/out").withColumn("window_start", iso("window_start"))
