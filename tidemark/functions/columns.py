@@ -23,7 +23,13 @@ def rounded(c: Column | str, digits: int) -> Column:
 
 
 def half_even(c: Column | str, digits: int) -> Column:
-    """Banker's rounding on the decimal image of a double."""
+    """Banker's rounding of a double, on its binary value."""
+    scale = F.lit(float(10 ** digits))
+    return F.rint(col(c).cast("double") * scale) / scale
+
+
+def half_even_exact(c: Column | str, digits: int) -> Column:
+    """Banker's rounding of an exact decimal."""
     return F.bround(col(c).cast("decimal(38,12)"), digits).cast("double")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import half_even
+from tidemark.functions.columns import half_even_exact
 from tidemark.functions.rules import number
 from tidemark.operators.tenancy import DEFAULT_TENANT
 
@@ -31,7 +31,7 @@ def order_fields() -> Column:
     for name, limit in reversed(SIZE_BUCKETS):
         bucket = F.when(total < limit, name).otherwise(bucket)
     return F.struct(count.alias("item_count"), products.alias("unique_products"),
-                    F.when(count > 0, half_even(total / F.nullif(count, F.lit(0).cast("long")), 2)).otherwise(F.lit(0.0)).alias("avg_item_price"),
+                    F.when(count > 0, half_even_exact(total / F.nullif(count, F.lit(0).cast("long")), 2)).otherwise(F.lit(0.0)).alias("avg_item_price"),
                     bucket.alias("order_size_bucket"))
 
 
