@@ -80,7 +80,7 @@ def sessionize(events: DataFrame, gap_seconds: int = GAP_SECONDS, tie: str = "sr
         (F.col("products") > max_products).alias("products_truncated"))
 
 
-def value_sessions(events: DataFrame, as_of=None, gap_seconds: int = GAP_SECONDS) -> DataFrame:
+def value_sessions(events: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
     """Sessions per user with the summed value.
 
     Only a later event beyond the gap closes a session, so the last one of each user is `open`.
