@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.bpe import encoded
 from tidemark.llm.mixture import taken_words
+from tidemark.llm.repetition import quality_rules
 from tidemark.session import prepare
 from tidemark.sources.tables import read_table
 
@@ -47,3 +50,45 @@ FROM p
 def op10_mix_sources(spark: SparkSession, base: str) -> DataFrame:
     """How often the mix takes the words of each document."""
     return taken_words(read_table(spark, base, "documents"))
+
+
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, base: str) -> DataFrame:
+    """Token ids of each document and the text they decode to, as hashes."""
+    return encoded(read_table(spark, base, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+# Words by place; a word is covered by an n-gram that starts at it or up to n - 1 words before it.
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i, w AS ws FROM d),
+n AS (SELECT unnest([3, 5, 6, 7, 8, 9, 10]) AS n),
+g AS (SELECT r, i, n, word, CASE WHEN i + n - 1 <= len(ws) THEN array_to_string(ws[i : i + n - 1], ' ') END AS gram FROM w, n),
+f AS (SELECT r, i, n, word, gram IS NOT NULL AND CASE WHEN n = 3 THEN count(*) OVER (PARTITION BY r, n, gram) > 1
+        ELSE row_number() OVER (PARTITION BY r, n, gram ORDER BY i) > 1 END AS hit FROM g),
+c AS (SELECT r, n, word, max(i) FILTER (WHERE hit) OVER (PARTITION BY r, n ORDER BY i) > i - n AS inside FROM f),
+a AS (SELECT r, count(*) FILTER (WHERE n = 3 AND inside) AS n_repeat_words, sum(length(word)) FILTER (WHERE n = 3) AS word_chars,
+        coalesce(sum(length(word)) FILTER (WHERE n = 5 AND inside), 0) AS c5, coalesce(sum(length(word)) FILTER (WHERE n = 6 AND inside), 0) AS c6,
+        coalesce(sum(length(word)) FILTER (WHERE n = 7 AND inside), 0) AS c7, coalesce(sum(length(word)) FILTER (WHERE n = 8 AND inside), 0) AS c8,
+        coalesce(sum(length(word)) FILTER (WHERE n = 9 AND inside), 0) AS c9, coalesce(sum(length(word)) FILTER (WHERE n = 10 AND inside), 0) AS c10
+      FROM c GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
+m AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS again FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+x AS (SELECT r, count(*) FILTER (WHERE again) AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) FILTER (WHERE again), 0) AS cl FROM m GROUP BY r),
+v AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+        coalesce(cl, 0)::BIGINT AS dup_line_chars, coalesce(c5, 0)::BIGINT AS dup_5gram_chars, coalesce(c6, 0)::BIGINT AS dup_6gram_chars, coalesce(c7, 0)::BIGINT AS dup_7gram_chars,
+        coalesce(c8, 0)::BIGINT AS dup_8gram_chars, coalesce(c9, 0)::BIGINT AS dup_9gram_chars, coalesce(c10, 0)::BIGINT AS dup_10gram_chars
+      FROM d LEFT JOIN a USING (r) LEFT JOIN x USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * dup_line_chars <= 20 * word_chars AND 100 * dup_5gram_chars <= 15 * word_chars
+  AND 100 * dup_6gram_chars <= 14 * word_chars AND 100 * dup_7gram_chars <= 13 * word_chars AND 100 * dup_8gram_chars <= 12 * word_chars
+  AND 100 * dup_9gram_chars <= 11 * word_chars AND 100 * dup_10gram_chars <= 10 * word_chars AS kept
+FROM v
+"""
+
+
+@query("op4_quality_rules", OP4_SQL)
+def op4_quality_rules(spark: SparkSession, base: str) -> DataFrame:
+    """Repetition measures of each document and whether it is kept."""
+    return quality_rules(read_table(spark, base, "documents"))

@@ -20,7 +20,8 @@ BASE, NGRAM = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(9, 14)]] = True
-BYTE_VALUE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+# two families of hash values
+BYTE_VALUE = np.random.default_rng(20).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * U(2) + U(1)
 _power: list[np.ndarray] = []
 
 
@@ -53,7 +54,7 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], (bounds - bounds[0]).astype(np.int64)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
     """64-bit hash of each byte span; spans are ascending and do not overlap."""
     out = np.empty(len(start), np.uint64)
     at = 0
@@ -64,7 +65,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         power, inverse = powers(max(CHUNK, int(e[-1])) + 1)
         part = data[left : left + e[-1]]
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[part] * power[: len(part)], out=total[1:])
+        np.cumsum(BYTE_VALUE[family][part] * power[: len(part)], out=total[1:])
         out[at:stop] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)
         at = stop
     return mix(out)
