@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import encoded
+from tidemark.llm.factors import quality_scores
+from tidemark.llm.language import language_of
 from tidemark.llm.mixture import taken_words
 from tidemark.llm.repetition import quality_rules
 from tidemark.session import prepare
@@ -92,3 +94,15 @@ FROM v
 def op4_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     """Repetition measures of each document and whether it is kept."""
     return quality_rules(read_table(spark, base, "documents"))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, base: str) -> DataFrame:
+    """The language of each document."""
+    return language_of(read_table(spark, base, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, base: str) -> DataFrame:
+    """A quality score of each document, learned from the labels."""
+    return quality_scores(read_table(spark, base, "documents"), read_table(spark, base, "labels"))
