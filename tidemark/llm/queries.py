@@ -11,6 +11,7 @@ from tidemark.llm.bpe import encoded
 from tidemark.llm.factors import quality_scores
 from tidemark.llm.language import language_of
 from tidemark.llm.mixture import taken_words
+from tidemark.llm.pages import extracted
 from tidemark.llm.repetition import quality_rules
 from tidemark.session import prepare
 from tidemark.sources.tables import read_table
@@ -106,3 +107,9 @@ def op2_language_id(spark: SparkSession, base: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, base: str) -> DataFrame:
     """A quality score of each document, learned from the labels."""
     return quality_scores(read_table(spark, base, "documents"), read_table(spark, base, "labels"))
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, base: str) -> DataFrame:
+    """The main text of each page."""
+    return extracted(read_table(spark, base, "pages"))
