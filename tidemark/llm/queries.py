@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import encoded
 from tidemark.llm.factors import quality_scores
+from tidemark.llm.jaccard import linked
 from tidemark.llm.language import language_of
 from tidemark.llm.mixture import taken_words
 from tidemark.llm.pages import extracted
@@ -113,3 +114,9 @@ def op9_quality_classifier(spark: SparkSession, base: str) -> DataFrame:
 def op8_html_extraction(spark: SparkSession, base: str) -> DataFrame:
     """The main text of each page."""
     return extracted(read_table(spark, base, "pages"))
+
+
+@query("op5_ngram_jaccard_join")
+def op5_ngram_jaccard_join(spark: SparkSession, base: str) -> DataFrame:
+    """The group of near copies of each document, and how many documents it is linked to."""
+    return linked(read_table(spark, base, "documents"))

@@ -97,7 +97,7 @@ def ngram_hash(h: np.ndarray, n: int) -> np.ndarray:
     if len(h) < n:
         return np.zeros(0, np.uint64)
     out, size, have = None, 0, h
-    width, factor = 1, NGRAM
+    width, factor = 1, int(NGRAM)
     while True:
         if n & width:
             if out is None:
@@ -110,8 +110,8 @@ def ngram_hash(h: np.ndarray, n: int) -> np.ndarray:
         if width > n:
             return mix(out[: len(h) - n + 1] + U(n))
         m = len(have) - width // 2
-        have = have[:m] * factor + have[width // 2 :]
-        factor = factor * factor
+        have = have[:m] * U(factor) + have[width // 2 :]
+        factor = factor * factor % (1 << 64)
 
 
 def row_ngrams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
