@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +40,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of a session, once; functions that run there import it."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if getattr(context, "_tidemark_shipped", False) or not root.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._tidemark_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the cluster's checkpoint dir, or a local one where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
