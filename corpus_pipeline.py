@@ -5,23 +5,57 @@ Every stage is (spark, docs, sf_dir) -> DataFrame. It is written as Parquet and
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import encoded
+from tidemark.llm.factors import machine_for, scored
+from tidemark.llm.jaccard import one_of_each
 from tidemark.llm.mixture import mixed_documents
+from tidemark.llm.substrings import without_repeats
 from tidemark.session import prepare, work_dir
 from tidemark.sources.tables import read_table
 
 
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good."""
+    machine = machine_for(docs, read_table(spark, sf_dir, "labels"))
+    return scored(docs, machine, docs.columns).where("predicted = 1").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; those left without words go."""
+    cut = without_repeats(docs)
+    changed = F.col("n_removed") > 0
+    cut = cut.where(~changed | (F.col("n_removed") < F.col("n_words")))
+    return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source weights take them; what one source's target cuts is cut."""
+    """Documents as often as the source weights take them; what its source's target cuts is cut."""
     return mixed_documents(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document of the mix, with the hashes of the ids and of the text they decode to."""
+    return encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+
+
 STAGES = [
+    ("classify_quality", classify_quality),
+    ("drop_near_copies", drop_near_copies),
+    ("cut_repeats", cut_repeats),
     ("mix_sources", mix_sources),
+    ("encode", encode),
 ]
 
-# SQL can express none of the classifier, the clusters and the tokens
+# SQL can express neither the classifier nor the tokens
 ORACLE_SQL = None
 
 

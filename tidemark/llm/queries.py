@@ -14,6 +14,7 @@ from tidemark.llm.language import language_of
 from tidemark.llm.mixture import taken_words
 from tidemark.llm.pages import extracted
 from tidemark.llm.repetition import quality_rules
+from tidemark.llm.substrings import without_repeats
 from tidemark.session import prepare
 from tidemark.sources.tables import read_table
 
@@ -120,3 +121,20 @@ def op8_html_extraction(spark: SparkSession, base: str) -> DataFrame:
 def op5_ngram_jaccard_join(spark: SparkSession, base: str) -> DataFrame:
     """The group of near copies of each document, and how many documents it is linked to."""
     return linked(read_table(spark, base, "documents"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, w AS ws FROM d),
+g AS (SELECT r, doc_id, i, word, CASE WHEN i + 12 <= len(ws) THEN array_to_string(ws[i : i + 12], ' ') END AS gram FROM w),
+f AS (SELECT r, i, word, gram IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY gram) AS hit FROM g),
+c AS (SELECT r, i, word, coalesce(max(i) FILTER (WHERE hit) OVER (PARTITION BY r ORDER BY i) > i - 13, false) AS gone FROM f),
+k AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+
+@query("op1_substring_dedup", OP1_SQL)
+def op1_substring_dedup(spark: SparkSession, base: str) -> DataFrame:
+    """Each document without the passages that an earlier one has."""
+    return without_repeats(read_table(spark, base, "documents"), digest=True)
