@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encoded
 from tidemark.llm.factors import quality_scores
 from tidemark.llm.jaccard import linked
 from tidemark.llm.language import language_of
+from tidemark.llm.licenses import licenses
 from tidemark.llm.mixture import taken_words
+from tidemark.llm.nearest import neighbours
 from tidemark.llm.pages import extracted
 from tidemark.llm.repetition import quality_rules
 from tidemark.llm.substrings import without_repeats
@@ -138,3 +141,15 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 def op1_substring_dedup(spark: SparkSession, base: str) -> DataFrame:
     """Each document without the passages that an earlier one has."""
     return without_repeats(read_table(spark, base, "documents"), digest=True)
+
+
+@query("op6_nearest_neighbours")
+def op6_nearest_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return neighbours(read_table(spark, base, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, base: str) -> DataFrame:
+    """License statements in the documents."""
+    return licenses(read_table(spark, base, "documents"))
