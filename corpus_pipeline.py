@@ -7,10 +7,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encoded
-from tidemark.llm.factors import machine_for, scored
+from tidemark.llm.factors import good_documents
 from tidemark.llm.jaccard import one_of_each
 from tidemark.llm.mixture import mixed_documents
 from tidemark.llm.substrings import without_repeats
@@ -20,8 +19,7 @@ from tidemark.sources.tables import read_table
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
-    machine = machine_for(docs, read_table(spark, sf_dir, "labels"))
-    return scored(docs, machine, docs.columns).where("predicted = 1").select(*docs.columns)
+    return good_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; those left without words go."""
-    cut = without_repeats(docs)
-    changed = F.col("n_removed") > 0
-    cut = cut.where(~changed | (F.col("n_removed") < F.col("n_words")))
-    return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.text import U, Words, map_texts, row_sums
+from tidemark.llm.text import U, Words, map_texts, positional, row_sums
 from tidemark.session import cut_lineage
 
 WORDS, BINS, RANK = 1 << 14, 8, 8
@@ -153,11 +154,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Machine:
     return machine
 
 
-def scored(docs: DataFrame, machine: Machine, keep: list[str], threshold: float = 0.3) -> DataFrame:
-    """`keep` columns of `docs` with score and predicted; scoring reads the text and n_chars alone."""
+def scored(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
+    """The columns of `docs` under names by place, with score and predicted; scoring reads the text and n_chars alone."""
     held = docs.sparkSession.sparkContext.broadcast(machine)
-    table = docs.select(*keep, F.col("text").cast("string").alias("_text"), F.col("n_chars").cast("double").alias("_given"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[: len(keep)]]
+    plain, keep, fields = positional(docs)
+    text, given = (F.col(keep[docs.columns.index(c)]) for c in ("text", "n_chars"))
+    table = plain.select(*keep, text.cast("string").alias("_text"), given.cast("double").alias("_given"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(batch.column(len(keep)))
@@ -165,7 +167,8 @@ def scored(docs: DataFrame, machine: Machine, keep: list[str], threshold: float
         made = [*(batch.column(i) for i in range(len(keep))), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
         return pa.RecordBatch.from_arrays(made, names=[*keep, "score", "predicted"])
 
-    return map_texts(table, "_text", ", ".join([*fields, "score double", "predicted int"]), run)
+    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return map_texts(table, "_text", schema, run)
 
 
 def remainder(id: Column) -> Column:
@@ -186,4 +189,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Data
     """
     rest = F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False))
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rest.alias("held_out"), "text", "n_chars")
-    return scored(table, machine_for(docs, labels, most), ["doc_id", "held_out"])
+    return scored(table, machine_for(docs, labels, most)).select(F.col("_c0").alias("doc_id"), F.col("_c1").alias("held_out"), "score", "predicted")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, most: int = 8000) -> DataFrame:
+    """The rows of `docs` that are predicted to be good, with all their columns; see `quality_scores`."""
+    kept = scored(docs, machine_for(docs, labels, most)).where("predicted = 1").drop("score", "predicted")
+    return kept.toDF(*docs.columns)

@@ -8,17 +8,19 @@ counted inside the tiles, so no row stands for a pair.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.text import BLOCK_BYTES, U, Words, map_texts, mix, ngram_hash, row_ngrams
+from tidemark.llm.substrings import packed
+from tidemark.llm.text import BLOCK_BYTES, U, Words, map_texts, mix, ngram_hash, positional, row_ngrams
 from tidemark.session import cut_lineage
 
 SIDE = 256
@@ -57,7 +59,7 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, a 128-bit fingerprint of the n-gram set (one, two), its size and its band values."""
+    """doc_id, a 128-bit fingerprint of the n-gram set (one, two), its size, its band values and a hash of the text."""
     rng = np.random.default_rng(5)
     factor = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * U(2) + U(1)
     offset = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -77,22 +79,12 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 for k in range(band * rows, (band + 1) * rows):
                     total = mix(total + np.minimum.reduceat(h * factor[k] + offset[k], begin))
                 value[some, band] = total
+        mark = [int.from_bytes(hashlib.blake2b(w.data[a:b], digest_size=8).digest(), "little", signed=True) for a, b in itertools.pairwise(w.bounds.tolist())]
         values = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * w.rows + 1, bands), pa.int32()), pa.array(value.ravel().view(np.int64)))
-        made = [batch.column(0), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(size), values]
-        return pa.RecordBatch.from_arrays(made, names=["doc_id", "one", "two", "size", "bands"])
+        made = [batch.column(0), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(size), values, pa.array(mark, pa.int64())]
+        return pa.RecordBatch.from_arrays(made, names=["doc_id", "one", "two", "size", "bands", "print"])
 
-    return map_texts(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), "text", "doc_id long, one long, two long, size long, bands array<long>", run)
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the text in compressed form: what is shuffled has a third of its size."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = zstandard.ZstdCompressor(level=1)
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.compress(t or b"") for t in texts], pa.binary())], names=["_id", "pack"])
-
-    return map_texts(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), "text", "_id long, pack binary", run)
+    return map_texts(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), "text", "doc_id long, one long, two long, size long, bands array<long>, print long", run)
 
 
 class Member:
@@ -227,13 +219,14 @@ def linked(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
 
     n_links: other rows whose n-gram sets have a Jaccard similarity of `threshold` or more, copies included. class_id: the
     smallest doc_id of the rows that such links connect. A text of fewer than n words is one n-gram; without words (null,
-    empty) a row has no links and is its own class. Repeated rows are copies. A row without doc_id counts as a copy and is
-    never the smallest id. `tile`: n-grams on one side of a tile. Other columns are not read.
+    empty) a row has no links and is its own class. Repeated rows are copies. A row without doc_id takes no part: no class,
+    no links. `tile`: n-grams on one side of a tile. Other columns are not read.
     """
     bands, rows = bands_for(threshold, recall)
-    signed = cut_lineage(signatures(docs, n, bands, rows))
+    signed = signatures(docs, n, bands, rows).withColumn("size", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("size")))
+    signed = cut_lineage(signed)
     classes = (signed.where("size > 0").groupBy("one", "two")
-               .agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.max("size").alias("size"), F.max("bands").alias("bands"))
+               .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "print")).alias("least"), F.max("size").alias("size"), F.max("bands").alias("bands"))
                .withColumn("class", F.monotonically_increasing_id()))
     classes = cut_lineage(classes)
     placed = classes.select("class", "size", F.posexplode("bands").alias("band", "value"))
@@ -248,9 +241,9 @@ def linked(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     wanted = cut_lineage(members.select(F.col("class").alias("_class"), "band", "value", "chunks", chunk.alias("chunk")))
     # each text is fetched once, and then sent to its tiles
     calls = wanted.groupBy("_class").agg(F.collect_list(F.struct("band", "value", "chunks", "chunk")).alias("calls"))
-    known = calls.join(classes, F.col("_class") == F.col("class")).select("class", "copies", "bands", "least", "calls")
-    texts = packed(docs)
-    sent = known.join(texts, F.col("least") == F.col("_id")).withColumn("call", F.explode("calls"))
+    known = calls.join(classes, F.col("_class") == F.col("class")).select("class", "copies", "bands", F.col("least.doc_id").alias("least"), F.col("least.print").alias("print"), "calls")
+    texts = packed(docs.select("doc_id", "text")).select("_id", "_print", F.col("_pack").alias("pack"))
+    sent = known.join(texts, (F.col("least") == F.col("_id")) & (F.col("print") == F.col("_print"))).withColumn("call", F.explode("calls"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("call.chunks") - 1))
     tiles = (sent.select("class", "copies", "bands", "pack", "call", other.alias("_other"))
              .select("class", "copies", "bands", "pack", F.col("call.band").alias("band"), F.col("call.value").alias("value"), F.col("call.chunk").alias("chunk"),
@@ -258,7 +251,7 @@ def linked(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     found = cut_lineage(tile_links(tiles, n, threshold))
     counts = found.groupBy(F.col("class").alias("_c")).agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
-    labelled = (classes.select("class", "one", "two", "copies", "least").join(counts, F.col("class") == F.col("_c"), "left")
+    labelled = (classes.select("class", "one", "two", "copies", F.col("least.doc_id").alias("least")).join(counts, F.col("class") == F.col("_c"), "left")
                 .join(groups, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")))
     least = labelled.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("class_id"))
     labelled = (labelled.join(least, F.col("root") == F.col("_root"))
@@ -268,6 +261,8 @@ def linked(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that are the smallest of their group, all columns; rows without words stay, one for each id."""
-    kept = linked(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id"])
+    """The rows of `docs` that are the smallest of their group, all columns, one for each id; rows without an id go."""
+    kept = linked(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
+    plain, names, _ = positional(docs)
+    id = names[docs.columns.index("doc_id")]
+    return plain.join(kept, F.col(id) == F.col("_kept")).select(*names).dropDuplicates([id]).toDF(*docs.columns)

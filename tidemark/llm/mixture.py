@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.text import positional
 from tidemark.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -179,12 +180,14 @@ def mixed_documents(docs: DataFrame, block_words: int = 1024, most: int = 3) ->
     shares = (taken_rows(docs, block_words, most).where("taken > 0")
               .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_md5").alias("_md5"))
               .agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken")))
-    same = F.col("_text").eqNullSafe(F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    joined = docs.withColumn("_text", F.md5("text")).join(shares, same).dropDuplicates(["_text", "doc_id", "source"])
+    plain, names, _ = positional(docs)
+    id, text, source = (names[docs.columns.index(c)] for c in ("doc_id", "text", "source"))
+    same = F.col("_text").eqNullSafe(F.col("_md5")) & F.col(id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source"))
+    joined = plain.withColumn("_text", F.md5(text)).join(shares, same).dropDuplicates(["_text", id, source])
     lap = joined.withColumn("_lap", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size")))))
     lap = lap.withColumn("_words", F.least(F.col("_size"), F.col("_taken") - F.col("_lap") * F.col("_size")))
-    part = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_words").cast("int")))
-    out = lap.withColumn("text", F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("text")))
+    part = F.concat_ws(" ", F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_words").cast("int")))
+    out = lap.withColumn(text, F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+        out = out.withColumn(names[docs.columns.index("n_chars")], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*names).toDF(*docs.columns)

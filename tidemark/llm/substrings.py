@@ -19,8 +19,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.text import BLOCK_BYTES, U, Words, blocks, map_texts, mix, ngram_hash, span_hash, string_bytes
+from tidemark.llm.text import BLOCK_BYTES, U, Words, blocks, map_texts, mix, ngram_hash, positional, string_bytes
 
 ANCHOR = 5
 
@@ -45,12 +46,12 @@ class Windows:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """`docs` with the text compressed in `_pack` instead, and its hash in `_print`."""
-    others = [f for f in docs.schema.fields if f.name != "text"]
-    names = [f"_c{i}" for i in range(len(others))]
-    plain = docs.select(F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("_id"),
-                        *(F.col(f"`{f.name}`").alias(n) for f, n in zip(others, names, strict=True)))
-    fields = [f"{n} {f.dataType.simpleString()}" for f, n in zip(others, names, strict=True)]
+    """The text compressed in `_pack`, its hash in `_print`, doc_id in `_id`, and the other columns of `docs` by place."""
+    plain, names, fields = positional(docs)
+    text, id = names[docs.columns.index("text")], names[docs.columns.index("doc_id")]
+    names.remove(text)
+    fields = [f for f in fields if f.name != text]
+    plain = plain.select(F.col(text).cast("string").alias("_text"), F.col(id).cast("long").alias("_id"), *names)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = zstandard.ZstdCompressor(level=1)
@@ -60,7 +61,7 @@ def packed(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(packs, pa.binary()), pa.array(mark), *(batch.column(i) for i in range(1, batch.num_columns))],
                                           names=["_pack", "_print", "_id", *names])
 
-    return map_texts(plain, "_text", ", ".join(["_pack binary", "_print long", "_id long", *fields]), run)
+    return map_texts(plain, "_text", T.StructType([T.StructField("_pack", T.BinaryType()), T.StructField("_print", T.LongType()), T.StructField("_id", T.LongType()), *fields]), run)
 
 
 def unpacked(column: pa.Array) -> pa.Array:
@@ -200,7 +201,8 @@ def without_repeats(docs: DataFrame, size: int = 13, group: int = 5000, digest:
     """`docs` without the words of every window that also starts in a document with a smaller doc_id.
 
     Windows are judged on the input. With `digest`: doc_id, n_words, n_removed, kept_sha256 of every row. Else: the columns of
-    `docs`, the text of rows that lost words being the kept words joined by one blank, plus n_words and n_removed.
+    `docs`; the text of a row that lost words is the kept words joined by one blank, and n_chars, if there, its length. Rows
+    that lose all their words go.
 
     Null and empty texts have no words. A row without doc_id neither loses words nor makes others lose any. Repeated rows are
     treated alike; rows of one doc_id are not smaller than each other. `group`: documents from which an anchor is split by
@@ -227,11 +229,10 @@ def without_repeats(docs: DataFrame, size: int = 13, group: int = 5000, digest:
              .agg(F.collect_list("place").alias("places"), F.collect_list("bits").alias("bits")))
     # collected lists hold places in no order of their own, but pairwise alike: both come from the same rows
     joined = texts.join(marks, (F.col("_id") == F.col("_mid")) & (F.col("_print") == F.col("_mprint")), "left")
-    others = [f for f in docs.schema.fields if f.name != "text"] if not digest else [f for f in docs.schema.fields if f.name == "doc_id"]
-    names = [f"_c{i}" for i in range(len(others))]
+    fields = [f for f in texts.schema.fields if f.name.startswith("_c")]
+    names = [f.name for f in fields]
     rows = joined.select("_pack", "places", "bits", *names)
-    fields = [f"{n} {f.dataType.simpleString()}" for f, n in zip(others, names, strict=True)]
-    output = "n_words long, n_removed long, kept_sha256 string" if digest else "n_words long, n_removed long, _text string"
+    output = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256" if digest else "_text", T.StringType())]
 
     def run(batches):
         for batch in batches:
@@ -239,11 +240,14 @@ def without_repeats(docs: DataFrame, size: int = 13, group: int = 5000, digest:
                 made = cut(part, size, digest)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3, part.num_columns)), *made], names=[*names, "n_words", "n_removed", "kept_sha256" if digest else "_text"])
 
-    result = rows.mapInArrow(run, ", ".join([*fields, output]))
+    result = rows.mapInArrow(run, T.StructType([*fields, *output]))
     if digest:
-        return result.withColumnsRenamed(dict(zip(names, [f.name for f in others], strict=True)))
-    place = dict(zip([f.name for f in others], names, strict=True)) | {"text": "_text"}
-    return result.select(*(F.col(place[c]).alias(c) for c in docs.columns), "n_words", "n_removed")
+        return result.select(F.col(names[0]).cast("long").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    changed = F.col("n_removed") > 0
+    places = {c: F.col("_text") if c == "text" else F.col(f"_c{i}") for i, c in enumerate(docs.columns)}
+    if "n_chars" in places:
+        places["n_chars"] = F.when(changed, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(places["n_chars"])
+    return result.where(~changed | (F.col("n_removed") < F.col("n_words"))).select(*(column.alias(c) for c, column in places.items()))
 
 
 def cut(batch: pa.RecordBatch, size: int, digest: bool) -> list[pa.Array]:

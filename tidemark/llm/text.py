@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 2_000_000
 CHUNK = 1 << 20
@@ -134,7 +135,14 @@ def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Itera
         at = stop
 
 
-def map_texts(df: DataFrame, column: str, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+def positional(df: DataFrame) -> tuple[DataFrame, list[str], list[T.StructField]]:
+    """`df` with its columns named by place, so that no name of theirs meets one of an operator; names and fields in order."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    fields = [T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)]
+    return df.toDF(*names), names, fields
+
+
+def map_texts(df: DataFrame, column: str, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """`fn` over blocks of rows; it gets and returns Arrow record batches."""
 
     def run(batches):
