@@ -79,13 +79,14 @@ class Machine:
         linear = np.add.reduceat(self.weight[feature] * value, first)
         return self.bias + linear + 0.5 * ((sums**2).sum(1) - squares), sums
 
-    def learn(self, row, feature, value, label: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.1, decay: float = 1e-5) -> None:
-        """Logistic loss by AdaGrad over small batches, in an order that the seed fixes."""
+    def learn(self, row, feature, value, label: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 0.1, decay: float = 1e-5) -> None:
+        """Logistic loss by AdaGrad over `steps` small batches, in an order that the seed fixes."""
         rng = np.random.default_rng(7)
         first = np.searchsorted(row, np.arange(len(label) + 1))
         seen_w, seen_v, seen_b = np.full(FEATURES, 1e-8), np.full((FEATURES, RANK), 1e-8), 1e-8
-        for _ in range(epochs):
-            for some in np.array_split(rng.permutation(len(label)), max(1, len(label) // batch)):
+        parts = max(1, len(label) // batch)
+        for _ in range(-(-steps // parts)):
+            for some in np.array_split(rng.permutation(len(label)), parts):
                 at = np.concatenate([np.arange(first[i], first[i + 1]) for i in some])
                 r = np.repeat(np.arange(len(some)), first[some + 1] - first[some])
                 f, x = feature[at], value[at]

@@ -6,6 +6,7 @@ much smaller. The templates that save most are then compared with the block word
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import functools
 import re
@@ -89,60 +90,32 @@ def differences(template: list[str], block: list[str]) -> tuple[list[str], list[
 
 
 def statements(text: str) -> list[tuple]:
-    """(line, license, saving, exact, missing words, added words) of each line that begins or holds a statement.
+    """(line, license, saving, exact, missing words, added words) of each statement, in order.
 
-    A template's block is the line with a trigger word and what follows, as long as the template and a quarter more. Of the
-    templates that save most, the one with the fewest differences stays, the longer one among equals.
+    A template's block is the words around a trigger word: as many before it as the template has, and a quarter more after. Of
+    the templates that save most, the one stays that matches most words, a difference counting as five of them.
     """
     alone, templates = prepared()
-    lines = text.split("\n")
-    out = []
-    until = -1
-    for number, line in enumerate(lines):
-        if number <= until or not re.search(TRIGGER, line):
+    spans = [m.span() for m in WORD.finditer(text)]
+    tokens, ends = [text[a:b].lower() for a, b in spans], [b for _, b in spans]
+    out, done = [], 0
+    for hit in re.finditer(TRIGGER, text):
+        here = bisect.bisect_right(ends, hit.start())
+        if here < done or here == len(tokens):
             continue
-        # a trigger late in a long line: the statement may begin anywhere in the line
-        mine = [(m.start(), m.end()) for m in WORD.finditer(line)]
-        hits = [m.start() for m in re.finditer(TRIGGER, line)]
-        seen: set[tuple] = set()
-        done = -1
-        for hit in hits:
-            if hit < done:
-                continue
-            here = next((i for i, (_, end) in enumerate(mine) if end > hit), len(mine))
-            ranked = []
-            for name, wanted, given in templates:
-                back = max(0, here - len(wanted))
-                size = len(wanted) + len(wanted) // 4 + 2
-                start = mine[back][0] if mine else 0
-                ahead, have = [line[start:]], len(mine) - back
-                follow = number + 1
-                while have < size + (here - back) and follow < len(lines):
-                    ahead.append(lines[follow])
-                    have += len(words(lines[follow]))
-                    follow += 1
-                cut = [(m.group(), m.end()) for m in WORD.finditer("\n".join(ahead))][: size + (here - back)]
-                if cut:
-                    block = "\n".join(ahead)[: cut[-1][1]]
-                    ranked.append((saving(alone, given, block), name, wanted, [w.lower() for w, _ in cut], back))
-            ranked.sort(key=lambda r: (-r[0], r[1]))
-            confirmed = []
-            for save, name, wanted, block, back in ranked[:RANKED]:
-                found = differences(wanted, block) if save >= LEAST_SAVING else None
-                if found and len(found[0]) + len(found[1]) <= MOST_CHANGED * len(wanted):
-                    confirmed.append((len(found[0]) + len(found[1]), -len(wanted), name, save, found, back))
-            if confirmed:
-                changes, _, name, save, found, back = min(confirmed)
-                key = (name, back + found[2])
-                if key not in seen:
-                    seen.add(key)
-                    out.append((number, name, save, changes == 0, found[0], found[1]))
-                end = back + found[3]
-                done = mine[end - 1][1] if end <= len(mine) else len(line)
-                extra = end - len(mine)
-                while extra > 0 and until < len(lines) - 1:
-                    until = max(until, number) + 1
-                    extra -= len(words(lines[until])) if until < len(lines) else extra
+        ranked = []
+        for name, wanted, given in templates:
+            first, last = max(done, here - len(wanted)), min(len(tokens), here + len(wanted) + len(wanted) // 4 + 2)
+            ranked.append((saving(alone, given, text[spans[first][0] : spans[last - 1][1]]), name, wanted, first, last))
+        confirmed = []
+        for save, name, wanted, first, last in sorted(ranked, key=lambda r: (-r[0], r[1]))[:RANKED]:
+            found = differences(wanted, tokens[first:last]) if save >= LEAST_SAVING else None
+            if found and len(found[0]) + len(found[1]) <= MOST_CHANGED * len(wanted):
+                confirmed.append((len(wanted) - len(found[0]) - 5 * (len(found[0]) + len(found[1])), name, save, found, first))
+        if confirmed:
+            _, name, save, (missing, added, start, end), first = max(confirmed, key=lambda c: (c[0], c[1]))
+            done = first + end
+            out.append((text.count("\n", 0, spans[first + start][0]), name, save, not missing and not added, missing, added))
     return out
 
 
