@@ -94,3 +94,34 @@ def test_values_of_a_day_apart(spark):
     df = spark.createDataFrame([("k", start + timedelta(days=d), d) for d in range(20)], "key string, t timestamp, n int")
     gaps = previous_in_key(df, ["key"], ["t"], ["n"], partitions=3).selectExpr("n - prev.n AS gap").dropna().distinct().collect()
     assert [g["gap"] for g in gaps] == [1]
+
+
+def test_half_even_is_exact(spark):
+    import random
+
+    from tidemark.functions.columns import half_even
+
+    rng = random.Random(5)
+    values = [1.115, 2.675, 0.125, 0.375, -0.125, -2.675, 2.5, 3.5, 1e18, -1e300, 0.0, 1e-9, 5e-324, 1.005, 8.345] + [rng.uniform(-1000, 1000) for _ in range(2000)]
+    values += [round(rng.uniform(0, 100), 3) for _ in range(3000)] + [k + 0.5**d for k in range(40) for d in range(1, 8)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    for digits in (2, 3, 4):
+        got = [r["r"] for r in df.select(half_even("v", digits).alias("r")).collect()]
+        assert got == [round(v, digits) for v in values]
+
+
+def test_patterns_and_prices(spark):
+    from tidemark.functions.checkdigits import valid_gtin13
+    from tidemark.functions.rules import EVENT_ID, ORDER_ID
+
+    df = spark.createDataFrame([("4600000000008", "ORD-20240101-0001", "0" * 36)], "g string, o string, e string")
+    for end, want in (("", True), ("\n", False), (" ", False)):
+        row = df.select(valid_gtin13(F.concat("g", F.lit(end))).alias("g"), F.concat("o", F.lit(end)).rlike(ORDER_ID).alias("o"), F.concat("e", F.lit(end)).rlike(EVENT_ID).alias("e")).first()
+        assert tuple(row) == (want, want, want)
+
+
+def test_comparison_of_huge_numbers(spark):
+    from tidemark.operators.compare import same_rows
+
+    a, b = spark.createDataFrame([(1e40,), (2.0,)], "v double"), spark.createDataFrame([(1e40,), (2.0000000001,)], "v double")
+    assert same_rows(a, b).first()["match"] and not same_rows(a, b.selectExpr("v * 2 v")).first()["match"]

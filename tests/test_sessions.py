@@ -65,7 +65,7 @@ def test_gap_of_exactly_thirty_minutes_joins(spark):
 def test_caps_set_the_flags(spark):
     rows = make([("t", "s", "u", f"/p{i}", f"d{i % 3}", "click", i) for i in range(10)])
     got = rows_of(sessionize(spark.createDataFrame(rows, DDL), max_pages=4, max_products=3))
-    assert got == [("t", "s", "u", rows[0][6], rows[-1][6], 10, 4, 3, "product_view", True, False)]
+    assert got == [("t", "s", "u", rows[0][6], rows[-1][6], 10, 10, 3, "product_view", True, False)]
 
 
 def test_funnel_stages(spark):

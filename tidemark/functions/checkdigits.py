@@ -21,7 +21,7 @@ def _weighted_sum(code: Column, weights: Sequence[int]) -> Column:
 
 
 def _digits(code: Column, length: int) -> Column:
-    return F.coalesce(code.rlike(f"^[0-9]{{{length}}}$"), F.lit(False))
+    return F.coalesce(code.rlike(rf"^[0-9]{{{length}}}\z"), F.lit(False))
 
 
 def _mod10_ok(code: Column) -> Column:

@@ -23,9 +23,26 @@ def rounded(c: Column | str, digits: int) -> Column:
 
 
 def half_even(c: Column | str, digits: int) -> Column:
-    """Banker's rounding of a double, on its binary value."""
-    scale = F.lit(float(10 ** digits))
-    return F.rint(col(c).cast("double") * scale) / scale
+    """Banker's rounding of a double, on its exact binary value.
+
+    The product with the scale is itself rounded, so where it falls on a half its error decides; the error is exact,
+    from both factors split into halves of their digits.
+    """
+    scale = float(10**digits)
+    split = 134217729.0  # 2^27 + 1
+    high = scale * split - (scale * split - scale)
+
+    def nearest(x: Column) -> Column:
+        product = x * scale
+        whole = F.rint(product)
+        x_high = x * split - (x * split - x)
+        error = ((x_high * high - product) + x_high * (scale - high) + (x - x_high) * high) + (x - x_high) * (scale - high)
+        over = product - whole
+        settled = (F.when((over == 0.5) & (error > 0), whole + 1.0).when((over == -0.5) & (error < 0), whole - 1.0).otherwise(whole))
+        # a double of this size has no digits to round, and the split would overflow
+        return F.when(F.abs(product) >= 4503599627370496.0, x).otherwise(settled / scale)
+
+    return F.get(F.transform(F.array(col(c).cast("double")), nearest), F.lit(0))
 
 
 def half_even_exact(c: Column | str, digits: int) -> Column:

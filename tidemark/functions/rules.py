@@ -20,8 +20,8 @@ PAYMENT_STATUSES = ("initiated", "completed", "failed", "refunded")
 CDC_SOURCES = ("postgres_cdc", "mysql_cdc")
 CDC_OPERATIONS = ("snapshot", "insert", "update", "delete", "ddl")
 CLICK_TYPES = ("click", "page_view", "add_to_cart")
-EVENT_ID = r"^[a-f0-9\-]{36}$"
-ORDER_ID = r"^ORD-\d{8}-\d{4,}$"
+EVENT_ID = r"^[a-f0-9\-]{36}\z"
+ORDER_ID = r"^ORD-\d{8}-\d{4,}\z"
 CLOCK_SKEW_SECONDS = 300
 TOTAL_TOLERANCE = "0.01"
 
@@ -81,8 +81,9 @@ def order_rules() -> list[Column]:
     items = F.col("items")
     bad_quantity = F.exists(items, lambda i: ~F.coalesce(
         i["quantity"].try_cast("int").between(1, 1000), F.lit(False)))
-    price_ok = lambda i: ((i["unit_price"].try_cast("decimal(24,6)") > 0)
-                          & (i["unit_price"].try_cast("decimal(24,6)") == F.round(i["unit_price"].try_cast("decimal(24,6)"), 2)))
+    # two decimals at most: what the cast keeps has no third one, and neither has the text behind them
+    exact = lambda i: i["unit_price"].try_cast("decimal(38,18)")
+    price_ok = lambda i: (exact(i) > 0) & (exact(i) == F.round(exact(i), 2)) & ~i["unit_price"].rlike(r"\.[0-9]{2}[0-9]*[1-9]")
     bad_price = F.exists(items, lambda i: ~F.coalesce(price_ok(i), F.lit(False)))
     total = number("total_amount")
     return [

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import at, half_even, seconds_before
 from tidemark.operators.latest import drop_known
 from tidemark.operators.ordered import previous_in_key
-from tidemark.session import small_side
 
 
 def evaluate_rules(rules: DataFrame, current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -25,7 +24,7 @@ def evaluate_rules(rules: DataFrame, current: DataFrame, previous: DataFrame) ->
     now = current.select(*keys, F.col("value").alias("cur"))
     before = previous.select(*keys, F.col("value").alias("prev"))
     zero = F.lit(0.0)
-    joined = small_side(rules).join(now, keys, "left").join(before, keys, "left").withColumns(
+    joined = rules.join(now, keys, "left").join(before, keys, "left").withColumns(
         {"cur": F.coalesce("cur", zero), "prev": F.coalesce("prev", zero)})
     change = F.when(F.col("prev") != 0, (F.col("cur") - F.col("prev")) / F.abs("prev") * 100.0).when(F.col("cur") == 0, 0.0)
     limit = F.col("threshold")
@@ -185,7 +184,7 @@ def matches(event: str = "e", hook: str = "s", ids: tuple[str, ...] = ID_COLUMNS
 
 def match_subscriptions(events: DataFrame, hooks: DataFrame, ids: tuple[str, ...] = ("entity_id",)) -> DataFrame:
     """(webhook_id, event_id) of all matches. The tenant equality keeps it a hash join; hooks are configuration."""
-    joined = events.alias("e").join(small_side(hooks).alias("s"), (F.col("e.tenant_id") == F.col("s.tenant_id")) & matches(ids=ids))
+    joined = events.alias("e").join(hooks.alias("s"), (F.col("e.tenant_id") == F.col("s.tenant_id")) & matches(ids=ids))
     return joined.select("s.webhook_id", "e.tenant_id", "e.event_id", "e.event_type", "e.processed_at")
 
 

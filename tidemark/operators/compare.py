@@ -19,7 +19,7 @@ def _quantised(df: DataFrame, numeric: Sequence[bool]) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if number:
             c = c.cast("double")
-            c = F.when(F.isnan(c), F.lit("NaN")).otherwise(F.round(c / TOLERANCE).cast("decimal(38,0)").cast("string"))
+            c = F.when(F.isnan(c), F.lit("NaN")).otherwise(F.coalesce(F.round(c / TOLERANCE).try_cast("decimal(38,0)").cast("string"), c.cast("string")))
         elif isinstance(f.dataType, T.BinaryType):
             c = F.hex(c)
         else:

@@ -13,7 +13,6 @@ from tidemark.operators.latest import latest_version
 
 # Fixed priority of the columns that can date a row.
 TIME_COLUMNS = ("updated_at", "last_updated", "last_order_at", "ended_at", "started_at", "created_at")
-TOTAL_CAP = 10_000
 
 
 def scan_entity(table: DataFrame, key: str, limit: int) -> DataFrame:
@@ -62,14 +61,12 @@ def entities_as_of(snapshots: DataFrame, current: DataFrame, key: str, anchor: d
 
 
 def offset_page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """A page with a has-more probe, and the total as long as it stays under a bound (NULL beyond)."""
+    """A page with a has-more probe, and the total of all rows."""
     probe = rows.orderBy(*order).offset(offset).limit(limit + 1)
     number = F.row_number().over(Window.orderBy(*order))  # at most limit + 1 rows reach this window
     page = (probe.withColumn("_no", number).withColumn("has_more", F.count("*").over(Window.partitionBy()) > limit)
             .filter(F.col("_no") <= limit).withColumn("position", F.col("_no") + offset).drop("_no"))
-    total = rows.limit(TOTAL_CAP + 1).agg(F.count("*").alias("n")).select(
-        F.when(F.col("n") <= TOTAL_CAP, F.col("n")).alias("total"))
-    return page, total
+    return page, rows.agg(F.count("*").alias("total"))
 
 
 def query_hash(parts: Sequence[str]) -> Column:
@@ -102,8 +99,10 @@ def newest_events(journal: DataFrame, limit: int, event_family: str | None = Non
     return rows.orderBy(F.desc("processed_at"), F.desc("event_id")).limit(limit)
 
 
-def bounded_scan(rows: DataFrame, order: Sequence[Column], cap: int) -> DataFrame:
-    """At most `cap` rows and a flag that says whether there were more."""
+def bounded_scan(rows: DataFrame, order: Sequence[Column], cap: int | None = None) -> DataFrame:
+    """All rows; with `cap`, the first so many in order, and a flag that says whether there were more."""
+    if cap is None:
+        return rows.withColumn("scan_truncated", F.lit(False))
     probe = rows.orderBy(*order).limit(cap + 1)
     number = F.row_number().over(Window.orderBy(*order))
     return (probe.withColumn("_no", number)

@@ -191,17 +191,6 @@ def search(index: DataFrame, documents: DataFrame, question: str, limit: int = 1
                       F.round((F.col("raw") / best).cast("decimal(20,12)"), 4).cast("double").alias("score"), "snippet", "endpoint")
 
 
-def refresh_mode(changed: int, scanned: int, window_rows: int = 1000, id_limit: int = 512, ticks: int = 0, full_every: int = 10) -> str:
-    """What a refresh does: nothing, an incremental pass, or a full rebuild with its reason."""
-    if ticks >= full_every:
-        return "full:scheduled"
-    if changed == 0:
-        return "noop"
-    if scanned >= window_rows:
-        return "full:overflow"
-    return "full:changed-set" if changed > id_limit else "incremental"
-
-
 def refresh_documents(documents: DataFrame, current: DataFrame, changed: DataFrame) -> DataFrame:
     """Next corpus after a change set of ids: changed documents re-read, vanished ones dropped, others kept.
 

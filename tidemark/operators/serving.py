@@ -72,9 +72,20 @@ def journal_rows(events: DataFrame) -> DataFrame:
             .select("j.*"))
 
 
+# What tells the first delivery of an identity: arrival, then position, as far as a batch has them.
+ARRIVAL = ("processed_at", "ingest_ts", "ts", "offset", "src_key")
+
+
+def first_delivery(batch: DataFrame, keys: Sequence[str] = ("tenant_id", "event_id")) -> DataFrame:
+    """One whole row of each identity: the one that arrived first."""
+    order = [c for c in ARRIVAL if c in batch.columns] or list(keys)
+    values = [c for c in batch.columns if c not in keys]
+    return batch.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_row")).select(*keys, "_row.*").select(*batch.columns)
+
+
 def unapplied(batch: DataFrame, journal: DataFrame) -> DataFrame:
     """Rows of a batch that are new: first of their identity in the batch and absent from the journal."""
-    fresh = batch.dropDuplicates(["tenant_id", "event_id"])
+    fresh = first_delivery(batch)
     seen = journal.filter(F.col("topic").isin(APPLIED_TOPICS)).select("tenant_id", "event_id")
     return drop_known(fresh, seen, ["tenant_id", "event_id"])
 
@@ -130,12 +141,11 @@ def schedule_retries(pending: DataFrame, as_of: datetime, max_retries: int) -> D
 AUTO_RESOLVE_NOTE = "auto-resolved: no longer reproduces"
 
 
-def merge_triage(overlay: DataFrame, findings: DataFrame, as_of: datetime, truncated: bool = False) -> DataFrame:
+def merge_triage(overlay: DataFrame, findings: DataFrame, as_of: datetime) -> DataFrame:
     """Next state of the triage overlay after a scan.
 
     overlay: item_id, tenant_id, source, status, first_seen_at, last_seen_at, resolved_at, note;
-    findings: item_id, tenant_id, source, seen_at (one row per item). A truncated scan proves no absence, so
-    nothing is auto-resolved then.
+    findings: item_id, tenant_id, source, seen_at (one row per item). A scan is whole, so what it lacks is resolved.
     """
     o, f = overlay.alias("o"), findings.alias("f")
     joined = o.join(f, (F.col("o.item_id") == F.col("f.item_id")) & (F.col("o.tenant_id") == F.col("f.tenant_id")),
@@ -143,7 +153,7 @@ def merge_triage(overlay: DataFrame, findings: DataFrame, as_of: datetime, trunc
     new, seen = F.col("o.item_id").isNull(), F.col("f.item_id").isNotNull()
     was_resolved = F.col("o.status") == "resolved"
     reopen = seen & was_resolved & (F.col("f.seen_at") > F.col("o.resolved_at"))
-    clear = ~seen & ~was_resolved & F.lit(not truncated)
+    clear = ~seen & ~was_resolved
     reset = new | reopen
     return joined.select(
         F.coalesce("o.item_id", "f.item_id").alias("item_id"), F.coalesce("o.tenant_id", "f.tenant_id").alias("tenant_id"),

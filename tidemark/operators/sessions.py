@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import seconds_between
 
 GAP_SECONDS = 30 * 60
-# Fixed limits of the session state: distinct pages and products counted per session.
+# Fixed limits of the session state: beyond so many distinct pages or products a session is flagged. Counts are true.
 MAX_UNIQUE_PAGES = 1000
 MAX_UNIQUE_PRODUCTS = 1000
 
@@ -71,8 +71,7 @@ def sessionize(events: DataFrame, gap_seconds: int = GAP_SECONDS, tie: str = "sr
     return out.select(
         *keys, F.col("who.user_id").alias("user_id"), "started_at", "ended_at",
         seconds_between("started_at", "ended_at").alias("duration_seconds"), "event_count",
-        F.least("pages", F.lit(max_pages)).alias("unique_pages"),
-        F.least("products", F.lit(max_products)).alias("products_viewed"),
+        F.col("pages").alias("unique_pages"), F.col("products").alias("products_viewed"),
         funnel_stage(F.col("checkout"), F.col("cart"), F.col("products"), F.col("event_count"))
         .alias("funnel_stage"),
         F.col("checkout").alias("is_conversion"),

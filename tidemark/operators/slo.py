@@ -185,13 +185,13 @@ def pipeline_health(journal: DataFrame, as_of: datetime, sla: int = FRESHNESS_SL
     return one.select(F.explode(rows).alias("c")).select("c.component", F.get(names, F.col("c.severity")).alias("status"), "c.value")
 
 
-def rolling_compliance(events: DataFrame, limit_ms: int = FRESHNESS_SLA_SECONDS * 1000, size: int = 1000) -> DataFrame:
-    """Share of the last `size` events per topic within the limit.
+def rolling_compliance(events: DataFrame, limit_ms: int = FRESHNESS_SLA_SECONDS * 1000, size: int | None = None) -> DataFrame:
+    """Share of the events per topic within the limit; with `size`, of the last so many.
 
     The rank filter is applied in every task before the shuffle, so one topic ships at most size rows per task.
     """
     newest = Window.partitionBy("topic").orderBy(F.desc("processed_at"), F.desc("event_id"))
-    last = events.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= size)
+    last = events if size is None else events.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= size)
     return last.groupBy("topic").agg(F.avg((F.col("latency_ms") <= limit_ms).cast("double")).alias("compliance"),
                                      F.count("*").alias("events"))
 

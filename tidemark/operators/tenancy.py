@@ -17,7 +17,7 @@ class TenantScopeError(ValueError):
 
 
 def tenant_scope(df: DataFrame, tenant: str | None, column: str = "tenant_id") -> DataFrame:
-    """Rows of one tenant, without the tenant column.
+    """Rows of one tenant, without the tenant column. A row without a tenant belongs to the default one.
 
     With no tenant the read is allowed only while the table holds nothing but the default tenant;
     one row of any other tenant makes it fail.
@@ -25,9 +25,9 @@ def tenant_scope(df: DataFrame, tenant: str | None, column: str = "tenant_id") -
     if column not in df.columns:
         raise TenantScopeError(f"table has no {column} column")
     if tenant is None:
-        if not df.filter(F.coalesce(F.col(column), F.lit("")) != DEFAULT_TENANT).limit(1).isEmpty():
+        if not df.filter(F.coalesce(F.col(column), F.lit(DEFAULT_TENANT)) != DEFAULT_TENANT).limit(1).isEmpty():
             raise TenantScopeError("an unscoped read of a multi-tenant table is not allowed")
         return df.drop(column)
     if not isinstance(tenant, str) or not TENANT_PATTERN.fullmatch(tenant):
         raise TenantScopeError("invalid tenant id")
-    return df.filter(F.col(column) == tenant).drop(column)
+    return df.filter(F.coalesce(F.col(column), F.lit(DEFAULT_TENANT)) == tenant).drop(column)

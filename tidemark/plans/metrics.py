@@ -10,7 +10,6 @@ from tidemark.functions.columns import at, iso, money, ratio, rounded
 from tidemark.operators import metrics as m
 from tidemark.operators.tenancy import tenant_scope
 from tidemark.plans.registry import Inputs, dec_round, query, ts_text
-from tidemark.session import small_side
 
 TENANT = "default"
 ORDERS_NOW = "(SELECT max(created_at) FROM a_orders)"
@@ -51,7 +50,7 @@ _WINDOW_ROWS = ("(VALUES ('5m', 300), ('15m', 900), ('1h', 3600), ('6h', 21600),
 def _metric_sql(name, unit, table, ts, now, agg, windows=_WINDOW_ROWS, tenant=True, extra=""):
     return f"""
 SELECT {"tenant_id, " if not tenant else ""}'{name}' AS metric, '{unit}' AS unit, win AS "window",
-       round_even(CAST(coalesce({agg}, 0) AS DOUBLE), 4) AS value
+       CAST(printf('%.4f', CAST(coalesce({agg}, 0) AS DOUBLE)) AS DOUBLE) AS value
 FROM {windows} LEFT JOIN {table} ON {ts} >= {now} - to_seconds(secs) AND {ts} <= {now}
      AND tenant_id = '{TENANT}' {extra}
 GROUP BY win"""
@@ -105,7 +104,7 @@ def _matrix_rows(name, unit, table, ts, now, cells):
         inside = f"{ts} >= {now} - to_seconds({secs})"
         rows.append(f"""
 SELECT tenant_id, '{name}' AS metric, '{unit}' AS unit, '{win}' AS "window",
-       round_even(CAST(coalesce({agg.format(i=inside)}, 0) AS DOUBLE), 4) AS value
+       CAST(printf('%.4f', CAST(coalesce({agg.format(i=inside)}, 0) AS DOUBLE)) AS DOUBLE) AS value
 FROM {table} WHERE {ts} >= {now} - INTERVAL 1 DAY AND {ts} <= {now} GROUP BY tenant_id""")
     return " UNION ALL ".join(rows)
 
@@ -177,15 +176,16 @@ def exact_distinct_orders(t: Inputs):
 
 
 @query("a12_capped_distinct", """
-SELECT tenant_id, session_id, least(count(DISTINCT page_url), 20) AS unique_pages, count(DISTINCT page_url) > 20 AS pages_truncated,
-       least(count(DISTINCT product_id), 20) AS products_viewed, count(DISTINCT product_id) > 20 AS products_truncated
+SELECT tenant_id, session_id, count(DISTINCT page_url) AS unique_pages, count(DISTINCT page_url) > 20 AS pages_truncated,
+       count(DISTINCT product_id) AS products_viewed, count(DISTINCT product_id) > 20 AS products_truncated
 FROM a_events WHERE session_id IS NOT NULL GROUP BY tenant_id, session_id""")
 def capped_distinct(t: Inputs):
+    """Distinct counts, and whether they pass the limit that a stream's state would keep."""
     cap = 20
     return (t.a_events.filter(F.col("session_id").isNotNull()).groupBy("tenant_id", "session_id")
             .agg(F.count_distinct("page_url").alias("p"), F.count_distinct("product_id").alias("d"))
-            .select("tenant_id", "session_id", F.least("p", F.lit(cap)).alias("unique_pages"),
-                    (F.col("p") > cap).alias("pages_truncated"), F.least("d", F.lit(cap)).alias("products_viewed"),
+            .select("tenant_id", "session_id", F.col("p").alias("unique_pages"),
+                    (F.col("p") > cap).alias("pages_truncated"), F.col("d").alias("products_viewed"),
                     (F.col("d") > cap).alias("products_truncated")))
 
 
@@ -269,6 +269,6 @@ def metric_lineage(t: Inputs):
     """Which event types move which metric, and when they last did; events are counted per type first."""
     catalog = t.spark.createDataFrame(m.metric_lineage(), "metric string, source_event string, source_table string, unit string, sla int")
     moved = t.a_events.groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-    return (catalog.join(small_side(moved), catalog["source_event"] == moved["event_type"], "left")
+    return (catalog.join(moved, catalog["source_event"] == moved["event_type"], "left")
             .select("metric", "source_table", "source_event", F.coalesce("n", F.lit(0)).cast("long").alias("journal_rows"),
                     iso("last").alias("last_moved")))

@@ -15,7 +15,7 @@ from tidemark.operators import ops as o
 from tidemark.operators import serving as s
 from tidemark.operators import slo
 from tidemark.operators import usage as u
-from tidemark.operators.chain import verify_chain
+from tidemark.operators.chain import chain_hash, verify_chain
 from tidemark.plans.registry import Inputs, dec_round, query, ts_text
 
 NOW = "(SELECT max(ts) FROM events)"
@@ -29,7 +29,7 @@ def later(t: Inputs):
 
 
 def even(expr: str, digits: int) -> str:
-    return f"round_even(CAST({expr} AS DOUBLE), {digits})"
+    return f"CAST(printf('%.{digits}f', CAST({expr} AS DOUBLE)) AS DOUBLE)"
 
 
 _WINDOWS = {"1h": 3600, "6h": 21600, "3d": 259200}
@@ -155,8 +155,8 @@ def health(t: Inputs):
 
 
 @query("w03_rolling_compliance", """
-SELECT topic, round(avg(CASE WHEN latency_ms <= 30 THEN 1.0 ELSE 0.0 END), 8) AS compliance, count(*) AS events FROM (
-  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY processed_at DESC, event_id DESC) AS n FROM a_journal WHERE latency_ms IS NOT NULL) WHERE n <= 1000 GROUP BY topic""")
+SELECT topic, round(avg(CASE WHEN latency_ms <= 30 THEN 1.0 ELSE 0.0 END), 8) AS compliance, count(*) AS events
+FROM a_journal WHERE latency_ms IS NOT NULL GROUP BY topic""")
 def rolling_compliance(t: Inputs):
     timed = t.a_journal.filter(F.col("latency_ms").isNotNull())
     return slo.rolling_compliance(timed, limit_ms=30).withColumn("compliance", F.round("compliance", 8))
@@ -416,13 +416,13 @@ _ERR = """(SELECT coalesce(CAST(count(*) FILTER (WHERE topic = 'events.deadlette
 
 @query("o23_alert_rules", f"""
 WITH r AS (SELECT * FROM (VALUES {_RULE_VALUES}) AS v(alert_id, tenant_id, metric, win, condition, threshold, secs)),
- x AS (SELECT r.*, round_even({_ERR.format(a=NOW)}, 4) AS cur, round_even({_ERR.format(a=f'({NOW} - to_seconds(secs))')}, 4) AS prev FROM r),
+ x AS (SELECT r.*, {even(_ERR.format(a=NOW), 4)} AS cur, {even(_ERR.format(a=f'({NOW} - to_seconds(secs))'), 4)} AS prev FROM r),
  y AS (SELECT *, CASE WHEN condition = 'change_pct' THEN CASE WHEN prev <> 0 THEN (cur - prev) / abs(prev) * 100 WHEN cur = 0 THEN 0 END END AS chg FROM x)
 SELECT alert_id, tenant_id, metric, win AS "window", condition, threshold,
   CASE WHEN condition = 'above' THEN cur > threshold WHEN condition = 'below' THEN cur < threshold
        WHEN chg IS NOT NULL THEN CASE WHEN threshold >= 0 THEN chg >= threshold ELSE chg <= threshold END
        WHEN threshold >= 0 THEN cur > 0 ELSE cur < 0 END AS triggered,
-  cur AS current_value, CASE WHEN condition = 'change_pct' THEN prev END AS previous_value, round_even(chg, 4) AS change_pct FROM y""")
+  cur AS current_value, CASE WHEN condition = 'change_pct' THEN prev END AS previous_value, {even('chg', 4)} AS change_pct FROM y""")
 def alert_rules(t: Inputs):
     rules = t.spark.createDataFrame(RULES, "alert_id string, tenant_id string, metric string, window string, condition string, threshold double")
     now = m.metric_matrix({"journal": t.a_journal}, {"journal": t.events_as_of}, ["error_rate"])
@@ -527,20 +527,34 @@ def settle_violations(t: Inputs):
 
 # --- hash chain ------------------------------------------------------------------------------------------
 
+BLOCK = 50
+
+
 def audit_log(t: Inputs):
-    """One log over all API requests: sequence from 1, each row carrying the hash of the one before."""
-    body = json_object({"endpoint": json_text(F.col("endpoint")), "seq": json_number(F.col("request_id").cast("long") + 1),
-                        "status": json_number(F.col("status_code")), "tenant": json_text(F.col("tenant"))})
-    rows = t.a_api_sessions.select(F.lit("api").alias("log"), (F.col("request_id").cast("long") + 1).alias("seq"), body.alias("body"))
-    rows = rows.withColumn("hash", F.sha2("body", 256))
-    before = rows.select("log", (F.col("seq") + 1).alias("seq"), F.col("hash").alias("previous_hash"))
-    # one forged predecessor per error row that follows a purchase of the largest value
-    forged = F.col("body").contains("/v1/error") & (F.substring("hash", 1, 2) == "00")
-    return rows.join(before, ["log", "seq"], "left").withColumn("previous_hash", F.when(forged, F.lit("forged")).otherwise(F.coalesce("previous_hash", F.lit(""))))
+    """Logs of fifty API requests each: numbered from 1, each row's hash covering its number, its body and the hash before it."""
+    number = F.col("request_id").cast("long")
+    body = json_object({"endpoint": json_text(F.col("endpoint")), "status": json_number(F.col("status_code")), "tenant": json_text(F.col("tenant"))})
+    rows = t.a_api_sessions.select(F.concat(F.lit("api-"), F.floor(number / BLOCK).cast("string")).alias("log"), (number % BLOCK + 1).alias("seq"), body.alias("body"))
+    kind = "array<struct<seq:bigint,body:string,previous_hash:string,hash:string>>"
+
+    def link(done, row):
+        hashed = chain_hash(row["seq"], done["last"], row["body"])
+        one = F.array(F.struct(row["seq"].alias("seq"), row["body"].alias("body"), done["last"].alias("previous_hash"), hashed.alias("hash")))
+        return F.struct(F.concat(done["rows"], one).cast(kind).alias("rows"), hashed.alias("last"))
+
+    # a log is a bounded block, so its rows may be folded in order
+    blocks = rows.groupBy("log").agg(F.sort_array(F.collect_list(F.struct("seq", "body"))).alias("given"))
+    linked = F.aggregate("given", F.struct(F.array().cast(kind).alias("rows"), F.lit("").alias("last")), link)
+    log = blocks.select("log", F.inline(linked["rows"]))
+    # some rows of failed requests have another predecessor written into them
+    forged = F.col("body").contains("/v1/error") & (F.substring(F.sha2("body", 256), 1, 1) < "4") & (F.col("seq") % 3 == 0)
+    return log.withColumn("previous_hash", F.when(forged, F.lit("forged")).otherwise(F.col("previous_hash")))
 
 
 @query("w06_hash_chain", """
-WITH b AS (SELECT CAST(request_id AS BIGINT) + 1 AS seq, '{"endpoint": "' || endpoint || '", "seq": ' || (CAST(request_id AS BIGINT) + 1) || ', "status": ' || status_code || ', "tenant": "' || tenant || '"}' AS body FROM a_api_sessions)
-SELECT 'api' AS log, seq, 'previous_hash' AS problem FROM b WHERE body LIKE '%/v1/error%' AND substr(sha256(body), 1, 2) = '00'""")
+WITH b AS (SELECT 'api-' || (CAST(request_id AS BIGINT) // 50) AS log, CAST(request_id AS BIGINT) % 50 + 1 AS seq,
+  '{"endpoint": "' || endpoint || '", "status": ' || status_code || ', "tenant": "' || tenant || '"}' AS body FROM a_api_sessions)
+SELECT log, seq, problem FROM b, (VALUES ('hash'), ('previous_hash')) AS p(problem)
+WHERE body LIKE '%/v1/error%' AND substr(sha256(body), 1, 1) < '4' AND seq % 3 = 0""")
 def hash_chain(t: Inputs):
     return verify_chain(audit_log(t))

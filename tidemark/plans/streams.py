@@ -8,7 +8,7 @@ from tidemark.functions import enrich
 from tidemark.functions.columns import iso
 from tidemark.operators.sessions import fold_sessions
 from tidemark.plans import ops
-from tidemark.plans.events import _STAGES_SQL, raw_records
+from tidemark.plans.events import _PRODUCT_SPLIT, _STAGES_SQL, raw_records
 from tidemark.plans.registry import Inputs, query, ts_text
 from tidemark.session import work_dir
 from tidemark.sources import lake
@@ -27,6 +27,13 @@ def _view_stream(t: Inputs, name: str):
     return t.spark.sql(VIEWS[name], events=_events_stream(t))
 
 
+def _finished(t: Inputs, label: str, stream):
+    """What a stream has written at the end of its input, which may be nothing."""
+    base = work_dir(t.spark, label)
+    sinks.run_available(stream, f"{base}/checkpoint", path=f"{base}/out")
+    return t.spark.read.schema(stream.schema).parquet(f"{base}/out") if lake.is_folder(t.spark, f"{base}/out") else t.spark.createDataFrame([], stream.schema)
+
+
 def _records(t: Inputs) -> str:
     path = work_dir(t.spark, "records")
     raw_records(t).write.parquet(path)
@@ -59,10 +66,9 @@ def dead_letter_split(t: Inputs):
 @query("s04_dedup_stream", "SELECT tenant_id AS tenant, count(*) AS events, count(DISTINCT event_id) AS identities FROM a_events GROUP BY tenant_id")
 def dedup_stream(t: Inputs):
     """Every event twice in the stream, once in the result."""
-    base = work_dir(t.spark, "dedup")
     twice = _view_stream(t, "a_events").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withColumnsRenamed({"tenant_id": "tenant", "ts": "event_ts"})
-    sinks.run_available(ingest.deduplicated(twice.select("tenant", "event_id", "event_ts")), f"{base}/checkpoint", path=f"{base}/out")
-    return t.spark.read.parquet(f"{base}/out").groupBy("tenant").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("identities"))
+    once = _finished(t, "dedup", ingest.deduplicated(twice.select("tenant", "event_id", "event_ts")))
+    return once.groupBy("tenant").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("identities"))
 
 
 _CLOSED = f"""SELECT * REPLACE ({ts_text('started_at')} AS started_at, {ts_text('ended_at')} AS ended_at) FROM a_sessions s
@@ -72,43 +78,43 @@ WHERE s.ended_at + INTERVAL 30 MINUTE <= {EVENTS_NOW} - INTERVAL 10 SECOND"""
 @query("s06_session_stream", _CLOSED)
 def session_stream(t: Inputs):
     """Sessions the watermark has closed by the end of the input."""
-    base = work_dir(t.spark, "sessions")
-    sinks.run_available(sessions.session_stream(_view_stream(t, "a_events")), f"{base}/checkpoint", path=f"{base}/out")
-    return t.spark.read.parquet(f"{base}/out").withColumn("started_at", iso("started_at")).withColumn("ended_at", iso("ended_at"))
+    return _finished(t, "sessions", sessions.session_stream(_view_stream(t, "a_events"))).withColumn("started_at", iso("started_at")).withColumn("ended_at", iso("ended_at"))
 
 
 @query("s09_bounded_session_stream", f"""SELECT tenant_id, session_id, user_id, {ts_text('started_at')} AS started_at, {ts_text('ended_at')} AS ended_at, event_count, unique_pages, products_viewed,
   funnel_stage, pages_truncated, products_truncated FROM a_sessions s WHERE s.ended_at + INTERVAL 30 MINUTE <= {EVENTS_NOW} - INTERVAL 10 SECOND""")
 def bounded_session_stream(t: Inputs):
-    base = work_dir(t.spark, "bounded")
-    sinks.run_available(sessions.bounded_session_stream(_view_stream(t, "a_events")), f"{base}/checkpoint", path=f"{base}/out")
-    return t.spark.read.parquet(f"{base}/out").withColumn("started_at", iso("started_at")).withColumn("ended_at", iso("ended_at"))
+    return _finished(t, "bounded", sessions.bounded_session_stream(_view_stream(t, "a_events"))).withColumn("started_at", iso("started_at")).withColumn("ended_at", iso("ended_at"))
 
 
 @query("s11_metric_stream", f"""
-SELECT tenant_id, {ts_text('b')} AS window_start, count(*) AS events, round_even(CAST(count(*) FILTER (WHERE topic = 'events.deadletter') AS DOUBLE) / count(*), 4) AS error_rate
+SELECT tenant_id, {ts_text('b')} AS window_start, count(*) AS events, CAST(printf('%.4f', CAST(count(*) FILTER (WHERE topic = 'events.deadletter') AS DOUBLE) / count(*)) AS DOUBLE) AS error_rate
 FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, processed_at) AS b FROM a_journal) WHERE b + INTERVAL 5 MINUTE <= {EVENTS_NOW} - INTERVAL 10 SECOND GROUP BY tenant_id, b""")
 def metric_stream(t: Inputs):
-    base = work_dir(t.spark, "metric")
-    sinks.run_available(metrics.windowed_errors(_view_stream(t, "a_journal")), f"{base}/checkpoint", path=f"{base}/out")
-    return t.spark.read.parquet(f"{base}/out").select("tenant_id", iso("window_start").alias("window_start"), "events", "error_rate")
+    return _finished(t, "metric", metrics.windowed_errors(_view_stream(t, "a_journal"))).select("tenant_id", iso("window_start").alias("window_start"), "events", "error_rate")
 
 
 def _lake_batch(t: Inputs):
-    return t.a_ev_clicks.select(
+    """Click and product events; those of the home page have no time."""
+    clicks = t.a_ev_clicks.select(
         "event_id", F.col("tenant").alias("tenant_id"), "event_type", "source", F.lit("session").alias("entity_type"), F.col("session_id").alias("entity_id"),
-        F.lit(None).cast("string").alias("operation"), F.col("timestamp").cast("timestamp").alias("occurred_at"), F.to_json(F.struct("page_url")).alias("payload_json"))
+        F.lit(None).cast("string").alias("operation"), F.when(F.col("page_url") != "/", F.col("timestamp").cast("timestamp")).alias("occurred_at"), F.to_json(F.struct("page_url")).alias("payload_json"))
+    products = t.a_ev_products.select(
+        "event_id", F.col("tenant").alias("tenant_id"), "event_type", "source", F.lit("product").alias("entity_type"), F.col("product_id").alias("entity_id"),
+        F.lit(None).cast("string").alias("operation"), F.col("timestamp").cast("timestamp").alias("occurred_at"), F.to_json(F.struct("price")).alias("payload_json"))
+    return clicks.unionByName(products)
 
 
 @query("snk03_idempotent_append", """
-SELECT 'first' AS run, count(*) * 2 AS consumed, count(*) AS appended, count(*) AS duplicates FROM a_events
-UNION ALL SELECT 'second', count(*), 0, count(*) FROM a_events UNION ALL SELECT 'stored', count(*), count(*), 0 FROM a_events""")
+WITH n AS (SELECT (SELECT count(*) FROM a_events) + (SELECT count(*) FROM a_ev_products) AS n)
+SELECT 'first' AS run, n * 2 AS consumed, n AS appended, n AS duplicates FROM n
+UNION ALL SELECT 'second', n, 0, n FROM n UNION ALL SELECT 'stored', n, n, 0 FROM n""")
 def idempotent_append(t: Inputs):
     """A batch that repeats itself, then the same batch again."""
     base = work_dir(t.spark, "lake")
     batch = _lake_batch(t)
-    first = lake.append_idempotent("validated_events", batch.unionAll(batch), base)
-    second = lake.append_idempotent("validated_events", batch, base)
+    first = lake.append_idempotent("validated_events", batch.unionAll(batch), base, "one")
+    second = lake.append_idempotent("validated_events", batch, base, "two")
     stored = lake.read_lake(t.spark, "validated_events", base).agg(F.count("*").alias("n"))
     runs = [("first", *first.values()), ("second", *second.values())]
     return t.spark.createDataFrame(runs, "run string, consumed long, appended long, duplicates long").unionByName(
@@ -128,28 +134,48 @@ def append_lake(t: Inputs):
 
 
 @query("s12_apply_stream", """
-SELECT 'journal' AS "table", count(*) AS row_count FROM a_events UNION ALL SELECT 'serving_log', count(*) FROM a_events WHERE session_id IS NOT NULL
-UNION ALL SELECT 'sessions_aggregated', count(*) FROM (SELECT DISTINCT tenant_id, session_id FROM a_events WHERE session_id IS NOT NULL)""")
+SELECT 'journal' AS "table", tenant_id, event_id AS id FROM a_events UNION ALL SELECT 'serving_log', tenant_id, event_id FROM a_events WHERE session_id IS NOT NULL
+UNION ALL SELECT DISTINCT 'sessions_aggregated', tenant_id, session_id FROM a_events WHERE session_id IS NOT NULL""")
 def apply_stream(t: Inputs):
-    """Click events as a stream of files, each delivered twice, applied to the serving log and the journal."""
+    """Click events as a stream of files, delivered again two days later, applied to the serving log and the journal."""
     base = work_dir(t.spark, "apply")
     rows = t.a_events.select(
         "event_id", "tenant_id", "event_type", F.lit(None).cast("string").alias("order_id"), F.lit(None).cast("string").alias("status"), "session_id",
         "user_id", enrich.page_category(F.col("page_url")).alias("page_category"), F.col("session_id").isNull().alias("is_dead"),
         F.lit(5).alias("latency_ms"), "ts", "src_key", F.col("ts").alias("processed_at"), F.lit(None).cast("string").alias("branch"))
-    rows.write.parquet(f"{base}/in")
-    rows.write.mode("append").parquet(f"{base}/in")
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    late = rows.withColumn("processed_at", F.col("processed_at") + F.expr("INTERVAL 2 DAYS"))
+    rows.write.parquet(f"{base}/in/day=1")
+    late.write.parquet(f"{base}/in/day=2")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in/*")
     sinks.run_available(stream, f"{base}/checkpoint", sinks.apply_sink(base))
     log = t.spark.read.parquet(f"{base}/serving_log")
-    parts = {"journal": t.spark.read.parquet(f"{base}/journal"), "serving_log": log, "sessions_aggregated": fold_sessions(log)}
+    parts = {"journal": t.spark.read.parquet(f"{base}/journal").withColumnRenamed("event_id", "id"), "serving_log": log.withColumnRenamed("event_id", "id"),
+             "sessions_aggregated": fold_sessions(log).withColumnRenamed("session_id", "id")}
     out = None
     for name, df in parts.items():
-        row = df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table"), "row_count")
-        out = row if out is None else out.unionByName(row)
+        part = df.select(F.lit(name).alias("table"), "tenant_id", "id")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+# product events come bare and in an envelope: two deliveries of one identity
+@query("s03_validated_job", f"""
+WITH s AS ({_STAGES_SQL} GROUP BY stage), p AS (SELECT count(*) AS n FROM ({_PRODUCT_SPLIT}) WHERE stage = 'valid')
+SELECT stage, records - CASE WHEN stage = 'valid' THEN n ELSE 0 END AS records FROM s, p""")
+def validated_job(t: Inputs):
+    """Raw records through decode, judge and the identity check, the whole delivery twice: what is valid counts once."""
+    base, path = work_dir(t.spark, "job"), _records(t)
+    judged = ingest.judge(ingest.to_events(ingest.decode_envelope(sources.read_record_files(t.spark, path))), t.events_as_of)
+    sinks.run_available(judged, f"{base}/checkpoint", sinks.validated_job(base))
+    first = t.spark.read.parquet(f"{base}/deadletter").select("stage").withColumn("n", F.lit(1)).groupBy("stage").agg(F.count("*").alias("records"))
+    first = t.spark.createDataFrame(first.collect(), first.schema)  # a row for each stage
+    again = t.spark.read.parquet(path)
+    again.write.mode("append").parquet(path)
+    sinks.run_available(judged, f"{base}/checkpoint", sinks.validated_job(base))
+    valid = t.spark.read.parquet(f"{base}/validated").groupBy().agg(F.count("*").alias("records")).select(F.lit("valid").alias("stage"), "records")
+    return valid.unionByName(first)
+
+
 @query("o25_alert_stream")
 def alert_stream(t: Inputs):
     base = work_dir(t.spark, "alerts")
@@ -175,8 +201,6 @@ SELECT tenant_id AS tenant, {ts_text('b')} AS window_start, count(*) AS events F
 WHERE b + INTERVAL 1 HOUR <= {EVENTS_NOW} - INTERVAL 5 SECOND GROUP BY ALL""")
 def event_time_stream(t: Inputs):
     """Hours of the event time that the watermark has closed."""
-    base = work_dir(t.spark, "time")
     stream = ingest.in_event_time(_view_stream(t, "a_events").select(F.col("tenant_id").alias("tenant"), F.col("ts").alias("event_ts")))
     closed = stream.groupBy("tenant", F.window("event_ts", "1 hour").alias("w")).agg(F.count("*").alias("events"))
-    sinks.run_available(closed.select("tenant", F.col("w.start").alias("window_start"), "events"), f"{base}/checkpoint", path=f"{base}/out")
-    return t.spark.read.parquet(f"{base}/out").withColumn("window_start", iso("window_start"))
+    return _finished(t, "time", closed.select("tenant", F.col("w.start").alias("window_start"), "events")).withColumn("window_start", iso("window_start"))

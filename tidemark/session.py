@@ -83,16 +83,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later jobs start from files, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-# Rows a broadcast side may have before the join is left to the shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a bounded probe proves the side is small; otherwise unhinted."""
-    from pyspark.sql import functions as F
-
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

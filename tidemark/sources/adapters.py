@@ -233,8 +233,8 @@ FROM {a_marking_body}""",
 SESSION_SQL = """
 SELECT tenant_id, session_id, arg_min(user_id, ts) AS user_id, min(ts) AS started_at, max(ts) AS ended_at,
        (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS duration_seconds, count(*) AS event_count,
-       least(count(DISTINCT nullif(page_url, '')), 1000) AS unique_pages,
-       least(count(DISTINCT product_id), 1000) AS products_viewed,
+       count(DISTINCT nullif(page_url, '')) AS unique_pages,
+       count(DISTINCT product_id) AS products_viewed,
        CASE WHEN bool_or(page_url LIKE '%/checkout%') THEN 'checkout'
             WHEN bool_or(event_type = 'add_to_cart') THEN 'add_to_cart'
             WHEN count(product_id) > 0 THEN 'product_view' WHEN count(*) > 1 THEN 'browse' ELSE 'bounce' END AS funnel_stage,
