@@ -138,15 +138,18 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.withColumn("doc_key", key)
 
 
+SCORED = ["doc_type", "doc_id", "entity_type", "tenant_id", "boost"]
+
+
 def postings(documents: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
-    """(token, doc_key, tf). Counted per document inside its row's explode, so no token gathers its documents.
+    """(token, doc_key, tf and what scoring and filters need of the document). No token gathers its documents.
 
     `only` keeps the tokens of one question before anything is shuffled.
     """
     words = tokens(F.col("text"))
     if only is not None:
         words = F.filter(words, lambda w: w.isin(*only))
-    return (documents.select("doc_key", F.explode(words).alias("token")).groupBy("token", "doc_key")
+    return (documents.select("doc_key", *SCORED, F.explode(words).alias("token")).groupBy("token", "doc_key", *SCORED)
             .agg(F.count("*").alias("tf")))
 
 
@@ -162,7 +165,8 @@ def search(index: DataFrame, documents: DataFrame, question: str, limit: int = 1
            authorised: Sequence[str] | None = None, requested: Sequence[str] | None = None) -> DataFrame:
     """Best documents of a question: filters first, then scores, then the top of the list.
 
-    Frequencies are those of the whole corpus. Only postings of the question's tokens are read.
+    Frequencies are those of the whole corpus. Only postings of the question's tokens are read; of the documents only those
+    that are shown.
     """
     wanted = query_tokens(question)
     if not wanted:
@@ -172,23 +176,24 @@ def search(index: DataFrame, documents: DataFrame, question: str, limit: int = 1
     # one row per question token, so the broadcast is bounded by the question
     weights = document_frequency(hits).withColumn("idf", inverse_frequency(F.col("df"), total)).select("token", "idf")
     repeats = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])
-    visible = documents
+    visible = hits
     if tenant is not None:
         visible = visible.filter(F.col("tenant_id").isNull() | (F.col("tenant_id") == tenant))
     if authorised is not None:
         visible = visible.filter(F.col("entity_type").isNull() | F.col("entity_type").isin(*authorised))
     if requested:
         visible = visible.filter((F.col("doc_type") != "metric") & F.col("entity_type").isin(*requested))
-    scored = (hits.join(F.broadcast(weights), "token").groupBy("doc_key")
+    scored = (visible.join(F.broadcast(weights), "token").groupBy("doc_key", *SCORED)
               .agg(F.sum(F.try_element_at(repeats, F.col("token")) * (1.0 + F.log("tf")) * F.col("idf")).alias("raw"),
                    F.count("*").alias("matched")))
-    joined = visible.join(scored, "doc_key").withColumn(
+    joined = scored.withColumn(
         "raw", F.col("raw") * (0.65 + 0.35 * F.col("matched") / len(wanted)) * F.col("boost")).filter(F.col("raw") != 0.0)
     # ties are settled on a rounded score: sums of doubles may differ in the last bits between runs
     top = joined.withColumn("_rank", F.round("raw", 9)).orderBy(F.desc("_rank"), "doc_type", "doc_id").limit(limit)
     best = F.max("raw").over(Window.partitionBy())  # at most `limit` rows
-    return top.select(F.col("doc_type").alias("type"), F.col("doc_id").alias("id"), "entity_type",
-                      F.round((F.col("raw") / best).cast("decimal(20,12)"), 4).cast("double").alias("score"), "snippet", "endpoint")
+    shown = top.withColumn("score", F.round((F.col("raw") / best).cast("decimal(20,12)"), 4).cast("double"))
+    return documents.select("doc_key", "snippet", "endpoint").join(F.broadcast(shown), "doc_key").select(
+        F.col("doc_type").alias("type"), F.col("doc_id").alias("id"), "entity_type", "score", "snippet", "endpoint")
 
 
 def refresh_documents(documents: DataFrame, current: DataFrame, changed: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ from tidemark.functions.text import STOP_WORDS, query_tokens, tokens
 from tidemark.operators import compare as cmp
 from tidemark.operators import questions as qs
 from tidemark.operators import search as se
+from tidemark.operators.tenancy import tenant_scope
 from tidemark.plans.metrics import SERVING_SESSIONS, serving_sessions
-from tidemark.plans.registry import Inputs, dec_round, query, ts_text
+from tidemark.plans.registry import Inputs, dec_round, query, stored, ts_text
 from tidemark.session import cut_lineage
 
 NOW = "(SELECT max(ts) FROM events)"
@@ -44,6 +45,16 @@ def entity_corpus(t: Inputs):
             .unionByName(se.entity_documents(users, "user")).unionByName(se.catalog_documents(t.spark)))
 
 
+@stored("corpus", "doc_key")
+def stored_corpus(t: Inputs):
+    return se.keyed(entity_corpus(t))
+
+
+@stored("postings", "token")
+def stored_postings(t: Inputs):
+    return se.postings(t.stored("corpus"))
+
+
 def _catalog_sql() -> str:
     """The catalog documents as literal rows; they are configuration."""
     rows = []
@@ -114,21 +125,19 @@ ENTITY_QUESTION = "large premium delivered orders with status shipped and revenu
 @query("q05_search_text", _search_sql(_TEXT_DOCS, TEXT_QUESTION, 20))
 def search_text(t: Inputs):
     docs = text_corpus(t)
-    index = cut_lineage(se.postings(docs, list(query_tokens(TEXT_QUESTION))))  # texts are read once
+    index = cut_lineage(se.postings(docs, list(query_tokens(TEXT_QUESTION))))  # texts are read once, and not kept
     return se.search(index, docs, TEXT_QUESTION, 20).drop("snippet", "endpoint")
 
 
 @query("q05_search_entities", _search_sql(_DOCS, ENTITY_QUESTION, 25))
 def search_entities(t: Inputs):
-    docs = se.keyed(entity_corpus(t))
-    return se.search(cut_lineage(se.postings(docs, list(query_tokens(ENTITY_QUESTION)))), docs, ENTITY_QUESTION, 25).drop("snippet", "endpoint")
+    return se.search(t.stored("postings"), t.stored("corpus"), ENTITY_QUESTION, 25).drop("snippet", "endpoint")
 
 
 @query("q06_filtered_search", _search_sql(
     _DOCS, ENTITY_QUESTION, 25, "(tenant_id IS NULL OR tenant_id = 'acme') AND (entity_type IS NULL OR entity_type IN ('user', 'product'))"))
 def filtered_search(t: Inputs):
-    docs = se.keyed(entity_corpus(t))
-    return se.search(cut_lineage(se.postings(docs, list(query_tokens(ENTITY_QUESTION)))), docs, ENTITY_QUESTION, 25, tenant="acme",
+    return se.search(t.stored("postings"), t.stored("corpus"), ENTITY_QUESTION, 25, tenant="acme",
                      authorised=["user", "product"]).drop("snippet", "endpoint")
 
 
@@ -149,63 +158,75 @@ def index_refresh(t: Inputs):
 
 # --- questions -----------------------------------------------------------------------------------------
 
-@query("q08_order_by_id", "SELECT order_id, status, CAST(total_amount AS DOUBLE) AS total_amount FROM a_orders WHERE order_id = (SELECT max(order_id) FROM a_orders)")
+# Every question is one tenant's: tables are read through the scope, here and in the check SQL.
+TENANT = "default"
+
+
+def scoped(df):
+    return tenant_scope(df, TENANT)
+
+
+def _own(table: str) -> str:
+    return f"(SELECT * FROM {table} WHERE coalesce(tenant_id, 'default') = '{TENANT}')"
+
+
+@query("q08_order_by_id", f"SELECT order_id, status, CAST(total_amount AS DOUBLE) AS total_amount FROM {_own('a_orders')} WHERE order_id = (SELECT max(order_id) FROM {_own('a_orders')})")
 def q_order(t: Inputs):
-    probe = t.a_orders.agg(F.max("order_id").alias("i"))
-    return qs.order_by_id(t.a_orders, probe.scalar()).select("order_id", "status", money("total_amount").alias("total_amount"))
+    probe = scoped(t.a_orders).agg(F.max("order_id").alias("i"))
+    return qs.order_by_id(scoped(t.a_orders), probe.scalar()).select("order_id", "status", money("total_amount").alias("total_amount"))
 
 
-_LIVE = f"FROM a_orders WHERE status <> 'cancelled' AND created_at >= {ORDERS_NOW} - INTERVAL 7 DAY"
+_LIVE = f"FROM {_own('a_orders')} WHERE status <> 'cancelled' AND created_at >= {ORDERS_NOW} - INTERVAL 7 DAY"
 
 
 @query("q08_revenue", f"SELECT CAST(sum(total_amount) AS DOUBLE) AS revenue {_LIVE}")
 def q_revenue(t: Inputs):
-    return qs.revenue_in_window(t.a_orders, t.orders_as_of, 7 * 86400)
+    return qs.revenue_in_window(scoped(t.a_orders), t.orders_as_of, 7 * 86400)
 
 
 @query("q08_average_order", f"SELECT {dec_round('CAST(sum(total_amount) AS DOUBLE) / count(*)', 6)} AS avg_order_value {_LIVE}")
 def q_average(t: Inputs):
-    return qs.average_order(t.a_orders, t.orders_as_of, 7 * 86400).select(rounded("avg_order_value", 6).alias("avg_order_value"))
+    return qs.average_order(scoped(t.a_orders), t.orders_as_of, 7 * 86400).select(rounded("avg_order_value", 6).alias("avg_order_value"))
 
 
-@query("q08_top_products", "SELECT name, category, CAST(price AS DOUBLE) AS price, stock_quantity FROM (SELECT * FROM a_products ORDER BY price DESC, product_id LIMIT 7)")
+@query("q08_top_products", f"SELECT name, category, CAST(price AS DOUBLE) AS price, stock_quantity FROM (SELECT * FROM {_own('a_products')} ORDER BY price DESC, product_id LIMIT 7)")
 def q_top(t: Inputs):
-    return qs.top_products(t.a_products, 7).withColumn("price", money("price"))
+    return qs.top_products(scoped(t.a_products), 7).withColumn("price", money("price"))
 
 
 @query("q08_conversions", f"""SELECT count(*) FILTER (WHERE is_conversion) AS conversions, count(*) AS total_sessions,
- {dec_round('CAST(count(*) FILTER (WHERE is_conversion) AS DOUBLE) / nullif(count(*), 0) * 100', 2)} AS conversion_pct FROM a_sessions WHERE started_at >= {NOW} - INTERVAL 3 DAY""")
+ {dec_round('CAST(count(*) FILTER (WHERE is_conversion) AS DOUBLE) / nullif(count(*), 0) * 100', 2)} AS conversion_pct FROM {_own('a_sessions')} WHERE started_at >= {NOW} - INTERVAL 3 DAY""")
 def q_conversions(t: Inputs):
-    return qs.conversions(t.a_sessions, t.events_as_of, 3 * 86400)
+    return qs.conversions(scoped(t.a_sessions), t.events_as_of, 3 * 86400)
 
 
-@query("q08_user_by_id", "SELECT tenant_id, user_id, total_orders, CAST(total_spent AS DOUBLE) AS total_spent FROM a_users WHERE user_id = (SELECT max(user_id) FROM a_users)")
+@query("q08_user_by_id", f"SELECT user_id, total_orders, CAST(total_spent AS DOUBLE) AS total_spent FROM {_own('a_users')} WHERE user_id = (SELECT max(user_id) FROM {_own('a_users')})")
 def q_user(t: Inputs):
-    probe = t.a_users.agg(F.max("user_id").alias("i"))
-    return qs.user_by_id(t.a_users, probe.scalar()).select("tenant_id", "user_id", "total_orders", money("total_spent").alias("total_spent"))
+    probe = scoped(t.a_users).agg(F.max("user_id").alias("i"))
+    return qs.user_by_id(scoped(t.a_users), probe.scalar()).select("user_id", "total_orders", money("total_spent").alias("total_spent"))
 
 
-@query("q08_out_of_stock", "SELECT product_id, name, category, stock_quantity FROM a_products WHERE NOT in_stock OR stock_quantity = 0")
+@query("q08_out_of_stock", f"SELECT product_id, name, category, stock_quantity FROM {_own('a_products')} WHERE NOT in_stock OR stock_quantity = 0")
 def q_stock(t: Inputs):
-    return qs.out_of_stock(t.a_products)
+    return qs.out_of_stock(scoped(t.a_products))
 
 
-@query("q08_active_sessions", f"SELECT count(*) AS active_sessions FROM {SERVING_SESSIONS} WHERE ended_at IS NULL OR ended_at >= {NOW} - INTERVAL 30 MINUTE")
+@query("q08_active_sessions", f"SELECT count(*) AS active_sessions FROM {SERVING_SESSIONS} WHERE tenant_id = '{TENANT}' AND (ended_at IS NULL OR ended_at >= {NOW} - INTERVAL 30 MINUTE)")
 def q_active(t: Inputs):
-    return qs.active_sessions(serving_sessions(t), t.events_as_of)
+    return qs.active_sessions(scoped(serving_sessions(t)), t.events_as_of)
 
 
 _Q9 = {
-    "cancelled_count": "SELECT count(*)::VARCHAR AS a FROM a_orders WHERE status = 'cancelled'",
-    "orders_per_status": "SELECT status || '=' || count(*) AS a FROM a_orders GROUP BY status",
-    "dearest_product": "SELECT name AS a FROM (SELECT name FROM a_products ORDER BY price DESC, product_id LIMIT 1)",
-    "products_in_category": "SELECT count(*)::VARCHAR AS a FROM a_products WHERE category = 'ECONOMY'",
-    "order_total": "SELECT count(*)::VARCHAR AS a FROM a_orders",
-    "top_spender": "SELECT user_id AS a FROM (SELECT user_id FROM a_users ORDER BY total_spent DESC, user_id LIMIT 1)",
-    "average_price": f"SELECT printf('%.4f', {dec_round('CAST(sum(price) AS DOUBLE) / count(*)', 4)}) AS a FROM a_products",
-    "converted_sessions": "SELECT count(*)::VARCHAR AS a FROM a_sessions WHERE is_conversion",
-    "categories": "SELECT DISTINCT category AS a FROM a_products",
-    "user_count": "SELECT count(*)::VARCHAR AS a FROM a_users",
+    "cancelled_count": f"SELECT count(*)::VARCHAR AS a FROM {_own('a_orders')} WHERE status = 'cancelled'",
+    "orders_per_status": f"SELECT status || '=' || count(*) AS a FROM {_own('a_orders')} GROUP BY status",
+    "dearest_product": f"SELECT name AS a FROM (SELECT name FROM {_own('a_products')} ORDER BY price DESC, product_id LIMIT 1)",
+    "products_in_category": f"SELECT count(*)::VARCHAR AS a FROM {_own('a_products')} WHERE category = 'ECONOMY'",
+    "order_total": f"SELECT count(*)::VARCHAR AS a FROM {_own('a_orders')}",
+    "top_spender": f"SELECT user_id AS a FROM (SELECT user_id FROM {_own('a_users')} ORDER BY total_spent DESC, user_id LIMIT 1)",
+    "average_price": f"SELECT printf('%.4f', {dec_round('CAST(sum(price) AS DOUBLE) / count(*)', 4)}) AS a FROM {_own('a_products')}",
+    "converted_sessions": f"SELECT count(*)::VARCHAR AS a FROM {_own('a_sessions')} WHERE is_conversion",
+    "categories": f"SELECT DISTINCT category AS a FROM {_own('a_products')}",
+    "user_count": f"SELECT count(*)::VARCHAR AS a FROM {_own('a_users')}",
 }
 
 
@@ -213,16 +234,16 @@ _Q9 = {
 def reference_questions(t: Inputs):
     text = lambda c: F.col(c).cast("string")
     answers = {
-        "cancelled_count": qs.cancelled_count(t.a_orders).select(text("n").alias("a")),
-        "orders_per_status": qs.orders_per_status(t.a_orders).select(F.concat_ws("=", "status", text("n")).alias("a")),
-        "dearest_product": qs.dearest_product(t.a_products).select(F.col("name").alias("a")),
-        "products_in_category": qs.products_in_category(t.a_products, "ECONOMY").select(text("n").alias("a")),
-        "order_total": qs.order_total(t.a_orders).select(text("n").alias("a")),
-        "top_spender": qs.top_spender(t.a_users).select(F.col("user_id").alias("a")),
-        "average_price": qs.average_price(t.a_products).select(F.format_string("%.4f", rounded("avg_price", 4)).alias("a")),
-        "converted_sessions": qs.converted_sessions(t.a_sessions).select(text("n").alias("a")),
-        "categories": qs.categories(t.a_products).select(F.col("category").alias("a")),
-        "user_count": qs.user_count(t.a_users).select(text("n").alias("a")),
+        "cancelled_count": qs.cancelled_count(scoped(t.a_orders)).select(text("n").alias("a")),
+        "orders_per_status": qs.orders_per_status(scoped(t.a_orders)).select(F.concat_ws("=", "status", text("n")).alias("a")),
+        "dearest_product": qs.dearest_product(scoped(t.a_products)).select(F.col("name").alias("a")),
+        "products_in_category": qs.products_in_category(scoped(t.a_products), "ECONOMY").select(text("n").alias("a")),
+        "order_total": qs.order_total(scoped(t.a_orders)).select(text("n").alias("a")),
+        "top_spender": qs.top_spender(scoped(t.a_users)).select(F.col("user_id").alias("a")),
+        "average_price": qs.average_price(scoped(t.a_products)).select(F.format_string("%.4f", rounded("avg_price", 4)).alias("a")),
+        "converted_sessions": qs.converted_sessions(scoped(t.a_sessions)).select(text("n").alias("a")),
+        "categories": qs.categories(scoped(t.a_products)).select(F.col("category").alias("a")),
+        "user_count": qs.user_count(scoped(t.a_users)).select(text("n").alias("a")),
     }
     out = None
     for name, df in answers.items():

@@ -16,6 +16,7 @@ from tidemark.operators import serving as s
 from tidemark.operators import slo
 from tidemark.operators import usage as u
 from tidemark.operators.chain import chain_hash, verify_chain
+from tidemark.operators.tenancy import tenant_scope
 from tidemark.plans.registry import Inputs, dec_round, query, ts_text
 
 NOW = "(SELECT max(ts) FROM events)"
@@ -38,10 +39,11 @@ _WINDOWS = {"1h": 3600, "6h": 21600, "3d": 259200}
 # --- journal indicators ----------------------------------------------------------------------------
 
 @query("o01_lineage_events", f"""
-SELECT event_id, topic, event_type, {ts_text('processed_at')} AS processed_at FROM a_journal WHERE entity_id = (SELECT max(entity_id) FROM a_journal)""")
+SELECT event_id, topic, event_type, {ts_text('processed_at')} AS processed_at FROM a_journal WHERE tenant_id = 'default' AND entity_id = (SELECT max(entity_id) FROM a_journal WHERE tenant_id = 'default')""")
 def lineage_events(t: Inputs):
-    probe = t.a_journal.agg(F.max("entity_id").alias("id"))
-    return slo.lineage_events(t.a_journal, probe.scalar()).select("event_id", "topic", "event_type", iso("processed_at").alias("processed_at"))
+    own = tenant_scope(t.a_journal, "default")
+    probe = own.agg(F.max("entity_id").alias("id"))
+    return slo.lineage_events(own, probe.scalar()).select("event_id", "topic", "event_type", iso("processed_at").alias("processed_at"))
 
 
 _Q = lambda agg: even(f"greatest(0, least(1, 1 - {agg} / 1000.0))", 3)

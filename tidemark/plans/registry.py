@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.operators.serving import user_profiles
 from tidemark.operators.sessions import sessionize
 from tidemark.operators.vault_business import canonical_orders, customer_master
-from tidemark.session import prepare
+from tidemark.session import prepare, work_dir
 from tidemark.sources.adapters import BASE_TABLES, ORACLE_VIEWS, VIEWS
 from tidemark.sources.tables import latest_instant, read_table
 
@@ -58,6 +58,19 @@ class Inputs:
     def a_master(self) -> DataFrame:
         return customer_master(self.a_hub_customer, self.a_sat_personal, self.a_sat_loyalty)
 
+    def stored(self, name: str) -> DataFrame:
+        """A derived table, loaded once for this application and folder into the shared folder, sorted by its key.
+
+        Point reads then open the row groups that may hold the key, and reports read the columns they name.
+        """
+        known = (self.spark.sparkContext.applicationId, self.base, name)
+        if known not in _LOADED:
+            key, build = STORED[name]
+            path = work_dir(self.spark, f"stored-{name}")
+            build(self).sort(key).write.parquet(path)
+            _LOADED[known] = path
+        return self.spark.read.parquet(_LOADED[known])
+
     @cached_property
     def orders_as_of(self):
         return latest_instant(self.orders, "o_orderdate")
@@ -67,6 +80,19 @@ class Inputs:
         return latest_instant(self.events, "ts")
 
 
+# Derived tables: the key each is sorted by, and how it is built. Loads are by application, folder and name.
+STORED: dict[str, tuple[str, Callable[[Inputs], DataFrame]]] = {}
+_LOADED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(name: str, key: str):
+    def register(build: Callable[[Inputs], DataFrame]):
+        STORED[name] = (key, build)
+        return build
+
+    return register
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

@@ -271,10 +271,10 @@ def orders_as_of(t: Inputs):
 @query("l04_offset_page", """
 SELECT order_id, CAST(total_amount AS DOUBLE) AS total_amount, 40 + row_number() OVER (ORDER BY total_amount DESC, order_id) AS position,
        true AS has_more, n AS total
-FROM (SELECT order_id, total_amount, count(*) OVER () AS n FROM a_orders ORDER BY total_amount DESC, order_id LIMIT 20 OFFSET 40)""")
+FROM (SELECT order_id, total_amount, count(*) OVER () AS n FROM a_orders WHERE tenant_id = 'default' ORDER BY total_amount DESC, order_id LIMIT 20 OFFSET 40)""")
 def offset_page(t: Inputs):
     order = [F.desc("total_amount"), F.asc("order_id")]
-    page, total = e.offset_page(t.a_orders.select("order_id", "total_amount"), order, 40, 20)
+    page, total = e.offset_page(tenant_scope(t.a_orders, "default").select("order_id", "total_amount"), order, 40, 20)
     return page.select("order_id", money("total_amount").alias("total_amount"), "position", "has_more",
                        F.lit(total.scalar()).alias("total"))
 
@@ -284,9 +284,9 @@ _MID = f"({JOURNAL_NOW} - INTERVAL 15 DAY)"
 
 @query("l05_keyset_page", f"""
 SELECT event_id, topic, {ts_text('processed_at')} AS processed_at FROM a_journal
-WHERE processed_at > {_MID} OR (processed_at = {_MID} AND event_id > '0') ORDER BY a_journal.processed_at, event_id LIMIT 200""")
+WHERE tenant_id = 'default' AND (processed_at > {_MID} OR (processed_at = {_MID} AND event_id > '0')) ORDER BY a_journal.processed_at, event_id LIMIT 200""")
 def keyset_page(t: Inputs):
-    return e.keyset_page(t.a_journal, (t.events_as_of - timedelta(days=15), "0"), 200).select(
+    return e.keyset_page(tenant_scope(t.a_journal, "default"), (t.events_as_of - timedelta(days=15), "0"), 200).select(
         "event_id", "topic", iso("processed_at").alias("processed_at"))
 
 
@@ -299,17 +299,17 @@ def settled_rows(t: Inputs):
 
 
 @query("l07_newest_events", f"""
-SELECT event_id, entity_id, event_type FROM a_journal WHERE topic = 'events.validated' AND event_type = 'click'
+SELECT event_id, entity_id, event_type FROM a_journal WHERE tenant_id = 'default' AND topic = 'events.validated' AND event_type = 'click'
 ORDER BY processed_at DESC, event_id DESC LIMIT 50""")
 def newest_events(t: Inputs):
-    return e.newest_events(t.a_journal, 50, event_family="click").select("event_id", "entity_id", "event_type")
+    return e.newest_events(tenant_scope(t.a_journal, "default"), 50, event_family="click").select("event_id", "entity_id", "event_type")
 
 
 @query("l08_bounded_scan", """
-SELECT order_id, status, false AS scan_truncated FROM a_orders WHERE status IN ('pending', 'confirmed', 'shipped')""")
+SELECT order_id, status, false AS scan_truncated FROM a_orders WHERE tenant_id = 'default' AND status IN ('pending', 'confirmed', 'shipped')""")
 def bounded_scan(t: Inputs):
-    open_orders = t.a_orders.filter(F.col("status").isin("pending", "confirmed", "shipped"))
-    return e.bounded_scan(open_orders, [F.col("tenant_id"), F.col("order_id")]).select(
+    open_orders = tenant_scope(t.a_orders, "default").filter(F.col("status").isin("pending", "confirmed", "shipped"))
+    return e.bounded_scan(open_orders, [F.col("order_id")]).select(
         "order_id", "status", "scan_truncated")
 
 

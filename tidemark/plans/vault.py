@@ -14,7 +14,7 @@ from tidemark.operators import vault_load as vl
 from tidemark.operators.latest import latest_version
 from tidemark.operators.ordered import previous_in_key
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.plans.registry import Inputs, day_text, dec_round, query, ts_text
+from tidemark.plans.registry import Inputs, day_text, dec_round, query, stored, ts_text
 from tidemark.session import work_dir
 from tidemark.sources import lake
 
@@ -308,11 +308,39 @@ def velocity(t: Inputs):
     return _plain(vb.returns_velocity(t.canonical(vb.VELOCITY_COLUMNS)))
 
 
+# --- loaded tables: orders with their current versions, lines with their order, marts -------------------
+
+@stored("orders", "order_bk")
+def stored_orders(t: Inputs):
+    return t.canonical().join(t.a_hub_order.select("order_hk", "record_source"), "order_hk")
+
+
+@stored("lines", "order_hk")
+def stored_lines(t: Inputs):
+    """Link rows with the source of their order; no hint, the hub grows with the data."""
+    return t.a_lnk_order_product.join(t.a_hub_order.select("order_hk", "record_source"), "order_hk").select(
+        "order_hk", "product_hk", vb.branch_of("record_source").alias("branch"), vb.system_of("record_source").alias("system"))
+
+
+@stored("mart_pnl", "month")
+def stored_pnl(t: Inputs):
+    return vb.branch_pnl(t.stored("orders"))
+
+
+@stored("mart_customer_360", "customer_bk")
+def stored_customers(t: Inputs):
+    return vb.customer_360(t.a_master, t.stored("orders").select(*vb.CUSTOMER_COLUMNS))
+
+
+@stored("mart_velocity", "week")
+def stored_velocity(t: Inputs):
+    return vb.returns_velocity(t.stored("orders"))
+
+
 @query("d15_pnl_live", f"""SELECT branch, count(*) AS orders, {_s('total_amount')} AS gross_revenue, {_s('tax_amount')} AS tax_collected FROM a_canonical
 WHERE order_date IS NOT NULL GROUP BY branch""")
 def pnl_live(t: Inputs):
-    rows = t.canonical(("branch", "order_date", "total_amount", "tax_amount"))
-    return rows.filter(F.col("order_date").isNotNull()).groupBy("branch").agg(
+    return t.stored("orders").filter(F.col("order_date").isNotNull()).groupBy("branch").agg(
         F.count("*").alias("orders"), money(F.sum("total_amount")).alias("gross_revenue"), money(F.sum("tax_amount")).alias("tax_collected"))
 
 
@@ -320,8 +348,7 @@ _LINES = "FROM a_lnk_order_product lp JOIN (SELECT order_hk, split_part(record_s
 
 
 def _lines(t: Inputs):
-    """Link rows joined to the branch of their order; no hint, the hub grows with the data."""
-    return t.a_lnk_order_product.join(t.a_hub_order.select("order_hk", vb.branch_of("record_source").alias("branch")), "order_hk")
+    return t.stored("lines")
 
 
 @query("d15_top_products", f"SELECT branch, product_hk, count(*) AS lines {_LINES} GROUP BY ALL ORDER BY lines DESC, branch, product_hk LIMIT 10")
@@ -332,22 +359,15 @@ def top_products(t: Inputs):
 @query("d15_customer_point", f"""SELECT customer_hk, branch, loyalty_segment, loyalty_points, order_count FROM ({_C360})
 WHERE customer_bk = (SELECT max(customer_bk) FROM a_hub_customer)""")
 def customer_point(t: Inputs):
-    """One customer of the mart; the key is filtered before the joins on every side."""
-    probe = t.a_hub_customer.agg(F.max("customer_bk").alias("bk"))
-    hub = t.a_hub_customer.filter(F.col("customer_bk") == probe.scalar())
-    one = vb.customer_master(hub, t.a_sat_personal, t.a_sat_loyalty)
-    keys = hub.select("customer_hk")
-    mine = t.a_lnk_order_customer.join(keys, "customer_hk", "left_semi").select("order_hk")
-    orders = vb.canonical_orders(*[s.join(mine, "order_hk", "left_semi") for s in (
-        t.a_hub_order, t.a_sat_header, t.a_sat_pricing, t.a_sat_wb, t.a_lnk_order_customer, t.a_lnk_order_store)],
-        columns=vb.CUSTOMER_COLUMNS)
-    return vb.customer_360(one, orders).select("customer_hk", "branch", "loyalty_segment", "loyalty_points", "order_count")
+    """One customer of the mart: a read of the row groups that may hold the key."""
+    probe = t.stored("mart_customer_360").agg(F.max("customer_bk").alias("bk")).scalar()
+    return t.stored("mart_customer_360").filter(F.col("customer_bk") == probe).select("customer_hk", "branch", "loyalty_segment", "loyalty_points", "order_count")
 
 
 @query("d15_return_rate", f"""SELECT branch, CAST(sum(orders) AS BIGINT) AS total_orders, CAST(sum(returned_orders) AS BIGINT) AS total_returned,
   {dec_round('CAST(sum(returned_orders) AS DOUBLE) / nullif(sum(orders), 0)', 4)} AS return_rate FROM ({_VELOCITY}) GROUP BY branch""")
 def return_rate(t: Inputs):
-    v = vb.returns_velocity(t.canonical(vb.VELOCITY_COLUMNS))
+    v = t.stored("mart_velocity")
     return v.groupBy("branch").agg(F.sum("orders").alias("total_orders"), F.sum("returned_orders").alias("total_returned"),
                                    rounded(ratio(F.sum("returned_orders"), F.sum("orders")), 4).alias("return_rate"))
 
@@ -367,15 +387,14 @@ def facts_with_branch(t: Inputs):
 @query("d15_pnl_mart", f"""SELECT branch, CAST(sum(orders) AS BIGINT) AS orders, round(sum(gross_revenue), 2) AS gross_revenue,
   {dec_round('sum(tax_collected) / nullif(sum(net_revenue), 0)', 4)} AS effective_tax_rate FROM ({_PNL}) GROUP BY branch""")
 def pnl_mart(t: Inputs):
-    m = vb.branch_pnl(t.canonical(vb.PNL_COLUMNS))
+    m = t.stored("mart_pnl")
     return m.groupBy("branch").agg(F.sum("orders").alias("orders"), F.round(F.sum("gross_revenue"), 2).alias("gross_revenue"),
                                    rounded(ratio(F.sum("tax_collected"), F.sum("net_revenue")), 4).alias("effective_tax_rate"))
 
 
 def _headers(t: Inputs):
     """Newest header per order with the order's source."""
-    head = vb.current_rows(t.a_sat_header, "order_hk", ["order_date", "channel", "order_status", "total_amount"], ["source"])
-    return head.join(t.a_hub_order.select("order_hk", "order_bk", "record_source"), "order_hk")
+    return t.stored("orders").filter(F.col("header_source").isNotNull())
 
 
 _HEADERS = """(SELECT h.*, o.order_bk, o.record_source FROM (SELECT * FROM a_sat_header WHERE is_deleted = 0
@@ -401,8 +420,7 @@ def aov(t: Inputs):
 @query("d16_sku_volume", """SELECT product_hk, count(*) AS lines FROM a_lnk_order_product
 WHERE order_hk IN (SELECT order_hk FROM a_hub_order WHERE split_part(record_source, '__', 1) = 'mp') GROUP BY product_hk""")
 def sku_volume(t: Inputs):
-    chosen = t.a_hub_order.filter(vb.system_of("record_source") == "mp").select("order_hk")
-    return t.a_lnk_order_product.join(chosen, "order_hk", "left_semi").groupBy("product_hk").agg(F.count("*").alias("lines"))
+    return t.stored("lines").filter(F.col("system") == "mp").groupBy("product_hk").agg(F.count("*").alias("lines")).orderBy(F.desc("lines"), "product_hk")
 
 
 @query("d16_branch_shares", f"SELECT record_source, {_s('total_amount')} AS revenue, count(*) AS orders FROM {_HEADERS} GROUP BY record_source")
@@ -414,13 +432,12 @@ def branch_shares(t: Inputs):
   (SELECT count(*) FROM a_lnk_order_product WHERE order_hk IN (SELECT order_hk FROM a_hub_order WHERE order_bk = (SELECT max(order_bk) FROM a_hub_order))) AS line_count
 FROM {_HEADERS} WHERE order_bk = (SELECT max(order_bk) FROM a_hub_order)""")
 def order_point(t: Inputs):
-    probe = t.a_hub_order.agg(F.max("order_bk").alias("bk"))
-    hub = t.a_hub_order.filter(F.col("order_bk") == probe.scalar())
-    lines = t.a_lnk_order_product.join(hub.select("order_hk"), "order_hk", "left_semi").agg(F.count("*").alias("n"))
-    head = vb.current_rows(t.a_sat_header.join(hub.select("order_hk"), "order_hk", "left_semi"), "order_hk",
-                           ["order_date", "order_status", "total_amount"], ["source"])
-    return head.select(day("order_date").alias("order_date"), "order_status", money("total_amount").alias("total_amount"),
-                       F.lit(lines.scalar()).alias("line_count"))
+    """One order and its lines: both keys are literals, so two pruned reads."""
+    probe = t.stored("orders").agg(F.max("order_bk").alias("bk")).scalar()
+    head = _headers(t).filter(F.col("order_bk") == probe).select("order_hk", day("order_date").alias("order_date"), "order_status", money("total_amount").alias("total_amount"))
+    keys = [r["order_hk"] for r in t.stored("orders").filter(F.col("order_bk") == probe).select("order_hk").collect()]  # one key
+    lines = t.stored("lines").filter(F.col("order_hk").isin(keys)).agg(F.count("*").alias("line_count"))
+    return head.drop("order_hk").join(F.broadcast(lines))
 
 
 @query("d16_marking_status", "SELECT marking_status, count(*) AS codes FROM a_marking GROUP BY marking_status")
