@@ -8,8 +8,6 @@ counted inside the tiles, so no row stands for a pair.
 
 from __future__ import annotations
 
-import hashlib
-import itertools
 import math
 
 import numpy as np
@@ -19,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.substrings import packed
+from tidemark.llm.substrings import packed, print_of
 from tidemark.llm.text import BLOCK_BYTES, U, Words, map_texts, mix, ngram_hash, positional, row_ngrams
 from tidemark.session import cut_lineage
 
@@ -33,9 +31,9 @@ def bands_for(threshold: float, recall: float, hashes: int = 64) -> tuple[int, i
     """
     best = None
     for rows in range(1, hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
-        if bands * rows <= hashes:
-            best = bands, rows
+        missed = math.log1p(-(threshold**rows))
+        if missed < 0 and math.log(1 - recall) / missed <= hashes // rows:
+            best = math.ceil(math.log(1 - recall) / missed), rows
     if best is None:
         raise ValueError("no banding of so few hashes reaches the recall")
     return best
@@ -79,12 +77,12 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 for k in range(band * rows, (band + 1) * rows):
                     total = mix(total + np.minimum.reduceat(h * factor[k] + offset[k], begin))
                 value[some, band] = total
-        mark = [int.from_bytes(hashlib.blake2b(w.data[a:b], digest_size=8).digest(), "little", signed=True) for a, b in itertools.pairwise(w.bounds.tolist())]
         values = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * w.rows + 1, bands), pa.int32()), pa.array(value.ravel().view(np.int64)))
-        made = [batch.column(0), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(size), values, pa.array(mark, pa.int64())]
+        made = [batch.column(0), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(size), values, batch.column(2)]
         return pa.RecordBatch.from_arrays(made, names=["doc_id", "one", "two", "size", "bands", "print"])
 
-    return map_texts(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), "text", "doc_id long, one long, two long, size long, bands array<long>, print long", run)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), print_of(F.col("text")).alias("print"))
+    return map_texts(plain, "text", "doc_id long, one long, two long, size long, bands array<long>, print long", run)
 
 
 class Member:
@@ -149,11 +147,11 @@ def links(rows: list[dict], n: int, threshold: float) -> tuple[np.ndarray, np.nd
             i = root[i]
         return i
 
-    split = int(np.searchsorted(m.chunk, high)) if low != high else 0
-    left = range(0, split or len(m.id), SIDE)
-    for i in left:
-        a = slice(i, min(i + SIDE, split or len(m.id)))
-        for j in range(split or i, len(m.id), SIDE):
+    # one chunk with itself, or the members of one chunk with those of another
+    split = len(m.id) if low == high else int(np.searchsorted(m.chunk, high))
+    for i in range(0, split, SIDE):
+        a = slice(i, min(i + SIDE, split))
+        for j in range(i if low == high else split, len(m.id), SIDE):
             b = slice(j, min(j + SIDE, len(m.id)))
             # the pairs whose first common band is this one
             mine = m.bands[a, None, band] == m.bands[None, b, band]

@@ -1,9 +1,9 @@
 """Passages that repeat across documents, by prefix-partitioned suffix trees.
 
-A window is `size` consecutive words of one document. Every window has an anchor: the five-word group with the least hash
+A window is `size` consecutive words of one document. Every window has an anchor: the group of ANCHOR words with the least hash
 among those in it. Equal windows have equal anchors at the same place, so anchors that occur in one document alone rule out
 their windows, and only the suffixes around the others are moved. These are split by prefixes of two lengths: an anchor with
-few documents is one prefix, and its suffixes fit in memory; one with more is split further, by the whole window. A group of
+few windows is one prefix, and its suffixes fit in memory; one with more is split further, by the whole window. A group of
 the first kind becomes a suffix tree, as sorted suffixes with the lengths of their common prefixes: a node of depth `size` or
 more is a repeated window, and its least document has it first. A group of the second kind is a single deep node, whose least
 document an aggregate finds before anything is moved.
@@ -17,13 +17,13 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.text import BLOCK_BYTES, U, Words, blocks, map_texts, mix, ngram_hash, positional, string_bytes
 
-ANCHOR = 5
+ANCHOR = 4
 
 
 class Windows:
@@ -45,20 +45,24 @@ class Windows:
         self.row = w.row[self.start]
 
 
+def print_of(text: Column) -> Column:
+    """A hash that tells the texts of one doc_id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """The text compressed in `_pack`, its hash in `_print`, doc_id in `_id`, and the other columns of `docs` by place."""
     plain, names, fields = positional(docs)
     text, id = names[docs.columns.index("text")], names[docs.columns.index("doc_id")]
     names.remove(text)
     fields = [f for f in fields if f.name != text]
-    plain = plain.select(F.col(text).cast("string").alias("_text"), F.col(id).cast("long").alias("_id"), *names)
+    plain = plain.select(F.col(text).cast("string").alias("_text"), print_of(F.col(text)).alias("_print"), F.col(id).cast("long").alias("_id"), *names)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = zstandard.ZstdCompressor(level=1)
         data, bounds = string_bytes(batch.column(0))
-        mark = np.array([int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "little", signed=True) for a, b in itertools.pairwise(bounds.tolist())], np.int64)
         packs = [None if missing else coder.compress(data[a:b]) for (a, b), missing in zip(itertools.pairwise(bounds.tolist()), batch.column(0).is_null().to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(packs, pa.binary()), pa.array(mark), *(batch.column(i) for i in range(1, batch.num_columns))],
+        return pa.RecordBatch.from_arrays([pa.array(packs, pa.binary()), *(batch.column(i) for i in range(1, batch.num_columns))],
                                           names=["_pack", "_print", "_id", *names])
 
     return map_texts(plain, "_text", T.StructType([T.StructField("_pack", T.BinaryType()), T.StructField("_print", T.LongType()), T.StructField("_id", T.LongType()), *fields]), run)
@@ -74,32 +78,51 @@ def pack_blocks(batch: pa.RecordBatch, column: str):
     return blocks(batch, column, BLOCK_BYTES // 2)
 
 
-def anchors(docs: DataFrame, size: int) -> DataFrame:
-    """(key, id): each document's different anchors."""
+def anchors(texts: DataFrame, size: int) -> DataFrame:
+    """(key, id, windows): the different anchors of each document of (pack, id), and how many windows each has there."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = Windows(batch.column(1), size)
+    def unique(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w = Windows(unpacked(batch.column(0)), size)
         order = np.lexsort((w.key, w.row))
         key, row = w.key[order], w.row[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(key[fresh]), batch.column(0).take(pa.array(row[fresh]))], names=["key", "id"])
+        number = np.diff(np.append(np.flatnonzero(fresh), len(key)))
+        return pa.RecordBatch.from_arrays([pa.array(key[fresh]), batch.column(1).take(pa.array(row[fresh])), pa.array(number)], names=["key", "id", "windows"])
+
+    def run(batches):
+        for batch in batches:
+            for part in pack_blocks(batch, "_pack"):
+                made = unique(part)
+                if made.num_rows:
+                    yield made
+
+    return texts.select("_pack", "_id").mapInArrow(run, "key long, id long, windows long")
+
 
-    return map_texts(docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), "text", "key long, id long", run)
+def copies(docs: DataFrame) -> DataFrame:
+    """(id, print) of the documents whose whole text a smaller one has."""
+    marks = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), print_of(F.col("text")).alias("print"), F.md5(F.col("text").cast("string")).alias("whole"))
+    first = marks.groupBy(F.col("whole").alias("_whole")).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    return marks.join(first, F.col("whole") == F.col("_whole")).where("id > first").select("id", "print").distinct()
 
 
 def candidate_rows(batch: pa.RecordBatch, size: int, whole: bool) -> pa.RecordBatch:
     """Suffixes of the windows of a block of documents (pack, print, id, keys) whose anchor is among the keys.
 
-    whole: one row for each window, under the window itself; else one for each anchor, with the words of all its windows.
+    whole: one row for each window, under the window itself, with the parts that its anchor's documents are dealt to; else one
+    for each anchor, with the words of all its windows.
     """
     w = Windows(unpacked(batch.column(0)), size)
-    keys, bounds = batch.column(3).flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(3).value_lengths().to_numpy())])
+    given, bounds = batch.column(3).flatten(), np.concatenate([[0], np.cumsum(batch.column(3).value_lengths().to_numpy())])
+    keys = (given.field("key") if whole else given).to_numpy()
 
     def joint(key, row):
         return key.view(np.uint64) ^ mix(row.astype(np.uint64) + U(1))
 
-    wanted = np.sort(joint(keys, np.repeat(np.arange(w.words.rows), np.diff(bounds))))
+    wanted = joint(keys, np.repeat(np.arange(w.words.rows), np.diff(bounds)))
+    order = np.argsort(wanted, kind="stable")
+    wanted = wanted[order]
     mine = joint(w.key, w.row)
     place = np.minimum(np.searchsorted(wanted, mine), max(len(wanted) - 1, 0))
     hit = np.flatnonzero(wanted[place] == mine) if len(wanted) else np.zeros(0, np.int64)
@@ -117,9 +140,10 @@ def candidate_rows(batch: pa.RecordBatch, size: int, whole: bool) -> pa.RecordBa
     else:
         body = [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
     pick = pa.array(row[at])
+    parts = given.field("parts").take(pa.array(order[place[hit[at]]])) if whole else pa.array(np.ones(len(at), np.int64))
     place = start[at] - w.words.offsets[row[at]]
-    return pa.RecordBatch.from_arrays([pa.array(key[at]), batch.column(2).take(pick), batch.column(1).take(pick), pa.array(place), pa.array(body, pa.binary())],
-                                      names=["key", "id", "print", "place", "body"])
+    return pa.RecordBatch.from_arrays([pa.array(key[at]), batch.column(2).take(pick), batch.column(1).take(pick), pa.array(place), pa.array(body, pa.binary()), parts],
+                                      names=["key", "id", "print", "place", "body", "parts"])
 
 
 def candidates(found: DataFrame, size: int, whole: bool) -> DataFrame:
@@ -130,7 +154,7 @@ def candidates(found: DataFrame, size: int, whole: bool) -> DataFrame:
                 if made.num_rows:
                     yield made
 
-    return found.mapInArrow(run, "key long, id long, print long, place long, body binary")
+    return found.mapInArrow(run, "key long, id long, print long, place long, body binary, parts long")
 
 
 def subtree(key: np.ndarray, doc: np.ndarray, body: pa.Array, size: int) -> np.ndarray:
@@ -157,7 +181,7 @@ def subtree(key: np.ndarray, doc: np.ndarray, body: pa.Array, size: int) -> np.n
     return np.add.reduceat(later.astype(np.int64) << step, np.cumsum(windows) - windows)
 
 
-def tree_hits(suffixes: DataFrame, size: int, limit: int = 100_000) -> DataFrame:
+def tree_hits(suffixes: DataFrame, size: int, limit: int = 50_000) -> DataFrame:
     """(id, print, place, bits) of suffix rows with a repeated window, group by group; groups of one task are joined up to `limit` rows."""
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
@@ -194,10 +218,10 @@ def tree_hits(suffixes: DataFrame, size: int, limit: int = 100_000) -> DataFrame
             if made is not None:
                 yield made
 
-    return suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, print long, place long, bits long")
+    return suffixes.drop("parts").repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, print long, place long, bits long")
 
 
-def without_repeats(docs: DataFrame, size: int = 13, group: int = 5000, digest: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = 13, group: int = 400_000, digest: bool = False) -> DataFrame:
     """`docs` without the words of every window that also starts in a document with a smaller doc_id.
 
     Windows are judged on the input. With `digest`: doc_id, n_words, n_removed, kept_sha256 of every row. Else: the columns of
@@ -205,31 +229,47 @@ def without_repeats(docs: DataFrame, size: int = 13, group: int = 5000, digest:
     that lose all their words go.
 
     Null and empty texts have no words. A row without doc_id neither loses words nor makes others lose any. Repeated rows are
-    treated alike; rows of one doc_id are not smaller than each other. `group`: documents from which an anchor is split by
+    treated alike; rows of one doc_id are not smaller than each other. `group`: windows from which an anchor is split by
     whole windows. Texts of any length are read whole; an empty table gives none.
     """
     # a window's bits lie in a row of its anchor, which can be at size - ANCHOR + 1 places in it
     if size - min(ANCHOR, size) >= 62:
         raise ValueError("windows of so many words have too many places for their anchor")
-    keys = anchors(docs, size)
-    shared = keys.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    found = keys.join(shared, F.col("key") == F.col("_key"))
-    hot = F.col("many") > group
-    found = found.groupBy("id").agg(F.collect_list(F.when(~hot, F.col("key"))).alias("cold"), F.collect_list(F.when(hot, F.col("key"))).alias("hot"))
+    # every join of texts is on the id alone, over the same filter and columns: one shuffle moves them for all of them
     texts = packed(docs.select("doc_id", "text") if digest else docs)
-    # texts meet the same shuffle here and at the end, so they are moved once
-    with_keys = texts.join(found, F.col("_id") == F.col("id"))
+    if digest:
+        texts = texts.select("_pack", "_print", "_id")
+    named = texts.where("_id is not null")
+    whole_copies = copies(docs.select("doc_id", "text"))
+    # of equal texts only the first is searched
+    twice = whole_copies.groupBy(F.col("id").alias("_cid")).agg(F.collect_set("print").alias("prints"))
+    searched = named.join(twice, F.col("_id") == F.col("_cid"), "left").where("prints is null or not array_contains(prints, _print)").select("_pack", "_print", "_id")
+    keys = anchors(searched, size)
+    shared = keys.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("docs"), F.sum("windows").alias("many")).where("docs > 1").drop("docs")
+    found = keys.select("key", "id").join(shared, F.col("key") == F.col("_key"))
+    hot = F.col("many") > group
+    found = found.groupBy("id").agg(F.collect_list(F.when(~hot, F.col("key"))).alias("cold"), F.collect_list(F.when(hot, F.struct("key", F.ceil(F.col("many") / group).alias("parts")))).alias("hot"))
+    with_keys = searched.join(found, F.col("_id") == F.col("id"))
     cold = with_keys.where(F.size("cold") > 0).select("_pack", "_print", "_id", "cold")
     warm = with_keys.where(F.size("hot") > 0).select("_pack", "_print", "_id", "hot")
     hits = tree_hits(candidates(cold, size, False), size)
     whole = candidates(warm, size, True)
-    first = whole.groupBy(F.col("body").alias("_body")).agg(F.min("id").alias("_first"))
-    later = whole.join(first, F.col("body") == F.col("_body")).where("id > _first").select("id", "print", "place", F.lit(1).cast("long").alias("bits"))
-    marks = (hits.union(later).groupBy(F.col("id").alias("_mid"), F.col("print").alias("_mprint"))
-             .agg(F.collect_list("place").alias("places"), F.collect_list("bits").alias("bits")))
-    # collected lists hold places in no order of their own, but pairwise alike: both come from the same rows
-    joined = texts.join(marks, (F.col("_id") == F.col("_mid")) & (F.col("_print") == F.col("_mprint")), "left")
-    fields = [f for f in texts.schema.fields if f.name.startswith("_c")]
+    first = whole.groupBy(F.col("body").alias("_body")).agg(F.min("id").alias("_first"), F.max("id").alias("_last"), F.max("parts").alias("_parts")).where("_first < _last")
+    first = first.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    later = (whole.withColumn("part", F.pmod(F.xxhash64("id"), "parts")).join(first, (F.col("body") == F.col("_body")) & (F.col("part") == F.col("_part")))
+             .where("id > _first").select("id", "print", "place", F.lit(1).cast("long").alias("bits")))
+    # a place of -1 marks a copy as a whole
+    every = whole_copies.select("id", "print", F.lit(-1).cast("long").alias("place"), F.lit(0).cast("long").alias("bits"))
+    marks = (hits.union(later).union(every).groupBy(F.col("id").alias("_mid"), "print")
+             .agg(F.collect_list("place").alias("places"), F.collect_list("bits").alias("bits"))
+             .groupBy("_mid").agg(F.collect_list(F.struct("print", "places", "bits")).alias("marks")))
+    # a list of marks for each text of the id; the pairs of place and bits come from the same rows, so they are in one order
+    mine = F.get(F.filter("marks", lambda m: m["print"] == F.col("_print")), F.lit(0))
+    joined = named.join(marks, F.col("_id") == F.col("_mid"), "left").withColumn("mine", mine)
+    joined = joined.withColumns({"places": F.col("mine.places"), "bits": F.col("mine.bits")}).drop("_mid", "marks", "mine", "_print")
+    nothing = F.lit(None).cast("array<bigint>")
+    joined = joined.unionByName(texts.where("_id is null").drop("_print").withColumns({"places": nothing, "bits": nothing}))
+    fields = [T.StructField("_id", T.LongType())] if digest else [f for f in texts.schema.fields if f.name.startswith("_c")]
     names = [f.name for f in fields]
     rows = joined.select("_pack", "places", "bits", *names)
     output = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256" if digest else "_text", T.StringType())]
@@ -242,7 +282,7 @@ def without_repeats(docs: DataFrame, size: int = 13, group: int = 5000, digest:
 
     result = rows.mapInArrow(run, T.StructType([*fields, *output]))
     if digest:
-        return result.select(F.col(names[0]).cast("long").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+        return result.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
     changed = F.col("n_removed") > 0
     places = {c: F.col("_text") if c == "text" else F.col(f"_c{i}") for i, c in enumerate(docs.columns)}
     if "n_chars" in places:
@@ -256,7 +296,12 @@ def cut(batch: pa.RecordBatch, size: int, digest: bool) -> list[pa.Array]:
     edge = np.zeros(len(w.start) + 1, np.int64)
     places, bits = batch.column(1), batch.column(2)
     row = np.repeat(np.arange(w.rows), np.nan_to_num(places.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-    first, mask = w.offsets[row] + places.flatten().to_numpy(), bits.flatten().to_numpy()
+    place, mask = places.flatten().to_numpy(), bits.flatten().to_numpy()
+    first = w.offsets[row] + place
+    for i in np.unique(row[place < 0]).tolist():
+        if w.count[i] >= size:
+            edge[w.offsets[i]] += 1
+            edge[w.offsets[i + 1]] -= 1
     while mask.any():
         at = first[mask & 1 == 1]
         np.add.at(edge, at, 1)
