@@ -356,3 +356,27 @@ def test_license_statements():
         text = " ".join(text.split())
         assert name in [s[1] for s in statements("lorem ipsum dolor\n" + text + "\nsit amet")], name
         assert differences(words(text), words(text))[:2] == ([], [])
+
+
+@pytest.mark.parametrize(("text", "names"), [
+    ("Licensed under the MIT License", ["mit"]), ("Licensed under Apache 2.0", ["apache-2.0"]), ("GNU General Public License v3", ["gpl-3.0"]),
+    ("SPDX-License-Identifier: MIT", ["mit"]), ("# SPDX-License-Identifier: (MIT OR GPL-2.0-or-later)", ["mit", "gpl-2.0"]), ("SPDX-License-Identifier: Beerware", ["beerware"]),
+    ("Released under GPLv3.", ["gpl-3.0"]), ("Licensed under the Apache\n# License, Version 2.0", ["apache-2.0"]), ("the 3-Clause BSD License", ["bsd-3-clause"]),
+    ("available under a Creative Commons Attribution-NonCommercial 3.0 Unported License", ["cc-by-nc-3.0"]), ("Copyright 2020 A. All rights reserved.", ["all-rights-reserved"]),
+    ("GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", ["gpl-3.0"]), ("GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1", ["lgpl-2.1"]),
+    ("## License\n\nMIT\n", ["mit"]), ("MIT or Apache-2.0 license", ["mit", "apache-2.0"]), ("your license is old. MIT said so", []), ("under the MIT dome", []), ("we use an apache 2.0 server", []),
+])
+def test_license_names(text, names, spark):
+    assert [s[1] for s in statements(text)] == names
+    assert [r["license"] for r in licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == names
+
+
+def test_license_wording_differences():
+    found = statements("Licensed under the MIT License")[0]
+    assert not found[3] and found[4] == ["released"]
+    assert statements("Licensed under Apache 2.0")[0][4:] == (["the", "license", "version"], [])
+    notice = words(TEMPLATES["apache-2.0-notice"])
+    for k in range(7, 7 + 8 * 9, 9):  # eight words in the place of others are under a tenth
+        notice[k] = f"changed{k}"
+    found = statements(" ".join(notice))
+    assert [s[1] for s in found] == ["apache-2.0-notice"] and len(found[0][4]) == len(found[0][5]) == 8
