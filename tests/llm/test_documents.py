@@ -380,3 +380,17 @@ def test_license_wording_differences():
         notice[k] = f"changed{k}"
     found = statements(" ".join(notice))
     assert [s[1] for s in found] == ["apache-2.0-notice"] and len(found[0][4]) == len(found[0][5]) == 8
+
+
+def test_license_statements_beside_each_other():
+    short = {"mit": "Released under the MIT License.", "apache-2.0": TEMPLATES["apache-2.0"], "gpl-3.0": TEMPLATES["gpl-3.0"]}
+    notes = {n: " ".join(TEMPLATES[n].split()) for n in ("apache-2.0-notice", "mit-notice", "gpl-3.0-notice", "bsd-notice")}
+    both = short | notes
+    for a in both:
+        for b in both:
+            assert [s[1] for s in statements(f"{both[a]} {both[b]}")] == [a, b], (a, b)
+    # a changed notice before an exact one of its own kind, and one a word of which is changed at its border
+    changed = notes["mit-notice"].replace("free of charge", "free of all charge")
+    assert [s[1:4:2] for s in statements(f"{changed} {notes['mit-notice']}")] == [("mit-notice", False), ("mit-notice", True)]
+    found = statements("Licensed under the MIT License. " + notes["apache-2.0-notice"].replace("Licensed", "Licenced", 1))
+    assert [s[1] for s in found] == ["mit", "apache-2.0-notice"]

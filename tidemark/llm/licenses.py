@@ -8,6 +8,7 @@ a short statement by the name and version of its license, in whatever words; the
 from __future__ import annotations
 
 import bisect
+import collections
 import difflib
 import functools
 import re
@@ -61,7 +62,7 @@ TEMPLATES = {
 }
 TRIGGER = r"(?i)licen[sc]e|sublicen|copyright|permission is|redistribut|free software|public domain|unencumbered"
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-RANKED, LEAST_SAVING, MOST_CHANGED = 4, 0.15, 0.1
+LEAST_SAVING, MOST_CHANGED = 0.15, 0.1
 
 # Names of licenses as texts give them: by line breaks and comment signs between the words, a version in any of its forms.
 S, G = r"[\s*#>\-]{1,80}", r"""[\s*#>,;:("'\-]{0,80}"""
@@ -218,46 +219,85 @@ def changed(missing: list[str], added: list[str]) -> int:
     return max(len(missing), len(added))
 
 
+def confirmed(wanted: list[str], tokens: list[str], first: int, last: int) -> tuple | None:
+    """(score, first word, end, missing, added) of a notice within these words, a difference counting as five matched words; None if too much differs."""
+    missing, added, start, end = differences(wanted, tokens[first:last]) or (wanted, [], 0, 0)
+    n = changed(missing, added)
+    return (len(wanted) - len(missing) - 5 * n, first + start, first + end, missing, added) if n <= MOST_CHANGED * len(wanted) else None
+
+
+def notices(text: str, spans: list, tokens: list[str], ends: list[int]) -> list[tuple]:
+    """(first word, end, license, saving, missing, added) of notices that do not overlap, the better one first where two would.
+
+    A template's block is the words around a trigger word: as many before it as the template has, and a quarter more after.
+    Every template that saves enough is compared, before and behind a notice found in the block as well, up to the trigger.
+    """
+    alone, templates = prepared()
+    found, done = [], dict.fromkeys((name for name, *_ in templates), 0)
+    for hit in re.finditer(TRIGGER, text):
+        here = bisect.bisect_right(ends, hit.start())
+        for name, wanted, given in templates if here < len(tokens) else ():
+            first, last = max(done[name], here - len(wanted)), min(len(tokens), here + len(wanted) + len(wanted) // 4 + 2)
+            while first <= here < last:
+                # a word that the block does not have is missing in any alignment
+                if len(set(wanted).difference(tokens[first:last])) > MOST_CHANGED * len(wanted):
+                    break
+                save = saving(alone, given, text[spans[first][0] : spans[last - 1][1]])
+                one = confirmed(wanted, tokens, first, last) if save >= LEAST_SAVING else None
+                if one is None:
+                    break
+                found.append((one, name, save, wanted))
+                if one[1] > here:
+                    last = one[1]
+                else:
+                    first = done[name] = one[2]
+    once = {(f[1], f[0][1], f[0][2]): f for f in found}.values()
+    kept, waiting = [], collections.deque(sorted(once, key=lambda f: (-f[0][0], f[0][1], f[1])))
+    while waiting:
+        one, name, save, wanted = waiting.popleft()
+        _, a, b, missing, added = one
+        other = over(kept, a, b)
+        if other is None:
+            bisect.insort(kept, (a, b, name, save, missing, added), key=lambda k: k[0])
+            continue
+        # what lies outside the better notice may still be one
+        c, d = other[:2]
+        for x, y in ((max(0, a - 1), c), (d, min(len(tokens), b + 1))):
+            rest = confirmed(wanted, tokens, x, y) if y > x and (a < c or b > d) else None
+            if rest and over(kept, rest[1], rest[2]) is None:
+                waiting.append((rest, name, save, wanted))
+    return kept
+
+
+def over(kept: list[tuple], a: int, b: int) -> tuple | None:
+    """One of the places (first, end, ...), in order and apart, that shares a word with a..b."""
+    at = bisect.bisect_left(kept, b, key=lambda k: k[0])
+    return kept[at - 1] if at and kept[at - 1][1] > a else None
+
+
 def statements(text: str) -> list[tuple]:
     """(line, license, saving, exact, missing words, added words) of each statement, in order.
 
-    A notice's block is the words around a trigger word: as many before it as the template has, and a quarter more after. Of
-    the templates that save most, the one stays that matches most words, a difference counting as five of them. A named
-    license outside the notices is compared with its statement in usual words, between the names before and after it.
+    A named license outside the notices is compared with its statement in usual words, between the statements before and
+    after it. Statements do not overlap, and none hides one before or behind it.
     """
-    given_names = names(text)
-    if not given_names and not re.search(TRIGGER, text):
+    named = names(text)
+    if not named and not re.search(TRIGGER, text):
         return []
-    alone, templates = prepared()
     spans = [m.span() for m in WORD.finditer(text)]
     tokens, ends = [text[a:b].lower() for a, b in spans], [b for _, b in spans]
-    out, done = [], 0
-    for hit in re.finditer(TRIGGER, text):
-        here = bisect.bisect_right(ends, hit.start())
-        if here < done or here == len(tokens):
-            continue
-        ranked = []
-        for name, wanted, given in templates:
-            first, last = max(done, here - len(wanted)), min(len(tokens), here + len(wanted) + len(wanted) // 4 + 2)
-            ranked.append((saving(alone, given, text[spans[first][0] : spans[last - 1][1]]), name, wanted, first, last))
-        confirmed = []
-        for save, name, wanted, first, last in sorted(ranked, key=lambda r: (-r[0], r[1]))[:RANKED]:
-            found = differences(wanted, tokens[first:last]) if save >= LEAST_SAVING else None
-            if found and changed(found[0], found[1]) <= MOST_CHANGED * len(wanted):
-                confirmed.append((len(wanted) - len(found[0]) - 5 * changed(found[0], found[1]), name, save, found, first))
-        if confirmed:
-            _, name, save, (missing, added, start, end), first = max(confirmed, key=lambda c: (c[0], c[1]))
-            done = first + end
-            out.append((first + start, done, name, save, missing, added))
-    notices = [(a, b) for a, b, *_ in out]
-    named = [(bisect.bisect_right(ends, a), bisect.bisect_left(ends, b) + 1, name, texts) for a, b, name, texts in given_names]
-    borders = sorted([(a, b) for a, b, *_ in named] + notices)
+    out = notices(text, spans, tokens, ends)
+    named = [(bisect.bisect_right(ends, a), bisect.bisect_left(ends, b) + 1, name, texts) for a, b, name, texts in named]
+    # words that a notice matches name its license; words strange to it are a statement of their own
+    inside = [over(out, a, b) for a, b, *_ in named]
+    named = [n for n, o in zip(named, inside, strict=True) if o is None or set(tokens[n[0] : n[1]]) <= set(o[5])]
+    alone = prepared()[0]
+    borders = sorted([(a, b) for a, b, *_ in named] + [(a, b) for a, b, *_ in out])
+    starts, stops = [a for a, _ in borders], sorted(b for _, b in borders)
     for a, b, name, texts in named:
-        if any(c < b and a < d for c, d in notices):
-            continue
-        low = max((d for _, d in borders if d <= a), default=0)
-        high = min((c for c, _ in borders if c >= b), default=len(tokens))
-        out.append(closest(alone, text, spans, tokens, (a, b, low, high), name, texts))
+        low, high = bisect.bisect_right(stops, a) - 1, bisect.bisect_left(starts, b)
+        place = (a, b, stops[low] if low >= 0 else 0, starts[high] if high < len(starts) else len(tokens))
+        out.append(closest(alone, text, spans, tokens, place, name, texts))
     return [(text.count("\n", 0, spans[a][0]), name, save, not missing and not added, missing, added) for a, _, name, save, missing, added in sorted(out, key=lambda o: o[:3])]
 
 
