@@ -32,6 +32,23 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+TEXT = "".join(f"<p>Paragraph {i} of the article, long enough to be the text of a page.</p>" for i in range(4))
+LINES = "\n".join(f"Paragraph {i} of the article, long enough to be the text of a page." for i in range(4))
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='content no-sidebar'>%s</div>", "<div class=has-sidebar>%s</div>", "<div id=search-results>%s</div>", "<div class='post comments-open'>%s</div>",
+    "<div class='elementor-element elementor-widget elementor-widget-text-editor'><div class=elementor-widget-container>%s</div></div>",
+    "<article><div class='elementor-widget elementor-widget-text-editor'>%s</div></article>", "<div class=form>%s</div>", "<div class='widget widget_text'>%s</div>",
+    "<article class=comments-closed>%s</article>", "<div class=search><div class=privacy>%s</div></div>",
+    "<article>%s<div class=share-buttons><a href=x>Post it</a><a href=y>Mail it</a></div></article>",
+    "<div class=content>%s</div><div class=sidebar><p>Some words beside it.</p></div>", "<div class=content>%s</div><div class=cookie-banner>We use cookies</div>",
+])
+def test_names_in_wrappers(wrapper):
+    assert main_text(PAGE % (wrapper % TEXT)) == LINES
+    assert main_text(PAGE % (wrapper % TEXT + "<div class=ad>Buy this</div>")) == LINES
+
+
 def test_hostile_pages_end_soon():
     start = time.time()
     for html in ("<" * 50_000, "<p " * 50_000, "<div>" * 20_000 + "x", "<a href='" * 20_000 + ">", "<!--" * 20_000, "&" * 50_000, "</p>" * 50_000, "<b>" * 20_000):

@@ -2,8 +2,10 @@
 
 Each node of a page's tree has a density: characters per tag, lowered by the links among them. A node's density sum is the
 sum of its children's densities; the subtree with the largest one is the article. The least density on the path from there
-to the body is the threshold that other subtrees must reach to count as well. Parts that their tag, role or class names as
-something else than the article take no part.
+to the body is the threshold that other subtrees must reach to count as well. Parts that their tag or role names as something
+else than the article take no part, nor do those whose whole class or id is such a name, unless the article lies in them. Where
+the name is only a piece of a class (no-sidebar, elementor-widget-text-editor), it lowers the density and no more; such a part
+that is mostly links and apart from the article is dropped.
 """
 
 from __future__ import annotations
@@ -38,15 +40,19 @@ COMMENT_NAME = frozenset("comment comments commentlist discussion replies reply
 
 TOKEN = re.compile(r"""<!--(?:(?!-->).)*+(?:-->)?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>|<[!?/][^>]*+>?""", re.S)
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/>"']|$)""", re.I)
+# beside a comment's name, these tell of a setting and not of the part's content
+SETTING = frozenset("no not non has have with without hide open opened closed off on disabled enabled allowed count".split())
+LOWERED = 0.5
 NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 def named_otherwise(tag: str, attributes: str) -> str:
-    """'' for a part of the article, else what makes it something else: a tag, a name or a comment."""
+    """'' for a part of the article, else what makes it something else: a tag, a name, a piece of a name or a comment."""
     if tag in OTHER_TAG:
         return "tag"
     if not attributes or tag in ("html", "body"):
         return ""
+    out = ""
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
@@ -54,12 +60,16 @@ def named_otherwise(tag: str, attributes: str) -> str:
         if key == "role" and value.lower() in OTHER_ROLE:
             return "tag"
         if key in ("class", "id"):
-            names = {x.lower() for x in NAME.findall(value)}
-            if names & COMMENT_NAME:
-                return "comment"
-            if tag not in ("article", "main") and names & OTHER_NAME:
-                return "name"
-    return ""
+            for one in value.split():
+                names = {x.lower() for x in NAME.findall(one)}
+                if names & COMMENT_NAME and not names & SETTING:
+                    return "comment"
+                if tag not in ("article", "main") and names & OTHER_NAME:
+                    if names <= OTHER_NAME:
+                        out = "name"
+                    elif not out and not names & SETTING:
+                        out = "piece"
+    return out
 
 
 class Page:
@@ -113,7 +123,7 @@ class Page:
         if tag in ("article", "main") and not other:
             # a wrapper with a telling name around the article itself is no part of its own
             for i in stack:
-                if self.other[i] == "name":
+                if self.other[i] in ("name", "piece"):
                     self.other[i] = ""
         tags.append(tag)
         self.parent.append(stack[-1])
@@ -141,18 +151,17 @@ class Page:
                 del self.stack[k:]
                 return
 
-    def main_text(self) -> str:
+    def measured(self, sizes: list[int], link: list[bool], but: frozenset[str]) -> tuple:
+        """(taking no part, characters, link characters, density, densest subtree) of the nodes; the kinds `but` take part as others do."""
         tag, parent = self.tag, self.parent
         n = len(tag)
-        gone = [False] * n
-        link = [False] * n
+        gone, low = [False] * n, [False] * n
         for i in range(1, n):
-            gone[i] = gone[parent[i]] or bool(self.other[i])
-            link[i] = link[parent[i]] or tag[i] == "a"
+            gone[i] = gone[parent[i]] or (self.other[i] not in ("", "piece") and self.other[i] not in but)
+            low[i] = low[parent[i]] or self.other[i] == "piece"
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        for i, text in self.texts:
+        for (i, _), size in zip(self.texts, sizes, strict=True):
             if not gone[i]:
-                size = len("".join(text.split()))
                 chars[i] += size
                 link_chars[i] += size * link[i]
         for i in range(n - 1, 0, -1):
@@ -162,8 +171,6 @@ class Page:
                 tags[up] += tags[i] + 1
                 link_chars[up] += link_chars[i]
                 link_tags[up] += link_tags[i] + (tag[i] == "a")
-        if not chars[0]:
-            return ""
         body = next((i for i in range(n) if tag[i] == "body"), 0)
         ratio = link_chars[body] / max(chars[body], 1)
         density, total = [0.0] * n, [0.0] * n
@@ -171,16 +178,45 @@ class Page:
             if not gone[i] and chars[i]:
                 c, t, lc, lt = chars[i], max(tags[i], 1), max(link_chars[i], 1), max(link_tags[i], 1)
                 base = math.log(c / max(c - link_chars[i], 1) * link_chars[i] + ratio * c + math.e)
-                density[i] = max(0.0, c / t * (math.log(max(c / lc * t / lt, 1.0)) / base))
+                density[i] = max(0.0, c / t * (math.log(max(c / lc * t / lt, 1.0)) / base)) * (LOWERED if low[i] else 1)
                 if i:
                     total[parent[i]] += density[i]
         best = max(range(n), key=lambda i: (total[i], -i))
-        if not total[best]:
-            best = body
+        return gone, chars, link_chars, density, best if total[best] else body
+
+    def main_text(self) -> str:
+        tag, parent = self.tag, self.parent
+        n = len(tag)
+        link = [False] * n
+        for i in range(1, n):
+            link[i] = link[parent[i]] or tag[i] == "a"
+        sizes = [len("".join(text.split())) for _, text in self.texts]
+        gone, chars, link_chars, density, best = self.measured(sizes, link, frozenset())
+        if "name" in self.other and not any(tag[i] in ("article", "main") and chars[i] and not gone[i] for i in range(n)):
+            # a named part that has the densest subtree and more text than the rest is the article
+            _, whole, _, _, dense = self.measured(sizes, link, frozenset(["name"]))
+            named = []
+            while dense > 0:
+                if self.other[dense] == "name":
+                    named.append(dense)
+                dense = parent[dense]
+            if named and 2 * whole[named[-1]] > whole[0]:
+                # of names inside each other, those take part that hold most of the text
+                for i in named:
+                    if 2 * whole[i] > whole[0]:
+                        self.other[i] = ""
+                gone, chars, link_chars, density, best = self.measured(sizes, link, frozenset())
+        if not chars[0]:
+            return ""
+        body = next((i for i in range(n) if tag[i] == "body"), 0)
         path = [best]
         while path[-1] not in (0, body):
             path.append(parent[path[-1]])
         threshold = min(density[i] for i in path)
+        if "piece" in self.other:
+            above = set(path)
+            for i in range(1, n):
+                gone[i] = gone[i] or gone[parent[i]] or (self.other[i] == "piece" and i not in above and 2 * link_chars[i] > chars[i])
         # the article as a whole, if the densest part lies in one
         root = next((i for i in path if tag[i] in ("article", "main")), None)
         if root is not None:
