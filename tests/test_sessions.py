@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators.sessions import fold_sessions, sessionize, value_sessions
@@ -144,3 +145,23 @@ def test_out_of_order_event_ahead_of_the_watermark_counts(spark):
     sinks.run_available(sessions.session_stream(write_stream(spark, [first, early, SENTINEL])), f"{base}/cp", path=f"{base}/o")
     row = spark.read.parquet(f"{base}/o").filter("session_id = 's'").first()
     assert (row["event_count"], row["duration_seconds"]) == (3, 600.0)
+
+
+def test_sessions_past_the_flag_are_counted_whole(spark):
+    rows = make([("t", "s", "u", f"/p{i % 1300}", f"d{i % 1100}", "click", i) for i in range(2600)])
+    few = make([("t", "few", "u", f"/p{i}", None, "click", i) for i in range(1000)])
+    flagged = []
+    for build in (sessions.session_stream, sessions.bounded_session_stream):
+        base = work_dir(spark, "out")
+        sinks.run_available(build(write_stream(spark, [rows[:1000] + few, rows[1000:], SENTINEL])), f"{base}/cp", path=f"{base}/o")
+        flagged.append(rows_of(spark.read.parquet(f"{base}/o").filter("session_id <> 'end'")))
+    assert flagged[0] == flagged[1]
+    assert [(r[1], *r[5:8], *r[9:]) for r in flagged[1]] == [("few", 1000, 1000, 0, False, False), ("s", 2600, 1300, 1100, True, True)]
+
+
+def test_batches_of_a_key_are_folded_in_any_order():
+    rows = random_rows(600, hot=1)
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in DDL.split(", ")]).sample(frac=1, random_state=1)
+    frames = [frame.iloc[i : i + 50] for i in range(0, len(frame), 50)]
+    one, many = (sessions.BoundedSessions()._parts(iter(x)) for x in ([frame], frames))
+    assert one == many and sum(p[3] for p in one) == 600
