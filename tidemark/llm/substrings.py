@@ -1,12 +1,12 @@
-"""Passages that repeat across documents, by prefix-partitioned suffix trees.
+"""Passages that repeat across documents, by prefixes that split their windows.
 
 A window is `size` consecutive words of one document. Every window has an anchor: the group of ANCHOR words with the least hash
 among those in it. Equal windows have equal anchors at the same place, so anchors that occur in one document alone rule out
 their windows, and only the suffixes around the others are moved. These are split by prefixes of two lengths: an anchor with
 few windows is one prefix, and its suffixes fit in memory; one with more is split further, by the whole window. A group of
-the first kind becomes a suffix tree, as sorted suffixes with the lengths of their common prefixes: a node of depth `size` or
-more is a repeated window, and its least document has it first. A group of the second kind is a single deep node, whose least
-document an aggregate finds before anything is moved.
+the first kind is sorted by windows of `size` words, not by whole suffixes: neighbours that are equal are a repeated window, and
+its least document has it first; longer common prefixes and inner nodes are not computed. Of a group of the second kind the
+least document is found by an aggregate before anything is moved.
 """
 
 from __future__ import annotations
@@ -160,8 +160,8 @@ def candidates(found: DataFrame, size: int, whole: bool) -> DataFrame:
 def subtree(key: np.ndarray, doc: np.ndarray, body: pa.Array, size: int) -> np.ndarray:
     """For each suffix row, the bits of its windows that occur in a smaller document: bit i for the window at word i.
 
-    All windows of the rows are sorted as suffixes below their prefix `key`; neighbours that agree in `size` words are leaves
-    of one deep node.
+    All windows of the rows are sorted below their prefix `key`, by the hashes of their `size` words; neighbours that agree in
+    all of them are one window.
     """
     w = Words(body)
     windows = w.count - size + 1
