@@ -140,6 +140,16 @@ def test_one_of_each(odd, none):
     assert ids == sorted({i for i, c, _ in want if i is not None and i == c})
 
 
+def test_one_of_each_text_of_an_id(spark):
+    near, clean = (" ".join(f"{c}{i * i % 997}" for i in range(80)) for c in "vw")
+    table = [(1, near), (2, near + " w1"), (2, clean), (2, clean), (3, None), (3, ""), (3, "one two"), (None, near), (None, "none"), (None, "none")]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    want = [(1, near), (2, clean), (3, None), (3, ""), (3, "one two")]
+    assert sorted(map(tuple, one_of_each(docs).collect()), key=str) == sorted(want, key=str)
+    want += [(None, near), (None, "none"), (None, "none")]
+    assert sorted(map(tuple, one_of_each(docs, unnamed=True).collect()), key=str) == sorted(want, key=str)
+
+
 def test_bands_reach_recall():
     for threshold in (0.5, 0.8, 0.95):
         bands, n = bands_for(threshold, 0.999, 128)

@@ -220,6 +220,11 @@ def linked(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     empty) a row has no links and is its own class. Repeated rows are copies. A row without doc_id takes no part: no class,
     no links. `tile`: n-grams on one side of a tile. Other columns are not read.
     """
+    return grouped(docs, n, threshold, recall, tile).select("doc_id", F.col("least.doc_id").alias("class_id"), "n_links")
+
+
+def grouped(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, tile: int = 500_000) -> DataFrame:
+    """As linked(): doc_id, the hash `print` of the text, the smallest (doc_id, print) of the class as `least`, and n_links."""
     bands, rows = bands_for(threshold, recall)
     signed = signatures(docs, n, bands, rows).withColumn("size", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("size")))
     signed = cut_lineage(signed)
@@ -249,18 +254,28 @@ def linked(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     found = cut_lineage(tile_links(tiles, n, threshold))
     counts = found.groupBy(F.col("class").alias("_c")).agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
-    labelled = (classes.select("class", "one", "two", "copies", F.col("least.doc_id").alias("least")).join(counts, F.col("class") == F.col("_c"), "left")
+    labelled = (classes.select("class", "one", "two", "copies", "least").join(counts, F.col("class") == F.col("_c"), "left")
                 .join(groups, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")))
-    least = labelled.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("class_id"))
+    least = labelled.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("class_least"))
     labelled = (labelled.join(least, F.col("root") == F.col("_root"))
-                .select(F.col("one").alias("_one"), F.col("two").alias("_two"), "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+                .select(F.col("one").alias("_one"), F.col("two").alias("_two"), "class_least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     same = (F.col("size") > 0) & (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))
-    return signed.join(labelled, same, "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    own = F.coalesce("class_least", F.struct("doc_id", "print"))
+    return signed.join(labelled, same, "left").select("doc_id", "print", own.alias("least"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that are the smallest of their group, all columns, one for each id; rows without an id go."""
-    kept = linked(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
+def one_of_each(docs: DataFrame, unnamed: bool = False, **options) -> DataFrame:
+    """One row of `docs` for each group, all columns: the one with the smallest id, and of its texts that with the smallest hash.
+
+    Different texts under one id are judged each; the same text under one id stays once. Rows without an id have no group:
+    they go, or stay as they are if `unnamed`.
+    """
+    first = (F.col("doc_id") == F.col("least.doc_id")) & F.col("print").eqNullSafe(F.col("least.print"))
+    kept = grouped(docs, **options).where(first).select(F.col("doc_id").alias("_kept"), F.col("print").alias("_least")).distinct()
     plain, names, _ = positional(docs)
-    id = names[docs.columns.index("doc_id")]
-    return plain.join(kept, F.col(id) == F.col("_kept")).select(*names).dropDuplicates([id]).toDF(*docs.columns)
+    id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    found = (plain.withColumn("_print", print_of(F.col(text))).join(kept, (F.col(id) == F.col("_kept")) & (F.col("_print") == F.col("_least")))
+             .dropDuplicates([id, "_print"]).select(*names))
+    if unnamed:
+        found = found.unionByName(plain.where(F.col(id).isNull()))
+    return found.toDF(*docs.columns)
