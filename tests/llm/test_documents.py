@@ -63,6 +63,33 @@ def test_words_and_hashes():
     assert row_ngrams(w, 2)[1].tolist() == [0, 1, 4]
 
 
+def thue_morse(n, flip):
+    """A word of n letters: by the parity of the bits of its places, or the other way round."""
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def twins(spark):
+    """Long words that polynomial hashes modulo a power of two confuse."""
+    table = []
+    for k, n in enumerate((1024, 2048, 4096)):
+        a, b = thue_morse(n, 0), thue_morse(n, 1)
+        rest = " ".join(f"x{k}y{i}" for i in range(12))
+        table += [(10 * k + 1, f"{a} {rest}"), (10 * k + 2, f"{b} {rest}"), (10 * k + 3, f"{a} v w {b} v w u"), (10 * k + 4, f"{a}\n{b}\n{a}")]
+    return spark.createDataFrame(table, "doc_id long, text string")
+
+
+def test_long_words_do_not_collide(twins):
+    table = [tuple(r) for r in twins.collect()]
+    assert sorted((tuple(r) for r in without_repeats(twins, digest=True).collect()), key=str) == later_windows(table)
+    assert sorted((tuple(r) for r in linked(twins).collect()), key=str) == brute_links(table)
+    reference = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=codec(PATH, PATTERN).ranks, special_tokens={})
+    want = [(i, hashlib.sha256(np.array(reference.encode_ordinary(t), "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in table]
+    assert sorted((r["doc_id"], r["ids_sha256"], r["decoded_sha256"]) for r in encoded(twins, PATH, PATTERN).collect()) == want
+    rules = {r["doc_id"]: (r["n_repeat_words"], r["n_dup_lines"]) for r in quality_rules(twins).collect()}
+    assert [rules[10 * k + j] for k in range(3) for j in (3, 4)] == [(0, 0), (0, 1)] * 3
+
+
 def later_windows(table, size=13):
     first = {}
     for i, t in table:

@@ -16,14 +16,16 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 
-from tidemark.llm.text import map_texts, span_hash, string_bytes
+from tidemark.llm.text import map_texts, span_codes, string_bytes
 
 LEAF = 32
 NONE = np.int32(1 << 30)
 # Pretokens of at most WIDTH tokens are remembered, 2^REMEMBER_BITS of them; a newer one takes the place of an older.
-WIDTH, REMEMBER_BITS = 8, 20
+WIDTH, REMEMBER_BITS = 8, 18
+BLOCK = 500_000
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # fixed value: the pattern whose matches are found in numpy
 FIXED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -238,12 +240,12 @@ class Codec:
         start, end = edges[:-1], edges[1:]
         if not len(start):
             return np.zeros(0, "<u4"), np.zeros(len(bounds), np.int64)
-        one, two = span_hash(data, start, end), span_hash(data, start, end, 1)
-        _, pick, back = np.unique(one, return_index=True, return_inverse=True)
-        if (two[pick][back] != two).any():
-            # two byte strings share a 64-bit hash: each pretoken counts as its own
-            pick, back = np.arange(len(one)), np.arange(len(one))
-        flat, first, count = self.unique(data, start[pick], end[pick] - start[pick], one[pick], two[pick])
+        # equal pretokens of a block are encoded once; numbers rise with the first place of each
+        back, distinct = span_codes(data, edges)
+        pick = np.flatnonzero(back > np.concatenate([[-1], np.maximum.accumulate(back)[:-1]]))
+        marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in distinct.to_pylist()), np.uint64).reshape(-1, 2)
+        one, two = marks[:, 0], marks[:, 1]
+        flat, first, count = self.unique(data, start[pick], end[pick] - start[pick], one, two)
         number = count[back]
         total = np.concatenate([[0], np.cumsum(number)])
         ids = flat[np.repeat(first[back] - total[:-1], number) + np.arange(total[-1])]
@@ -298,10 +300,15 @@ def spell(pattern: str) -> str:
 def classes() -> np.ndarray:
     """Class of every code point."""
     out = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     for kind, name in ((LETTER, "L"), (NUMBER, "N"), (SPACE, "White_Space")):
-        found = "".join(regex.findall(rf"\p{{{name}}}+", every))
-        out[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
+        member = regex.compile(rf"\p{{{name}}}+")
+        for plane in range(0, 0x110000, 0x1000):
+            if plane not in range(0xD000, 0xE000):
+                points = range(plane, plane + 0x1000)
+            else:  # surrogates are no characters
+                points = range(0xD000, 0xD800)
+            found = "".join(member.findall("".join(map(chr, points))))
+            out[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
@@ -333,4 +340,4 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) ->
             made, names = [*made, pa.array(coded, pa.binary())], [*names, "ids"]
         return pa.RecordBatch.from_arrays(made, names=names)
 
-    return map_texts(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), "text", schema, run)
+    return map_texts(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), "text", schema, run, BLOCK)

@@ -138,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Machine:
 
     table = map_texts(chosen, "text", "quality double, stats array<double>, buckets array<int>, vals array<float>", run).toArrow()
     label = table["quality"].to_numpy()
-    size = np.array([len(x) for x in table["buckets"].to_pylist()], np.int64)
-    stats = np.array(table["stats"].to_pylist(), float).reshape(len(label), len(STATISTICS))
+    size = table["buckets"].combine_chunks().value_lengths().to_numpy().astype(np.int64)
+    stats = table["stats"].combine_chunks().flatten().to_numpy().reshape(len(label), len(STATISTICS))
     # rows in an order of their own, whatever order the tasks ended in
     order = np.lexsort((label, *stats.T))
     bucket = table["buckets"].combine_chunks().flatten().to_numpy().astype(np.int64)
@@ -155,21 +155,27 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Machine:
     return machine
 
 
-def scored(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
-    """The columns of `docs` under names by place, with score and predicted; scoring reads the text and n_chars alone."""
+def scored(docs: DataFrame, machine: Machine, threshold: float = 0.3, back: list[str] | None = None) -> DataFrame:
+    """Columns of `docs` under names by place (all, or those of `back`), with score and predicted.
+
+    Scoring reads the text and n_chars alone. A text goes to Python once, and returns only if it is asked for.
+    """
     held = docs.sparkSession.sparkContext.broadcast(machine)
-    plain, keep, fields = positional(docs)
-    text, given = (F.col(keep[docs.columns.index(c)]) for c in ("text", "n_chars"))
-    table = plain.select(*keep, text.cast("string").alias("_text"), given.cast("double").alias("_given"))
+    plain, names, fields = positional(docs)
+    text, given = (docs.columns.index(c) for c in ("text", "n_chars"))
+    keep = [i for i, c in enumerate(docs.columns) if back is None or c in back]
+    sent = [*keep, *({text, given} - set(keep))]
+    table = plain.select(*(F.col(names[i]).cast("string" if i == text else fields[i].dataType).alias(names[i]) for i in sent))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = Words(batch.column(len(keep)))
-        score = held.value.score(word_features(w), statistics(w, numbers(batch.column(len(keep) + 1))))
+        w = Words(batch.column(sent.index(text)))
+        score = held.value.score(word_features(w), statistics(w, numbers(batch.column(sent.index(given)))))
         made = [*(batch.column(i) for i in range(len(keep))), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
-        return pa.RecordBatch.from_arrays(made, names=[*keep, "score", "predicted"])
+        return pa.RecordBatch.from_arrays(made, names=[*(names[i] for i in keep), "score", "predicted"])
 
-    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return map_texts(table, "_text", schema, run)
+    kept = [T.StructField(names[i], T.StringType() if i == text else fields[i].dataType) for i in keep]
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return map_texts(table, names[text], schema, run)
 
 
 def remainder(id: Column) -> Column:
@@ -190,7 +196,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Data
     """
     rest = F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False))
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rest.alias("held_out"), "text", "n_chars")
-    return scored(table, machine_for(docs, labels, most)).select(F.col("_c0").alias("doc_id"), F.col("_c1").alias("held_out"), "score", "predicted")
+    return scored(table, machine_for(docs, labels, most), back=["doc_id", "held_out"]).select(F.col("_c0").alias("doc_id"), F.col("_c1").alias("held_out"), "score", "predicted")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, most: int = 8000) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.text import U, Words, map_texts, mix, row_ngrams, row_sums, span_hash
+from tidemark.llm.text import U, Words, hash_of, joined_spans, map_texts, mix, row_ngrams, row_sums, span_codes
 
 # The most percent of a text's word characters that may lie in repeated n-grams of each length, and in
 # repeated lines, as published for a large web corpus.
@@ -54,7 +54,8 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     some = first < last
     start, end, first, last = start[some], end[some], first[some], last[some]
     row = w.row[first]
-    again = repeats(span_hash(w.data, start, end), row)[1] if len(start) else np.zeros(0, bool)
+    code, lines = span_codes(*joined_spans(w.data, start, end))
+    again = repeats(hash_of(lines)[code], row)[1] if len(start) else np.zeros(0, bool)
     out["n_dup_lines"] = np.bincount(row[again], minlength=w.rows)
     total = np.concatenate([[0], np.cumsum(chars)])
     out["dup_line_chars"] = np.bincount(row[again], weights=(total[last] - total[first])[again], minlength=w.rows).astype(np.int64)

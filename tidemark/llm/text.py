@@ -11,34 +11,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 2_000_000
-CHUNK = 1 << 20
 U = np.uint64
-BASE, NGRAM = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+NGRAM = U(0xC2B2AE3D27D4EB4F)
+SEED = 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(9, 14)]] = True
-# two families of hash values
-BYTE_VALUE = np.random.default_rng(20).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * U(2) + U(1)
-_power: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the powers 0..n-1 and their inverses modulo 2^64."""
-    if not _power or len(_power[0]) < n:
-        inverse = U(pow(int(BASE), -1, 1 << 64))
-        made = []
-        for root in (BASE, inverse):
-            steps = np.full(n, root, np.uint64)
-            steps[0] = 1
-            made.append(np.cumprod(steps, dtype=np.uint64))
-        _power[:] = made
-    return _power[0], _power[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit over all bits."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -55,21 +38,22 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], (bounds - bounds[0]).astype(np.int64)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
-    """64-bit hash of each byte span; spans are ascending and do not overlap."""
-    out = np.empty(len(start), np.uint64)
-    at = 0
-    while at < len(start):
-        left = start[at]
-        stop = max(at + 1, int(np.searchsorted(end, left + CHUNK, "right")))
-        s, e = start[at:stop] - left, end[at:stop] - left
-        power, inverse = powers(max(CHUNK, int(e[-1])) + 1)
-        part = data[left : left + e[-1]]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[family][part] * power[: len(part)], out=total[1:])
-        out[at:stop] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)
-        at = stop
-    return mix(out)
+def span_codes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Spans that follow each other as numbers, equal where the bytes are equal, and the bytes of each number."""
+    spans = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds)), pa.py_buffer(data)])
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def joined_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans one after the other, and their bounds there."""
+    total = np.concatenate([[0], np.cumsum(end - start)])
+    return data[np.repeat(start - total[:-1], end - start) + np.arange(total[-1])], total
+
+
+def hash_of(distinct: pa.Array) -> np.ndarray:
+    """64-bit hash of each byte string, the same in every task."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(x, SEED) for x in distinct.to_pylist()), np.uint64, len(distinct))
 
 
 class Words:
@@ -90,7 +74,9 @@ class Words:
         self.offsets = np.searchsorted(self.start, self.bounds)  # of each row's words
         self.count = np.diff(self.offsets)
         self.row = np.repeat(np.arange(self.rows), self.count)
-        self.hash = span_hash(self.data, self.start, self.end)
+        # words are compared by their bytes in a block, and by a hash of each different one across blocks
+        self.code, self.distinct = span_codes(self.data[solid], np.concatenate([[0], np.cumsum(self.end - self.start)]))
+        self.hash = hash_of(self.distinct)[self.code]
 
 
 def ngram_hash(h: np.ndarray, n: int) -> np.ndarray:
@@ -142,12 +128,13 @@ def positional(df: DataFrame) -> tuple[DataFrame, list[str], list[T.StructField]
     return df.toDF(*names), names, fields
 
 
-def map_texts(df: DataFrame, column: str, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """`fn` over blocks of rows; it gets and returns Arrow record batches."""
+def map_texts(df: DataFrame, column: str, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+              size: int = BLOCK_BYTES) -> DataFrame:
+    """`fn` over blocks of rows of about `size` bytes of text; it gets and returns Arrow record batches."""
 
     def run(batches):
         for batch in batches:
-            for part in blocks(batch, column):
+            for part in blocks(batch, column, size):
                 made = fn(part)
                 if made is not None and made.num_rows:
                     yield made
