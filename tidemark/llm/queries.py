@@ -16,6 +16,7 @@ from tidemark.llm.licenses import licenses
 from tidemark.llm.mixture import taken_words
 from tidemark.llm.nearest import neighbours
 from tidemark.llm.pages import extracted
+from tidemark.llm.periods import run_digest
 from tidemark.llm.repetition import quality_rules
 from tidemark.llm.substrings import without_repeats
 from tidemark.session import prepare
@@ -153,3 +154,34 @@ def op6_nearest_neighbours(spark: SparkSession, base: str) -> DataFrame:
 def op7_license_scan(spark: SparkSession, base: str) -> DataFrame:
     """License statements in the documents."""
     return licenses(read_table(spark, base, "documents"))
+
+
+# crc32 by its table, built from its rule; a run of period q is an island of places where three words are those q words on.
+OP13_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256))::BIGINT AS i)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, tab),
+e AS (SELECT r, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS looped, h // 10 AS g FROM d),
+f AS (SELECT r, w, n, looped, CASE WHEN looped THEN g % n END AS a, CASE WHEN looped THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM e),
+x AS (SELECT r, n, i, CASE WHEN looped AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM f)),
+y AS (SELECT r, n, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS gram FROM x WINDOW o AS (PARTITION BY r ORDER BY i)),
+j AS (SELECT a.r, a.i, b.i - a.i AS q FROM y a JOIN y b ON a.r = b.r AND a.gram = b.gram AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+k AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM j),
+s AS (SELECT r, q, min(i) AS b, max(i) + q + 3 AS e FROM k GROUP BY r, q, island HAVING max(i) + q + 3 - min(i) >= greatest(6, 4 * q)),
+u AS (SELECT r, b, e, min(q) AS q FROM s GROUP BY r, b, e),
+m AS (SELECT r, count(*) AS n_runs, first(struct_pack(b := b, l := e - b, q := q) ORDER BY (e - b)::DOUBLE / q DESC, b, q) AS best,
+        string_agg(b || ',' || (e - b) || ',' || q || chr(10), '' ORDER BY b, q) AS lines FROM u GROUP BY r),
+z AS (SELECT DISTINCT r, unnest(range(b + q, e)) AS i FROM u),
+c AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN z ON x.r = z.r AND x.i = z.i GROUP BY x.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.b::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.l // best.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN m USING (r) LEFT JOIN c USING (r)
+"""
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def op13_periodic_runs(spark: SparkSession, base: str) -> DataFrame:
+    """Periodic runs of the words of each document."""
+    return run_digest(read_table(spark, base, "documents"))
