@@ -15,6 +15,7 @@ from tidemark.llm.language import language_of
 from tidemark.llm.licenses import licenses
 from tidemark.llm.mixture import taken_words
 from tidemark.llm.nearest import neighbours
+from tidemark.llm.packing import packed_documents
 from tidemark.llm.pages import extracted
 from tidemark.llm.periods import run_digest
 from tidemark.llm.repetition import quality_rules
@@ -185,3 +186,9 @@ FROM d LEFT JOIN m USING (r) LEFT JOIN c USING (r)
 def op13_periodic_runs(spark: SparkSession, base: str) -> DataFrame:
     """Periodic runs of the words of each document."""
     return run_digest(read_table(spark, base, "documents"))
+
+
+@query("op12_best_fit_packing")
+def op12_best_fit_packing(spark: SparkSession, base: str) -> DataFrame:
+    """The documents in as few sequences of 2048 tokens as the search finds."""
+    return packed_documents(read_table(spark, base, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
