@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encoded
+from tidemark.llm.collocations import collocations
 from tidemark.llm.factors import quality_scores
 from tidemark.llm.jaccard import linked
 from tidemark.llm.language import language_of
@@ -192,3 +193,28 @@ def op13_periodic_runs(spark: SparkSession, base: str) -> DataFrame:
 def op12_best_fit_packing(spark: SparkSession, base: str) -> DataFrame:
     """The documents in as few sequences of 2048 tokens as the search finds."""
     return packed_documents(read_table(spark, base, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM i, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase HAVING m = 1 OR count(*) >= 100),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+s AS (SELECT lang, a, array_to_string(w[j : j + k - 1], ' ') AS inside FROM (SELECT *, unnest(range(1, m - k + 2)) AS j FROM (SELECT *, unnest(range(2, m)) AS k FROM c))),
+t AS (SELECT lang, inside, max(a) AS most FROM s GROUP BY lang, inside),
+x AS (SELECT c.*, unnest(range(1, m)) AS k FROM c LEFT JOIN t ON c.lang = t.lang AND c.phrase = t.inside WHERE most IS NULL OR 100 * most < 100 * a),
+y AS (SELECT x.lang, x.phrase, x.a, x.k, l.f AS l, r.f AS r, n.n, (1000 * x.a::HUGEINT * n.n) // (l.f::HUGEINT * r.f) AS score
+  FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1 : x.k], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.k + 1 : x.m], ' ') JOIN n ON n.lang = x.lang),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM z QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11_collocations(spark: SparkSession, base: str) -> DataFrame:
+    """Phrases of each language that occur more often than their parts suggest."""
+    return collocations(read_table(spark, base, "documents"))

@@ -57,12 +57,17 @@ def hash_of(distinct: pa.Array) -> np.ndarray:
 
 
 class Words:
-    """Words of a block of texts: byte bounds, row number and hash of each, in order."""
+    """Words of a block of texts: byte bounds, row number and hash of each, in order.
 
-    def __init__(self, column: pa.Array):
+    `gap` tells the bytes that no word has; with `lower` the letters A to Z count as a to z.
+    """
+
+    def __init__(self, column: pa.Array, gap: np.ndarray = IS_SPACE, lower: bool = False):
         self.data, self.bounds = string_bytes(column)
+        if lower:
+            self.data = np.where((self.data >= 65) & (self.data <= 90), self.data | np.uint8(32), self.data)
         self.rows = len(column)
-        solid = ~IS_SPACE[self.data]
+        solid = ~gap[self.data]
         first, last = solid.copy(), solid.copy()
         first[1:] &= ~solid[:-1]
         last[:-1] &= ~solid[1:]
