@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import U, Words, blocks, hash_of, mix
+from tidemark.llm.text import U, Words, blocks, hash_of, lean, mix
 from tidemark.session import cut_lineage
 
 BREAK = np.zeros(256, bool)
@@ -152,7 +152,7 @@ def over_tokens(texts: DataFrame, schema: str, fn) -> DataFrame:
         if held:
             yield from solve(held)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(lean(run), schema)
 
 
 def sieve_of(phrases: DataFrame, bits: int) -> Sieve:
@@ -174,7 +174,7 @@ def sieve_of(phrases: DataFrame, bits: int) -> Sieve:
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(value.view(np.int64))], names=["cell", "bits"])
 
     cells = np.zeros(1 << bits - 6, np.uint64)
-    made = phrases.select("lang", "ids").mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    made = phrases.select("lang", "ids").mapInArrow(lean(run), "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
     cells[made["cell"].to_numpy()] = made["bits"].to_numpy().view(np.uint64)
     return Sieve(cells)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
 from tidemark.llm.substrings import packed, print_of
-from tidemark.llm.text import BLOCK_BYTES, U, Words, map_texts, mix, ngram_hash, positional, row_ngrams
+from tidemark.llm.text import BLOCK_BYTES, U, Words, lean, map_texts, mix, ngram_hash, positional, row_ngrams
 from tidemark.session import cut_lineage
 
 SIDE = 256
@@ -209,7 +209,7 @@ def tile_links(tiles: DataFrame, n: int, threshold: float) -> DataFrame:
             yield batch_of(out)
 
     keys = ["band", "value", "low", "high"]
-    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "class long, links long, root long")
+    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "class long, links long, root long")
 
 
 def linked(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, tile: int = 500_000) -> DataFrame:

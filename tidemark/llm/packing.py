@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.text import IS_SPACE, map_texts, string_bytes
+from tidemark.llm.text import IS_SPACE, lean, map_texts, string_bytes
 from tidemark.session import cut_lineage
 
 # fixed value: the pattern by which a byte-level tokenizer file splits texts when it asks for its own pattern
@@ -225,7 +225,7 @@ def generations(state: DataFrame, size: int, tasks: int, seed: list[int], popula
                                                  schema=pa.schema([(f.name, f.type) for f in batch.schema][:4] + [("sequences", pa.int64()), ("even", pa.float64())]))
 
     schema = f"shard long, island int, items {LIST}, population array<array<int>>, sequences long, even double"
-    return cut_lineage(state.select("shard", "island", "items", "population").repartition(tasks, "shard", "island").mapInArrow(run, schema))
+    return cut_lineage(state.select("shard", "island", "items", "population").repartition(tasks, "shard", "island").mapInArrow(lean(run), schema))
 
 
 def placed(best: DataFrame, size: int, turn: int, last: bool) -> DataFrame:
@@ -249,7 +249,7 @@ def placed(best: DataFrame, size: int, turn: int, last: bool) -> DataFrame:
                 name = (turn << 56) + (row["shard"] << 20) + packing
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (items, sizes, name, offset, ~again[packing])], names=["item", "length", "sequence_id", "offset", "stands"])
 
-    return cut_lineage(best.mapInArrow(run, "item long, length long, sequence_id long, offset long, stands boolean"))
+    return cut_lineage(best.mapInArrow(lean(run), "item long, length long, sequence_id long, offset long, stands boolean"))
 
 
 def sequences(pool: DataFrame, size: int, shard: int = SHARD, islands: int = ISLANDS, population: int = POPULATION,

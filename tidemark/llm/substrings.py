@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.text import BLOCK_BYTES, U, Words, blocks, map_texts, mix, ngram_hash, positional, string_bytes
+from tidemark.llm.text import BLOCK_BYTES, U, Words, blocks, lean, map_texts, mix, ngram_hash, positional, string_bytes
 
 ANCHOR = 4
 
@@ -97,7 +97,7 @@ def anchors(texts: DataFrame, size: int) -> DataFrame:
                 if made.num_rows:
                     yield made
 
-    return texts.select("_pack", "_id").mapInArrow(run, "key long, id long, windows long")
+    return texts.select("_pack", "_id").mapInArrow(lean(run), "key long, id long, windows long")
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def candidates(found: DataFrame, size: int, whole: bool) -> DataFrame:
                 if made.num_rows:
                     yield made
 
-    return found.mapInArrow(run, "key long, id long, print long, place long, body binary, parts long")
+    return found.mapInArrow(lean(run), "key long, id long, print long, place long, body binary, parts long")
 
 
 def subtree(key: np.ndarray, doc: np.ndarray, body: pa.Array, size: int) -> np.ndarray:
@@ -218,7 +218,7 @@ def tree_hits(suffixes: DataFrame, size: int, limit: int = 50_000) -> DataFrame:
             if made is not None:
                 yield made
 
-    return suffixes.drop("parts").repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, print long, place long, bits long")
+    return suffixes.drop("parts").repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "id long, print long, place long, bits long")
 
 
 def without_repeats(docs: DataFrame, size: int = 13, group: int = 400_000, digest: bool = False) -> DataFrame:
@@ -280,7 +280,7 @@ def without_repeats(docs: DataFrame, size: int = 13, group: int = 400_000, diges
                 made = cut(part, size, digest)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3, part.num_columns)), *made], names=[*names, "n_words", "n_removed", "kept_sha256" if digest else "_text"])
 
-    result = rows.mapInArrow(run, T.StructType([*fields, *output]))
+    result = rows.mapInArrow(lean(run), T.StructType([*fields, *output]))
     if digest:
         return result.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
     changed = F.col("n_removed") > 0

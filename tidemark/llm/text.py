@@ -6,6 +6,8 @@ block of texts at once; a block holds about two million bytes, or one text if th
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -133,6 +135,28 @@ def positional(df: DataFrame) -> tuple[DataFrame, list[str], list[T.StructField]
     return df.toDF(*names), names, fields
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the machine: workers live on, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, releasing memory after every batch that it reads and at its end."""
+
+    def read(batches):
+        for batch in batches:
+            yield batch
+            release()
+
+    def lean_run(batches):
+        yield from run(read(batches))
+        release()
+
+    return lean_run
+
+
 def map_texts(df: DataFrame, column: str, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
               size: int = BLOCK_BYTES) -> DataFrame:
     """`fn` over blocks of rows of about `size` bytes of text; it gets and returns Arrow record batches."""
@@ -144,7 +168,7 @@ def map_texts(df: DataFrame, column: str, schema: str | T.StructType, fn: Callab
                 if made is not None and made.num_rows:
                     yield made
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
