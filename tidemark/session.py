@@ -17,8 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # rows go to Python in small batches, by number and by bytes, so a worker's memory does not follow the length of texts
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
     # a retried partition overwrite replaces only the partitions it writes
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # stream state lives off-heap and is checkpointed as changelogs
