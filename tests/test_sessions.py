@@ -147,6 +147,36 @@ def test_out_of_order_event_ahead_of_the_watermark_counts(spark):
     assert (row["event_count"], row["duration_seconds"]) == (3, 600.0)
 
 
+def stream_of(spark, build, batches):
+    """A stream that gets one file after the other, each run to its end, so the watermark of a file holds for the next."""
+    base, ddl = work_dir(spark, "steps"), spark.createDataFrame([], DDL).schema
+    for rows in batches:
+        spark.createDataFrame(rows, DDL).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        sinks.run_available(build(spark.readStream.schema(ddl).parquet(f"{base}/in")), f"{base}/cp", path=f"{base}/o")
+    return spark.read.parquet(f"{base}/o")
+
+
+def test_an_event_between_two_runs_joins_them(spark):
+    # 0:00, 30:05, 29:57: the second comes before the watermark has closed the first
+    batches = [make([("t", "s", "u", "/a", "p", "click", 0)]), make([("t", "s", "v", "/b", "q", "click", 1805)]), make([("t", "s", "w", "/a", "q", "click", 1797)]), SENTINEL]
+    got = []
+    for build in (sessions.session_stream, sessions.bounded_session_stream):
+        out = stream_of(spark, build, batches).filter("session_id = 's'")
+        got.append([tuple(r) for r in out.select(*COLS, "duration_seconds", "is_conversion").collect()])
+    assert got[0] == got[1] and [(r[2], *r[5:8], r[11], r[12]) for r in got[1]] == [("u", 3, 2, 2, 1805.0, False)]
+
+
+def test_bounded_stream_over_shuffled_batches(spark):
+    # steps of five minutes, arrivals up to an hour out of order, within a delay of two hours
+    rng = random.Random(5)
+    rows = make([("t", rng.choice("ab"), rng.choice("uv"), rng.choice(["/a", "/b", "/checkout", None]), rng.choice([None, "p", "q"]),
+                  rng.choice(["click", "add_to_cart"]), 300 * rng.randint(0, 600)) for _ in range(240)])
+    shuffled = sorted(rows, key=lambda r: (r[6] + timedelta(seconds=rng.randint(0, 3600)), r[7]))
+    batches = [*(shuffled[i : i + 40] for i in range(0, 240, 40)), SENTINEL]
+    out = stream_of(spark, lambda s: sessions.bounded_session_stream(s, delay="2 hours"), batches)
+    assert rows_of(out.filter("session_id <> 'end'")) == brute(rows)
+
+
 def test_sessions_past_the_flag_are_counted_whole(spark):
     rows = make([("t", "s", "u", f"/p{i % 1300}", f"d{i % 1100}", "click", i) for i in range(2600)])
     few = make([("t", "few", "u", f"/p{i}", None, "click", i) for i in range(1000)])

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import enrich
-from tidemark.functions.columns import iso
+from tidemark.functions.columns import iso, seconds_between
 from tidemark.operators.sessions import fold_sessions
 from tidemark.plans import ops
 from tidemark.plans.events import _PRODUCT_SPLIT, _STAGES_SQL, raw_records
 from tidemark.plans.registry import Inputs, query, ts_text
 from tidemark.session import work_dir
 from tidemark.sources import lake
-from tidemark.sources.adapters import VIEWS
-from tidemark.streaming import alerts, ingest, metrics, sessions, sinks, sources
+from tidemark.sources.adapters import SESSION_SQL, VIEWS
+from tidemark.streaming import alerts, ingest, late, metrics, sessions, sinks, sources
 
 EVENTS_NOW = "(SELECT max(ts) FROM events)"
 
@@ -81,10 +81,51 @@ def session_stream(t: Inputs):
     return _finished(t, "sessions", sessions.session_stream(_view_stream(t, "a_events"))).withColumn("started_at", iso("started_at")).withColumn("ended_at", iso("ended_at"))
 
 
-@query("s09_bounded_session_stream", f"""SELECT tenant_id, session_id, user_id, {ts_text('started_at')} AS started_at, {ts_text('ended_at')} AS ended_at, event_count, unique_pages, products_viewed,
-  funnel_stage, pages_truncated, products_truncated FROM a_sessions s WHERE s.ended_at + INTERVAL 30 MINUTE <= {EVENTS_NOW} - INTERVAL 10 SECOND""")
+# Arrivals: every 13th event comes five days late, every 7th six minutes; files end with the weeks of arrival.
+_ARRIVES = "ts + CASE WHEN src_key % 13 = 0 THEN INTERVAL 5 DAY WHEN src_key % 7 = 0 THEN INTERVAL 6 MINUTE ELSE INTERVAL 0 DAY END"
+_ARRIVED = f"""arrived AS (SELECT *, CAST(floor((epoch_us({_ARRIVES}) - epoch_us(TIMESTAMP '2024-01-01')) / 604800000000.0) AS BIGINT) AS file FROM a_events),
+marks AS (SELECT file, date_trunc('milliseconds', max(max(ts)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) - INTERVAL 10 SECOND AS watermark FROM arrived GROUP BY file),
+judged AS (SELECT a.*, watermark, coalesce(ts <= watermark, false) AS late FROM arrived a JOIN marks USING (file))"""
+
+
+def _in_arrivals(t: Inputs, label: str, each) -> str:
+    """a_events in files by arrival, each stream run to its end before the next file comes; `each` gets the stream and the folder."""
+    base = work_dir(t.spark, label)
+    file = F.floor((F.unix_micros(F.expr(_ARRIVES)) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 604800000000.0)
+    rows = t.a_events.withColumn("file", file)
+    rows.write.partitionBy("file").parquet(f"{base}/arrived")
+    for number in lake.folder_numbers(t.spark, f"{base}/arrived", "file"):
+        t.spark.read.parquet(f"{base}/arrived/file={number}").write.mode("append").parquet(f"{base}/in")
+        each(t.spark.readStream.schema(t.a_events.schema).parquet(f"{base}/in"), base)
+    return base
+
+
+_S09 = SESSION_SQL.replace("{a_events}", "(SELECT * FROM judged WHERE NOT late)")
+
+
+@query("s09_bounded_session_stream", f"""WITH {_ARRIVED}, s AS ({_S09}) SELECT * REPLACE ({ts_text('started_at')} AS started_at, {ts_text('ended_at')} AS ended_at)
+FROM s WHERE s.ended_at + INTERVAL 30 MINUTE <= {EVENTS_NOW} - INTERVAL 10 SECOND""")
 def bounded_session_stream(t: Inputs):
-    return _finished(t, "bounded", sessions.bounded_session_stream(_view_stream(t, "a_events"))).withColumn("started_at", iso("started_at")).withColumn("ended_at", iso("ended_at"))
+    """Sessions of events that come out of order in several files; the late ones are left out."""
+    base = _in_arrivals(t, "bounded", lambda stream, base: sinks.run_available(sessions.bounded_session_stream(stream), f"{base}/checkpoint", path=f"{base}/out"))
+    return t.spark.read.parquet(f"{base}/out").withColumn("started_at", iso("started_at")).withColumn("ended_at", iso("ended_at"))
+
+
+@query("s08_late_events", f"""WITH {_ARRIVED} SELECT tenant_id, event_id, {ts_text('ts')} AS ts, {ts_text('watermark')} AS watermark,
+  (epoch_us(watermark) - epoch_us(ts)) / 1000000.0 AS behind_seconds FROM judged WHERE late""")
+def late_events(t: Inputs):
+    """The events that the session stream leaves out, with the watermark they missed."""
+    base = _in_arrivals(t, "late", lambda stream, base: sinks.run_available(stream, f"{base}/checkpoint", late.late_split(base)))
+    rows = late.read_split(t.spark, base, "late", t.a_events.schema)
+    return rows.select("tenant_id", "event_id", iso("ts").alias("ts"), iso("watermark").alias("watermark"), seconds_between("ts", "watermark").alias("behind_seconds"))
+
+
+@query("s08_on_time_split", f"""WITH {_ARRIVED} SELECT tenant_id, count(*) FILTER (WHERE NOT late) AS on_time, count(*) FILTER (WHERE late) AS late FROM judged GROUP BY tenant_id""")
+def on_time_split(t: Inputs):
+    """Events per tenant that came ahead of the watermark, and those that did not."""
+    base = _in_arrivals(t, "split", lambda stream, base: sinks.run_available(stream, f"{base}/checkpoint", late.late_split(base)))
+    on_time, behind = (late.read_split(t.spark, base, name, t.a_events.schema).select("tenant_id", F.lit(name).alias("side")) for name in ("on_time", "late"))
+    return on_time.unionByName(behind).groupBy("tenant_id").agg(F.count_if(F.col("side") == "on_time").alias("on_time"), F.count_if(F.col("side") == "late").alias("late"))
 
 
 @query("s11_metric_stream", f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import zipfile
@@ -58,6 +59,8 @@ def ship_package(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, path.relative_to(root.parent))
     context.addPyFile(str(target))
+    # the runner that asks a stateful operator for its state schema starts on the driver and sees this path only
+    context.environment["PYTHONPATH"] = os.pathsep.join(p for p in (str(target), context.environment.get("PYTHONPATH")) if p)
     context._tidemark_shipped = True
 
 
