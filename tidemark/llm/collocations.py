@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 GAP = BREAK.copy()
 GAP[[0x20, 0x09]] = True
-BLOCK = 4_000_000
-ROOT_PARTS = 4096  # of the empty prefix' stripe
+BLOCK = 12_000_000
+ROOT_PARTS = 1024  # of the empty prefix' stripe
 HOT_SHARE, HOT_PARTS = 1000, 64  # a prefix with one of so many words has its stripe split into so many parts
 SIEVE_BITS = 26
 STEP = U(0x9E3779B97F4A7C15)
@@ -56,12 +57,19 @@ class Sieve:
         return hit[: len(key)] & hit[len(key) :]
 
 
+def word_ids(distinct: pa.Array) -> np.ndarray:
+    """Ids of words: the hash that the column function xxhash64 gives, so they need not be sent with the words."""
+    return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in distinct.to_pylist()), np.uint64, len(distinct))
+
+
 class Tokens:
     """Words of a block of texts (lang, text) with their pieces and languages."""
 
     def __init__(self, batch: pa.RecordBatch):
         w = Words(batch.column(1), GAP, lower=True)
-        self.code, self.distinct, self.id = w.code, w.distinct, w.hash
+        self.code, self.distinct = w.code, w.distinct
+        self.word_id = word_ids(w.distinct)
+        self.id = self.word_id[w.code]
         breaks = np.cumsum(BREAK[w.data])
         # grows at every break and with every text
         self.piece = breaks[w.start] + w.row if len(w.start) else np.zeros(0, np.int64)
@@ -84,20 +92,19 @@ class Tokens:
 
 
 def root_rows(t: Tokens) -> pa.RecordBatch | None:
-    """Stripes of the empty prefix: (lang, part, ids, words, counts)."""
+    """Stripes of the empty prefix: (lang, part, words, counts)."""
     key, number = np.unique(t.lang * len(t.distinct) + t.code, return_counts=True)
     if not len(key):
         return None
     lang, code = key // len(t.distinct), key % len(t.distinct)
-    id = hash_of(t.distinct)[code]
-    part = (id % U(ROOT_PARTS)).astype(np.int64)
+    part = (t.word_id[code] % U(ROOT_PARTS)).astype(np.int64)
     order = np.lexsort((part, lang))
-    lang, code, id, part, number = lang[order], code[order], id[order], part[order], number[order]
+    lang, code, part, number = lang[order], code[order], part[order], number[order]
     first = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (part[1:] != part[:-1])]))
     bounds = pa.array(np.append(first, len(lang)), pa.int32())
-    lists = (pa.array(id.view(np.int64)), t.distinct.take(pa.array(code)).cast(pa.binary()).cast(pa.string()), pa.array(number))
+    lists = (t.distinct.take(pa.array(code)).cast(pa.binary()).cast(pa.string()), pa.array(number.astype(np.int32)))
     return pa.RecordBatch.from_arrays([t.langs.take(pa.array(lang[first])), pa.array(part[first].astype(np.int32)), *(pa.ListArray.from_arrays(bounds, x) for x in lists)],
-                                      names=["lang", "part", "ids", "words", "counts"])
+                                      names=["lang", "part", "words", "counts"])
 
 
 def stripe_rows(t: Tokens, length: int, sieve: Sieve, sieved: int, hot: np.ndarray) -> pa.RecordBatch | None:
@@ -128,7 +135,7 @@ def stripe_rows(t: Tokens, length: int, sieve: Sieve, sieved: int, hot: np.ndarr
     words = t.id[place[first][:, None] + np.arange(length)].view(np.int64).ravel()
     prefix = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, length), pa.int32()), pa.array(words))
     return pa.RecordBatch.from_arrays([t.langs.take(pa.array(t.lang[place[first]])), prefix, pa.array(part[first].astype(np.int32)),
-                                       pa.ListArray.from_arrays(bounds, pa.array(after.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(number))],
+                                       pa.ListArray.from_arrays(bounds, pa.array(after.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(number.astype(np.int32)))],
                                       names=["lang", "prefix", "part", "next", "counts"])
 
 
@@ -195,7 +202,7 @@ def stripes(texts: DataFrame, lengths: range, sieve: Sieve, sieved: int, hot: di
     """(lang, ids, f) of the phrases of one word more than `lengths` that occur `least` times or more."""
     context = texts.sparkSession.sparkContext
     given = context.broadcast((sieve.cells, hot))
-    made = over_tokens(texts, "lang string, prefix array<long>, part int, next array<long>, counts array<long>",
+    made = over_tokens(texts, "lang string, prefix array<long>, part int, next array<long>, counts array<int>",
                        lambda t: (stripe_rows(t, n, Sieve(given.value[0]), sieved, given.value[1][n]) for n in lengths))
     # stripes of a prefix, or of a part of it, meet in one task; there they are added entry by entry
     entries = made.repartition("lang", "prefix", "part").select("lang", "prefix", "part", F.inline(F.arrays_zip("next", "counts")))
@@ -205,11 +212,11 @@ def stripes(texts: DataFrame, lengths: range, sieve: Sieve, sieved: int, hot: di
 
 def vocabulary(texts: DataFrame) -> DataFrame:
     """(lang, id, word, f) of every word; an error if two words have one id."""
-    made = over_tokens(texts, "lang string, part int, ids array<long>, words array<string>, counts array<long>", lambda t: (root_rows(t),))
-    entries = made.repartition("lang", "part").select("lang", "part", F.inline(F.arrays_zip("ids", "words", "counts")))
+    made = over_tokens(texts, "lang string, part int, words array<string>, counts array<int>", lambda t: (root_rows(t),))
+    entries = made.repartition("lang", "part").select("lang", "part", F.inline(F.arrays_zip("words", "counts"))).withColumn("id", F.xxhash64("words"))
     same = F.min("words") == F.max("words")
     checked = F.when(same, F.min("words")).otherwise(F.raise_error(F.lit("two words have the same hash: choose another seed")))
-    return cut_lineage(entries.groupBy("lang", "part", "ids").agg(checked.alias("word"), F.sum("counts").alias("f")).select("lang", F.col("ids").alias("id"), "word", "f"))
+    return cut_lineage(entries.groupBy("lang", "part", "id").agg(checked.alias("word"), F.sum("counts").alias("f")).select("lang", "id", "word", "f"))
 
 
 def cut_scores(phrases: DataFrame, candidates: DataFrame, totals: DataFrame) -> DataFrame:
