@@ -11,7 +11,7 @@ from tidemark.plans import ops
 from tidemark.plans.events import _PRODUCT_SPLIT, _STAGES_SQL, raw_records
 from tidemark.plans.registry import Inputs, query, ts_text
 from tidemark.session import work_dir
-from tidemark.sources import lake
+from tidemark.sources import files, lake
 from tidemark.sources.adapters import SESSION_SQL, VIEWS
 from tidemark.streaming import alerts, ingest, late, metrics, sessions, sinks, sources
 
@@ -31,7 +31,7 @@ def _finished(t: Inputs, label: str, stream):
     """What a stream has written at the end of its input, which may be nothing."""
     base = work_dir(t.spark, label)
     sinks.run_available(stream, f"{base}/checkpoint", path=f"{base}/out")
-    return t.spark.read.schema(stream.schema).parquet(f"{base}/out") if lake.is_folder(t.spark, f"{base}/out") else t.spark.createDataFrame([], stream.schema)
+    return t.spark.read.schema(stream.schema).parquet(f"{base}/out") if files.is_folder(t.spark, f"{base}/out") else t.spark.createDataFrame([], stream.schema)
 
 
 def _records(t: Inputs) -> str:
@@ -94,7 +94,7 @@ def _in_arrivals(t: Inputs, label: str, each) -> str:
     file = F.floor((F.unix_micros(F.expr(_ARRIVES)) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 604800000000.0)
     rows = t.a_events.withColumn("file", file)
     rows.write.partitionBy("file").parquet(f"{base}/arrived")
-    for number in lake.folder_numbers(t.spark, f"{base}/arrived", "file"):
+    for number in files.folder_numbers(t.spark, f"{base}/arrived", "file"):
         t.spark.read.parquet(f"{base}/arrived/file={number}").write.mode("append").parquet(f"{base}/in")
         each(t.spark.readStream.schema(t.a_events.schema).parquet(f"{base}/in"), base)
     return base
@@ -204,17 +204,16 @@ def apply_stream(t: Inputs):
 WITH s AS ({_STAGES_SQL} GROUP BY stage), p AS (SELECT count(*) AS n FROM ({_PRODUCT_SPLIT}) WHERE stage = 'valid')
 SELECT stage, records - CASE WHEN stage = 'valid' THEN n ELSE 0 END AS records FROM s, p""")
 def validated_job(t: Inputs):
-    """Raw records through decode, judge and the identity check, the whole delivery twice: what is valid counts once."""
+    """Raw records through decode, judge and the identity check, the whole delivery twice: every record counts once."""
     base, path = work_dir(t.spark, "job"), _records(t)
     judged = ingest.judge(ingest.to_events(ingest.decode_envelope(sources.read_record_files(t.spark, path))), t.events_as_of)
     sinks.run_available(judged, f"{base}/checkpoint", sinks.validated_job(base))
-    first = t.spark.read.parquet(f"{base}/deadletter").select("stage").withColumn("n", F.lit(1)).groupBy("stage").agg(F.count("*").alias("records"))
-    first = t.spark.createDataFrame(first.collect(), first.schema)  # a row for each stage
     again = t.spark.read.parquet(path)
     again.write.mode("append").parquet(path)
     sinks.run_available(judged, f"{base}/checkpoint", sinks.validated_job(base))
-    valid = t.spark.read.parquet(f"{base}/validated").groupBy().agg(F.count("*").alias("records")).select(F.lit("valid").alias("stage"), "records")
-    return valid.unionByName(first)
+    valid = t.spark.read.parquet(f"{base}/validated").select(F.lit("valid").alias("stage"))
+    dead = t.spark.read.parquet(f"{base}/deadletter").select("stage")
+    return valid.unionByName(dead).groupBy("stage").agg(F.count("*").alias("records"))
 
 
 @query("o25_alert_stream")

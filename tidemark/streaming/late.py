@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import at
-from tidemark.sources import lake
+from tidemark.sources import files, lake
 
 KEPT = 16  # notes of older batches are removed
 
 
 def watermark_before(spark: SparkSession, path: str, batch_id: int, delay_seconds: float) -> tuple[datetime | None, int | None]:
     """The watermark that holds for a batch, in whole milliseconds, and the batch whose note says so; none for the first."""
-    notes = [n for n in lake.folder_numbers(spark, path, "batch_id") if n < batch_id]
+    notes = [n for n in files.folder_numbers(spark, path, "batch_id") if n < batch_id]
     if not notes:
         return None, None
     row = spark.read.parquet(f"{path}/batch_id={max(notes)}").select(F.date_format("newest", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t")).first()
@@ -54,7 +54,7 @@ def late_split(base: str, ts: str = "ts", delay_seconds: float = 10) -> Callable
                 newest = newest.unionByName(spark.read.parquet(f"{notes}/batch_id={last}").select("newest")).agg(F.max("newest").alias("newest"))
             # written last: the next batch starts from a complete one
             newest.coalesce(1).write.mode("overwrite").parquet(f"{notes}/batch_id={batch_id}")
-            lake.remove_folders(spark, [f"{notes}/batch_id={n}" for n in lake.folder_numbers(spark, notes, "batch_id") if n < batch_id - KEPT])
+            files.remove(spark, [f"{notes}/batch_id={n}" for n in files.folder_numbers(spark, notes, "batch_id") if n < batch_id - KEPT])
         finally:
             rows.unpersist()
 
@@ -65,4 +65,4 @@ def read_split(spark: SparkSession, base: str, name: str, schema) -> DataFrame:
     """`on_time` or `late` rows so far; an empty frame before the first."""
     path = f"{base}/{name}"
     columns = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), *(["watermark timestamp"] if name == "late" else []), "batch_id bigint"])
-    return spark.read.schema(columns).parquet(path) if lake.is_folder(spark, path) else spark.createDataFrame([], columns)
+    return spark.read.schema(columns).parquet(path) if files.is_folder(spark, path) else spark.createDataFrame([], columns)
