@@ -45,12 +45,12 @@ def entity_corpus(t: Inputs):
             .unionByName(se.entity_documents(users, "user")).unionByName(se.catalog_documents(t.spark)))
 
 
-@stored("corpus", "doc_key")
+@stored("corpus", "doc_key", ("orders", "part"))
 def stored_corpus(t: Inputs):
     return se.keyed(entity_corpus(t))
 
 
-@stored("postings", "token")
+@stored("postings", "token", ("orders", "part"))
 def stored_postings(t: Inputs):
     return se.postings(t.stored("corpus"))
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.operators.maintenance import PART, fingerprints, write_parts
 from tidemark.operators.serving import user_profiles
 from tidemark.operators.sessions import sessionize
 from tidemark.operators.vault_business import canonical_orders, customer_master
 from tidemark.session import prepare, work_dir
+from tidemark.sources import files
 from tidemark.sources.adapters import BASE_TABLES, ORACLE_VIEWS, VIEWS
 from tidemark.sources.tables import latest_instant, read_table
 
@@ -59,17 +64,45 @@ class Inputs:
         return customer_master(self.a_hub_customer, self.a_sat_personal, self.a_sat_loyalty)
 
     def stored(self, name: str) -> DataFrame:
-        """A derived table, loaded once for this application and folder into the shared folder, sorted by its key.
+        """A derived table, loaded once for this application and folder into the shared folder, by parts and sorted by its key.
 
-        Point reads then open the row groups that may hold the key, and reports read the columns they name.
+        Point reads then open the row groups that may hold the key, and reports read the columns they name. Before it is read
+        its inputs are looked at: where their files have changed, the table is brought up to date.
         """
-        known = (self.spark.sparkContext.applicationId, self.base, name)
-        if known not in _LOADED:
-            key, build = STORED[name]
-            path = work_dir(self.spark, f"stored-{name}")
-            build(self).sort(key).write.parquet(path)
-            _LOADED[known] = path
-        return self.spark.read.parquet(_LOADED[known])
+        spec, known = STORED[name], (self.spark.sparkContext.applicationId, self.base)
+        loads = _LOADED.setdefault(known, {})
+        version = self.version(spec.reads)
+        if name not in loads:
+            loads[name] = self._load(name, version)
+        elif loads[name].version != version:
+            # the refresh of one table brings those along that derive from it
+            spec.refresh(self, loads)
+            if loads[name].version != version:
+                old = loads[name]
+                loads[name] = self._load(name, version)
+                loads[name].before = old.path
+                files.remove(self.spark, [p for p in (old.before,) if p])
+        return self.spark.read.parquet(loads[name].path).drop(PART)
+
+    def _load(self, name: str, version: dict[str, str]) -> Load:
+        spec, path = STORED[name], work_dir(self.spark, f"stored-{name}")
+        rows = spec.build(self)
+        write_parts(rows.withColumn(PART, spec.part(rows)), path, [spec.key])
+        noted = {}
+        for table, key in spec.keyed.items():
+            noted[table] = work_dir(self.spark, f"prints-{table}")
+            fingerprints(self.table(table), F.col(key).cast("string")).coalesce(1).write.parquet(noted[table])
+        return Load(path, version, noted)
+
+    def version(self, tables: tuple[str, ...]) -> dict[str, str]:
+        """A hash of each table's files, their sizes and times of change."""
+        return {t: hashlib.md5(repr(files.state_of(self.spark, f"{self.base.rstrip('/')}/{t}.parquet")).encode()).hexdigest() for t in tables}
+
+    def limited(self, **frames: DataFrame) -> Inputs:
+        """The same inputs with some tables replaced, for deriving a part of a table."""
+        other = Inputs(self.spark, self.base)
+        other._frames.update(frames)
+        return other
 
     @cached_property
     def orders_as_of(self):
@@ -80,14 +113,42 @@ class Inputs:
         return latest_instant(self.events, "ts")
 
 
-# Derived tables: the key each is sorted by, and how it is built. Loads are by application, folder and name.
-STORED: dict[str, tuple[str, Callable[[Inputs], DataFrame]]] = {}
-_LOADED: dict[tuple[str, str, str], str] = {}
+@dataclass
+class Load:
+    """Where a derived table lies, of which inputs it is, and the fingerprints of those that are followed by key."""
 
+    path: str
+    version: dict[str, str]
+    prints: dict[str, str]
+    before: str | None = None
+
+
+@dataclass
+class Stored:
+    """How a derived table is built: its sort key, the tables it reads, its parts, and how it follows changes of its inputs."""
+
+    key: str
+    build: Callable[[Inputs], DataFrame]
+    reads: tuple[str, ...]
+    part: Callable[[DataFrame], Column]
+    keyed: dict[str, str]
+    refresh: Callable[[Inputs, dict[str, Load]], None]
+
+
+# Derived tables by name; loads by application and folder.
+STORED: dict[str, Stored] = {}
+_LOADED: dict[tuple[str, str], dict[str, Load]] = {}
+
+
+def stored(name: str, key: str, reads: tuple[str, ...], part: Callable[[DataFrame], Column] | None = None, keyed: dict[str, str] | None = None,
+           refresh: Callable[[Inputs, dict[str, Load]], None] | None = None):
+    """Registers a derived table. Without `refresh` a change of its inputs loads it again.
+
+    `keyed`: inputs, each with a key, whose fingerprints are noted at the load.
+    """
 
-def stored(name: str, key: str):
     def register(build: Callable[[Inputs], DataFrame]):
-        STORED[name] = (key, build)
+        STORED[name] = Stored(key, build, reads, part or (lambda rows: F.lit(0)), keyed or {}, refresh or (lambda t, loads: None))
         return build
 
     return register

@@ -12,11 +12,12 @@ from tidemark.operators import vault_business as vb
 from tidemark.operators import vault_checks as vc
 from tidemark.operators import vault_load as vl
 from tidemark.operators.latest import latest_version
+from tidemark.operators.maintenance import PART, affected, changed_buckets, fingerprints, of_buckets, replace_rows, row_changes
 from tidemark.operators.ordered import previous_in_key
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.plans.registry import Inputs, day_text, dec_round, query, stored, ts_text
-from tidemark.session import work_dir
-from tidemark.sources import lake
+from tidemark.plans.registry import STORED, Inputs, Load, day_text, dec_round, query, stored, ts_text
+from tidemark.session import cut_lineage, work_dir
+from tidemark.sources import files, lake
 
 
 def _plain(df):
@@ -310,29 +311,94 @@ def velocity(t: Inputs):
 
 # --- loaded tables: orders with their current versions, lines with their order, marts -------------------
 
-@stored("orders", "order_bk")
+ORDER_TABLES = ("orders", "lineitem", "customer", "nation")
+ORDER_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+MONTH, WEEK = ("branch", "month"), ("branch", "channel", "week")
+
+
+def refresh_orders(t: Inputs, loads: dict[str, Load]) -> None:
+    """Brings the loaded order tables up to the present files, by the orders that have changed.
+
+    Fingerprints tell the buckets of orders with changed rows; those orders are derived again and compared. What differs gives
+    the months, weeks and customers whose rows of the marts are made anew; parts that hold none of them are left alone. A change
+    of customers or nations moves orders between branches and loads everything again.
+    """
+    now, orders = t.version(ORDER_TABLES), loads.get("orders")
+    if orders is None or any(orders.version[x] != now[x] for x in ORDER_TABLES if x not in ORDER_KEYS):
+        return
+    if orders.version != now:
+        after = {table: fingerprints(t.table(table), F.col(key).cast("string")).coalesce(1) for table, key in ORDER_KEYS.items()}
+        noted = {}
+        for table, rows in after.items():
+            noted[table] = work_dir(t.spark, f"prints-{table}")
+            rows.write.parquet(noted[table])
+        moved = [changed_buckets(t.spark.read.parquet(orders.prints[table]), t.spark.read.parquet(noted[table])) for table in ORDER_KEYS]
+        buckets = cut_lineage(moved[0].unionByName(moved[1]).distinct())
+        some = t.limited(**{table: of_buckets(t.table(table), F.col(key).cast("string"), buckets) for table, key in ORDER_KEYS.items()})
+        rows = cut_lineage(stored_orders(some))
+        before = of_buckets(t.spark.read.parquet(orders.path).drop(PART), F.col("order_bk"), buckets)
+        told = {"month": F.trunc("order_date", "month"), "week": vb.week_start("order_date")}
+        changes = cut_lineage(row_changes(before.withColumns(told), rows.withColumns(told), "order_hk", ["branch", "channel", "month", "week", "customer_hk"]))
+        own = cut_lineage(rows.select("order_hk").unionByName(before.select("order_hk")).distinct())
+        fresh = rows.join(changes.select("order_hk"), "order_hk", "left_semi")
+        replace_rows(t.spark, orders.path, changes.select("order_hk"), fresh.withColumn(PART, order_year(fresh)), ["order_bk"])
+        if "lines" in loads and loads["lines"].version == orders.version:
+            new = stored_lines(some)
+            replace_rows(t.spark, loads["lines"].path, own, new.withColumn(PART, order_slot(new)), ["order_hk"])
+            loads["lines"].version = now
+        current = t.spark.read.parquet(orders.path).drop(PART)
+        for name, columns, build in (("mart_pnl", MONTH, vb.branch_pnl), ("mart_velocity", WEEK, vb.returns_velocity)):
+            if name in loads and loads[name].version == orders.version:
+                groups = affected(changes, columns)
+                own = current.withColumns({k: c for k, c in told.items() if k in columns}).join(groups, list(columns), "left_semi").select(*current.columns)
+                new = build(own)
+                replace_rows(t.spark, loads[name].path, groups, new.withColumn(PART, STORED[name].part(new)), [columns[-1]])
+                loads[name].version = now
+        if "mart_customer_360" in loads and loads["mart_customer_360"].version == orders.version:
+            who = affected(changes, ["customer_hk"])
+            new = vb.customer_360(t.a_master.join(who, "customer_hk", "left_semi"), current.select(*vb.CUSTOMER_COLUMNS).join(who, "customer_hk", "left_semi"))
+            replace_rows(t.spark, loads["mart_customer_360"].path, who, new.withColumn(PART, customer_slot(new)), ["customer_bk"])
+            loads["mart_customer_360"].version = now
+        files.remove(t.spark, [orders.prints[table] for table in ORDER_KEYS])
+        orders.prints.update(noted)
+        orders.version = now
+
+
+def order_year(rows):
+    return F.coalesce(F.year("order_date"), F.lit(0))
+
+
+def order_slot(rows):
+    return F.pmod(F.xxhash64("order_hk"), F.lit(8)).cast("int")
+
+
+def customer_slot(rows):
+    return F.pmod(F.xxhash64("customer_hk"), F.lit(8)).cast("int")
+
+
+@stored("orders", "order_bk", ORDER_TABLES, order_year, ORDER_KEYS, refresh_orders)
 def stored_orders(t: Inputs):
     return t.canonical().join(t.a_hub_order.select("order_hk", "record_source"), "order_hk")
 
 
-@stored("lines", "order_hk")
+@stored("lines", "order_hk", ORDER_TABLES, order_slot, refresh=refresh_orders)
 def stored_lines(t: Inputs):
     """Link rows with the source of their order; no hint, the hub grows with the data."""
     return t.a_lnk_order_product.join(t.a_hub_order.select("order_hk", "record_source"), "order_hk").select(
         "order_hk", "product_hk", vb.branch_of("record_source").alias("branch"), vb.system_of("record_source").alias("system"))
 
 
-@stored("mart_pnl", "month")
+@stored("mart_pnl", "month", ORDER_TABLES, lambda rows: F.year("month"), refresh=refresh_orders)
 def stored_pnl(t: Inputs):
     return vb.branch_pnl(t.stored("orders"))
 
 
-@stored("mart_customer_360", "customer_bk")
+@stored("mart_customer_360", "customer_bk", ORDER_TABLES, customer_slot, refresh=refresh_orders)
 def stored_customers(t: Inputs):
     return vb.customer_360(t.a_master, t.stored("orders").select(*vb.CUSTOMER_COLUMNS))
 
 
-@stored("mart_velocity", "week")
+@stored("mart_velocity", "week", ORDER_TABLES, lambda rows: F.year("week"), refresh=refresh_orders)
 def stored_velocity(t: Inputs):
     return vb.returns_velocity(t.stored("orders"))
 
