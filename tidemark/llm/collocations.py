@@ -2,12 +2,12 @@
 
 A prefix of words keys a stripe: the words that follow it and how often. Tasks build the stripes of their texts, stripes of one
 prefix meet in a shuffle and are added word by word. An entry of a stripe is the frequency of a phrase, the frequencies of the
-prefixes are the entries of the stripes before, down to the stripe of the empty prefix, and the largest entry of a stripe tells
-whether a longer phrase makes its prefix superfluous.
+prefixes are the entries of the stripes before, and the largest entry of a stripe tells whether a longer phrase makes its prefix
+superfluous. The stripes of single words also hold their totals.
 
-Prefixes grow a word at a time. A phrase can be frequent only if the shorter phrases in it are, so tasks leave out what a sieve of
-those does not let through; the sieve has a fixed size and may let too much through, which costs time but no exactness. The
-stripes of the most frequent prefixes, of which there are few, are split by their next words.
+Prefixes grow a word at a time. A phrase of three words or more can be frequent only if the shorter phrases in it are, so tasks
+leave out what a sieve of those does not let through; the sieve has a fixed size and may let too much through, which costs time
+but no exactness. The stripes of the most frequent prefixes, of which there are few, are split by their next words.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 GAP = BREAK.copy()
 GAP[[0x20, 0x09]] = True
 BLOCK = 12_000_000
-ROOT_PARTS = 1024  # of the empty prefix' stripe
+SAMPLE = 20_000  # texts in which words with long stripes are looked for; they only decide how stripes are dealt
 HOT_SHARE, HOT_PARTS = 1000, 64  # a prefix with one of so many words has its stripe split into so many parts
 SIEVE_BITS = 26
 STEP = U(0x9E3779B97F4A7C15)
@@ -91,20 +91,38 @@ class Tokens:
         return self.piece[:n] == self.piece[length - 1 : length - 1 + n]
 
 
-def root_rows(t: Tokens) -> pa.RecordBatch | None:
-    """Stripes of the empty prefix: (lang, part, words, counts)."""
-    key, number = np.unique(t.lang * len(t.distinct) + t.code, return_counts=True)
-    if not len(key):
+def stripe_batch(t: Tokens, name: np.ndarray, after: np.ndarray, number: np.ndarray, place: np.ndarray, keys: np.ndarray, hot: np.ndarray, length: int) -> tuple:
+    """Entries, given by the number of their prefix and with the place of one occurrence, as stripes: lang, prefix, part, next, counts.
+
+    `after` is the code of the next word, or that of no word for the total. Stripes of `hot` prefixes are split by the next word.
+    """
+    total = after == len(t.distinct)
+    id = t.word_id[np.where(total, 0, after)]
+    part = np.where(np.isin(keys, hot) & ~total, id % U(HOT_PARTS), U(0)).astype(np.int64)
+    order = np.lexsort((part, name))
+    name, part, place, id, total, number = name[order], part[order], place[order], id[order], total[order], number[order]
+    first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (part[1:] != part[:-1])]))
+    bounds = pa.array(np.append(first, len(name)), pa.int32())
+    words = t.id[place[first][:, None] + np.arange(length)].view(np.int64).ravel()
+    prefix = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, length), pa.int32()), pa.array(words))
+    return (t.langs.take(pa.array(t.lang[place[first]])), prefix, pa.array(part[first].astype(np.int32)), pa.ListArray.from_arrays(bounds, pa.array(id.view(np.int64), mask=total)),
+            pa.ListArray.from_arrays(bounds, pa.array(number.astype(np.int32)))), place[first]
+
+
+def word_rows(t: Tokens, hot: np.ndarray) -> pa.RecordBatch | None:
+    """Stripes of the single words with their totals: (lang, prefix, part, next, counts, word)."""
+    if not len(t.code):
         return None
-    lang, code = key // len(t.distinct), key % len(t.distinct)
-    part = (t.word_id[code] % U(ROOT_PARTS)).astype(np.int64)
-    order = np.lexsort((part, lang))
-    lang, code, part, number = lang[order], code[order], part[order], number[order]
-    first = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (part[1:] != part[:-1])]))
-    bounds = pa.array(np.append(first, len(lang)), pa.int32())
-    lists = (t.distinct.take(pa.array(code)).cast(pa.binary()).cast(pa.string()), pa.array(number.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([t.langs.take(pa.array(lang[first])), pa.array(part[first].astype(np.int32)), *(pa.ListArray.from_arrays(bounds, x) for x in lists)],
-                                      names=["lang", "part", "words", "counts"])
+    size = len(t.distinct) + 1
+    name = t.lang * size + t.code
+    pairs = np.flatnonzero(t.within(2))
+    key, first, number = np.unique(name[pairs] * size + t.code[pairs + 1], return_index=True, return_counts=True)
+    alone, at, times = np.unique(name, return_index=True, return_counts=True)
+    place = np.concatenate([pairs[first], at])
+    columns, shown = stripe_batch(t, np.concatenate([key // size, alone]), np.concatenate([key % size, np.full(len(alone), size - 1)]), np.concatenate([number, times]),
+                                  place, t.keys(1)[place], hot, 1)
+    word = t.distinct.take(pa.array(t.code[shown])).cast(pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([*columns, word], names=["lang", "prefix", "part", "next", "counts", "word"])
 
 
 def stripe_rows(t: Tokens, length: int, sieve: Sieve, sieved: int, hot: np.ndarray) -> pa.RecordBatch | None:
@@ -124,19 +142,8 @@ def stripe_rows(t: Tokens, length: int, sieve: Sieve, sieved: int, hot: np.ndarr
     for j in range(1, length):
         name = np.unique(name * size + t.code[at + j], return_inverse=True)[1]
     key, first, number = np.unique(name * size + t.code[at + length], return_index=True, return_counts=True)
-    name, place = key // size, at[first]
-    after = t.id[place + length]
-    keys = t.keys(length)[place]
-    part = np.where(np.isin(keys, hot), after % U(HOT_PARTS), U(0)).astype(np.int64)
-    order = np.lexsort((part, name))
-    name, part, place, after, number = name[order], part[order], place[order], after[order], number[order]
-    first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (part[1:] != part[:-1])]))
-    bounds = pa.array(np.append(first, len(name)), pa.int32())
-    words = t.id[place[first][:, None] + np.arange(length)].view(np.int64).ravel()
-    prefix = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, length), pa.int32()), pa.array(words))
-    return pa.RecordBatch.from_arrays([t.langs.take(pa.array(t.lang[place[first]])), prefix, pa.array(part[first].astype(np.int32)),
-                                       pa.ListArray.from_arrays(bounds, pa.array(after.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(number.astype(np.int32)))],
-                                      names=["lang", "prefix", "part", "next", "counts"])
+    columns, _ = stripe_batch(t, key // size, key % size, number, at[first], t.keys(length)[at[first]], hot, length)
+    return pa.RecordBatch.from_arrays([*columns], names=["lang", "prefix", "part", "next", "counts"])
 
 
 def over_tokens(texts: DataFrame, schema: str, fn) -> DataFrame:
@@ -210,13 +217,40 @@ def stripes(texts: DataFrame, lengths: range, sieve: Sieve, sieved: int, hot: di
     return cut_lineage(added.select("lang", F.concat("prefix", F.array("next")).alias("ids"), "f"))
 
 
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """(lang, id, word, f) of every word; an error if two words have one id."""
-    made = over_tokens(texts, "lang string, part int, words array<string>, counts array<int>", lambda t: (root_rows(t),))
-    entries = made.repartition("lang", "part").select("lang", "part", F.inline(F.arrays_zip("words", "counts"))).withColumn("id", F.xxhash64("words"))
-    same = F.min("words") == F.max("words")
-    checked = F.when(same, F.min("words")).otherwise(F.raise_error(F.lit("two words have the same hash: choose another seed")))
-    return cut_lineage(entries.groupBy("lang", "part", "id").agg(checked.alias("word"), F.sum("counts").alias("f")).select("lang", "id", "word", "f"))
+def hot_words(texts: DataFrame) -> np.ndarray:
+    """Keys of words that are common in a sample of texts; any set gives the same counts, a good one even tasks."""
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0).limit(SAMPLE)
+    made = over_tokens(some, "lang string, id long, n int", lambda t: (word_counts(t),))
+    rows = cut_lineage(made.groupBy("lang", "id").agg(F.sum("n").alias("f")))
+    return hot_keys(rows.select("lang", F.array("id").alias("ids"), "f"), rows.agg(F.sum("f")).first()[0] or 0)
+
+
+def word_counts(t: Tokens) -> pa.RecordBatch | None:
+    key, number = np.unique(t.lang * len(t.distinct) + t.code, return_counts=True)
+    if not len(key):
+        return None
+    made = [t.langs.take(pa.array(key // len(t.distinct))), pa.array(t.word_id[key % len(t.distinct)].view(np.int64)), pa.array(number.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(made, names=["lang", "id", "n"])
+
+
+def word_stripes(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, id, word, f) of every word, and (lang, ids, f) of the pairs that occur `least` times or more, from one structure."""
+    given = texts.sparkSession.sparkContext.broadcast(hot_words(texts))
+    made = over_tokens(texts, "lang string, prefix array<long>, part int, next array<long>, counts array<int>, word string", lambda t: (word_rows(t, given.value),))
+    entries = made.repartition("lang", "prefix", "part").select("lang", "prefix", "part", "word", F.inline(F.arrays_zip("next", "counts")))
+    # a word goes along as part of the key, so two words of one id stay apart
+    added = entries.groupBy("lang", "prefix", "part", "word", "next").agg(F.sum("counts").alias("f")).where((F.col("f") >= least) | F.col("next").isNull())
+    added = cut_lineage(added.drop("part"))
+    words = added.where("next is null").select("lang", F.col("prefix")[0].alias("id"), "word", "f")
+    return words, added.where("next is not null").select("lang", F.concat("prefix", F.array("next")).alias("ids"), "f")
+
+
+def check_ids(words: DataFrame, frequent: DataFrame) -> None:
+    """Phrases are counted by ids: an error if a frequent word shares its id with another word."""
+    own = frequent.select(F.col("lang").alias("_lang"), F.col("id").alias("_id")).distinct()
+    same = words.join(own, (F.col("lang") == F.col("_lang")) & (F.col("id") == F.col("_id"))).agg(F.count("*").alias("n"), F.count_distinct("lang", "id").alias("d")).first()
+    if same["n"] != same["d"]:
+        raise ValueError("two words have the same hash: choose another one")
 
 
 def cut_scores(phrases: DataFrame, candidates: DataFrame, totals: DataFrame) -> DataFrame:
@@ -227,7 +261,9 @@ def cut_scores(phrases: DataFrame, candidates: DataFrame, totals: DataFrame) ->
     for side, count in (("left", "l"), ("right", "r")):
         known = phrases.select(F.col("lang").alias("_lang"), F.col("ids").alias("_ids"), F.col("f").alias(count))
         parts = parts.join(known, (F.col("lang") == F.col("_lang")) & (F.col(side) == F.col("_ids"))).drop("_lang", "_ids")
-    parts = parts.join(totals.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang")).drop("_lang")
+    # a language may have a third of all candidates: its total goes to them, as long as languages are few
+    few = totals.withColumnRenamed("lang", "_lang")
+    parts = parts.join(F.broadcast(few) if few.count() <= 100_000 else few, F.col("lang") == F.col("_lang")).drop("_lang")
     # exact: decimals of 38 digits hold the products, and `div` gives whole numbers
     exact = "cast(1000 as decimal(4,0)) * cast(a as decimal(15,0)) * cast(n as decimal(18,0)) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))"
     lowest = F.min(F.struct(F.expr(exact).alias("score"), "k", "l", "r", "n")).alias("cut")
@@ -275,24 +311,22 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: i
     columns are not read. Texts of any length are read whole. 2^bits bits are broadcast to every task.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    words = vocabulary(texts)
+    words, pairs = word_stripes(texts, least)
     totals = cut_lineage(words.groupBy("lang").agg(F.sum("f").alias("n")))
     total = totals.agg(F.sum("n")).first()[0] or 0
     frequent = words.where(F.col("f") >= least)
-    found = last = frequent.select("lang", F.array("id").alias("ids"), "f")
-    hot = {1: hot_keys(last, total)}
-    for length in range(1, longest):
-        # the sieve of phrases of three words serves all longer ones: one more reading of the texts for all of them
-        lengths = range(length, longest) if length >= 3 else range(length, length + 1)
+    check_ids(words, frequent)
+    found, last = frequent.select("lang", F.array("id").alias("ids"), "f").unionByName(pairs), pairs
+    # pairs of words sieve the phrases of three words, and those all longer ones: a reading of the texts for each sieve
+    for length in (2, 3):
+        lengths = range(length, min(3, longest)) if length == 2 else range(length, longest)
         given = sieve_of(last, bits)
-        if not given.cells.any():
-            break
-        more = stripes(texts, lengths, given, length, {n: hot.get(n, np.zeros(0, np.uint64)) for n in lengths}, least)
-        found, last = found.unionByName(more), more
-        hot[length + 1] = hot_keys(more, total) if length < 3 else np.zeros(0, np.uint64)
-        if length >= 3:
+        if not lengths or not given.cells.any():
             break
-    found = cut_lineage(found)
+        hot = hot_keys(last, total)
+        last = stripes(texts, lengths, given, length, {n: hot if n == length else np.zeros(0, np.uint64) for n in lengths}, least)
+        found = found.unionByName(last)
+    found = cut_lineage(found.where(F.size("ids") <= longest))
     candidates = found.where(F.size("ids") > 1).select("lang", "ids", F.col("f").alias("a"))
     scored = cut_scores(found, maximal(candidates, percent), totals)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
