@@ -7,14 +7,17 @@ import pytest
 from oracle_check import TABLES, compare, duck
 from pyspark.sql import functions as F
 
+from tidemark.operators import search
 from tidemark.operators.maintenance import affected, changed_buckets, fingerprints, replace_rows, row_changes, write_parts
+from tidemark.operators.segments import SegmentedIndex
 from tidemark.plans import ORACLES, QUERIES
-from tidemark.plans.registry import _LOADED
+from tidemark.plans.find import entity_corpus
+from tidemark.plans.registry import _LOADED, Inputs
 from tidemark.session import work_dir
 from tidemark.sources import files
 
 READS = ["d15_pnl_live", "d15_top_products", "d15_customer_point", "d15_return_rate", "d15_line_reach", "d15_pnl_mart",
-         "d16_monthly_revenue_by_channel", "d16_sku_volume", "d16_branch_shares", "d16_order_point", "j03_facts_with_branch"]
+         "d16_monthly_revenue_by_channel", "d16_sku_volume", "d16_branch_shares", "d16_order_point", "j03_facts_with_branch", "q05_search_entities", "q06_filtered_search"]
 
 
 @pytest.fixture
@@ -75,6 +78,43 @@ def test_removed_moved_and_added_rows(spark, base):
     assert loads(spark, base)["orders"].path != path
 
 
+def test_index_follows_all_entities(spark, base):
+    names = ["q05_search_entities", "q06_filtered_search"]
+    ready = lambda: [compare(spark, duck(base), n, QUERIES[n], ORACLES[n], base) for n in names]
+    assert all(r[0] for r in ready())
+    path = loads(spark, base)["index"].path
+    change(base, "part", "SELECT * REPLACE (CASE WHEN p_partkey % 9 = 0 THEN 'large premium ' || p_name ELSE p_name END AS p_name) FROM {t} WHERE p_partkey % 11 <> 0")
+    change(base, "events", "SELECT * FROM {t} WHERE user_id % 5 <> 1 UNION ALL SELECT * REPLACE (event_id + 10000000 AS event_id, 999999 AS user_id) FROM {t} WHERE event_id % 50 = 0")
+    change(base, "orders", "SELECT * REPLACE (CASE WHEN o_orderkey % 20 = 0 THEN 1 ELSE o_custkey END AS o_custkey) FROM {t} WHERE o_orderkey % 30 <> 0")
+    assert [r[0] for r in ready()] == [True, True]
+    index = SegmentedIndex(spark, path)
+    assert loads(spark, base)["index"].path == path and [m["seg"] for m in index.segments()] == [0, 1]
+    assert index.total() == index.documents().count() and index.segments()[1]["removed"] > 0
+    want = {tuple(r) for r in search.keyed(entity_corpus(Inputs(spark, base))).select("doc_key", "text").collect()}
+    assert {tuple(r) for r in index.documents().select("doc_key", "text").collect()} == want
+
+
+def docs(spark, *rows):
+    return search.keyed(spark.createDataFrame([("entity", i, "order", "", text, 1.0, "t", text) for i, text in rows],
+                                              "doc_type string, doc_id string, entity_type string, endpoint string, snippet string, boost double, tenant_id string, text string"))
+
+
+def test_segments_against_a_whole_index(spark):
+    index, state = SegmentedIndex(spark, work_dir(spark, "index")), {}
+    steps = [[("a", "red cat"), ("b", "red dog dog")], [("a", "blue cat"), ("c", "red red")], [("b", None)], [("b", "dog again"), ("d", "cat dog")],
+             [("c", None), ("zz", None)], [("a", "red")], [("e", "blue blue dog")], [("e", None), ("a", "cat")], [("f", "red dog")]]
+    for step in steps:
+        fresh = docs(spark, *[(i, x) for i, x in step if x is not None])
+        index.add(fresh, docs(spark, *[(i, "") for i, _ in step]).select("doc_key"))
+        state.update(step)
+        live = docs(spark, *[(i, x) for i, x in state.items() if x is not None])
+        assert sorted(r["doc_id"] for r in index.documents().collect()) == sorted(i for i, x in state.items() if x is not None) and index.total() == live.count()
+        assert sorted(map(tuple, index.postings().select("token", "doc_key", "tf").collect())) == sorted(map(tuple, search.postings(live).select("token", "doc_key", "tf").collect()))
+        got, want = (sorted(tuple(r) for r in hits.select("id", "score").collect()) for hits in (index.search("red dog"), search.search(search.postings(live), live, "red dog")))
+        assert got == want
+    assert len(index.segments()) < len(steps)
+
+
 def test_fingerprints_find_any_change(spark):
     rows = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 9).alias("v"))
     print_of = lambda df: fingerprints(df, F.col("k"))

@@ -162,8 +162,8 @@ def inverse_frequency(df: Column, total: Column) -> Column:
 
 
 def search(index: DataFrame, documents: DataFrame, question: str, limit: int = 10, tenant: str | None = None,
-           authorised: Sequence[str] | None = None, requested: Sequence[str] | None = None) -> DataFrame:
-    """Best documents of a question: filters first, then scores, then the top of the list.
+           authorised: Sequence[str] | None = None, requested: Sequence[str] | None = None, total: int | None = None) -> DataFrame:
+    """Best documents of a question: filters first, then scores, then the top of the list. `total` counts the documents, if known.
 
     Frequencies are those of the whole corpus. Only postings of the question's tokens are read; of the documents only those
     that are shown.
@@ -172,7 +172,7 @@ def search(index: DataFrame, documents: DataFrame, question: str, limit: int = 1
     if not wanted:
         wanted = {"": 0}
     hits = index.filter(F.col("token").isin(*wanted))
-    total = F.lit(documents.agg(F.count("*").alias("n")).scalar())
+    total = F.lit(documents.agg(F.count("*").alias("n")).scalar() if total is None else total)
     # one row per question token, so the broadcast is bounded by the question
     weights = document_frequency(hits).withColumn("idf", inverse_frequency(F.col("df"), total)).select("token", "idf")
     repeats = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])
@@ -194,15 +194,3 @@ def search(index: DataFrame, documents: DataFrame, question: str, limit: int = 1
     shown = top.withColumn("score", F.round((F.col("raw") / best).cast("decimal(20,12)"), 4).cast("double"))
     return documents.select("doc_key", "snippet", "endpoint").join(F.broadcast(shown), "doc_key").select(
         F.col("doc_type").alias("type"), F.col("doc_id").alias("id"), "entity_type", "score", "snippet", "endpoint")
-
-
-def refresh_documents(documents: DataFrame, current: DataFrame, changed: DataFrame) -> DataFrame:
-    """Next corpus after a change set of ids: changed documents re-read, vanished ones dropped, others kept.
-
-    `current` are documents built from the tables as they are now; `changed` holds ids (column doc_id).
-    """
-    ids = changed.select("doc_id").distinct()
-    entity = F.col("doc_type") == "entity"
-    # catalog documents are never part of a change set
-    kept = documents.filter(~entity).unionByName(documents.filter(entity).join(ids, "doc_id", "left_anti").select(*documents.columns))
-    return kept.unionByName(current.join(ids, "doc_id", "left_semi").select(*documents.columns))

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import at, iso, money, rounded
+from tidemark.functions.enrich import page_category
 from tidemark.functions.text import STOP_WORDS, query_tokens, tokens
 from tidemark.operators import compare as cmp
 from tidemark.operators import questions as qs
 from tidemark.operators import search as se
+from tidemark.operators.maintenance import changed_buckets, fingerprints, of_buckets
+from tidemark.operators.segments import SegmentedIndex
+from tidemark.operators.serving import user_profiles
+from tidemark.operators.sessions import fold_sessions
 from tidemark.operators.tenancy import tenant_scope
 from tidemark.plans.metrics import SERVING_SESSIONS, serving_sessions
-from tidemark.plans.registry import Inputs, dec_round, query, stored, ts_text
-from tidemark.session import cut_lineage
+from tidemark.plans.registry import Inputs, Load, dec_round, query, ts_text
+from tidemark.plans.serving import _CATEGORY
+from tidemark.session import cut_lineage, work_dir
+from tidemark.sources import files
 
 NOW = "(SELECT max(ts) FROM events)"
 ORDERS_NOW = "(SELECT max(created_at) FROM a_orders)"
@@ -35,24 +43,64 @@ def token_lists(t: Inputs):
         "doc_id", F.size("tk").alias("tokens"), F.size(F.array_distinct("tk")).alias("distinct_tokens"), F.md5(F.array_join("tk", " ")).alias("fingerprint"))
 
 
+# What the documents of an entity are made of: the view, and the id by which its rows belong to a document.
+ENTITY_VIEWS = {"order": ("a_orders", "order_id"), "product": ("a_products", "product_id"), "user": ("a_orders", "user_id"),
+                "session": ("a_events", "coalesce(session_id, 'unknown')")}
+
+
+def documents_of(rows, kind: str):
+    """Documents of one entity from the rows of its view; a document is made of all rows of its id."""
+    if kind == "order":
+        rows = rows.select("tenant_id", "order_id", "user_id", "status", "total_amount", "currency", "created_at")
+    elif kind == "product":
+        rows = rows.select("tenant_id", "product_id", "name", "category", "price", "in_stock", "stock_quantity")
+    elif kind == "user":
+        rows = user_profiles(rows).select("tenant_id", "user_id", "total_orders", "total_spent", "first_order_at", "last_order_at", "preferred_category")
+    else:
+        rows = fold_sessions(rows.withColumn("page_category", page_category(F.col("page_url")))).select(
+            "tenant_id", "session_id", "user_id", "started_at", "ended_at", "duration_seconds", "event_count", "unique_pages", "funnel_stage", "is_conversion")
+    return se.entity_documents(rows, kind)
+
+
+def _union(parts):
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def entity_corpus(t: Inputs):
     """Documents of orders, products, users and sessions, and of the catalog."""
-    orders = t.a_orders.select("tenant_id", "order_id", "user_id", "status", "total_amount", "currency", "created_at")
-    products = t.a_products.select("tenant_id", "product_id", "name", "category", "price", "in_stock", "stock_quantity")
-    users = t.a_users.select("tenant_id", "user_id", "total_orders", "total_spent")
-    users = users.withColumn("preferred_category", F.lit(None).cast("string"))
-    return (se.entity_documents(orders, "order").unionByName(se.entity_documents(products, "product"))
-            .unionByName(se.entity_documents(users, "user")).unionByName(se.catalog_documents(t.spark)))
+    return _union([*(documents_of(t.table(view), kind) for kind, (view, _) in ENTITY_VIEWS.items()), se.catalog_documents(t.spark)])
+
 
+INDEX_TABLES = ("orders", "part", "events")
 
-@stored("corpus", "doc_key", ("orders", "part"))
-def stored_corpus(t: Inputs):
-    return se.keyed(entity_corpus(t))
 
+def entity_index(t: Inputs) -> SegmentedIndex:
+    """The index of the entities, built once for this application and folder; changed entities come as segments."""
+    loads, now = t.loads(), t.version(INDEX_TABLES)
+    if "index" not in loads:
+        loads["index"] = Load(work_dir(t.spark, "index"), now, {kind: _noted(t, kind) for kind in ENTITY_VIEWS})
+        SegmentedIndex(t.spark, loads["index"].path).add(se.keyed(entity_corpus(t)))
+    load = loads["index"]
+    index = SegmentedIndex(t.spark, load.path)
+    if load.version != now:
+        fresh, taken = [], []
+        old = index.documents()
+        for kind, (view, id) in ENTITY_VIEWS.items():
+            noted = _noted(t, kind)
+            buckets = cut_lineage(changed_buckets(t.spark.read.parquet(load.prints[kind]), t.spark.read.parquet(noted)))
+            fresh.append(documents_of(of_buckets(t.table(view), F.expr(id), buckets), kind))
+            taken.append(of_buckets(old.filter(F.col("entity_type") == kind).filter(F.col("doc_type") == "entity"), F.col("doc_id"), buckets).select("doc_key"))
+            files.remove(t.spark, [load.prints[kind]])
+            load.prints[kind] = noted
+        index.add(se.keyed(_union(fresh)), cut_lineage(_union(taken)))
+        load.version = now
+    return index
 
-@stored("postings", "token", ("orders", "part"))
-def stored_postings(t: Inputs):
-    return se.postings(t.stored("corpus"))
+
+def _noted(t: Inputs, kind: str) -> str:
+    path, (view, id) = work_dir(t.spark, f"prints-{kind}"), ENTITY_VIEWS[kind]
+    fingerprints(t.table(view), F.expr(id)).coalesce(1).write.parquet(path)
+    return path
 
 
 def _catalog_sql() -> str:
@@ -71,15 +119,23 @@ def _catalog_sql() -> str:
 
 _O_SNIP = "'Order ' || order_id || ' status ' || status || ' total ' || CAST(total_amount AS VARCHAR) || ' ' || currency || ' user ' || user_id"
 _P_SNIP = "'Product ' || name || ' (' || product_id || ') category ' || category || ' price ' || CAST(price AS VARCHAR) || ' RUB ' || CASE WHEN in_stock THEN 'in stock' ELSE 'out of stock' END"
+_S_SNIP = "'Session ' || session_id || ' for user ' || coalesce(user_id, 'None') || ' stage ' || funnel_stage || ' conversion ' || CASE WHEN is_conversion THEN 'True' ELSE 'False' END"
 _U_SNIP = "'User ' || user_id || ' with ' || total_orders || ' orders spent ' || CAST(total_spent AS VARCHAR) || ' RUB prefers None'"
-_DOCS = f"""docs AS (
+_SESSIONS = f"""ranked AS (SELECT *, coalesce(session_id, 'unknown') AS sid, {_CATEGORY} AS cat FROM a_events),
+stages AS (SELECT *, CASE cat WHEN 'checkout' THEN 4 WHEN 'cart' THEN 3 WHEN 'product_detail' THEN 2 WHEN 'search' THEN 1 ELSE 0 END AS rk FROM ranked),
+sessions AS (SELECT tenant_id, sid AS session_id, first(user_id ORDER BY ts, src_key) AS user_id, min(ts) AS started_at, count(*) AS event_count,
+  first(cat ORDER BY rk DESC, ts, src_key) AS funnel_stage, first(cat ORDER BY rk DESC, ts, src_key) = 'checkout' AS is_conversion FROM stages GROUP BY tenant_id, sid)"""
+_DOCS = f"""{_SESSIONS}, docs AS (
  SELECT 'entity' AS doc_type, order_id AS doc_id, 'order' AS entity_type, tenant_id, 1.0 AS boost,
    concat_ws(' ', 'order', 'orders', 'Customer orders with status and total', {_O_SNIP}, 'order id', order_id, 'user id', user_id, 'status', status, 'total amount', CAST(total_amount AS VARCHAR),
      'currency', currency, 'created at', strftime(created_at, '%Y-%m-%dT%H:%M:%S'), CASE WHEN total_amount >= 300 THEN 'large large large high value premium' WHEN total_amount >= 150 THEN 'large high value' WHEN total_amount <= 50 THEN 'small budget low value' ELSE '' END) AS text FROM a_orders
  UNION ALL SELECT 'entity', product_id, 'product', tenant_id, 1.0, concat_ws(' ', 'product', 'products', 'Product catalog with current pricing and stock', {_P_SNIP}, 'product id', product_id, 'name', name, 'category', category,
      'price', CAST(price AS VARCHAR), 'in stock', CAST(in_stock AS VARCHAR), 'stock quantity', CAST(stock_quantity AS VARCHAR), CASE WHEN NOT in_stock THEN 'unavailable out stock' ELSE '' END) FROM a_products
  UNION ALL SELECT 'entity', user_id, 'user', tenant_id, 1.0, concat_ws(' ', 'user', 'users', 'Customer profile with order history summary', {_U_SNIP}, 'user id', user_id, 'total orders', CAST(total_orders AS VARCHAR),
-     'total spent', CAST(total_spent AS VARCHAR), 'preferred category', '') FROM a_users
+     'total spent', CAST(total_spent AS VARCHAR), 'first order at', strftime(first_order_at, '%Y-%m-%dT%H:%M:%S'), 'last order at', strftime(last_order_at, '%Y-%m-%dT%H:%M:%S'), 'preferred category', '') FROM a_users
+ UNION ALL SELECT 'entity', session_id, 'session', tenant_id, 1.0, concat_ws(' ', 'session', 'sessions', 'User browsing sessions with funnel stage', {_S_SNIP}, 'session id', session_id, 'user id', user_id,
+     'started at', strftime(started_at, '%Y-%m-%dT%H:%M:%S'), 'ended at', 'duration seconds', '0.0', 'event count', CAST(event_count AS VARCHAR), 'unique pages', '1', 'funnel stage', funnel_stage,
+     'is conversion', CAST(is_conversion AS VARCHAR), '') FROM sessions
  UNION ALL SELECT * FROM (VALUES {_catalog_sql()}) AS c(doc_type, doc_id, entity_type, tenant_id, boost, text))"""
 
 
@@ -131,29 +187,58 @@ def search_text(t: Inputs):
 
 @query("q05_search_entities", _search_sql(_DOCS, ENTITY_QUESTION, 25))
 def search_entities(t: Inputs):
-    return se.search(t.stored("postings"), t.stored("corpus"), ENTITY_QUESTION, 25).drop("snippet", "endpoint")
+    return entity_index(t).search(ENTITY_QUESTION, 25).drop("snippet", "endpoint")
 
 
 @query("q06_filtered_search", _search_sql(
-    _DOCS, ENTITY_QUESTION, 25, "(tenant_id IS NULL OR tenant_id = 'acme') AND (entity_type IS NULL OR entity_type IN ('user', 'product'))"))
+    _DOCS, ENTITY_QUESTION, 25, "(tenant_id IS NULL OR tenant_id = 'acme') AND (entity_type IS NULL OR entity_type IN ('user', 'product', 'session'))"))
 def filtered_search(t: Inputs):
-    return se.search(t.stored("postings"), t.stored("corpus"), ENTITY_QUESTION, 25, tenant="acme",
-                     authorised=["user", "product"]).drop("snippet", "endpoint")
+    return entity_index(t).search(ENTITY_QUESTION, 25, tenant="acme", authorised=["user", "product", "session"]).drop("snippet", "endpoint")
+
+
+def refreshed_index(t: Inputs) -> SegmentedIndex:
+    """The index of an earlier state, and the changes since then in two more segments.
+
+    Earlier: orders before the last 300 days, events before the last ten, products that were listed then. The changed ids are
+    those of the rows since, the products they name, and the users of the orders.
+    """
+    orders_cut, events_cut = at(t.orders_as_of - timedelta(days=300)), at(t.events_as_of - timedelta(days=10))
+    new = {"a_orders": F.col("created_at") >= orders_cut, "a_events": F.col("ts") >= events_cut, "a_products": F.col("src_key") % 10 == 3}
+    index = SegmentedIndex(t.spark, work_dir(t.spark, "segments"))
+    before = [documents_of(t.table(view).filter(~new[view]), kind) for kind, (view, _) in ENTITY_VIEWS.items()]
+    index.add(se.keyed(_union([*before, se.catalog_documents(t.spark)])))
+    for kinds in (("order", "user"), ("session", "product")):
+        fresh = []
+        for kind in kinds:
+            view, id = ENTITY_VIEWS[kind]
+            ids = t.table(view).filter(new[view]).select(F.expr(id).alias("_id"))
+            if kind == "product":
+                ids = ids.unionByName(t.a_events.filter(new["a_events"] & F.col("product_id").isNotNull()).select(F.col("product_id").alias("_id")))
+            fresh.append(documents_of(t.table(view).join(ids.distinct(), F.expr(id) == F.col("_id"), "left_semi"), kind))
+        documents = cut_lineage(se.keyed(_union(fresh)))
+        index.add(documents, documents.select("doc_key"))
+    return index
+
+
+@query("q07_index_refresh", f"WITH {_DOCS} SELECT doc_type, doc_id, entity_type, tenant_id, CAST(boost AS DOUBLE) AS boost, md5(array_to_string({token_sql('text')}, ' ')) AS fingerprint FROM docs")
+def index_refresh(t: Inputs):
+    """What is live after the refresh is what the present tables give."""
+    return refreshed_index(t).documents().select("doc_type", "doc_id", "entity_type", "tenant_id", "boost", F.md5(F.array_join(tokens(F.col("text")), " ")).alias("fingerprint"))
 
 
-@query("q07_index_refresh", """
-SELECT user_id AS doc_id, tenant_id, total_orders FROM a_users u
-WHERE total_orders > 5 OR user_id NOT IN (SELECT user_id FROM a_orders WHERE created_at >= (SELECT max(created_at) FROM a_orders) - INTERVAL 300 DAY)""")
-def index_refresh(t: Inputs):
-    """User documents before and after the last 300 days: touched users are re-read, those gone are dropped."""
-    cut = at(t.orders_as_of - timedelta(days=300))
-    old = se.keyed(se.entity_documents(t.a_users.select("tenant_id", "user_id", "total_orders", "total_spent").withColumn(
-        "preferred_category", F.lit(None).cast("string")), "user"))
-    fresh = se.keyed(se.entity_documents(t.a_users.filter(F.col("total_orders") > 5).select("tenant_id", "user_id", "total_orders", "total_spent").withColumn(
-        "preferred_category", F.lit(None).cast("string")), "user"))
-    changed = t.a_orders.filter(F.col("created_at") >= cut).select(F.col("user_id").alias("doc_id"))
-    out = se.refresh_documents(old, fresh, changed)
-    return out.select("doc_id", "tenant_id", F.regexp_extract("snippet", "with ([0-9]+) orders", 1).cast("long").alias("total_orders"))
+SESSION_QUESTION = "sessions with checkout conversion of users who browse products and cart stage"
+
+
+@query("q07_segment_search", _search_sql(_DOCS, SESSION_QUESTION, 25))
+def segment_search(t: Inputs):
+    """Scores over base, delta segments and taken documents are those of a whole index."""
+    return refreshed_index(t).search(SESSION_QUESTION, 25).drop("snippet", "endpoint")
+
+
+@query("q07_segment_frequency", f"""WITH {_DOCS}, tk AS (SELECT DISTINCT doc_type, entity_type, tenant_id, doc_id, unnest({token_sql('text')}) AS token FROM docs)
+SELECT token, count(*) AS df FROM tk GROUP BY token""")
+def segment_frequency(t: Inputs):
+    return se.document_frequency(refreshed_index(t).postings())
 
 
 # --- questions -----------------------------------------------------------------------------------------

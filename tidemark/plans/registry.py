@@ -69,8 +69,7 @@ class Inputs:
         Point reads then open the row groups that may hold the key, and reports read the columns they name. Before it is read
         its inputs are looked at: where their files have changed, the table is brought up to date.
         """
-        spec, known = STORED[name], (self.spark.sparkContext.applicationId, self.base)
-        loads = _LOADED.setdefault(known, {})
+        spec, loads = STORED[name], self.loads()
         version = self.version(spec.reads)
         if name not in loads:
             loads[name] = self._load(name, version)
@@ -84,6 +83,9 @@ class Inputs:
                 files.remove(self.spark, [p for p in (old.before,) if p])
         return self.spark.read.parquet(loads[name].path).drop(PART)
 
+    def loads(self) -> dict[str, Load]:
+        return _LOADED.setdefault((self.spark.sparkContext.applicationId, self.base), {})
+
     def _load(self, name: str, version: dict[str, str]) -> Load:
         spec, path = STORED[name], work_dir(self.spark, f"stored-{name}")
         rows = spec.build(self)
