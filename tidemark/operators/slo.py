@@ -50,7 +50,7 @@ def freshness(journal: DataFrame, as_of: datetime, by: tuple[str, ...] = ("tenan
 
 def latency_quantile(journal: DataFrame, q: float, as_of: datetime, seconds: int, by: tuple[str, ...] = ("tenant_id",)) -> DataFrame:
     rows = journal.filter(in_window(as_of, seconds) & F.col("latency_ms").isNotNull())
-    return exact_quantiles(rows, by, "latency_ms", {"latency_ms": q}, width=10.0)
+    return exact_quantiles(rows, by, "latency_ms", {"latency_ms": q})
 
 
 def latency_sli(journal: DataFrame, threshold_ms: float, as_of: datetime, windows: dict[str, int],

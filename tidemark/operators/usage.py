@@ -43,7 +43,7 @@ def most_frequent(sessions: DataFrame, columns: list[str], k: int) -> DataFrame:
 
 
 def latency_by_endpoint(sessions: DataFrame) -> DataFrame:
-    q = exact_quantiles(sessions, ["endpoint"], "duration_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, width=5.0)
+    q = exact_quantiles(sessions, ["endpoint"], "duration_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     return q.select("endpoint", *[rounded(c, 3).alias(c) for c in ("p50", "p95", "p99")])
 
 

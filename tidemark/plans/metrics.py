@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import at, iso, money, ratio, rounded
 from tidemark.operators import metrics as m
+from tidemark.operators import sketches as sk
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.tenancy import tenant_scope
-from tidemark.plans.registry import Inputs, dec_round, query, ts_text
+from tidemark.plans.registry import Inputs, dec_round, query, stored, ts_text
 
 TENANT = "default"
 ORDERS_NOW = "(SELECT max(created_at) FROM a_orders)"
@@ -157,15 +159,41 @@ def filtered_counts(t: Inputs):
 SELECT topic, {', '.join(f"{dec_round(f'quantile_cont(latency_ms, {q})', 4)} AS p{n}" for n, q in (('50', 0.5), ('95', 0.95), ('99', 0.99)))}
 FROM a_journal WHERE latency_ms IS NOT NULL GROUP BY topic""")
 def latency_quantiles(t: Inputs):
-    # exact percentiles keep a (value -> count) map per group, so the state is bounded by distinct latencies
-    return t.a_journal.filter(F.col("latency_ms").isNotNull()).groupBy("topic").agg(
-        *[rounded(F.percentile("latency_ms", q), 4).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    found = exact_quantiles(t.a_journal, ["topic"], "latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.select("topic", *[rounded(n, 4).alias(n) for n in ("p50", "p95", "p99")])
 
 
-@query("a11_approx_distinct_orders")
+# Each day of shipment keeps a sketch of its orders for each flag; a report unions the sketches of its days.
+_DISTINCT = """SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, count(*) AS line_items FROM lineitem {where} GROUP BY l_returnflag"""
+
+
+@stored("order_sketches", "day", ("lineitem",), lambda rows: F.year("day"))
+def order_sketches(t: Inputs):
+    return sk.daily_sketches(t.lineitem.withColumn("day", F.to_date("l_shipdate")), ["l_returnflag"], "day", "l_orderkey")
+
+
+@query("a11_approx_distinct_orders", f"SELECT l_returnflag, orders AS exact_orders, line_items, true AS within_one_percent FROM ({_DISTINCT.format(where='')})")
 def approx_distinct_orders(t: Inputs):
-    return (t.lineitem.groupBy("l_returnflag")
-            .agg(F.approx_count_distinct("l_orderkey", 0.01).alias("orders"), F.count("*").alias("line_items")))
+    """The union of the stored sketches beside the exact count."""
+    exact = t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_orderkey").alias("exact_orders"))
+    return _beside(sk.union_of(t.stored("order_sketches"), ["l_returnflag"]), exact)
+
+
+_SOME_DAYS = "l_shipdate >= TIMESTAMP '1994-03-01' AND l_shipdate < TIMESTAMP '1996-07-01'"
+
+
+@query("a11_approx_distinct_days", f"SELECT l_returnflag, orders AS exact_orders, line_items, true AS within_one_percent FROM ({_DISTINCT.format(where='WHERE ' + _SOME_DAYS)})")
+def approx_distinct_days(t: Inputs):
+    """A range of days: the same sketches, fewer of them."""
+    days = t.stored("order_sketches").filter((F.col("day") >= F.lit("1994-03-01").cast("date")) & (F.col("day") < F.lit("1996-07-01").cast("date")))
+    exact = t.lineitem.filter((F.col("l_shipdate") >= F.lit("1994-03-01").cast("timestamp")) & (F.col("l_shipdate") < F.lit("1996-07-01").cast("timestamp"))).groupBy("l_returnflag").agg(
+        F.count_distinct("l_orderkey").alias("exact_orders"))
+    return _beside(sk.union_of(days, ["l_returnflag"]), exact)
+
+
+def _beside(estimates, exact):
+    near = F.abs(F.col("estimate") - F.col("exact_orders")) <= 0.01 * F.col("exact_orders")
+    return exact.join(estimates, "l_returnflag").select("l_returnflag", "exact_orders", F.col("rows").alias("line_items"), near.alias("within_one_percent"))
 
 
 @query("a11_exact_distinct_orders", """

@@ -479,7 +479,7 @@ def monthly_revenue(t: Inputs):
 def aov(t: Inputs):
     h = _headers(t)
     means = h.groupBy("channel").agg(rounded(ratio(F.sum("total_amount"), F.count("*")), 4).alias("aov"), F.count("*").alias("orders"))
-    medians = exact_quantiles(h, ["channel"], "total_amount", {"median_check": 0.5}, width=100.0)
+    medians = exact_quantiles(h, ["channel"], "total_amount", {"median_check": 0.5})
     return means.join(medians.withColumn("median_check", rounded("median_check", 4)), "channel")
 
 
