@@ -29,6 +29,7 @@ BLOCK = 12_000_000
 SAMPLE = 20_000  # texts in which words with long stripes are looked for; they only decide how stripes are dealt
 HOT_SHARE, HOT_PARTS = 1000, 64  # a prefix with one of so many words has its stripe split into so many parts
 SIEVE_BITS = 26
+STRIPE = "prefix: array<long>, next: array<long>, counts: array<int>"
 STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -91,26 +92,37 @@ class Tokens:
         return self.piece[:n] == self.piece[length - 1 : length - 1 + n]
 
 
-def stripe_batch(t: Tokens, name: np.ndarray, after: np.ndarray, number: np.ndarray, place: np.ndarray, keys: np.ndarray, hot: np.ndarray, length: int) -> tuple:
-    """Entries, given by the number of their prefix and with the place of one occurrence, as stripes: lang, prefix, part, next, counts.
+def packed_stripes(t: Tokens, name: np.ndarray, after: np.ndarray, number: np.ndarray, place: np.ndarray, keys: np.ndarray, hot: np.ndarray, length: int, buckets: int,
+                   words: bool = False) -> pa.RecordBatch:
+    """Entries, given by the number of their prefix and with the place of one occurrence, as stripes: lang, bucket, stripes.
 
-    `after` is the code of the next word, or that of no word for the total. Stripes of `hot` prefixes are split by the next word.
+    `after` is the code of the next word, or that of no word for the total. A row has the stripes of one language and bucket; a
+    bucket is a hash of the prefix, and for `hot` prefixes, whose stripes are split by the next word, of that as well.
     """
     total = after == len(t.distinct)
     id = t.word_id[np.where(total, 0, after)]
-    part = np.where(np.isin(keys, hot) & ~total, id % U(HOT_PARTS), U(0)).astype(np.int64)
+    part = np.where(np.isin(keys, hot) & ~total, id % U(HOT_PARTS), U(0))
     order = np.lexsort((part, name))
-    name, part, place, id, total, number = name[order], part[order], place[order], id[order], total[order], number[order]
+    name, part, place, id, total, number, keys = name[order], part[order], place[order], id[order], total[order], number[order], keys[order]
     first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (part[1:] != part[:-1])]))
     bounds = pa.array(np.append(first, len(name)), pa.int32())
-    words = t.id[place[first][:, None] + np.arange(length)].view(np.int64).ravel()
-    prefix = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, length), pa.int32()), pa.array(words))
-    return (t.langs.take(pa.array(t.lang[place[first]])), prefix, pa.array(part[first].astype(np.int32)), pa.ListArray.from_arrays(bounds, pa.array(id.view(np.int64), mask=total)),
-            pa.ListArray.from_arrays(bounds, pa.array(number.astype(np.int32)))), place[first]
-
-
-def word_rows(t: Tokens, hot: np.ndarray) -> pa.RecordBatch | None:
-    """Stripes of the single words with their totals: (lang, prefix, part, next, counts, word)."""
+    shown = place[first]
+    prefix = pa.array(t.id[shown[:, None] + np.arange(length)].view(np.int64).ravel())
+    fields = {"prefix": pa.ListArray.from_arrays(pa.array(np.arange(0, len(prefix) + 1, length), pa.int32()), prefix),
+              "next": pa.ListArray.from_arrays(bounds, pa.array(id.view(np.int64), mask=total)), "counts": pa.ListArray.from_arrays(bounds, pa.array(number.astype(np.int32)))}
+    if words:
+        fields["word"] = t.distinct.take(pa.array(t.code[shown])).cast(pa.binary()).cast(pa.string())
+    stripes = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+    bucket = (mix(keys[first] + part[first] * STEP) % U(buckets)).astype(np.int64)
+    order = np.lexsort((bucket, t.lang[shown]))
+    bucket, lang = bucket[order], t.lang[shown][order]
+    row = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1])]))
+    held = pa.ListArray.from_arrays(pa.array(np.append(row, len(order)), pa.int32()), stripes.take(pa.array(order)))
+    return pa.RecordBatch.from_arrays([t.langs.take(pa.array(lang[row])), pa.array(bucket[row].astype(np.int32)), held], names=["lang", "bucket", "stripes"])
+
+
+def word_rows(t: Tokens, hot: np.ndarray, buckets: int) -> pa.RecordBatch | None:
+    """Stripes of the single words, with the words and their totals."""
     if not len(t.code):
         return None
     size = len(t.distinct) + 1
@@ -119,14 +131,12 @@ def word_rows(t: Tokens, hot: np.ndarray) -> pa.RecordBatch | None:
     key, first, number = np.unique(name[pairs] * size + t.code[pairs + 1], return_index=True, return_counts=True)
     alone, at, times = np.unique(name, return_index=True, return_counts=True)
     place = np.concatenate([pairs[first], at])
-    columns, shown = stripe_batch(t, np.concatenate([key // size, alone]), np.concatenate([key % size, np.full(len(alone), size - 1)]), np.concatenate([number, times]),
-                                  place, t.keys(1)[place], hot, 1)
-    word = t.distinct.take(pa.array(t.code[shown])).cast(pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([*columns, word], names=["lang", "prefix", "part", "next", "counts", "word"])
+    return packed_stripes(t, np.concatenate([key // size, alone]), np.concatenate([key % size, np.full(len(alone), size - 1)]), np.concatenate([number, times]),
+                          place, t.keys(1)[place], hot, 1, buckets, True)
 
 
-def stripe_rows(t: Tokens, length: int, sieve: Sieve, sieved: int, hot: np.ndarray) -> pa.RecordBatch | None:
-    """Stripes of the prefixes of `length` words: (lang, prefix, part, next, counts).
+def stripe_rows(t: Tokens, length: int, sieve: Sieve, sieved: int, hot: np.ndarray, buckets: int) -> pa.RecordBatch | None:
+    """Stripes of the prefixes of `length` words.
 
     Phrases are left out if any `sieved` words in a row of theirs do not pass the sieve. `hot`: keys of the prefixes to split.
     """
@@ -142,8 +152,19 @@ def stripe_rows(t: Tokens, length: int, sieve: Sieve, sieved: int, hot: np.ndarr
     for j in range(1, length):
         name = np.unique(name * size + t.code[at + j], return_inverse=True)[1]
     key, first, number = np.unique(name * size + t.code[at + length], return_index=True, return_counts=True)
-    columns, _ = stripe_batch(t, key // size, key % size, number, at[first], t.keys(length)[at[first]], hot, length)
-    return pa.RecordBatch.from_arrays([*columns], names=["lang", "prefix", "part", "next", "counts"])
+    return packed_stripes(t, key // size, key % size, number, at[first], t.keys(length)[at[first]], hot, length, buckets)
+
+
+def merged_entries(rows: DataFrame) -> DataFrame:
+    """(prefix, [word], next, f): stripes of a prefix, or of a part of it, meet in one task and are added entry by entry."""
+    stripes = rows.repartition("bucket").select("bucket", "lang", F.inline("stripes"))
+    kept = [c for c in stripes.columns if c not in ("next", "counts")]
+    return stripes.select(*kept, F.inline(F.arrays_zip("next", "counts"))).groupBy(*kept, "next").agg(F.sum("counts").alias("f")).drop("bucket")
+
+
+def bucket_count(spark) -> int:
+    """More buckets than tasks that add stripes."""
+    return max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def over_tokens(texts: DataFrame, schema: str, fn) -> DataFrame:
@@ -207,13 +228,11 @@ def hot_keys(phrases: DataFrame, total: int) -> np.ndarray:
 
 def stripes(texts: DataFrame, lengths: range, sieve: Sieve, sieved: int, hot: dict[int, np.ndarray], least: int) -> DataFrame:
     """(lang, ids, f) of the phrases of one word more than `lengths` that occur `least` times or more."""
-    context = texts.sparkSession.sparkContext
-    given = context.broadcast((sieve.cells, hot))
-    made = over_tokens(texts, "lang string, prefix array<long>, part int, next array<long>, counts array<int>",
-                       lambda t: (stripe_rows(t, n, Sieve(given.value[0]), sieved, given.value[1][n]) for n in lengths))
-    # stripes of a prefix, or of a part of it, meet in one task; there they are added entry by entry
-    entries = made.repartition("lang", "prefix", "part").select("lang", "prefix", "part", F.inline(F.arrays_zip("next", "counts")))
-    added = entries.groupBy("lang", "prefix", "part", "next").agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
+    buckets = bucket_count(texts.sparkSession)
+    given = texts.sparkSession.sparkContext.broadcast((sieve.cells, hot))
+    made = over_tokens(texts, f"lang string, bucket int, stripes array<struct<{STRIPE}>>",
+                       lambda t: (stripe_rows(t, n, Sieve(given.value[0]), sieved, given.value[1][n], buckets) for n in lengths))
+    added = merged_entries(made).where(F.col("f") >= least)
     return cut_lineage(added.select("lang", F.concat("prefix", F.array("next")).alias("ids"), "f"))
 
 
@@ -235,12 +254,11 @@ def word_counts(t: Tokens) -> pa.RecordBatch | None:
 
 def word_stripes(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, id, word, f) of every word, and (lang, ids, f) of the pairs that occur `least` times or more, from one structure."""
+    buckets = bucket_count(texts.sparkSession)
     given = texts.sparkSession.sparkContext.broadcast(hot_words(texts))
-    made = over_tokens(texts, "lang string, prefix array<long>, part int, next array<long>, counts array<int>, word string", lambda t: (word_rows(t, given.value),))
-    entries = made.repartition("lang", "prefix", "part").select("lang", "prefix", "part", "word", F.inline(F.arrays_zip("next", "counts")))
+    made = over_tokens(texts, f"lang string, bucket int, stripes array<struct<{STRIPE}, word: string>>", lambda t: (word_rows(t, given.value, buckets),))
     # a word goes along as part of the key, so two words of one id stay apart
-    added = entries.groupBy("lang", "prefix", "part", "word", "next").agg(F.sum("counts").alias("f")).where((F.col("f") >= least) | F.col("next").isNull())
-    added = cut_lineage(added.drop("part"))
+    added = cut_lineage(merged_entries(made).where((F.col("f") >= least) | F.col("next").isNull()))
     words = added.where("next is null").select("lang", F.col("prefix")[0].alias("id"), "word", "f")
     return words, added.where("next is not null").select("lang", F.concat("prefix", F.array("next")).alias("ids"), "f")
 
