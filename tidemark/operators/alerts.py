@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import at, half_even, seconds_before
 from tidemark.operators.latest import drop_known
-from tidemark.operators.ordered import previous_in_key
+from tidemark.operators.ordered import latest_before, placed_in_order, previous_in_key
 
 
 def evaluate_rules(rules: DataFrame, current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -144,11 +144,28 @@ def advance(machines: dict, rows: Iterator[tuple]) -> Iterator[tuple]:
         yield (alert_id, tick_at, bool(triggered), machine.state, note, machine.level, machine.fired_at, len(machine.changes))
 
 
+def quiet_segments(ticks: DataFrame) -> DataFrame:
+    """`ticks` with `segment`: the last tick before it at which the machine of its alert was as new.
+
+    It is so at a tick without condition if there was one before it in the same pause, and the pause began longer ago than
+    changes are counted: what has fired is resolved, changes are forgotten, a suppressed alert is awake again. An alert that
+    never pauses is one segment.
+    """
+    key, order = ["alert_id"], ["tick_at"]
+    rows = previous_in_key(ticks, key, order, ["triggered"])
+    begins = F.when(~F.col("triggered") & F.coalesce(F.col("prev.triggered"), F.lit(True)), F.col("tick_at"))
+    placed = placed_in_order(rows.withColumn("_begins", begins).drop("prev"), key, order)
+    paused = latest_before(placed, key, order, F.col("_begins"), "_since", True)
+    forgotten = ~F.col("flap_enabled") | (F.unix_micros("tick_at") - F.unix_micros("_since") > F.col("flap_minutes") * 60e6)
+    quiet = ~F.col("triggered") & (F.col("tick_at") > F.col("_since")) & forgotten
+    return latest_before(paused, key, order, F.when(quiet, F.col("tick_at")), "segment", False).drop("_begins", "_since", "_part")
+
+
 def alert_states(ticks: DataFrame) -> DataFrame:
     """State after every tick of every alert.
 
-    Ticks of an alert arrive sorted in one task as a stream of Arrow batches: memory holds one machine, not the
-    history. The machine of an alert is dropped when the next alert begins.
+    The history of an alert falls apart at its quiet ticks, and its segments run in tasks of their own, each with a new machine.
+    Ticks of a segment arrive sorted as a stream of Arrow batches: memory holds one machine, not the history.
     """
     columns = ["alert_id", "tick_at", "triggered", *RULE_FIELDS]
 
@@ -156,13 +173,15 @@ def alert_states(ticks: DataFrame) -> DataFrame:
         machines: dict = {}
         for batch in batches:
             out = []
-            for row in advance(machines, batch[columns].itertuples(index=False, name=None)):
-                if len(machines) > 1:
-                    machines = {row[0]: machines[row[0]]}
-                out.append(row)
+            named = batch[columns].assign(alert_id=list(zip(batch["alert_id"], batch["segment"].astype(str), strict=True)))
+            for key, *row in advance(machines, named.itertuples(index=False, name=None)):
+                # in place, as the loop goes on with this very dictionary
+                for other in [k for k in machines if k != key]:
+                    del machines[other]
+                out.append((key[0], *row))
             yield pd.DataFrame(out, columns=STATE_COLUMNS)
 
-    ordered = ticks.select(*columns).repartition("alert_id").sortWithinPartitions("alert_id", "tick_at")
+    ordered = quiet_segments(ticks.select(*columns)).repartition("alert_id", "segment").sortWithinPartitions("alert_id", "segment", "tick_at")
     return ordered.mapInPandas(run, STATE_DDL)
 
 
@@ -182,10 +201,55 @@ def matches(event: str = "e", hook: str = "s", ids: tuple[str, ...] = ID_COLUMNS
     return by_type & by_id & by_amount
 
 
-def match_subscriptions(events: DataFrame, hooks: DataFrame, ids: tuple[str, ...] = ("entity_id",)) -> DataFrame:
-    """(webhook_id, event_id) of all matches. The tenant equality keeps it a hash join; hooks are configuration."""
-    joined = events.alias("e").join(hooks.alias("s"), (F.col("e.tenant_id") == F.col("s.tenant_id")) & matches(ids=ids))
-    return joined.select("s.webhook_id", "e.tenant_id", "e.event_id", "e.event_type", "e.processed_at")
+def hook_atoms(hooks: DataFrame) -> DataFrame:
+    """One row for each atom of a hook: a value that an event must have for the hook to match it.
+
+    Ids name the fewest events, so they are the atoms of a hook that lists any; else its event types; else one atom for all events.
+    """
+    some = lambda c: F.size(F.coalesce(F.col(c), F.array())) > 0
+    atoms = lambda kind, values: F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    listed = (F.when(some("entity_ids"), atoms("id", F.col("entity_ids"))).when(some("event_types"), atoms("type", F.col("event_types")))
+              .otherwise(atoms("any", F.array(F.lit("")))))
+    return hooks.withColumn("atom", F.explode(listed))
+
+
+def event_atoms(ids: tuple[str, ...]) -> Column:
+    """The values under which an event is looked up: its ids, its type and every dotted prefix of that, and the one all have."""
+    named = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    parts = F.split("event_type", "[.]")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    own = F.array_distinct(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in ids]))
+    typed = F.when(F.col("event_type").isNotNull(), F.array_distinct(prefixes)).otherwise(F.array().cast("array<string>"))
+    return F.concat(named("id", own), named("type", typed), named("any", F.array(F.lit(""))))
+
+
+FEW_ATOMS = 100_000
+
+
+def match_subscriptions(events: DataFrame, hooks: DataFrame, ids: tuple[str, ...] = ("entity_id",), salts: int = 64, few: int = FEW_ATOMS) -> DataFrame:
+    """(webhook_id, event_id) of all matches, once each.
+
+    Hooks are indexed by atoms; an event meets only hooks that share one with it, and the whole filter is checked on those. A
+    pair that shares several is taken at the hook's first one. Up to `few` atoms go to every task, and events do not move. More
+    are dealt with the events by tenant, atom and salt: a tenant or type with most events, or most hooks, is spread over `salts`.
+    """
+    wanted = ["tenant_id", "event_types", "entity_ids", "min_amount", "webhook_id"]
+    atoms = hook_atoms(hooks.select(*wanted))
+    elements = F.size(F.coalesce("event_types", F.array())) + F.size(F.coalesce("entity_ids", F.array())) + 1
+    size = atoms.agg(F.sum(elements).alias("n")).first()["n"] or 0
+    probes = events.withColumn("_atom", F.explode(event_atoms(ids)))
+    same = (F.col("e.tenant_id") == F.col("s.tenant_id")) & (F.col("e._atom.kind") == F.col("s.atom.kind")) & (F.col("e._atom.value") == F.col("s.atom.value"))
+    if size <= few:
+        joined = probes.alias("e").join(F.broadcast(atoms).alias("s"), same & matches(ids=ids))
+    else:
+        probes = probes.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
+        atoms = atoms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = probes.alias("e").join(atoms.alias("s"), same & (F.col("e._salt") == F.col("s._salt")) & matches(ids=ids))
+    kind = F.col("e.event_type")
+    own = F.array(*[F.coalesce(F.col(f"e.{c}"), F.lit("")) for c in ids])
+    first = (F.when(F.col("s.atom.kind") == "id", F.get(F.filter("s.entity_ids", lambda i: F.array_contains(own, i)), F.lit(0)))
+             .when(F.col("s.atom.kind") == "type", F.get(F.filter("s.event_types", lambda x: (kind == x) | kind.startswith(F.concat(x, F.lit(".")))), F.lit(0))).otherwise(""))
+    return joined.filter(F.col("s.atom.value") == first).select("s.webhook_id", "e.tenant_id", "e.event_id", "e.event_type", "e.processed_at")
 
 
 def settle_violations(journal: DataFrame, delivered: DataFrame, frontier: tuple[datetime, str], band_seconds: int) -> DataFrame:

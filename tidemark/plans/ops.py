@@ -477,7 +477,29 @@ def rule_ticks(t: Inputs):
                            F.lit(3).alias("flap_max"), F.lit(30.0).alias("cooldown_minutes"))
 
 
-@query("o25_alert_states")
+# The machine tick by tick: changes of the last six hours, awake again, changed, and then the new state.
+STATES_SQL = f"""
+WITH RECURSIVE tk AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY tick_at) AS k FROM {_TICKS}),
+m AS (SELECT DISTINCT alert_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS TIMESTAMP) AS tick_at, false AS triggered, 'ok' AS state, CAST(NULL AS VARCHAR) AS notification, 0 AS level,
+    CAST(NULL AS TIMESTAMP) AS fired_at, CAST([] AS TIMESTAMP[]) AS changed FROM tk
+  UNION ALL
+  SELECT alert_id, k, tick_at, triggered,
+    CASE WHEN state = 'suppressed' THEN state WHEN triggered THEN CASE WHEN fired_at IS NULL THEN 'firing' ELSE 'sustained' END WHEN fired_at IS NOT NULL THEN 'resolved' WHEN state = 'resolved' THEN 'ok' ELSE state END,
+    CASE WHEN state = 'suppressed' THEN NULL WHEN triggered THEN CASE WHEN fired_at IS NULL THEN 'firing' WHEN step > level THEN 'escalated' END WHEN fired_at IS NOT NULL THEN 'resolved' END,
+    CASE WHEN state = 'suppressed' THEN level WHEN triggered THEN CASE WHEN fired_at IS NULL THEN 1 ELSE greatest(level, coalesce(step, 0)) END WHEN fired_at IS NOT NULL THEN 0 ELSE level END,
+    CASE WHEN state = 'suppressed' THEN fired_at WHEN triggered THEN coalesce(fired_at, tick_at) END, changed
+  FROM (SELECT *, CASE WHEN level < 2 AND tick_at - fired_at >= INTERVAL 60 MINUTE THEN 2 WHEN level = 2 AND tick_at - fired_at >= INTERVAL 240 MINUTE THEN 3 END AS step
+    FROM (SELECT alert_id, k, tick_at, triggered, changed, CASE WHEN over THEN 'suppressed' ELSE state END AS state, CASE WHEN over THEN 0 ELSE level END AS level, CASE WHEN NOT over THEN fired_at END AS fired_at
+      FROM (SELECT * EXCLUDE (changed), turned AND len(changed) + 1 > 3 AS over, CASE WHEN turned THEN list_append(changed, tick_at) ELSE changed END AS changed
+        FROM (SELECT alert_id, k, tick_at, triggered, kept AS changed, CASE WHEN awake THEN 'ok' ELSE state END AS state, CASE WHEN awake THEN 0 ELSE level END AS level,
+            CASE WHEN NOT awake THEN fired_at END AS fired_at, triggered <> CASE WHEN awake THEN false ELSE was END AS turned
+          FROM (SELECT *, state = 'suppressed' AND len(kept) <= 3 AS awake
+            FROM (SELECT tk.alert_id, tk.k, tk.tick_at, tk.triggered, m.state, m.level, m.fired_at, m.triggered AS was, list_filter(m.changed, lambda c: tk.tick_at - c <= INTERVAL 360 MINUTE) AS kept
+              FROM m JOIN tk ON tk.alert_id = m.alert_id AND tk.k = m.k + 1)))))))
+SELECT alert_id, {ts_text('tick_at')} AS tick_at, triggered, state, notification, CAST(level AS INTEGER) AS level, {ts_text('fired_at')} AS fired_at, CAST(len(changed) AS INTEGER) AS changes FROM m WHERE k > 0"""
+
+
+@query("o25_alert_states", STATES_SQL)
 def alert_states(t: Inputs):
     return al.alert_states(rule_ticks(t)).withColumn("tick_at", iso("tick_at")).withColumn("fired_at", iso("fired_at"))
 

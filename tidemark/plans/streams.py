@@ -216,7 +216,7 @@ def validated_job(t: Inputs):
     return valid.unionByName(dead).groupBy("stage").agg(F.count("*").alias("records"))
 
 
-@query("o25_alert_stream")
+@query("o25_alert_stream", ops.STATES_SQL)
 def alert_stream(t: Inputs):
     base = work_dir(t.spark, "alerts")
     rows = ops.rule_ticks(t)
