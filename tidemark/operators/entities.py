@@ -99,12 +99,10 @@ def newest_events(journal: DataFrame, limit: int, event_family: str | None = Non
     return rows.orderBy(F.desc("processed_at"), F.desc("event_id")).limit(limit)
 
 
-def bounded_scan(rows: DataFrame, order: Sequence[Column], cap: int | None = None) -> DataFrame:
-    """All rows; with `cap`, the first so many in order, and a flag that says whether there were more."""
-    if cap is None:
-        return rows.withColumn("scan_truncated", F.lit(False))
-    probe = rows.orderBy(*order).limit(cap + 1)
-    number = F.row_number().over(Window.orderBy(*order))
-    return (probe.withColumn("_no", number)
-            .withColumn("scan_truncated", F.count("*").over(Window.partitionBy()) > cap)
-            .filter(F.col("_no") <= cap).drop("_no"))
+def flagged_scan(rows: DataFrame, most: int) -> DataFrame:
+    """All rows, with a flag that tells whether there are more than a scan of `most` rows would show.
+
+    Only as many rows as decide it are counted.
+    """
+    more = rows.limit(most + 1).agg((F.count("*") > most).alias("more")).scalar()
+    return rows.withColumn("scan_truncated", F.coalesce(more, F.lit(False)))

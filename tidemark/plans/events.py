@@ -58,13 +58,11 @@ _CUR = ("currency", "coalesce(currency, 'RUB') IN ('RUB', 'USD', 'EUR', 'GBP')")
 _OID = ("order_id", r"regexp_full_match(order_id, 'ORD-\d{8}-\d{4,}')")
 
 
-@query("v02_base_rules", f"""
-SELECT event_id, errors FROM (SELECT event_id, {_case(*_BASE)} AS errors FROM a_ev_payments
- UNION ALL SELECT event_id, {_case(*_BASE)} FROM a_ev_other) WHERE errors <> ''""")
+@query("v02_base_rules", "SELECT event_id, errors FROM (" + " UNION ALL ".join(
+    f"SELECT event_id, {_case(*_BASE)} AS errors FROM a_ev_{family}" for family in ("orders", "payments", "clicks", "products", "other")) + ") WHERE errors <> ''")
 def base_rules(t: Inputs):
-    rows = conform(t.a_ev_payments, EVENT_DDL).unionByName(conform(t.a_ev_other, EVENT_DDL))
     found = F.filter(F.array(*rules.base_rules(now(t))), lambda x: x.isNotNull())
-    return rows.select("event_id", F.array_join(found, ",").alias("errors")).filter("errors <> ''")
+    return wide_events(t).select("event_id", F.array_join(found, ",").alias("errors")).filter("errors <> ''")
 
 
 def _family_errors(t: Inputs, frame: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import at, iso, money, ratio, rounded
@@ -228,20 +230,20 @@ def conditional_sums(t: Inputs):
         F.count_if(large).alias("large_orders"), F.count("*").alias("orders"))
 
 
+_CURRENT = """(SELECT order_hk, total_amount FROM a_sat_header WHERE is_deleted = 0 QUALIFY row_number() OVER (PARTITION BY order_hk ORDER BY load_ts DESC, source DESC) = 1)"""
+
+
 @query("a15_branch_share", f"""
 SELECT split_part(record_source, '__', 2) AS branch, count(*) AS orders, CAST(sum(total_amount) AS DOUBLE) AS revenue,
-       {dec_round('CAST(sum(total_amount) AS DOUBLE) / CAST((SELECT sum(total_amount) FROM a_sat_header WHERE source = $$1c$$) AS DOUBLE)', 4)} AS share
-FROM a_hub_order JOIN a_sat_header USING (order_hk) WHERE source = '1c' GROUP BY 1""")
+       {dec_round(f'CAST(sum(total_amount) AS DOUBLE) / CAST((SELECT sum(total_amount) FROM {_CURRENT}) AS DOUBLE)', 4)} AS share
+FROM a_hub_order JOIN {_CURRENT} USING (order_hk) GROUP BY 1""")
 def branch_share(t: Inputs):
-    from pyspark.sql import Window
-
-    per = (t.a_hub_order.join(t.a_sat_header.filter(F.col("source") == "1c").select("order_hk", "total_amount"), "order_hk")
-           .groupBy(F.split_part("record_source", F.lit("__"), F.lit(2)).alias("branch"))
-           .agg(F.count("*").alias("orders"), F.sum("total_amount").alias("revenue")))
+    """Revenue of every branch over the current headers, whatever system the newest came from."""
+    current = t.stored("orders").filter(F.col("header_source").isNotNull())
+    per = current.groupBy("branch").agg(F.count("*").alias("orders"), F.sum("total_amount").alias("revenue"))
     # the window runs over one row per branch
     total = F.sum("revenue").over(Window.partitionBy())
-    return per.select("branch", "orders", money("revenue").alias("revenue"),
-                      rounded(ratio("revenue", total), 4).alias("share"))
+    return per.select("branch", "orders", money("revenue").alias("revenue"), rounded(ratio("revenue", total), 4).alias("share"))
 
 
 @query("a16_quality_report", f"""
@@ -287,16 +289,20 @@ def cross_branch(t: Inputs):
     return m.cross_branch_summary(t.a_journal).withColumn("last_seen", iso("last_seen"))
 
 
+_FAMILIES = ("a_ev_orders", "a_ev_payments", "a_ev_clicks", "a_ev_products", "a_ev_other")
+
+
 @query("o30_metric_lineage", """
 WITH cat(metric, source_event, source_table) AS (VALUES
-""" + ",\n".join(f"('{a}', '{b}', '{c}')" for a, b, c, _, _ in m.metric_lineage()) + """)
-SELECT metric, source_table, source_event, count(j.event_id) AS journal_rows, strftime(max(j.processed_at), '%Y-%m-%d %H:%M:%S.%f') AS last_moved
-FROM cat LEFT JOIN a_events e ON e.event_type = cat.source_event LEFT JOIN a_journal j ON j.event_id = CAST(e.src_key AS STRING)
-GROUP BY ALL""")
+""" + ",\n".join(f"('{a}', '{b}', '{c}')" for a, b, c, _, _ in m.metric_lineage()) + "),\nev AS ("
+    + " UNION ALL ".join(f"SELECT event_type, TRY_CAST(timestamp AS TIMESTAMP) AS seen FROM {v}" for v in _FAMILIES) + """)
+SELECT metric, source_table, source_event, count(e.event_type) AS journal_rows, strftime(max(seen), '%Y-%m-%d %H:%M:%S.%f') AS last_moved
+FROM cat LEFT JOIN ev e ON e.event_type = cat.source_event GROUP BY ALL""")
 def metric_lineage(t: Inputs):
-    """Which event types move which metric, and when they last did; events are counted per type first."""
+    """Which event types move which metric, and when they last did; events of all families are counted per type first."""
     catalog = t.spark.createDataFrame(m.metric_lineage(), "metric string, source_event string, source_table string, unit string, sla int")
-    moved = t.a_events.groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    every = functools.reduce(lambda a, b: a.unionByName(b), [t.table(v).select("event_type", F.col("timestamp").try_cast("timestamp").alias("at")) for v in _FAMILIES])
+    moved = every.groupBy("event_type").agg(F.count("*").alias("n"), F.max("at").alias("last"))
     return (catalog.join(moved, catalog["source_event"] == moved["event_type"], "left")
             .select("metric", "source_table", "source_event", F.coalesce("n", F.lit(0)).cast("long").alias("journal_rows"),
                     iso("last").alias("last_moved")))

@@ -164,6 +164,15 @@ def rolling_compliance(t: Inputs):
     return slo.rolling_compliance(timed, limit_ms=30).withColumn("compliance", F.round("compliance", 8))
 
 
+@query("w03_rolling_window", """
+SELECT topic, round(avg(CASE WHEN latency_ms <= 30 THEN 1.0 ELSE 0.0 END), 8) AS compliance, count(*) AS events
+FROM (SELECT * FROM a_journal WHERE latency_ms IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic ORDER BY processed_at DESC, event_id DESC) <= 500) GROUP BY topic""")
+def rolling_window(t: Inputs):
+    """The share over the last five hundred timed events of each topic."""
+    timed = t.a_journal.filter(F.col("latency_ms").isNotNull())
+    return slo.rolling_compliance(timed, limit_ms=30, size=500).withColumn("compliance", F.round("compliance", 8))
+
+
 @query("s14_latency_histogram", " UNION ALL ".join(
     f"SELECT topic, event_type, '{b}' AS le, count(*) FILTER (WHERE latency_ms <= {b * 1000}) AS events FROM a_journal GROUP BY topic, event_type" for b in slo.LATENCY_BUCKETS)
     + " UNION ALL SELECT topic, event_type, '+Inf', count(latency_ms) FROM a_journal GROUP BY topic, event_type")
@@ -210,19 +219,31 @@ def sla_breach(t: Inputs):
     return o.stage_clock(t.a_orders, t.a_stage_rows, t.orders_as_of).select("tenant_id", "order_id", "breached", rounded("overshoot_ratio", 4).alias("overshoot_ratio"))
 
 
+TENANT = "default"
+
+
+def _own(rows):
+    """Rows of the tenant whose page is shown; the filter reaches the scan."""
+    return tenant_scope(rows, TENANT, keep=True)
+
+
+def _own_orders(t: Inputs):
+    return _own(t.a_orders), _own(t.a_stage_rows)
+
+
 @query("o11_stuck_orders", f"""SELECT order_id, user_id, status, {ts_text('entered_at')} AS entered_at, secs AS in_stage_seconds, mins AS sla_minutes, {dec_round('secs / (mins * 60)', 4)} AS overshoot_ratio,
-  clock, CAST(total_amount AS DOUBLE) AS total_amount, currency FROM {_CLOCK} c WHERE status IN ('pending', 'confirmed', 'shipped') AND secs > mins * 60
+  clock, CAST(total_amount AS DOUBLE) AS total_amount, currency FROM {_CLOCK} c WHERE tenant_id = 'default' AND status IN ('pending', 'confirmed', 'shipped') AND secs > mins * 60
   ORDER BY c.secs / (c.mins * 60) DESC, tenant_id, order_id LIMIT 100 OFFSET 100""")
 def stuck_orders(t: Inputs):
-    rows = o.stuck_orders(t.a_orders, t.a_stage_rows, t.orders_as_of)
+    rows = o.stuck_orders(*_own_orders(t), t.orders_as_of)
     return o.worklist_page(rows, 2, 100).select(
         "order_id", "user_id", "status", iso("entered_at").alias("entered_at"), "in_stage_seconds", "sla_minutes",
         rounded("overshoot_ratio", 4).alias("overshoot_ratio"), "clock", money("total_amount").alias("total_amount"), "currency")
 
 
-@query("o11_stage_summary", f"SELECT status, count(*) AS open, count(*) FILTER (WHERE secs > mins * 60) AS breached FROM {_CLOCK} WHERE status IN ('pending', 'confirmed', 'shipped') GROUP BY status")
+@query("o11_stage_summary", f"SELECT status, count(*) AS open, count(*) FILTER (WHERE secs > mins * 60) AS breached FROM {_CLOCK} WHERE tenant_id = 'default' AND status IN ('pending', 'confirmed', 'shipped') GROUP BY status")
 def stage_summary(t: Inputs):
-    return o.stage_summary(o.stuck_orders(t.a_orders, t.a_stage_rows, t.orders_as_of, include_within_sla=True))
+    return o.stage_summary(o.stuck_orders(*_own_orders(t), t.orders_as_of, include_within_sla=True))
 
 
 def order_journal(t: Inputs):
@@ -328,10 +349,10 @@ def exception_union(t: Inputs):
     return inbox(t).select("tenant_id", "item_id", "source", "severity", iso("occurred_at").alias("occurred_at"), iso("last_seen_at").alias("last_seen_at"), "entity_kind", "entity_id", "status")
 
 
-@query("o15_exception_inbox", f"""SELECT item_id, source, severity, {ts_text('occurred_at')} AS occurred_at, status FROM {_INBOX} i WHERE status <> 'resolved'
+@query("o15_exception_inbox", f"""SELECT item_id, source, severity, {ts_text('occurred_at')} AS occurred_at, status FROM {_INBOX} i WHERE tenant_id = 'default' AND status <> 'resolved'
 ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, i.occurred_at DESC, item_id LIMIT 50""")
 def exception_inbox(t: Inputs):
-    return o.inbox_page(inbox(t), 1, 50).select("item_id", "source", "severity", iso("occurred_at").alias("occurred_at"), "status")
+    return o.inbox_page(_own(inbox(t)), 1, 50).select("item_id", "source", "severity", iso("occurred_at").alias("occurred_at"), "status")
 
 
 @query("o16_exception_stats", f"SELECT source, status, count(*) AS items, count(*) FILTER (WHERE occurred_at >= {NOW} - INTERVAL 1 DAY) AS last_24h FROM {_INBOX} GROUP BY ALL")
@@ -339,10 +360,10 @@ def exception_stats(t: Inputs):
     return o.inbox_stats(inbox(t), t.events_as_of)
 
 
-@query("o17_dead_letter_page", f"""SELECT event_id, tenant_id, failure_reason, {ts_text('received_at')} AS received_at FROM a_dead_letters d WHERE failure_reason = 'parse'
+@query("o17_dead_letter_page", f"""SELECT event_id, tenant_id, failure_reason, {ts_text('received_at')} AS received_at FROM a_dead_letters d WHERE tenant_id = 'default' AND failure_reason = 'parse'
 ORDER BY d.received_at DESC, event_id LIMIT 25 OFFSET 25""")
 def dead_letter_page(t: Inputs):
-    return o.dead_letter_page(t.a_dead_letters, "parse", 2, 25).select("event_id", "tenant_id", "failure_reason", iso("received_at").alias("received_at"))
+    return o.dead_letter_page(_own(t.a_dead_letters), "parse", 2, 25).select("event_id", "tenant_id", "failure_reason", iso("received_at").alias("received_at"))
 
 
 @query("o18_dead_letter_stats", f"""

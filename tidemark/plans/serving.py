@@ -306,11 +306,22 @@ def newest_events(t: Inputs):
 
 
 @query("l08_bounded_scan", """
-SELECT order_id, status, false AS scan_truncated FROM a_orders WHERE tenant_id = 'default' AND status IN ('pending', 'confirmed', 'shipped')""")
+SELECT order_id, status, (SELECT count(*) FROM a_orders WHERE tenant_id = 'default' AND status IN ('pending', 'confirmed', 'shipped')) > 500 AS scan_truncated
+FROM a_orders WHERE tenant_id = 'default' AND status IN ('pending', 'confirmed', 'shipped')
+UNION ALL SELECT order_id, status, (SELECT count(*) FROM a_orders WHERE tenant_id = 'acme' AND status = 'cancelled') > 500 FROM a_orders WHERE tenant_id = 'acme' AND status = 'cancelled'""")
 def bounded_scan(t: Inputs):
+    """A scan that is longer than its bound, and one that may not be: all rows, with the flag of each scan."""
     open_orders = tenant_scope(t.a_orders, "default").filter(F.col("status").isin("pending", "confirmed", "shipped"))
-    return e.bounded_scan(open_orders, [F.col("order_id")]).select(
-        "order_id", "status", "scan_truncated")
+    dropped = tenant_scope(t.a_orders, "acme").filter(F.col("status") == "cancelled")
+    scans = [e.flagged_scan(rows, 500).select("order_id", "status", "scan_truncated") for rows in (open_orders, dropped)]
+    return scans[0].unionByName(scans[1])
+
+
+@query("j05_drop_known", """
+SELECT event_id, tenant_id FROM a_journal j WHERE NOT EXISTS (SELECT 1 FROM a_deliveries d WHERE d.event_id = j.event_id AND d.tenant_id = j.tenant_id)""")
+def drop_known_rows(t: Inputs):
+    """Journal rows that no delivery knows yet."""
+    return drop_known(t.a_journal, t.a_deliveries, ["tenant_id", "event_id"]).select("event_id", "tenant_id")
 
 
 # --- joins and set operations ------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import enrich
-from tidemark.functions.columns import iso, seconds_between
+from tidemark.functions.columns import day, iso, seconds_between
 from tidemark.operators.sessions import fold_sessions
 from tidemark.plans import ops
 from tidemark.plans.events import _PRODUCT_SPLIT, _STAGES_SQL, raw_records
@@ -174,6 +174,25 @@ def append_lake(t: Inputs):
     return dead.select(F.lit("dead_letter").alias("table"), "*").unionByName(clicks.select(F.lit("clickstream").alias("table"), "*"))
 
 
+@query("snk02_partition_columns", """
+SELECT 'hours' AS kind, event_id, strftime(ts, '%Y-%m-%d') AS dt, CAST(hour(ts) AS INTEGER) AS hr FROM a_events
+UNION ALL SELECT 'days', event_id, strftime(received_at, '%Y-%m-%d'), NULL FROM a_dead_letters""")
+def partition_columns(t: Inputs):
+    """The folders that declared partition transforms give to the rows of a table."""
+    hours, _ = lake.partition_columns(t.a_events.withColumn("created_at", F.col("ts")), lake.LAKE_TABLES["clickstream"][1])
+    days, _ = lake.partition_columns(t.a_dead_letters, lake.LAKE_TABLES["dead_letter"][1])
+    return hours.select(F.lit("hours").alias("kind"), "event_id", day("dt").alias("dt"), "hr").unionByName(
+        days.select(F.lit("days").alias("kind"), "event_id", day("dt").alias("dt"), F.lit(None).cast("int").alias("hr")))
+
+
+@query("s05_session_keys", """
+SELECT tenant_id, session_id, count(*) AS events, count(DISTINCT user_id) AS users FROM a_events WHERE coalesce(session_id, '') <> '' GROUP BY tenant_id, session_id""")
+def session_keys(t: Inputs):
+    """Keyed events of the session job, as its stream hands them on."""
+    keyed = _finished(t, "keys", sessions.session_events(_view_stream(t, "a_events")).select("tenant_id", "session_id", "user_id"))
+    return keyed.groupBy("tenant_id", "session_id").agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"))
+
+
 @query("s12_apply_stream", """
 SELECT 'journal' AS "table", tenant_id, event_id AS id FROM a_events UNION ALL SELECT 'serving_log', tenant_id, event_id FROM a_events WHERE session_id IS NOT NULL
 UNION ALL SELECT DISTINCT 'sessions_aggregated', tenant_id, session_id FROM a_events WHERE session_id IS NOT NULL""")
