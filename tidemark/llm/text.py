@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,6 +59,27 @@ def hash_of(distinct: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(x, SEED) for x in distinct.to_pylist()), np.uint64, len(distinct))
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span, the same in every task.
+
+    Up to 16 bytes the first and the last eight, which are all of them, are mixed in turn: up to eight bytes different spans of
+    one length have different hashes. Longer spans, of which a text has few, go through a hash function of their own.
+    """
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))
+    missing = np.maximum(8 - size, 0).astype(np.uint64) * U(8)
+    # in two steps, as a shift by all 64 bits is none
+    first = eight[start] << (missing >> U(1)) << (missing - (missing >> U(1)))
+    last = np.where(size > 8, eight[np.maximum(end - 8, 0)], U(0))
+    out = mix(mix(first + size.astype(np.uint64) * NGRAM) ^ last)
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        raw = data.tobytes()
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], SEED) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)), np.uint64, len(long))
+    return out
+
+
 class Words:
     """Words of a block of texts: byte bounds, row number and hash of each, in order.
 
@@ -81,9 +103,26 @@ class Words:
         self.offsets = np.searchsorted(self.start, self.bounds)  # of each row's words
         self.count = np.diff(self.offsets)
         self.row = np.repeat(np.arange(self.rows), self.count)
-        # words are compared by their bytes in a block, and by a hash of each different one across blocks
-        self.code, self.distinct = span_codes(self.data[solid], np.concatenate([[0], np.cumsum(self.end - self.start)]))
-        self.hash = hash_of(self.distinct)[self.code]
+        self._solid = solid
+
+    @functools.cached_property
+    def hash(self) -> np.ndarray:
+        """A hash of each word, for comparing words of different blocks."""
+        return span_hash(self.data, self.start, self.end)
+
+    @functools.cached_property
+    def coded(self) -> tuple[np.ndarray, pa.Array]:
+        return span_codes(self.data[self._solid], np.concatenate([[0], np.cumsum(self.end - self.start)]))
+
+    @property
+    def code(self) -> np.ndarray:
+        """A number of each word, equal where the bytes are equal in this block."""
+        return self.coded[0]
+
+    @property
+    def distinct(self) -> pa.Array:
+        """The bytes of each number."""
+        return self.coded[1]
 
 
 def ngram_hash(h: np.ndarray, n: int) -> np.ndarray:
