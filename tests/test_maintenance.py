@@ -94,6 +94,24 @@ def test_index_follows_all_entities(spark, base):
     assert {tuple(r) for r in index.documents().select("doc_key", "text").collect()} == want
 
 
+def test_latest_versions_without_exchange(spark, base):
+    names = ["d09_canonical_orders", "d10_customer_master", "a13_latest_by_version", "j01_order_left_joins"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = Inputs(spark, base)
+        for rows in (t.canonical(), t.a_master):
+            rows.collect()
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    change(base, "orders", "SELECT * REPLACE (o_totalprice + 1 AS o_totalprice) FROM {t} WHERE o_orderkey % 9 <> 0")
+    change(base, "customer", "SELECT * REPLACE (c_acctbal + 5000 AS c_acctbal) FROM {t} WHERE c_custkey % 8 <> 0")
+    for name in names:
+        ok, _, _, note = compare(spark, duck(base), name, QUERIES[name], ORACLES[name], base)
+        assert ok, f"{name}: {note}"
+
+
 def docs(spark, *rows):
     return search.keyed(spark.createDataFrame([("entity", i, "order", "", text, 1.0, "t", text) for i, text in rows],
                                               "doc_type string, doc_id string, entity_type string, endpoint string, snippet string, boost double, tenant_id string, text string"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -27,6 +28,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = prepare(spark), base
         self._frames: dict[str, DataFrame] = {}
+        self._some = False  # whether some tables stand for a part of themselves
 
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -52,8 +54,8 @@ class Inputs:
         return user_profiles(self.a_orders)
 
     def canonical(self, columns=None) -> DataFrame:
-        return canonical_orders(self.a_hub_order, self.a_sat_header, self.a_sat_pricing, self.a_sat_wb,
-                                self.a_lnk_order_customer, self.a_lnk_order_store, columns=columns)
+        views = ("a_hub_order", "a_sat_header", "a_sat_pricing", "a_sat_wb", "a_lnk_order_customer", "a_lnk_order_store")
+        return canonical_orders(*(self.by_key(v, "order_hk") for v in views), columns=columns)
 
     @cached_property
     def a_canonical(self) -> DataFrame:
@@ -61,7 +63,26 @@ class Inputs:
 
     @cached_property
     def a_master(self) -> DataFrame:
-        return customer_master(self.a_hub_customer, self.a_sat_personal, self.a_sat_loyalty)
+        return customer_master(*(self.by_key(v, "customer_hk") for v in ("a_hub_customer", "a_sat_personal", "a_sat_loyalty")))
+
+    def by_key(self, view: str, key: str) -> DataFrame:
+        """A vault table in buckets of its key, sorted: versions of a key lie together, so their latest needs no exchange.
+
+        Loaded once for this application and folder, and again when its inputs have changed. A part of the inputs is read as it is.
+        """
+        if self._some:
+            return self.table(view)
+        loads, tag = self.loads(), f"buckets of {view}"
+        version = self.version(base_tables(view))
+        if tag not in loads or loads[tag].version != version:
+            old, name, path = loads.get(tag), f"tidemark_{view}_{uuid.uuid4().hex}", work_dir(self.spark, f"buckets-{view}")
+            number = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            (self.table(view).repartition(number, key).write.format("parquet").option("path", path).bucketBy(number, key).sortBy(key).saveAsTable(name))
+            loads[tag] = Load(path, version, {"table": name}, old.path if old else None)
+            if old:
+                self.spark.sql(f"DROP TABLE IF EXISTS {old.prints['table']}")
+                files.remove(self.spark, [p for p in (old.before,) if p])
+        return self.spark.table(loads[tag].prints["table"])
 
     def stored(self, name: str) -> DataFrame:
         """A derived table, loaded once for this application and folder into the shared folder, by parts and sorted by its key.
@@ -104,6 +125,7 @@ class Inputs:
         """The same inputs with some tables replaced, for deriving a part of a table."""
         other = Inputs(self.spark, self.base)
         other._frames.update(frames)
+        other._some = True
         return other
 
     @cached_property
@@ -115,6 +137,13 @@ class Inputs:
         return latest_instant(self.events, "ts")
 
 
+def base_tables(view: str) -> tuple[str, ...]:
+    """The given tables that a view is made of."""
+    if view in BASE_TABLES:
+        return (view,)
+    return tuple(sorted({b for n in re.findall(r"\{(\w+)\}", VIEWS[view]) for b in base_tables(n)}))
+
+
 @dataclass
 class Load:
     """Where a derived table lies, of which inputs it is, and the fingerprints of those that are followed by key."""

@@ -212,14 +212,14 @@ def canonical(t: Inputs):
 SELECT o.order_hk, CAST(p.subtotal_amount AS DOUBLE) AS subtotal_amount, st.store_hk FROM a_hub_order o
 LEFT JOIN a_sat_pricing p USING (order_hk) LEFT JOIN a_lnk_order_store st USING (order_hk)""")
 def order_left_joins(t: Inputs):
-    return (t.a_hub_order.select("order_hk").join(t.a_sat_pricing.select("order_hk", money("subtotal_amount").alias("subtotal_amount")), "order_hk", "left")
-            .join(t.a_lnk_order_store.select("order_hk", "store_hk"), "order_hk", "left"))
+    return (t.by_key("a_hub_order", "order_hk").select("order_hk").join(t.by_key("a_sat_pricing", "order_hk").select("order_hk", money("subtotal_amount").alias("subtotal_amount")), "order_hk", "left")
+            .join(t.by_key("a_lnk_order_store", "order_hk").select("order_hk", "store_hk"), "order_hk", "left"))
 
 
 @query("a13_latest_by_version", """
 SELECT order_hk, source, order_status FROM a_sat_header QUALIFY row_number() OVER (PARTITION BY order_hk ORDER BY load_ts DESC, source DESC) = 1""")
 def latest_by_version(t: Inputs):
-    return latest_version(t.a_sat_header, ["order_hk"], ["load_ts", "source"], ["order_hk", "source", "order_status"])
+    return latest_version(t.by_key("a_sat_header", "order_hk"), ["order_hk"], ["load_ts", "source"], ["order_hk", "source", "order_status"])
 
 
 @query("u01_union_satellites", """
@@ -244,7 +244,7 @@ def master(t: Inputs):
 
 @query("d10_customer_master_branch", _MASTER_OUT + " WHERE branch = 'dxb'")
 def master_branch(t: Inputs):
-    return _plain(vb.customer_master(t.a_hub_customer, t.a_sat_personal, t.a_sat_loyalty, "dxb"))
+    return _plain(vb.customer_master(*(t.by_key(v, "customer_hk") for v in ("a_hub_customer", "a_sat_personal", "a_sat_loyalty")), "dxb"))
 
 
 @query("d11_canonical_materialised", """
@@ -378,7 +378,7 @@ def customer_slot(rows):
 
 @stored("orders", "order_bk", ORDER_TABLES, order_year, ORDER_KEYS, refresh_orders)
 def stored_orders(t: Inputs):
-    return t.canonical().join(t.a_hub_order.select("order_hk", "record_source"), "order_hk")
+    return t.canonical().join(t.by_key("a_hub_order", "order_hk").select("order_hk", "record_source"), "order_hk")
 
 
 @stored("lines", "order_hk", ORDER_TABLES, order_slot, refresh=refresh_orders)
