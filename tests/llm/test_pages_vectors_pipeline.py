@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm.nearest import neighbours
-from tidemark.llm.pages import extracted, main_text
+from tidemark.llm.pages import Page, extracted, main_text
 from tidemark.llm.queries import QUERIES
 
 BASE = "/root/testdata/sf0.001"
@@ -49,6 +49,78 @@ def test_names_in_wrappers(wrapper):
     assert main_text(PAGE % (wrapper % TEXT + "<div class=ad>Buy this</div>")) == LINES
 
 
+SHORT = "<p>A short one.</p>"
+
+
+@pytest.mark.parametrize(("inside", "text"), [
+    ("<form id=aspnetForm><input type=hidden value=1>%s<select><option>x</select></form>", LINES),
+    ("<form><div><article>%s</article></div></form>", LINES),
+    ("<form><nav><a href=x>Menu</a></nav><div class=content>%s</div><footer>By them</footer></form>", LINES),
+    ("<div class=content>%s</div><form><p>Your name</p><input></form>", LINES),
+    ("<article>%s</article><article><h2>Second</h2><p>Another article of the page.</p></article>", LINES + "\nSecond\nAnother article of the page."),
+    ("<main><h1>Title</h1><article>%s</article><article><p>Another article of the page.</p></article></main>", "Title\n" + LINES + "\nAnother article of the page."),
+    ("<main><article>%s</article><ul><li><a href=a>Next one</a><li><a href=b>One before</a></ul></main>", LINES),
+    ("<article>%s</article><article><a href=x>A teaser that is all link</a></article>", LINES),
+    ("<section>%s</section><section>" + SHORT + "</section>", LINES + "\nA short one."),
+    ("<div>%s</div><div>" + SHORT + "</div>", LINES + "\nA short one."),
+    ("<h1>A title</h1><div id=content>%s</div>", "A title\n" + LINES),
+    ("<h1>A title</h1><div><div>%s</div></div><ul><li><a href=a>Elsewhere</a><li><a href=b>And there</a></ul>", "A title\n" + LINES),
+    ("Loose words <b>before</b> it<div>%s</div>", "Loose words before it\n" + LINES),
+])
+def test_nothing_else_is_dropped(inside, text):
+    assert main_text(PAGE % (inside % TEXT)) == text
+
+
+def by_definition(html):
+    """Composite text density of every node of a tree without parts to leave out, from its definition."""
+    import math
+    import xml.etree.ElementTree as ET
+
+    root = ET.fromstring(html)
+
+    def count(node):
+        tags = sum(1 for _ in node.iter()) - 1
+        chars = len("".join("".join(node.itertext()).split()))
+        links = [a for a in node.iter("a") if a is not node]
+        return chars, max(tags, 1), sum(len("".join("".join(a.itertext()).split())) for a in ([node] if node.tag == "a" else links)), len(links)
+
+    whole = count(root)
+    ratio = whole[2] / max(whole[0], 1)
+
+    def density(node):
+        c, t, lc, lt = count(node)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
+        return max(0.0, c / t * (math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / base))
+
+    sums = {node: sum(density(child) for child in node) for node in root.iter()}
+    best = max(sums.values())
+    return next(" ".join("".join(node.itertext()).split()) for node in root.iter() if sums[node] == best)
+
+
+def test_densest_subtree_by_definition():
+    rng = np.random.default_rng(6)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            words = " ".join(f"w{x}" for x in rng.integers(0, 99, rng.integers(1, 30)))
+            return f"<a>{words}</a>" if rng.random() < 0.25 else f"<p>{words}</p>"
+        return "<div>" + "".join(tree(depth - 1) for _ in range(rng.integers(1, 5))) + "</div>"
+
+    for _ in range(150):
+        html = "<body>" + "".join(tree(3) for _ in range(3)) + "</body>"
+        page = Page(html)
+        link = [False] * len(page.tag)
+        for i in range(1, len(link)):
+            link[i] = link[page.parent[i]] or page.tag[i] == "a"
+        best = page.measured([len("".join(x.split())) for _, x in page.texts], link, frozenset())[4]
+        under = [False] * len(link)
+        for i in range(len(link)):
+            under[i] = i == best or (i > 0 and under[page.parent[i]])
+        assert " ".join(" ".join(x for i, x in page.texts if under[i]).split()) == " ".join(by_definition(html.replace("</", " </")).split())
+
+
 def test_hostile_pages_end_soon():
     start = time.time()
     for html in ("<" * 50_000, "<p " * 50_000, "<div>" * 20_000 + "x", "<a href='" * 20_000 + ">", "<!--" * 20_000, "&" * 50_000, "</p>" * 50_000, "<b>" * 20_000):

@@ -2,7 +2,8 @@
 
 Each node of a page's tree has a density: characters per tag, lowered by the links among them. A node's density sum is the
 sum of its children's densities; the subtree with the largest one is the article. The least density on the path from there
-to the body is the threshold that other subtrees must reach to count as well. Parts that their tag or role names as something
+to the body is the threshold that other subtrees must reach to count as well, as do the texts beside that path that are not mostly
+links. Where the article or main element holds the densest part, it is taken whole, with others beside it. Parts that their tag or role names as something
 else than the article take no part, nor do those whose whole class or id is such a name, unless the article lies in them. Where
 the name is only a piece of a class (no-sidebar, elementor-widget-text-editor), it lowers the density and no more; such a part
 that is mostly links and apart from the article is dropped.
@@ -29,7 +30,7 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
            "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 # Parts of a page that are not its article.
-OTHER_TAG = frozenset("""head nav aside footer form script style title noscript template iframe button select option textarea input
+OTHER_TAG = frozenset("""head nav aside footer script style title noscript template iframe button select option textarea input
     svg canvas object audio video dialog menu xmp noembed noframes search""".split())
 OTHER_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 OTHER_NAME = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent
@@ -50,9 +51,10 @@ def named_otherwise(tag: str, attributes: str) -> str:
     """'' for a part of the article, else what makes it something else: a tag, a name, a piece of a name or a comment."""
     if tag in OTHER_TAG:
         return "tag"
+    # a form is a part like a named one: older servers wrap whole pages in it
+    out = "name" if tag == "form" else ""
     if not attributes or tag in ("html", "body"):
-        return ""
-    out = ""
+        return out
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
@@ -217,14 +219,22 @@ class Page:
             above = set(path)
             for i in range(1, n):
                 gone[i] = gone[i] or gone[parent[i]] or (self.other[i] == "piece" and i not in above and 2 * link_chars[i] > chars[i])
-        # the article as a whole, if the densest part lies in one
-        root = next((i for i in path if tag[i] in ("article", "main")), None)
-        if root is not None:
-            chosen = {root}
+        # the article as a whole, if the densest part lies in one: the outermost on the path, and others beside it that are text
+        roots = [i for i in path if tag[i] in ("article", "main")]
+        text = [not gone[i] and 0 < chars[i] >= 2 * link_chars[i] for i in range(n)]
+        above = set(path)
+        if roots:
+            chosen = {roots[-1], *(i for i in range(1, n) if tag[i] in ("article", "main") and text[i])}
+            between = set(path[path.index(roots[0]) + 1 : path.index(roots[-1]) + 1])
+            for i in range(1, n):
+                # of the outer one, parts around the inner one that are mostly links are no article
+                gone[i] = gone[i] or gone[parent[i]] or (parent[i] in between and i not in above and not text[i])
+            plain: set[int] = set()
         else:
-            chosen = {best}
-            above = set(path)
-            chosen.update(i for i in range(n) if not gone[i] and density[i] >= threshold and tag[i] in BLOCK and i not in above)
+            chosen = {best, *(i for i in range(n) if not gone[i] and density[i] >= threshold and tag[i] in BLOCK and i not in above)}
+            # nothing tells that the other texts along the path are something else, unless they are mostly links
+            chosen.update(i for i in range(1, n) if parent[i] in above and i not in above and text[i])
+            plain = above
         inside = [False] * n
         block = list(range(n))
         for i in range(n):
@@ -233,12 +243,12 @@ class Page:
                 block[i] = block[parent[i]]
         out: list[list[str]] = []
         last = -1
-        for i, text in self.texts:
-            if inside[i]:
+        for i, piece in self.texts:
+            if inside[i] or i in plain:
                 if block[i] != last:
                     out.append([])
                     last = block[i]
-                out[-1].append(text)
+                out[-1].append(piece)
             elif not gone[i] or block[i] != last:
                 last = -1
         lines = (" ".join(unescape("".join(parts)).split()) for parts in out)
