@@ -192,6 +192,20 @@ def edge_ingest(t: Inputs):
     return s.ingest_edge(batch, centre, "ekb").select("event_id", "branch", "topic")
 
 
+@query("m08_edge_counts", f"""
+WITH b AS (SELECT *, EXISTS (SELECT 1 FROM a_journal k WHERE k.event_id = j.event_id AND k.tenant_id = j.tenant_id AND k.processed_at <= {JOURNAL_NOW} - INTERVAL 5 DAY) AS known
+  FROM a_journal j WHERE processed_at > {JOURNAL_NOW} - INTERVAL 10 DAY)
+SELECT count(*) FILTER (WHERE NOT known AND topic = 'events.validated') AS applied, count(*) FILTER (WHERE NOT known AND topic = 'events.deadletter') AS dead,
+  count(*) FILTER (WHERE known) + count(*) AS duplicate FROM b""")
+def edge_counts(t: Inputs):
+    """What the centre answers to a batch that holds every row twice: applied, dead, and known before or earlier in the batch."""
+    now = t.events_as_of
+    batch = t.a_journal.filter(F.col("processed_at") > at(now - timedelta(days=10))).withColumn("is_dead", F.col("topic") == "events.deadletter")
+    centre = t.a_journal.filter(F.col("processed_at") <= at(now - timedelta(days=5)))
+    twice = batch.unionAll(batch)
+    return s.apply_counts(twice, s.unapplied(twice, centre))
+
+
 @query("m09_dead_letter_replay", f"""
 SELECT tenant_id, event_id, CASE WHEN failure_reason = 'parse' THEN status ELSE 'replay_pending' END AS status,
        retry_count + CASE WHEN failure_reason = 'parse' THEN 0 ELSE 1 END AS retry_count,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import checkdigits as k
 from tidemark.functions.columns import day, iso, money, ratio, rounded
 from tidemark.functions.identity import hash_diff, hash_key, pair_key
+from tidemark.operators import reference as ref
 from tidemark.operators import vault_business as vb
 from tidemark.operators import vault_checks as vc
 from tidemark.operators import vault_load as vl
@@ -134,32 +135,44 @@ def previous_instant(t: Inputs):
     return out.select("tenant_id", "event_id", iso("processed_at").alias("processed_at"), iso("prev.processed_at").alias("previous_at"))
 
 
-@query("d08_reference_mapping", """
-SELECT 'hub_supplier' AS target, md5('SUP-' || s_suppkey) AS hk, md5('SUP-' || s_suppkey) AS fingerprint FROM supplier
-UNION ALL SELECT 'sat_supplier_profile', md5('SUP-' || s_suppkey), md5('gln=' || '||supplier_name=' || s_name || '||supplier_status=active||tax_country_code=RU') FROM supplier
-UNION ALL SELECT 'hub_product', md5(CAST(p_partkey AS VARCHAR)), md5(CAST(p_partkey AS VARCHAR)) FROM part
-UNION ALL SELECT 'sat_product_reference', md5(CAST(p_partkey AS VARCHAR)), md5('brand=' || p_brand || '||category=' || p_type || '||product_name=' || p_name) FROM part
-UNION ALL SELECT 'hub_marking_code', md5(gs1_gtin), md5(gs1_gtin) FROM a_marking
-UNION ALL SELECT 'sat_marking_code_gs1', md5(gs1_gtin), md5('gs1_gtin=' || gs1_gtin || '||marking_status=' || marking_status) FROM a_marking
-UNION ALL SELECT 'lnk_product_marking', md5(md5(CAST(p_partkey AS VARCHAR)) || '||' || md5(gs1_gtin)), md5(md5(CAST(p_partkey AS VARCHAR)) || '||' || md5(gs1_gtin)) FROM a_marking
-UNION ALL SELECT DISTINCT 'lnk_product_supplier', md5(md5(CAST(l_partkey AS VARCHAR)) || '||' || md5('SUP-' || l_suppkey)), md5(md5(CAST(l_partkey AS VARCHAR)) || '||' || md5('SUP-' || l_suppkey)) FROM lineitem""")
-def reference_mapping(t: Inputs):
-    sup = t.supplier.select(hash_key(F.concat(F.lit("SUP-"), F.col("s_suppkey").cast("string"))).alias("hk"), F.col("s_name").alias("supplier_name"),
-                            F.lit("RU").alias("tax_country_code"), F.lit("active").alias("supplier_status"), F.lit(None).cast("string").alias("gln"))
-    prod = t.part.select(hash_key(F.col("p_partkey")).alias("hk"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"))
-    mark = t.a_marking.select(hash_key(F.col("gs1_gtin")).alias("hk"), "gs1_gtin", "marking_status", hash_key(F.col("p_partkey")).alias("product_hk"))
-    src = t.lineitem.select("l_partkey", "l_suppkey").distinct().select(
-        hash_key(hash_key(F.col("l_partkey")), hash_key(F.concat(F.lit("SUP-"), F.col("l_suppkey").cast("string")))).alias("hk"))
+def _diff_sql(attributes: dict) -> str:
+    """Attributes in name order, each as name=value; a missing value is empty."""
+    return "md5(" + " || '||' || ".join(f"'{name}=' || coalesce({attributes[name]}, '')" for name in sorted(attributes)) + ")"
 
-    def rows(name, df, fingerprint="hk"):
-        return df.select(F.lit(name).alias("target"), "hk", (F.col(fingerprint) if isinstance(fingerprint, str) else fingerprint).alias("fingerprint"))
 
-    return vc.stack([
-        rows("hub_supplier", sup), rows("sat_supplier_profile", sup, hash_diff(sup, ["supplier_name", "tax_country_code", "supplier_status", "gln"])),
-        rows("hub_product", prod), rows("sat_product_reference", prod, hash_diff(prod, ["product_name", "brand", "category"])),
-        rows("hub_marking_code", mark), rows("sat_marking_code_gs1", mark, hash_diff(mark, ["gs1_gtin", "marking_status"])),
-        rows("lnk_product_marking", mark.select(hash_key(F.col("product_hk"), F.col("hk")).alias("hk"))),
-        rows("lnk_product_supplier", src)])
+def _missing(have: dict, every: tuple) -> dict:
+    return {name: have.get(name, "NULL") for name in every}
+
+
+_P_HK, _S_HK, _M_HK = "md5(CAST({} AS VARCHAR))", "md5('SUP-' || {})", "md5(gs1_gtin)"
+_LINK = "md5(md5(CAST(l_partkey AS VARCHAR)) || '||' || md5('SUP-' || l_suppkey))"
+_MARK_LINK = "md5(md5(CAST(p_partkey AS VARCHAR)) || '||' || md5(gs1_gtin))"
+_SOURCING = """(SELECT l_partkey, l_suppkey, strftime(min(l_shipdate), '%Y-%m-%d') AS valid_from, CAST(CAST(min(l_quantity) AS BIGINT) AS VARCHAR) AS min_order_qty,
+  CAST(min(CAST(l_extendedprice AS DECIMAL(18,2))) AS VARCHAR) AS purchase_price FROM lineitem GROUP BY l_partkey, l_suppkey)"""
+
+
+@query("d08_reference_mapping", " UNION ALL ".join(f"SELECT '{target}' AS target, {key} AS hk, {mark} AS fingerprint FROM {table}" for target, key, mark, table in (
+    ("hub_supplier", _S_HK.format("s_suppkey"), _S_HK.format("s_suppkey"), "supplier"),
+    ("sat_supplier_profile", _S_HK.format("s_suppkey"), _diff_sql(_missing({"supplier_name": "s_name", "supplier_status": "'active'", "tax_country_code": "'RU'"}, ref.SUPPLIER_ATTRIBUTES)), "supplier"),
+    ("hub_product", _P_HK.format("p_partkey"), _P_HK.format("p_partkey"), "part"),
+    ("sat_product_reference", _P_HK.format("p_partkey"), _diff_sql(_missing({"product_name": "p_name", "brand": "p_brand", "category": "p_type", "units_per_pack": "CAST(p_size AS VARCHAR)",
+        "pack_type": "CASE WHEN p_size > 24 THEN 'case' ELSE 'unit' END"}, ref.PRODUCT_ATTRIBUTES)), "part"),
+    ("hub_marking_code", _M_HK, _M_HK, "a_marking"), ("sat_marking_code_gs1", _M_HK, _diff_sql({"gs1_gtin": "gs1_gtin", "marking_status": "marking_status"}), "a_marking"),
+    ("lnk_product_marking", _MARK_LINK, _MARK_LINK, "a_marking"), ("lnk_product_supplier", _LINK, _LINK, _SOURCING),
+    ("sat_sourcing", _LINK, _diff_sql(_missing({c: c for c in ("valid_from", "min_order_qty", "purchase_price")}, ref.SOURCING_ATTRIBUTES)), _SOURCING))))
+def reference_mapping(t: Inputs):
+    """Nine raw-vault tables; products have twelve attributes and sourcing six, those without a source NULL."""
+    suppliers = t.supplier.select(F.concat(F.lit("SUP-"), F.col("s_suppkey").cast("string")).alias("supplier_bk"), F.col("s_name").alias("supplier_name"),
+                                  F.lit("RU").alias("tax_country_code"), F.lit("active").alias("supplier_status"))
+    products = t.part.select(F.col("p_partkey").cast("string").alias("product_bk"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"),
+                             F.col("p_size").cast("string").alias("units_per_pack"), F.when(F.col("p_size") > 24, "case").otherwise("unit").alias("pack_type"))
+    marking = t.a_marking.select(F.col("p_partkey").cast("string").alias("product_bk"), "gs1_gtin", "marking_status")
+    sourcing = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(day(F.min("l_shipdate")).alias("valid_from"), F.min("l_quantity").cast("long").cast("string").alias("min_order_qty"),
+                                                                F.min(F.col("l_extendedprice").cast("decimal(18,2)")).cast("string").alias("purchase_price"))
+    sourcing = sourcing.withColumns({"product_bk": F.col("l_partkey").cast("string"), "supplier_bk": F.concat(F.lit("SUP-"), F.col("l_suppkey").cast("string"))})
+    mapped = ref.map_reference(suppliers, products, marking, sourcing)
+    return vc.stack([rows.select(F.lit(name).alias("target"), F.col(rows.columns[0]).alias("hk"), F.col("hash_diff" if "hash_diff" in rows.columns else rows.columns[0]).alias("fingerprint"))
+                     for name, rows in mapped.items()])
 
 
 @query("src05_oltp_snapshot", """
