@@ -112,11 +112,12 @@ def metric_matrix(tables: dict[str, DataFrame], as_of: dict[str, datetime], name
         cells = [(m, w) for m in metrics for w in m.windows]
         widest = max((c for c in cells), key=lambda c: _seconds(*c))
         wide = tables[table].filter(_inside(*widest, as_of[table])).groupBy(*by).agg(
-            *[_finish(m.value(_inside(m, w, as_of[table]))).alias(f"{m.name}|{w}") for m, w in cells])
+            *[m.value(_inside(m, w, as_of[table])).alias(f"{m.name}|{w}") for m, w in cells])
         long = F.explode(F.array(*[
             F.struct(F.lit(m.name).alias("metric"), F.lit(m.unit).alias("unit"), F.lit(w).alias("window"),
                      F.col(f"`{m.name}|{w}`").alias("value")) for m, w in cells]))
-        parts.append(wide.select(*by, long.alias("m")).select(*by, "m.*"))
+        # rounded once the cells are rows: one expression instead of one for each cell
+        parts.append(wide.select(*by, long.alias("m")).select(*by, "m.*").withColumn("value", _finish(F.col("value"))))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
