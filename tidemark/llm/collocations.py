@@ -25,7 +25,7 @@ BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 GAP = BREAK.copy()
 GAP[[0x20, 0x09]] = True
-BLOCK = 12_000_000
+BLOCK = 6_000_000
 SAMPLE = 20_000  # texts in which words with long stripes are looked for; they only decide how stripes are dealt
 HOT_SHARE, HOT_PARTS = 1000, 64  # a prefix with one of so many words has its stripe split into so many parts
 SIEVE_BITS = 26
