@@ -2,7 +2,7 @@
 
 A document is (doc_type, doc_id, entity_type, endpoint, snippet, boost, tenant_id, text); its key is
 (doc_type, entity_type, tenant_id, doc_id), kept as one text column `doc_key`.
-The index is a table of postings (token, doc_key, tf).
+The index is a table of postings (token, doc_key, tf); a document's postings lie together.
 """
 
 from __future__ import annotations
@@ -153,6 +153,27 @@ def postings(documents: DataFrame, only: Sequence[str] | None = None) -> DataFra
             .agg(F.count("*").alias("tf")))
 
 
+def segment_postings(documents: DataFrame) -> DataFrame:
+    """The same postings for documents that lie in files: counted inside each row, so no occurrence is shuffled.
+
+    Documents that share a key make one posting for each token, so those, and only those, are brought together.
+    """
+    again = documents.groupBy("doc_key").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("doc_key").cache()
+    try:
+        shared = not again.isEmpty()
+    finally:
+        again.unpersist()
+    single = documents.join(again, "doc_key", "left_anti") if shared else documents
+    sorted_words = single.select("doc_key", *SCORED, F.array_sort(tokens(F.col("text"))).alias("_words"))
+    # places where a new token starts; its count is the way to the next one
+    starts = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: (i == 0) | (F.get("_words", i) != F.get("_words", i - 1)))
+    placed = sorted_words.filter(F.size("_words") > 0).withColumn("_starts", starts)
+    counted = F.transform("_starts", lambda i, k: F.struct(
+        F.get("_words", i).alias("token"), (F.coalesce(F.get("_starts", k + 1), F.size("_words")) - i).cast("long").alias("tf")))
+    rows = placed.select("doc_key", *SCORED, F.inline(counted)).select("token", "doc_key", *SCORED, "tf")
+    return rows.unionByName(postings(documents.join(again, "doc_key", "left_semi"))) if shared else rows
+
+
 def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("df"))
 

@@ -57,9 +57,10 @@ class SegmentedIndex:
         """A segment of keyed documents that takes the older documents with the keys of `taken` (doc_key) away."""
         segments = self.segments()
         number = max((m["seg"] for m in segments), default=-1) + 1
-        documents.sort("doc_key").write.mode("overwrite").parquet(f"{self.path}/docs/seg={number}")
+        # neither is sorted as a whole: scores are summed where a document's postings lie together, and only their sums move
+        documents.write.mode("overwrite").parquet(f"{self.path}/docs/seg={number}")
         added = self.spark.read.parquet(f"{self.path}/docs/seg={number}")
-        se.postings(added).sort("token").write.mode("overwrite").parquet(f"{self.path}/postings/seg={number}")
+        se.segment_postings(added).write.mode("overwrite").parquet(f"{self.path}/postings/seg={number}")
         removed = 0
         if taken is not None and segments:
             # only keys that are there now: the list stays as short as the change
@@ -78,8 +79,8 @@ class SegmentedIndex:
         for dead in sorted(set(every) - set(numbers)):
             files.remove(self.spark, [f"{self.path}/{kind}/seg={dead}" for kind in ("docs", "postings", "gone")] + [f"{self.path}/segments/{dead}.json"])
         number = max(numbers) + 1
-        self.documents().sort("doc_key").write.mode("overwrite").parquet(f"{self.path}/docs/seg={number}")
-        self.postings().sort("token").write.mode("overwrite").parquet(f"{self.path}/postings/seg={number}")
+        self.documents().write.mode("overwrite").parquet(f"{self.path}/docs/seg={number}")
+        self.postings().write.mode("overwrite").parquet(f"{self.path}/postings/seg={number}")
         self._note(number, sum(m["added"] - m["removed"] for m in segments), 0, False, numbers)
 
     def _note(self, number: int, added: int, removed: int, takes: bool, replaces: list[int]) -> None:
