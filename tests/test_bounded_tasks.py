@@ -15,3 +15,11 @@ def test_position_of_a_change_needs_no_hashed_id(spark):
     t = Inputs(spark, "/root/testdata/sf0.001")
     assert "sha1" not in plan_of(events.source_position(t), "optimizedPlan")
     assert "sha1" in plan_of(events.change_event_id(t), "optimizedPlan")
+
+
+def test_lines_are_joined_by_number(spark):
+    from tidemark.plans import vault
+
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    exchanges = [line for line in plan_of(vault.stored_lines(t)).splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("_hk" in line for line in exchanges)

@@ -396,9 +396,11 @@ def stored_orders(t: Inputs):
 
 @stored("lines", "order_hk", ORDER_TABLES, order_slot, refresh=refresh_orders)
 def stored_lines(t: Inputs):
-    """Link rows with the source of their order; no hint, the hub grows with the data."""
-    return t.a_lnk_order_product.join(t.a_hub_order.select("order_hk", "record_source"), "order_hk").select(
-        "order_hk", "product_hk", vb.branch_of("record_source").alias("branch"), vb.system_of("record_source").alias("system"))
+    """Link rows with the source of their order; no hint, the hub grows with the data. Joined by business key, hashed after it."""
+    pairs = t.order_products.select(F.col("l_orderkey").cast("string").alias("order_bk"), "l_partkey")
+    return pairs.join(t.a_hub_order.select("order_bk", "record_source"), "order_bk").select(
+        F.md5("order_bk").alias("order_hk"), F.md5(F.col("l_partkey").cast("string")).alias("product_hk"),
+        vb.branch_of("record_source").alias("branch"), vb.system_of("record_source").alias("system"))
 
 
 @stored("mart_pnl", "month", ORDER_TABLES, lambda rows: F.year("month"), refresh=refresh_orders)
