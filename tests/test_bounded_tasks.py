@@ -23,3 +23,16 @@ def test_lines_are_joined_by_number(spark):
     t = Inputs(spark, "/root/testdata/sf0.001")
     exchanges = [line for line in plan_of(vault.stored_lines(t)).splitlines() if "Exchange hashpartitioning" in line]
     assert exchanges and not any("_hk" in line for line in exchanges)
+
+
+def test_identities_are_asked_without_first_deliveries(spark, tmp_path, monkeypatch):
+    from tidemark.sources.identities import IdentityStore
+
+    store = IdentityStore(spark, str(tmp_path), ["k"])
+    batch = spark.range(100).select((F.col("id") % 50).alias("k"), F.col("id").alias("src_key"))
+    store.claim(store.fresh(batch, "one"), "one")
+    asked, plain = [], IdentityStore.may_hold
+    monkeypatch.setattr(IdentityStore, "may_hold", lambda self, rows, runs: asked.append(plan_of(rows)) or plain(self, rows, runs))
+    again = batch.unionAll(spark.range(60, 63).select(F.col("id").alias("k"), F.col("id").alias("src_key")))
+    assert sorted(r["k"] for r in store.fresh(again, "two").collect()) == [60, 61, 62]
+    assert len(asked) == 1 and "Aggregate" not in asked[0]
