@@ -583,8 +583,9 @@ def audit_log(t: Inputs):
         one = F.array(F.struct(row["seq"].alias("seq"), row["body"].alias("body"), done["last"].alias("previous_hash"), hashed.alias("hash")))
         return F.struct(F.concat(done["rows"], one).cast(kind).alias("rows"), hashed.alias("last"))
 
-    # a log is a bounded block, so its rows may be folded in order
-    blocks = rows.groupBy("log").agg(F.sort_array(F.collect_list(F.struct("seq", "body"))).alias("given"))
+    # a log is a bounded block, so its rows may be folded in order; they grow a lot by that, so the number of partitions is kept
+    # as the input asks for it: adaptive plans would merge them by the few bytes they have before
+    blocks = rows.repartition(t.parts, "log").groupBy("log").agg(F.sort_array(F.collect_list(F.struct("seq", "body"))).alias("given"))
     linked = F.aggregate("given", F.struct(F.array().cast(kind).alias("rows"), F.lit("").alias("last")), link)
     log = blocks.select("log", F.inline(linked["rows"]))
     # some rows of failed requests have another predecessor written into them
