@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.collocations import GAP, Sieve, Tokens, collocations, extended, first_of_each, hot_keys
+from tidemark.llm import collocations as module
+from tidemark.llm.collocations import GAP, Sieve, Tokens, collocations, extended, first_of_each, hot_keys, sieve_of, stripe_batches
 
 NAMES = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
@@ -109,3 +110,33 @@ def test_first_of_each(spark):
     want = sorted((-(i % 5), f"p{i:03}") for i in range(200))[:17]
     found = sorted((r["rank"], r["phrase"]) for r in first_of_each(rows.repartition(7), "key", order, 17).collect())
     assert found == [(i + 1, p) for i, (_, p) in enumerate(want)]
+
+
+def test_stripes_are_added_over_the_blocks_of_a_task(spark, monkeypatch):
+    # a phrase that every block has is handed on once, not once for each block
+    pairs = spark.createDataFrame([("en", [i, i + 1]) for i in range(4)] + [("de", [1, 2])], "lang string, ids array<long>")
+    sieve = sieve_of(pairs, 16)
+
+    def block(*rows):
+        t = Tokens(pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows]), pa.array([x for _, x in rows])], names=["lang", "text"]))
+        t.word_id = np.array([int(x) for x in t.distinct.cast(pa.binary()).cast(pa.string()).to_pylist()], np.uint64)
+        t.id = t.word_id[t.code]
+        return t
+
+    def found(held, hot=()):
+        monkeypatch.setattr(module.Stripes.__init__, "__defaults__", (held,))
+        blocks = [block(("en", "0 1 2 3 4. 9 1 2 3"), ("de", "1 2 3")), block(("en", "1 2 3 7")), block(("en", "5 5 5"))] * 20
+        made = [x for x in stripe_batches(iter(blocks), range(2, 4), sieve, 2, {2: np.array(hot, np.uint64), 3: np.zeros(0, np.uint64)}) if x is not None]
+        counts = Counter()
+        for batch in made:
+            for r in batch.to_pylist():
+                for word, n in zip(r["next"], r["counts"], strict=True):
+                    counts[r["lang"], *r["prefix"], word] += n
+        return counts, sum(x.num_rows for x in made)
+
+    want = Counter({("en", 0, 1, 2): 20, ("en", 1, 2, 3): 60, ("en", 2, 3, 4): 20, ("en", 0, 1, 2, 3): 20, ("en", 1, 2, 3, 4): 20})
+    counts, rows = found(module.HELD)
+    assert counts == want and rows == 5
+    assert found(3)[0] == want and 5 < found(3)[1]
+    hot = block(("en", "1 2")).keys(2)
+    assert found(module.HELD, hot) == (want, 5)

@@ -1,7 +1,7 @@
 """Phrases that occur more often than their parts suggest, by stripes.
 
-A prefix of words keys a stripe: the words that follow it and how often. Tasks build the stripes of their texts, stripes of one
-prefix meet in a shuffle and are added word by word. An entry of a stripe is the frequency of a phrase, the frequencies of the
+A prefix of words keys a stripe: the words that follow it and how often. Tasks build the stripes of their texts, adding up those of
+longer prefixes over all that they read as far as a bound allows, stripes of one prefix meet in a shuffle and are added word by word. An entry of a stripe is the frequency of a phrase, the frequencies of the
 prefixes are the entries of the stripes before, and the largest entry of a stripe tells whether a longer phrase makes its prefix
 superfluous. The stripes of single words also hold their totals.
 
@@ -29,6 +29,7 @@ BLOCK = 6_000_000
 SAMPLE = 20_000  # texts in which words with long stripes are looked for; they only decide how stripes are dealt
 HOT_SHARE, HOT_PARTS = 1000, 64  # a prefix with one of so many words has its stripe split into so many parts
 SIEVE_BITS = 26
+HELD = 400_000  # different phrases of one length that a task holds before it hands on their stripes
 STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -125,37 +126,95 @@ def word_rows(t: Tokens, hot: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([*columns, word], names=["lang", "prefix", "part", "next", "counts", "word"])
 
 
-def stripe_rows(t: Tokens, length: int, sieve: Sieve, sieved: int, hot: np.ndarray) -> pa.RecordBatch | None:
-    """Stripes of the prefixes of `length` words: (lang, prefix, part, next, counts).
+def sieved_places(t: Tokens, length: int, sieve: Sieve, sieved: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one occurrence of every phrase of `length` words and their numbers in a block.
 
-    Phrases are left out if any `sieved` words in a row of theirs do not pass the sieve. `hot`: keys of the prefixes to split.
+    Phrases are left out if any `sieved` words in a row of theirs do not pass the sieve.
     """
-    good = t.within(length + 1)
+    good = t.within(length)
     passed = sieve(t.keys(sieved)) if len(t.id) >= sieved else np.zeros(0, bool)
-    for j in range(length + 2 - sieved):
+    for j in range(length + 1 - sieved):
         good &= passed[j : j + len(good)]
     at = np.flatnonzero(good)
     if not len(at):
-        return None
+        return at, at
     size = len(t.distinct)
     name = t.lang[at] * size + t.code[at]
     for j in range(1, length):
         name = np.unique(name * size + t.code[at + j], return_inverse=True)[1]
-    key, first, number = np.unique(name * size + t.code[at + length], return_index=True, return_counts=True)
-    columns, _ = stripe_batch(t, key // size, key % size, number, at[first], t.keys(length)[at[first]], hot, length)
-    return pa.RecordBatch.from_arrays([*columns], names=["lang", "prefix", "part", "next", "counts"])
+    _, first, number = np.unique(name, return_index=True, return_counts=True)
+    return at[first], number
+
+
+class Stripes:
+    """Stripes of the prefixes of `length` words, added up over the blocks of a task: (lang, prefix, part, next, counts).
+
+    A phrase that many blocks have is handed on once, until more than `held` different ones are there. `hot`: keys of the
+    prefixes to split.
+    """
+
+    def __init__(self, length: int, hot: np.ndarray, held: int = HELD):
+        self.length, self.hot, self.held = length, hot, held
+        self.langs: dict[str, int] = {}
+        self.tables: list[np.ndarray] = []
+        self.rows = 0
+
+    def add(self, t: Tokens, at: np.ndarray, number: np.ndarray) -> pa.RecordBatch | None:
+        """Takes the phrases at some places of a block; gives the stripes of all that is held if that is too much."""
+        if not len(at):
+            return None
+        codes = np.array([self.langs.setdefault(x, len(self.langs)) for x in t.langs.to_pylist()], np.int64)
+        words = t.id[at[:, None] + np.arange(self.length + 1)]
+        part = np.where(np.isin(t.keys(self.length)[at], self.hot), words[:, -1] % U(HOT_PARTS), U(0))
+        self.tables.append(np.column_stack([codes[t.lang[at]], words[:, :-1].view(np.int64), part.astype(np.int64), words[:, -1].view(np.int64), number]))
+        self.rows += len(at)
+        if self.rows > self.held:
+            self.merge()
+        return self.taken() if self.rows > self.held // 2 else None
+
+    def merge(self) -> None:
+        table = np.concatenate(self.tables)
+        table = table[np.lexsort(table[:, -2::-1].T)]
+        first = np.flatnonzero(np.concatenate([[True], (table[1:, :-1] != table[:-1, :-1]).any(axis=1)]))
+        number = np.add.reduceat(table[:, -1], first)
+        table = table[first]
+        table[:, -1] = number
+        self.tables, self.rows = [table], len(table)
+
+    def taken(self) -> pa.RecordBatch | None:
+        """The stripes of the phrases held, which are held no longer."""
+        if not self.rows:
+            return None
+        self.merge()
+        table, n = self.tables[0], self.length
+        first = np.flatnonzero(np.concatenate([[True], (table[1:, :-2] != table[:-1, :-2]).any(axis=1)]))
+        bounds = pa.array(np.append(first, len(table)), pa.int32())
+        prefix = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(first) + 1, n), pa.int32()), pa.array(table[first, 1 : n + 1].ravel()))
+        lang = pa.array(self.langs, pa.string()).take(pa.array(table[first, 0]))
+        made = [lang, prefix, pa.array(table[first, n + 1].astype(np.int32)), pa.ListArray.from_arrays(bounds, pa.array(table[:, -2])), pa.ListArray.from_arrays(bounds, pa.array(table[:, -1]))]
+        self.tables, self.rows = [], 0
+        return pa.RecordBatch.from_arrays(made, names=["lang", "prefix", "part", "next", "counts"])
+
+
+def stripe_batches(tokens, lengths: range, sieve: Sieve, sieved: int, hot: dict[int, np.ndarray]):
+    """Stripes of the prefixes of each of `lengths` words, of the blocks of a task."""
+    held = {n: Stripes(n, hot[n]) for n in lengths}
+    for t in tokens:
+        for n, stripe in held.items():
+            yield stripe.add(t, *sieved_places(t, n + 1, sieve, sieved))
+    for stripe in held.values():
+        yield stripe.taken()
 
 
 def over_tokens(texts: DataFrame, schema: str, fn) -> DataFrame:
-    """Batches that `fn` makes of blocks of tokens; several Arrow batches fill a block."""
+    """Batches that `fn` makes of the blocks of tokens of a task; several Arrow batches fill a block."""
 
     def solve(held):
         table = pa.Table.from_batches(held).combine_chunks()
         for batch in table.to_batches():
-            for block in blocks(batch, "text", BLOCK):
-                yield from (made for made in fn(Tokens(block)) if made is not None)
+            yield from map(Tokens, blocks(batch, "text", BLOCK))
 
-    def run(batches):
+    def tokens(batches):
         held, size = [], 0
         for batch in batches:
             held.append(batch)
@@ -166,6 +225,9 @@ def over_tokens(texts: DataFrame, schema: str, fn) -> DataFrame:
         if held:
             yield from solve(held)
 
+    def run(batches):
+        yield from (made for made in fn(tokens(batches)) if made is not None)
+
     return texts.mapInArrow(lean(run), schema)
 
 
@@ -209,8 +271,8 @@ def stripes(texts: DataFrame, lengths: range, sieve: Sieve, sieved: int, hot: di
     """(lang, ids, f) of the phrases of one word more than `lengths` that occur `least` times or more."""
     context = texts.sparkSession.sparkContext
     given = context.broadcast((sieve.cells, hot))
-    made = over_tokens(texts, "lang string, prefix array<long>, part int, next array<long>, counts array<int>",
-                       lambda t: (stripe_rows(t, n, Sieve(given.value[0]), sieved, given.value[1][n]) for n in lengths))
+    made = over_tokens(texts, "lang string, prefix array<long>, part int, next array<long>, counts array<long>",
+                       lambda ts: stripe_batches(ts, lengths, Sieve(given.value[0]), sieved, given.value[1]))
     # stripes of a prefix, or of a part of it, meet in one task; there they are added entry by entry
     entries = made.repartition("lang", "prefix", "part").select("lang", "prefix", "part", F.inline(F.arrays_zip("next", "counts")))
     added = entries.groupBy("lang", "prefix", "part", "next").agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
@@ -220,7 +282,7 @@ def stripes(texts: DataFrame, lengths: range, sieve: Sieve, sieved: int, hot: di
 def hot_words(texts: DataFrame) -> np.ndarray:
     """Keys of words that are common in a sample of texts; any set gives the same counts, a good one even tasks."""
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0).limit(SAMPLE)
-    made = over_tokens(some, "lang string, id long, n int", lambda t: (word_counts(t),))
+    made = over_tokens(some, "lang string, id long, n int", lambda ts: map(word_counts, ts))
     rows = cut_lineage(made.groupBy("lang", "id").agg(F.sum("n").alias("f")))
     return hot_keys(rows.select("lang", F.array("id").alias("ids"), "f"), rows.agg(F.sum("f")).first()[0] or 0)
 
@@ -236,7 +298,8 @@ def word_counts(t: Tokens) -> pa.RecordBatch | None:
 def word_stripes(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, id, word, f) of every word, and (lang, ids, f) of the pairs that occur `least` times or more, from one structure."""
     given = texts.sparkSession.sparkContext.broadcast(hot_words(texts))
-    made = over_tokens(texts, "lang string, prefix array<long>, part int, next array<long>, counts array<int>, word string", lambda t: (word_rows(t, given.value),))
+    made = over_tokens(texts, "lang string, prefix array<long>, part int, next array<long>, counts array<int>, word string",
+                       lambda ts: (word_rows(t, given.value) for t in ts))
     entries = made.repartition("lang", "prefix", "part").select("lang", "prefix", "part", "word", F.inline(F.arrays_zip("next", "counts")))
     # a word goes along as part of the key, so two words of one id stay apart
     added = entries.groupBy("lang", "prefix", "part", "word", "next").agg(F.sum("counts").alias("f")).where((F.col("f") >= least) | F.col("next").isNull())
