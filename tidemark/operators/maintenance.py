@@ -6,7 +6,7 @@ the keys that may have changed; only those keys are derived anew, whatever the k
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +54,14 @@ def affected(changes: DataFrame, columns: Sequence[str]) -> DataFrame:
     return sides[0].unionByName(sides[1]).dropna().distinct()
 
 
-def write_parts(rows: DataFrame, path: str, order: Sequence[str]) -> None:
-    """Writes a table by its `_part` column, each part sorted; parts that are there already are replaced."""
-    (rows.sort(PART, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(PART).parquet(path))
+def write_parts(rows: DataFrame, path: str, order: Sequence[str], late: Mapping[str, str] | None = None) -> None:
+    """Writes a table by its `_part` column, each part sorted; parts that are there already are replaced.
+
+    `late`: columns that others tell, such as hashes of a key, and their expressions; they are computed after the sort, which need not move them.
+    """
+    late = late or {}
+    ordered = rows.drop(*late).sort(PART, *order).withColumns({k: F.expr(x) for k, x in late.items()}).select(*rows.columns)
+    (ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(PART).parquet(path))
 
 
 def replace_rows(spark: SparkSession, path: str, keys: DataFrame, fresh: DataFrame, order: Sequence[str]) -> list:

@@ -16,7 +16,7 @@ from tidemark.operators.latest import latest_version
 from tidemark.operators.maintenance import PART, affected, changed_buckets, fingerprints, of_buckets, replace_rows, row_changes
 from tidemark.operators.ordered import previous_in_key
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.plans.registry import STORED, Inputs, Load, day_text, dec_round, query, stored, ts_text
+from tidemark.plans.registry import STORED, Inputs, Load, day_text, dec_round, hashed_order, query, stored, ts_text
 from tidemark.session import cut_lineage, work_dir
 from tidemark.sources import files, lake
 
@@ -389,9 +389,10 @@ def customer_slot(rows):
     return F.pmod(F.xxhash64("customer_hk"), F.lit(8)).cast("int")
 
 
-@stored("orders", "order_bk", ORDER_TABLES, order_year, ORDER_KEYS, refresh_orders)
+@stored("orders", "order_bk", ORDER_TABLES, order_year, ORDER_KEYS, refresh_orders, {"order_hk": "md5(order_bk)"})
 def stored_orders(t: Inputs):
-    return t.canonical().join(t.by_key("a_hub_order", "order_hk").select("order_hk", "record_source"), "order_hk")
+    orders = t.numbered_orders(vb.CANONICAL_COLUMNS)
+    return hashed_order(orders.join(t.numbered("a_hub_order").select("order_hk", "record_source"), "order_hk"))
 
 
 @stored("lines", "order_hk", ORDER_TABLES, order_slot, refresh=refresh_orders)
