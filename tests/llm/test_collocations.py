@@ -140,3 +140,56 @@ def test_stripes_are_added_over_the_blocks_of_a_task(spark, monkeypatch):
     assert found(3)[0] == want and 5 < found(3)[1]
     hot = block(("en", "1 2")).keys(2)
     assert found(module.HELD, hot) == (want, 5)
+
+
+def test_rare_phrases_of_frequent_pairs_make_no_stripes(spark):
+    # every pair of neighbours is frequent, but only one phrase of three words is; the others are left out before they are counted
+    words = [f"w{i}" for i in range(12)]
+    rare = [("en", f"{a} {b} {c}") for a in words for b in words for c in words]
+    table = rare + [("en", "w1 w2 w3 w4 w5")] * 40
+    docs = spark.createDataFrame(table, "lang string, text string").repartition(3)
+    assert got(collocations(docs, least=20)) == brute(table, 20)
+    pairs = module.word_stripes(docs, 20)[1]
+    sieve = sieve_of(pairs, 20)
+    cells = module.full_cells(docs, 5, sieve, 2, 20, 20)
+    none = np.zeros(0, np.uint64)
+    t = Tokens(pa.RecordBatch.from_pylist([{"lang": lang, "text": text} for lang, text in table]))
+    assert not cells(t.keys(3)[t.within(3)][:100]).all() and cells(t.keys(5)[-5:][-1:]).all()
+    made = [x for x in stripe_batches(iter([t]), range(2, 5), sieve, 2, dict.fromkeys(range(2, 5), none), cells) if x is not None]
+    entries = sum(len(x["counts"].flatten()) for x in made)
+    # three phrases of three words, two of four and one of five, and few that share their cells
+    assert 6 <= entries <= 12
+
+
+def test_cells_add_up_over_blocks_and_lengths(spark):
+    # 7 texts in 7 tasks: no task has the 7 occurrences alone, and a cell of any range is found again
+    table = [("en", "a b c d"), ("de", "a b c")] * 7
+    docs = spark.createDataFrame(table, "lang string, text string").repartition(7)
+    sieve = sieve_of(module.word_stripes(docs, 7)[1], 16)
+    t = Tokens(pa.RecordBatch.from_pylist([{"lang": lang, "text": text} for lang, text in table[:2]]))
+    for bits in (8, 16, 20):
+        for least, full in ((7, True), (15, False)):
+            cells = module.full_cells(docs, 4, sieve, 2, least, bits)
+            assert len(cells.cells) == 1 << bits - 6
+            if full or bits > 8:
+                assert cells(t.keys(3)[[0, 4]]).all() == full and cells(t.keys(4)[:1])[0] == full
+
+
+def test_cells_are_added_over_the_blocks_of_a_task(spark):
+    batch = pa.RecordBatch.from_pylist([{"lang": "en", "text": f"a b c{i % 5}"} for i in range(20)])
+    t = Tokens(batch)
+    every = Sieve(np.full(1 << 10, ~np.uint64(0)))
+
+    def found(held):
+        made = [x for x in module.cell_batches(iter([t] * 6), 3, every, 2, 20, held) if x is not None]
+        counts = Counter()
+        for batch in made:
+            for r in batch.to_pylist():
+                for cell, n in zip(np.frombuffer(r["cells"], "<u2"), np.frombuffer(r["counts"], "<u4"), strict=True):
+                    counts[r["range"], int(cell)] += int(n)
+        return counts, len(made)
+
+    counts, batches = found(1000)
+    # five phrases, 24 times each, handed on once
+    assert batches == 1 and sum(counts.values()) == 120 and sorted(counts.values()) == [24] * 5
+    assert found(2) == (counts, 6)

@@ -5,9 +5,11 @@ longer prefixes over all that they read as far as a bound allows, stripes of one
 prefixes are the entries of the stripes before, and the largest entry of a stripe tells whether a longer phrase makes its prefix
 superfluous. The stripes of single words also hold their totals.
 
-Prefixes grow a word at a time. A phrase of three words or more can be frequent only if the shorter phrases in it are, so tasks
-leave out what a sieve of those does not let through; the sieve has a fixed size and may let too much through, which costs time
-but no exactness. The stripes of the most frequent prefixes, of which there are few, are split by their next words.
+A phrase of three words or more can be frequent only if the pairs in it are, and tasks leave out those that a sieve of the frequent
+pairs does not let through. What is left is counted first in cells, a phrase in the cell of its hash: a cell counts all occurrences
+of its phrases, so a phrase in a cell below the limit is not frequent, and stripes are made only of phrases in full cells. Sieve and
+cells have sizes that grow with the input up to a bound and may let too much through, which costs time but no exactness. The
+stripes of the most frequent pairs, of which there are few, are split by their next words.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ BLOCK = 6_000_000
 SAMPLE = 20_000  # texts in which words with long stripes are looked for; they only decide how stripes are dealt
 HOT_SHARE, HOT_PARTS = 1000, 64  # a prefix with one of so many words has its stripe split into so many parts
 SIEVE_BITS = 26
+MORE_BITS = 3  # so many times the cells of phrases are doubled, as the words double from 2^26 on
+CELLS_HELD = 3_000_000  # different cells that a task holds before it hands on their numbers
+RANGE_BITS = 16  # cells of one range are added up in one group
 HELD = 400_000  # different phrases of one length that a task holds before it hands on their stripes
 STEP = U(0x9E3779B97F4A7C15)
 
@@ -58,6 +63,18 @@ class Sieve:
         return hit[: len(key)] & hit[len(key) :]
 
 
+class Cells(Sieve):
+    """Which cells of phrases are full; a phrase has one cell."""
+
+    @staticmethod
+    def places(key: np.ndarray, size: int) -> np.ndarray:
+        return key * STEP >> U(64 - size)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        place = self.places(key, 6 + len(self.cells).bit_length() - 1)
+        return self.cells[place >> U(6)] >> (place & U(63)) & U(1) != 0
+
+
 def word_ids(distinct: pa.Array) -> np.ndarray:
     """Ids of words: the hash that the column function xxhash64 gives, so they need not be sent with the words."""
     return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in distinct.to_pylist()), np.uint64, len(distinct))
@@ -126,16 +143,28 @@ def word_rows(t: Tokens, hot: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([*columns, word], names=["lang", "prefix", "part", "next", "counts", "word"])
 
 
-def sieved_places(t: Tokens, length: int, sieve: Sieve, sieved: int) -> tuple[np.ndarray, np.ndarray]:
-    """The place of one occurrence of every phrase of `length` words and their numbers in a block.
+def sieved_phrases(t: Tokens, longest: int, sieve: Sieve, sieved: int, cells: Cells | None = None):
+    """(length, places, keys) of the phrases of more than `sieved` and up to `longest` words in a block, shorter ones first.
 
-    Phrases are left out if any `sieved` words in a row of theirs do not pass the sieve.
+    Phrases are left out if any `sieved` words in a row of theirs do not pass the sieve, or any longer part of theirs is in a cell
+    that is not full.
     """
-    good = t.within(length)
-    passed = sieve(t.keys(sieved)) if len(t.id) >= sieved else np.zeros(0, bool)
-    for j in range(length + 1 - sieved):
-        good &= passed[j : j + len(good)]
-    at = np.flatnonzero(good)
+    key = t.keys(sieved) if len(t.id) >= sieved else np.zeros(0, np.uint64)
+    at = np.flatnonzero(t.within(sieved) & sieve(key))
+    key = key[at]
+    for length in range(sieved + 1, longest + 1):
+        # the phrase without its last word and the one without its first are there
+        both = np.flatnonzero(at[:-1] + 1 == at[1:])
+        at = at[both]
+        key = extended(key[both], t.id[at + length - 1])
+        if cells is not None:
+            full = cells(key)
+            at, key = at[full], key[full]
+        yield length, at, key
+
+
+def numbered(t: Tokens, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one occurrence of every phrase of `length` words that starts at one of the places, and their numbers there."""
     if not len(at):
         return at, at
     size = len(t.distinct)
@@ -196,12 +225,13 @@ class Stripes:
         return pa.RecordBatch.from_arrays(made, names=["lang", "prefix", "part", "next", "counts"])
 
 
-def stripe_batches(tokens, lengths: range, sieve: Sieve, sieved: int, hot: dict[int, np.ndarray]):
+def stripe_batches(tokens, lengths: range, sieve: Sieve, sieved: int, hot: dict[int, np.ndarray], cells: Cells | None = None):
     """Stripes of the prefixes of each of `lengths` words, of the blocks of a task."""
     held = {n: Stripes(n, hot[n]) for n in lengths}
     for t in tokens:
-        for n, stripe in held.items():
-            yield stripe.add(t, *sieved_places(t, n + 1, sieve, sieved))
+        for length, at, _ in sieved_phrases(t, lengths.stop, sieve, sieved, cells):
+            if length - 1 in held:
+                yield held[length - 1].add(t, *numbered(t, at, length))
     for stripe in held.values():
         yield stripe.taken()
 
@@ -255,6 +285,54 @@ def sieve_of(phrases: DataFrame, bits: int) -> Sieve:
     return Sieve(cells)
 
 
+def cell_batches(tokens, longest: int, sieve: Sieve, sieved: int, bits: int, held: int = CELLS_HELD):
+    """How many phrases of a task's blocks are in each cell: range of cells, cells in it, numbers, the last two as packed integers.
+
+    Numbers are added up over the blocks, until more than `held` different cells are there.
+    """
+    cell, number = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    for t in tokens:
+        places = [Cells.places(key, bits).astype(np.uint32) for _, _, key in sieved_phrases(t, longest, sieve, sieved)]
+        some, times = np.unique(np.concatenate([np.zeros(0, np.uint32), *places]), return_counts=True)
+        cell, back = np.unique(np.concatenate([cell, some]), return_inverse=True)
+        number = np.bincount(back, np.concatenate([number, times]), len(cell)).astype(np.int64)
+        if len(cell) > held:
+            yield cell_rows(cell, number, bits)
+            cell, number = cell[:0], number[:0]
+    yield cell_rows(cell, number, bits)
+
+
+def cell_rows(cell: np.ndarray, number: np.ndarray, bits: int) -> pa.RecordBatch | None:
+    if not len(cell):
+        return None
+    low = min(RANGE_BITS, bits)
+    part = cell >> np.uint32(low)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    bounds = np.append(first, len(cell))
+    packed = [(cell & np.uint32((1 << low) - 1)).astype("<u2"), number.astype("<u4")]
+    made = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in packed]
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *made], names=["range", "cells", "counts"])
+
+
+def full_cells(texts: DataFrame, longest: int, sieve: Sieve, sieved: int, least: int, bits: int) -> Cells:
+    """The cells that hold `least` or more of the sieved phrases of up to `longest` words; 2^bits bits come to the driver."""
+    given = texts.sparkSession.sparkContext.broadcast(sieve.cells)
+    made = over_tokens(texts, "range int, cells binary, counts binary", lambda ts: cell_batches(ts, longest, Sieve(given.value), sieved, bits))
+    low = min(RANGE_BITS, bits)
+
+    def full(rows: pa.Table) -> pa.Table:
+        number = np.zeros(1 << low, np.int64)
+        for cells, counts in zip(rows["cells"].to_pylist(), rows["counts"].to_pylist(), strict=True):
+            number[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, "<u4")
+        return pa.table({"range": rows["range"][:1], "full": pa.array([np.packbits(number >= least, bitorder="little").tobytes()], pa.binary())})
+
+    cells = np.zeros(1 << bits - 6, np.uint64)
+    step = 1 << low - 6
+    for part, found in made.groupBy("range").applyInArrow(full, "range int, full binary").collect():
+        cells[part * step : (part + 1) * step] = np.frombuffer(found, "<u8")
+    return Cells(cells)
+
+
 def hot_keys(phrases: DataFrame, total: int) -> np.ndarray:
     """Keys of the phrases (lang, ids, f) that have at least 1 / HOT_SHARE of all words; so there are no more than HOT_SHARE."""
     rows = phrases.where(F.col("f") * HOT_SHARE >= total).select("lang", "ids").collect()
@@ -267,12 +345,12 @@ def hot_keys(phrases: DataFrame, total: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def stripes(texts: DataFrame, lengths: range, sieve: Sieve, sieved: int, hot: dict[int, np.ndarray], least: int) -> DataFrame:
+def stripes(texts: DataFrame, lengths: range, sieve: Sieve, sieved: int, cells: Cells, hot: dict[int, np.ndarray], least: int) -> DataFrame:
     """(lang, ids, f) of the phrases of one word more than `lengths` that occur `least` times or more."""
     context = texts.sparkSession.sparkContext
-    given = context.broadcast((sieve.cells, hot))
+    given = context.broadcast((sieve.cells, cells.cells, hot))
     made = over_tokens(texts, "lang string, prefix array<long>, part int, next array<long>, counts array<long>",
-                       lambda ts: stripe_batches(ts, lengths, Sieve(given.value[0]), sieved, given.value[1]))
+                       lambda ts: stripe_batches(ts, lengths, Sieve(given.value[0]), sieved, given.value[2], Cells(given.value[1])))
     # stripes of a prefix, or of a part of it, meet in one task; there they are added entry by entry
     entries = made.repartition("lang", "prefix", "part").select("lang", "prefix", "part", F.inline(F.arrays_zip("next", "counts")))
     added = entries.groupBy("lang", "prefix", "part", "next").agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
@@ -371,7 +449,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: i
     or more. Order: score, a, both descending, then phrase by its bytes.
 
     Null and empty texts have no words; a null language is `und`. Repeated rows count again, an empty table gives none, other
-    columns are not read. Texts of any length are read whole. 2^bits bits are broadcast to every task.
+    columns are not read. Texts of any length are read whole. 2^bits bits, and up to 2^(bits + 3) for cells, are broadcast to every task.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
     words, pairs = word_stripes(texts, least)
@@ -379,16 +457,13 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: i
     total = totals.agg(F.sum("n")).first()[0] or 0
     frequent = words.where(F.col("f") >= least)
     check_ids(words, frequent)
-    found, last = frequent.select("lang", F.array("id").alias("ids"), "f").unionByName(pairs), pairs
-    # pairs of words sieve the phrases of three words, and those all longer ones: a reading of the texts for each sieve
-    for length in (2, 3):
-        lengths = range(length, min(3, longest)) if length == 2 else range(length, longest)
-        given = sieve_of(last, bits)
-        if not lengths or not given.cells.any():
-            break
-        hot = hot_keys(last, total)
-        last = stripes(texts, lengths, given, length, {n: hot if n == length else np.zeros(0, np.uint64) for n in lengths}, least)
-        found = found.unionByName(last)
+    found = frequent.select("lang", F.array("id").alias("ids"), "f").unionByName(pairs)
+    # two more readings of the texts: the longer phrases are counted in cells, then those in full cells by their words
+    lengths, sieve = range(2, longest), sieve_of(pairs, bits)
+    if lengths and sieve.cells.any():
+        cells = full_cells(texts, longest, sieve, 2, least, bits + min(MORE_BITS, max(0, total.bit_length() - 26)))
+        hot = {n: hot_keys(pairs, total) if n == 2 else np.zeros(0, np.uint64) for n in lengths}
+        found = found.unionByName(stripes(texts, lengths, sieve, 2, cells, hot, least))
     found = cut_lineage(found.where(F.size("ids") <= longest))
     candidates = found.where(F.size("ids") > 1).select("lang", "ids", F.col("f").alias("a"))
     scored = cut_scores(found, maximal(candidates, percent), totals)
