@@ -7,9 +7,9 @@ superfluous. The stripes of single words also hold their totals.
 
 A phrase of three words or more can be frequent only if the pairs in it are, and tasks leave out those that a sieve of the frequent
 pairs does not let through. What is left is counted first in cells, a phrase in the cell of its hash: a cell counts all occurrences
-of its phrases, so a phrase in a cell below the limit is not frequent, and stripes are made only of phrases in full cells. Sieve and
-cells have sizes that grow with the input up to a bound and may let too much through, which costs time but no exactness. The
-stripes of the most frequent pairs, of which there are few, are split by their next words.
+of its phrases, so a phrase in a cell below the limit is not frequent, and stripes are made only of phrases in full cells. The sieve
+has a fixed size, the cells grow in number with the input up to a bound; both may let too much through, which costs time but no
+exactness. The stripes of the most frequent pairs, of which there are few, are split by their next words.
 """
 
 from __future__ import annotations
